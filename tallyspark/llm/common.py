@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the membership filters. The filter is broadcast, so its size is fixed: 2^16 words of 64 bits.
 FILTER_BITS = 1 << 22
+#: Bytes of text that a task splits into words at a time.
+PIECE_BYTES = 4 << 20
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +83,42 @@ def md5_long(*parts: Column | str) -> Column:
 def md5_unit(*parts: Column | str) -> Column:
     """The same hash as a number above 0 and below 1."""
     return (md5_long(*parts).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def pieces_at_blanks(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end at a blank."""
+    at = 0
+    while len(text) - at > size and (blank := _BLANK.search(text, at + size)):
+        yield text[at : blank.end()]
+        at = blank.end()
+    yield text[at:] if at else text
+
+
+def word_chunks(text: bytes, overlap: int, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text with A-Z in lower case, in chunks; each begins with the last ``overlap`` words of the one before."""
+    words: list[bytes] = []
+    for piece in pieces_at_blanks(text, size):
+        words = words[len(words) - overlap if len(words) > overlap else 0 :] if overlap else []
+        words += piece.lower().split()
+        yield words
+
+
+def by_bytes(texts: Iterator[bytes], size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The texts in lists of about ``size`` bytes."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n

@@ -4,14 +4,14 @@ An item is the set of its five-word shingles. A document contains it if at least
 document, however long that is. Items are partitioned by size. An item of n shingles keeps the floor(n - need) + 1
 smallest of their hashes (a bottom-k MinHash, its length set by the partition's size), where need is the number of
 shingles that must be found: if none of the kept ones is in a document, fewer than ``need`` can be, so the search misses
-nothing. Documents with fewer shingles than ``need`` are left out for that item. Every candidate is then counted exactly.
+nothing. A document with fewer words than ``need`` is no candidate. Every candidate is then counted exactly.
 
 The items are the stated queries. They are read in blocks of BLOCK_BYTES of text, and each block is broadcast, so what
 is sent to executors is bounded however long the benchmark is; each block is one pass over the documents without a shuffle.
 
 Words are split at [\\x20\\x09-\\x0D] with A-Z in lower case. Edge cases: null and empty texts contain nothing and items without words
 are in nothing; an item of fewer than five words is one shingle, its whole sequence, and so is a document; an item
-longer than a block is a block of its own; repeated rows are reported as often as they come in; rows without an id are
+longer than a block is a block of its own; long documents are worked on in chunks that overlap; repeated rows are reported as often as they come in; rows without an id are
 reported with a null id. Other columns are ignored.
 """
 
@@ -26,20 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import PIECE_BYTES, utf8, word_chunks
 
 WORDS = 5
 CONTAINMENT = 0.8
 BLOCK_BYTES = 8 << 20
-#: Words of a document hashed at a time.
-CHUNK = 1 << 18
+
+#: Bytes of a document hashed at a time.
+CHUNK_BYTES = PIECE_BYTES
 
 _BASE = 0x9E3779B97F4A7C15
 _FRONT_BITS = 20
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, kept as far as they were needed (CHUNK words at most)."""
+    """Powers of the base and of its inverse modulo 2^64, kept as far as they were needed."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -86,7 +87,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], containment: float = CONTAINMENT):
         self.ids, self.sizes, self.need = [], [], []
-        self.having: dict[bytes, list[int]] = defaultdict(list)
+        self.items: list[list[bytes]] = []
         parts: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item_id, text in items:
             if not (shingles := sorted(shingle_set(text))):
@@ -95,8 +96,7 @@ class Index:
             self.ids.append(item_id)
             self.sizes.append(n)
             self.need.append(max(1, math.ceil(containment * n - 1e-9)))
-            for x in shingles:
-                self.having[x].append(k)
+            self.items.append(shingles)
             length = np.fromiter(map(len, shingles), np.int64, n)
             end = np.cumsum(length)
             hashes = np.unique(span_hashes(b"".join(shingles), end - length, end))
@@ -106,38 +106,37 @@ class Index:
         for size in sorted(parts):
             hashes = np.concatenate([h for h, _ in parts[size]])
             owner = np.concatenate([np.full(len(h), k) for h, k in parts[size]])
-            self.partitions.append((min(self.need[k] for _, k in parts[size]), hashes, owner))
+            self.partitions.append((hashes, owner))
         self.front = np.zeros(1 << _FRONT_BITS, bool)
-        for _, hashes, _ in self.partitions:
+        for hashes, _ in self.partitions:
             self.front[hashes >> np.uint64(64 - _FRONT_BITS)] = True
 
-    def candidates(self, hashes: np.ndarray, n_shingles: int) -> set[int]:
-        """Items with a sketch value among the hashes, in partitions that a document of this size can hold."""
+    def candidates(self, hashes: np.ndarray) -> set[int]:
+        """Items with a sketch value among the hashes, partition by partition."""
         hashes = np.unique(hashes[self.front[hashes >> np.uint64(64 - _FRONT_BITS)]])
         found: set[int] = set()
-        for least, values, owner in self.partitions if len(hashes) else ():
-            if least <= n_shingles:
-                found.update(owner[np.isin(values, hashes)].tolist())
+        for values, owner in self.partitions if len(hashes) else ():
+            found.update(owner[np.isin(values, hashes)].tolist())
         return found
 
     def search(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item id, shingles found, shingles of the item) of every item that the text contains."""
-        words = text.lower().split()
-        if not words:
-            return []
-        found: set[int] = set()
-        n = max(1, len(words) - WORDS + 1)
-        for at in range(0, n, CHUNK):
-            joined, begin, end = shingle_spans(words[at : at + CHUNK + WORDS - 1])
-            found |= self.candidates(span_hashes(joined, begin, end), n)
+        found, n = set(), 0
+        for words in word_chunks(text, WORDS - 1, CHUNK_BYTES):
+            if words:
+                found |= self.candidates(span_hashes(*shingle_spans(words)))
+            n += len(words)
+        found = {k for k in found if self.need[k] <= n}
         if not found:
             return []
-        shared = dict.fromkeys(found, 0)
-        for x in shingle_set(text):
-            for k in self.having.get(x, ()):
-                if k in shared:
-                    shared[k] += 1
-        return sorted((self.ids[k], c, self.sizes[k]) for k, c in shared.items() if c >= self.need[k])
+        wanted = {x for k in found for x in self.items[k]}
+        there = set()
+        for words in word_chunks(text, WORDS - 1, CHUNK_BYTES):
+            if words:
+                joined, begin, end = shingle_spans(words)
+                there.update(wanted.intersection(joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)))
+        shared = [(k, sum(x in there for x in self.items[k])) for k in found]
+        return sorted((self.ids[k], c, self.sizes[k]) for k, c in shared if c >= self.need[k])
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import stage, utf8, word_chunks
 from .components import connected_components
 
 SEED = 42
@@ -34,21 +34,22 @@ PAIR_BUCKET = 32
 
 def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     """The fingerprint of one text, unsigned."""
-    words = text.lower().split()  # on bytes: lower-cases A-Z only, splits at [\x20\x09-\x0D] only
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    k = min(words_per_shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    first, last = starts[: len(words) - k + 1], ends[k - 1 :]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(first), CHUNK):
-        spans = zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(first), bitorder="little").view("<u8")[0])
+    counts, n = np.zeros(64, np.int64), 0
+    for words in word_chunks(text, words_per_shingle - 1):
+        k = words_per_shingle if n else min(words_per_shingle, len(words))
+        if not words or len(words) < k:
+            continue
+        joined = memoryview(b" ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        first, last = starts[: len(words) - k + 1], ends[k - 1 :]
+        for at in range(0, len(first), CHUNK):
+            spans = zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)
+            hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int32)
+        n += len(first)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -82,7 +83,7 @@ def fingerprint_links(nodes: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataF
     """
     keys = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(block_masks())]
     keyed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.block", "k.key")
-    sizes = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = stage(keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     met = stage(keyed.join(sizes, ["block", "key"]), "simhash-blocks")
     few = met.where(F.col("n") <= pair_bucket)
     left = few.select("block", "key", F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
@@ -102,11 +103,12 @@ def fingerprint_links(nodes: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(id, fp, component): the fingerprint of every row, and the smallest id reachable over links of two bits at most."""
+    # what is staged is joined by an exchange of its own, so partitions of very common values can be split
     rows = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
     links = stage(fingerprint_links(nodes.where("rep is not null")), "simhash-links")
     found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    named = nodes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    named = stage(nodes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "simhash-named")
     return rows.join(named, "fp").select("id", "fp", "component")
 
 

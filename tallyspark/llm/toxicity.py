@@ -12,6 +12,8 @@ times the layer's weights), so BUCKETS floats are broadcast, a fixed size.
 Training reads a bounded sample of the labelled rows: SAMPLE of each class at most, in the order of a hash of the id, texts
 of up to SAMPLE_BYTES bytes. Scores are given to all rows and whole texts.
 
+Texts of more than two pieces (8 MB) are scored piece by piece, so their words need no more memory than one.
+
 Edge cases: null and empty texts (and texts without words) score as the share of label 1 in the training sample, 0 if
 there is no training row; rows without an id are scored, and are not held out; if training rows have a single label, all texts
 score 0.0 or 1.0 by it; labels other than 0 and 1 and null labels are left out of training; repeated rows score alike.
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, utf8
+from .common import PIECE_BYTES, Numbers, by_bytes, maybe_in, pieces_at_blanks, utf8
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
@@ -96,15 +99,18 @@ class Scorer:
     """Scores texts; features of words are computed once for each word while the cache lasts."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
+        self.model, self.index = model, Numbers()
         self.sums, self.counts = np.zeros(0), np.zeros(0)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES:
+            scores = [self.score([p])[0] for p in pieces_at_blanks(texts[0]) if p.strip()]
+            return np.array([max(scores, default=self.model.base)])
         if len(self.index) > CACHE_WORDS:
-            self.index, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
+            self.index, self.sums, self.counts = Numbers(), np.zeros(0), np.zeros(0)
         known, index, out = len(self.index), self.index, np.full(len(texts), self.model.base)
-        ids = [[index.setdefault(w, len(index)) for w in t.lower().split()] for t in texts]
-        if fresh := list(index)[known:]:
+        ids = [list(map(index.__getitem__, t.lower().split())) for t in texts]
+        if fresh := list(islice(index, known, None)):
             sums, counts = self.model.word_sums(fresh)
             self.sums, self.counts = np.concatenate((self.sums, sums)), np.concatenate((self.counts, counts))
         for k, words in enumerate(ids):
@@ -200,10 +206,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                scores = scorer.score([t.as_py() for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores)], names=["id", "held_out", "score"])
+            scores = [scorer.score(texts) for texts in by_bytes(t.as_py() for t in batch.column(1))]
+            scores = np.concatenate([*scores, np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores)], names=["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"), _held_out(id_col).alias("held_out"))
     return rows.mapInArrow(run, "id long, held_out boolean, score double")
