@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_dir, stage, utf8
+from .common import PIECE_BYTES, Numbers, by_bytes, new_dir, pieces_at_blanks, stage, utf8
 
 MAGIC = b"TSPACK8B"
 BLOCK = 1 << 16
@@ -41,8 +41,7 @@ BLOCK = 1 << 16
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 #: Different words kept encoded in a Python worker; when full, it starts anew.
-CACHE_WORDS = 1_200_000
-BATCH_DOCS = 2000
+CACHE_WORDS = 1_600_000
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -127,7 +126,7 @@ class Writer:
             self._flush()
 
     def _flush(self, last: bool = False) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint64)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
         full = len(ids) if last else len(ids) // BLOCK * BLOCK
         for at in range(0, full, BLOCK):
             self._block("ids", ids[at : min(at + BLOCK, full)])
@@ -193,27 +192,33 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_str(tokenizer_json), np.array([end_id], np.uint64)
+        self.tokenizer, self.end = Tokenizer.from_str(tokenizer_json), np.array([end_id], np.uint32)
         self._empty()
 
     def _empty(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.flat, self.first, self.many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text and the end id. A text of more than two pieces is worked on piece by piece."""
+        if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES:
+            parts = [self._ids([p])[0] for p in pieces_at_blanks(texts[0])]
+            return [np.concatenate((*parts, self.end))]
+        return [np.concatenate((ids, self.end)) for ids in self._ids(texts)]
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self._empty()
-        known, index = len(self.index), self.index
+        known = len(self.index)
         # only words without a special token's mark may change case before the tokenizer does it
-        words = [[index.setdefault(w, len(index)) for w in (t if b"<|" in t else t.lower()).split()] for t in texts]
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        last = np.cumsum([len(w) for w in words])
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(last[-1]))
         self._learn(known)
-        out = []
-        for w in words:
-            at = np.array(w, np.int64)
-            many = self.many[at]
-            place = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            out.append(np.concatenate((self.flat[place].astype(np.uint64), self.end)))
-        return out
+        many = self.many[at]
+        end = np.concatenate(([0], np.cumsum(many)))
+        place = np.repeat(self.first[at] - end[:-1], many) + np.arange(int(end[-1]))
+        return np.split(self.flat[place], end[last][:-1])
 
     def _learn(self, known: int) -> None:
         """Encodes the words that were added to the index; a word and the stops after it are always separate for the tokenizer."""
@@ -221,7 +226,7 @@ class Encoder:
         for w in list(islice(index, known, None)):
             body = w.rstrip(b".,")
             if body != w and body[-1:].isalnum():
-                parts[w] = (index.setdefault(body, len(index)), index.setdefault(w[len(body) :], len(index)))
+                parts[w] = (index[body], index[w[len(body) :]])
         fresh = list(islice(index, known, None))
         if not fresh:
             return
@@ -264,12 +269,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         out, path, total = None, f"{folder}/{uuid.uuid4().hex}.s8b", 0
         enc = encoder(tokenizer.value, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(at, BATCH_DOCS)
-                out = out or Writer(path)
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    out.add(d, ids)
-                    total += len(ids)
+            out, ids = out or (Writer(path) if batch.num_rows else None), iter(batch.column(0).to_pylist())
+            for texts in by_bytes(t.as_py() for t in batch.column(1)):
+                for coded in enc.encode(texts):
+                    out.add(next(ids), coded)
+                    total += len(coded)
         if out:
             out.close()
             docs = [d for d in out.docs if d is not None]
