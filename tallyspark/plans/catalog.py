@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, relations, windows
+from . import evaluation, pipelines, relations, windows
 
-_FAMILIES = (windows, relations, evaluation)
+_FAMILIES = (windows, relations, evaluation, pipelines)
 
 QUERIES: dict = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLES: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}

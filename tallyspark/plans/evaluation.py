@@ -195,13 +195,13 @@ mw AS (SELECT season, team, opponent, CAST(margin AS DOUBLE) AS margin, 1.0 AS w
 
 
 def matchup_projection(spark, d):
-    ratings = rounded(T.rate(_margins(spark, d).where("season = 1996"), "season", 3))
+    ratings = T.rate(_margins(spark, d).where("season = 1996"), "season", 3)
     g = games(spark, d).where("season = 1996").select("game", "home", "away")
     out = T.project_games(g, ratings, "home", "away", 2.5, 15.0)
     return rounded(out.select("game", "expected_margin", "favourite", "home_probability"), 5)
 
 
-MATCHUP_PROJECTION = f"""WITH r AS (WITH {_MARGINS}, {_srs_sql(3)}), {GAMES}, g AS (SELECT game, home, away, h.rating - a.rating + 2.5 AS m FROM games LEFT JOIN r h ON h.team = home AND h.season = 1996 LEFT JOIN r a ON a.team = away AND a.season = 1996 WHERE games.season = 1996),
+MATCHUP_PROJECTION = f"""WITH r AS (WITH {_MARGINS}, {_srs_sql(3).replace('round(rating, 6) AS rating', 'rating')}), {GAMES}, g AS (SELECT game, home, away, h.rating - a.rating + 2.5 AS m FROM games LEFT JOIN r h ON h.team = home AND h.season = 1996 LEFT JOIN r a ON a.team = away AND a.season = 1996 WHERE games.season = 1996),
 z AS (SELECT *, abs(m / 15) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(m / 15) / sqrt(2)) AS t FROM g),
 e AS (SELECT *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS erf FROM z)
 SELECT game, round(m, 5) AS expected_margin, CASE WHEN m >= 0 THEN home ELSE away END AS favourite, round(CASE WHEN m >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END, 5) AS home_probability FROM e"""
