@@ -68,6 +68,19 @@ def test_containment_at_the_limit(spark, monkeypatch):
     assert decontaminate.contained_items(frames[0], frames[1].where("item_id < 0")).count() == 0
 
 
+def test_hashes_of_equal_spans_are_equal_and_of_others_differ():
+    words = [b"w%d" % k for k in range(3000)]
+    for shift in (0, 1, 77):
+        joined, begin, end = decontaminate.shingle_spans([b"x"] * shift + words)
+        hashes = decontaminate.span_hashes(joined, begin, end)[shift:]
+        assert len(set(hashes.tolist())) == len(words) - 4
+        if not shift:
+            first = hashes
+        assert (hashes == first).all()
+    item = decontaminate.Index([(1, b" ".join(words[50:80]))])
+    assert item.candidates(first) == {0} and item.candidates(first[200:]) == set()
+
+
 @pytest.mark.parametrize("top", [1, 3, 200, 50_000, 2**31, 2**60, 2**64 - 1])
 def test_packing_round_trip(top):
     rng = np.random.default_rng(top % 1000)
