@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+        own = tempfile.mkdtemp(prefix="tallyspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
