@@ -9,10 +9,10 @@ from ..functions import exprs as E
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import rosters as R
-from ..operators.windows import prior_means
+from ..operators.windows import first_by, share_of_total
 from ..sources import tables as S
 from ..sources.tables import table
-from .common import GAMES, games, rounded, year
+from .common import GAMES, PREDICTIONS, games, predictions, rounded, year
 
 _EVENTS_HIST = ["ts", "event_id"]
 
@@ -33,12 +33,9 @@ def eligibility_gate(spark, d):
     """A purchase is eligible by the mean of its user's last three views once there are three, else by their sum."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     views = e.where("event_type = 'view'")
-    hist = prior_means(views, ["user_id"], _EVENTS_HIST, ["value"])
-
-
     w = Window.partitionBy("user_id").orderBy(*_EVENTS_HIST)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumns({"n_views": F.count(F.lit(1)).over(upto), "avg3": F.avg("value").over(w.rowsBetween(-2, 0)), "total": F.sum("value").over(upto)})
+    hist = views.withColumns({"n_views": F.count(F.lit(1)).over(upto), "avg3": F.avg("value").over(w.rowsBetween(-2, 0)), "total": F.sum("value").over(upto)})
     found = J.asof_join(e.where("event_type = 'purchase'"), hist, ["user_id"], "ts", ["n_views", "avg3", "total"], [F.col("event_id").desc()])
     gate = F.when(F.col("asof_n_views") >= 3, F.col("asof_avg3") >= 40).otherwise(F.col("asof_total") >= 60)
     return found.select("event_id", F.coalesce("asof_n_views", F.lit(0).cast("long")).alias("games"), F.coalesce(gate, F.lit(False)).cast("int").alias("eligible"))
@@ -148,8 +145,6 @@ SELECT l_suppkey, count(DISTINCT l_partkey) AS members, CAST(count_if(stars >= 4
 
 def roster_turnover(spark, d):
     e = table(spark, d, "events").select("user_id", F.floor(F.dayofmonth("ts") / 8).cast("int").alias("season"), "event_type")
-    from ..operators.windows import first_by
-
     roster = first_by(e.groupBy("user_id", "season", "event_type").count(), ["user_id", "season"], [F.col("count").desc(), "event_type"])
     return rounded(R.turnover(roster, "user_id", "event_type", "season"))
 
@@ -249,8 +244,6 @@ TOP_BOTTOM_N = """(SELECT o_orderkey, o_totalprice, 'top' AS "end" FROM orders O
 
 
 def largest_misses(spark, d):
-    from .common import predictions
-
     p = predictions(spark, d).withColumn("miss", F.round(F.abs(F.col("predicted") - F.col("actual")), 6))
     return p.orderBy(F.col("miss").desc(), "event_id").limit(20).select("event_id", "miss")
 
@@ -312,8 +305,6 @@ SELECT asked, CASE method WHEN 'exact' THEN ew WHEN 'normalized' THEN lw END AS
 
 
 def match_shares(spark, d):
-    from ..operators.windows import share_of_total
-
     n = resolve_names(spark, d).groupBy((F.col("asked") % 5).cast("int").alias("season"), "method").agg(F.count(F.lit(1)).alias("n"))
     return rounded(n.withColumn("share", share_of_total(["season"], "n")))
 
@@ -391,8 +382,6 @@ QUERIES = {
     "keep_latest_upsert": keep_latest_upsert, "missing_slots": missing_slots, "insert_missing_dim": insert_missing_dim, "pivot_categories": pivot_categories, "schedule_features": schedule_features,
     "fill_and_clip": fill_and_clip,
 }
-from .common import PREDICTIONS  # noqa: E402
-
 ORACLES = {
     "asof_prior_event": ASOF_PRIOR_EVENT, "eligibility_gate": ELIGIBILITY_GATE, "zero_filled_target": ZERO_FILLED_TARGET, "home_away_stack": f"WITH {GAMES}, {STACK} SELECT * FROM st", "home_away_pivot": HOME_AWAY_PIVOT,
     "differential_trend": DIFFERENTIAL_TREND, "opponent_self_join": OPPONENT_SELF_JOIN, "consensus_or_average": CONSENSUS_OR_AVERAGE, "best_of_two_matches": BEST_OF_TWO_MATCHES,
