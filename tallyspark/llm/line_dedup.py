@@ -66,7 +66,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     rows = flag_maybe_in(rows, "id", bitmaps, "id", "maybe")
     n_lines = F.size(lines_of(F.col("text"))).cast("long").alias("n_lines")
     whole = rows.where("not maybe").select("id", n_lines, F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
-    met = rows.where("maybe").join(bitmaps, "id", "left").select("id", lines_of(F.col("text")).alias("lines"), F.map_from_entries("words").alias("words"))
+    # a sort-merge join at every size: a broadcast of few bitmaps would only make small inputs look cheaper
+    met = rows.where("maybe").join(bitmaps.hint("merge"), "id", "left").select("id", lines_of(F.col("text")).alias("lines"), F.map_from_entries("words").alias("words"))
     dense = F.expr("transform(sequence(0, cast((size(lines) - 1) / 64 as int)), w -> coalesce(try_element_at(words, w), -1L))")
     stay = F.expr("filter(lines, (x, i) -> (shiftright(dense[cast(i / 64 as int)], i % 64) & 1L) = 1L)")
     cut = met.withColumn("dense", dense).select("id", F.size("lines").cast("long").alias("n_lines"), stay.alias("stay"))
