@@ -7,8 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,32 @@ def maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str) -> Da
     return flag_maybe_in(df, key, members, member_key, "__maybe").where("__maybe").drop("__maybe")
 
 
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows whose text a predicate keeps, all columns as they are, without a shuffle.
+
+    ``make`` is called once in each task; the predicate gets texts as UTF-8 (null: empty), a few megabytes at a time.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            texts = (t.encode() if (t := x.as_py()) else b"" for x in batch.column(at))
+            mask = [k for some in by_bytes(texts) for k in keep(some)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``members``; null keys stay. Only rows that may be there are shuffled."""
+    flagged = flag_maybe_in(df, key, members, member_key, "__maybe")
+    asked = flagged.where("__maybe").drop("__maybe")
+    gone = members.select(F.col(member_key).alias("__gone")).distinct()
+    left = asked.join(gone, asked[key] == gone["__gone"], "left_anti")
+    return flagged.where("not __maybe").drop("__maybe").unionByName(left)
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, utf8, word_chunks
+from .common import PIECE_BYTES, keep_rows, utf8, word_chunks
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -39,6 +39,12 @@ _BASE = 0x9E3779B97F4A7C15
 _FRONT_BITS = 20
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class _Powers:
     """Powers of the base and of its inverse modulo 2^64, kept as far as they were needed."""
 
@@ -48,8 +54,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate(([1], np.full(size - 1, _BASE, np.uint64))), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate(([1], np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+            self.up, self.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
         return self.up[:n], self.down[:n]
 
 
@@ -178,7 +183,14 @@ def contained_items(
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that contain no benchmark item; documents without an id stay."""
-    gone = contained_items(docs, items, id_col, text_col).select(F.col("id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contain no benchmark item, with or without an id; each block of items is one more filter."""
+    for block in item_blocks(items, "item_id", "text", block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(held=held):
+            search = Index(held.value).search
+            return lambda texts: [not search(t) for t in texts]
+
+        docs = keep_rows(docs, text_col, make)
+    return docs

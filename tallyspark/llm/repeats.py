@@ -200,9 +200,10 @@ def repeated_spans(texts: DataFrame, heads: DataFrame, length: int = LENGTH) ->
     texts: (id, bytes); heads: (id, anchors) of the texts to compare.
     """
     anchors = heads.select("id", F.explode("anchors").alias("x")).select("id", "x.at", "x.gram")
-    shared = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = anchors.join(shared, "gram", "left_semi").groupBy("id").agg(F.collect_list("at").alias("wanted"))
-    wanted = stage(wanted, "repeats-anchors")
+    # what is staged is joined by an exchange of its own, so partitions of very common buckets can be split
+    shared = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeats-grams")
+    met = stage(anchors.join(shared, "gram", "left_semi").select("id", "at"), "repeats-met")
+    wanted = stage(met.groupBy("id").agg(F.collect_list("at").alias("wanted")), "repeats-anchors")
     met = maybe_in(texts, "id", wanted, "id").join(wanted, "id")
     columns = "id long, s_lo long, s_hi long, core_a long, core_b long, hull_a long, hull_b long, whole boolean, near long"
     blocks = stage(_map(met.select("id", "bytes", "wanted"), lambda t, w: blocks_of(t, np.array(w), length), columns), "repeats-blocks")
@@ -220,7 +221,7 @@ def repeated_spans(texts: DataFrame, heads: DataFrame, length: int = LENGTH) ->
     met = maybe_in(texts, "id", asked, "id").join(asked, "id").select("id", "bytes", "ranges")
     strings = _map(met, lambda t, r: strings_of(t, [(x["s_lo"], x["s_hi"]) for x in r], length), "id long, start long, a long, b long")
     strings = stage(strings, "repeats-strings")
-    twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    twice = stage(strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "repeats-twice")
     found = strings.join(twice, ["a", "b"], "left_semi").select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
     # all strings of a sure block are repeated, also those of other anchors
     far = F.col("near") - (BLOCK - 1)
@@ -238,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row").select("id", "n_bytes", "spans", "kept_sha256")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"))
     heads = stage(scan(texts, length), "repeats-heads")
-    copies = heads.groupBy("sha256").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = stage(heads.groupBy("sha256").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "repeats-copies")
     heads = stage(heads.join(copies, "sha256").withColumn("copied", (F.col("n") > 1) & (F.col("n_bytes") >= length)), "repeats-heads")
     spans = stage(repeated_spans(texts, heads.where("id = first"), length), "repeats-spans")
     runs = "array<struct<lo:long,hi:long>>"

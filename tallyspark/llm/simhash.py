@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8, word_chunks
+from .common import stage, utf8, without, word_chunks
 from .components import connected_components
 
 SEED = 42
@@ -118,8 +118,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that share an id one stays; rows without an id cannot be the smallest of a group and all stay.
     """
     found = stage(near_duplicates(docs, id_col, text_col), "simhash-groups")
-    gone = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = without(docs, id_col, found.where("id <> component"), "id")
     if found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, Numbers, by_bytes, maybe_in, pieces_at_blanks, utf8
+from .common import PIECE_BYTES, Numbers, by_bytes, keep_rows, maybe_in, pieces_at_blanks, stage, utf8
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
@@ -42,9 +42,12 @@ STEPS = 80
 RATE = 1000.0
 LAYER_RATE = 0.5
 MOMENTUM = 0.8
+LIMIT = 1e4
 SEED = 20
 #: Words whose features are kept in a Python worker; when full, it starts anew.
 CACHE_WORDS = 400_000
+#: Words whose features are made at a time.
+FEATURE_WORDS = 1 << 14
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -52,6 +55,11 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of the words, one after the other, and how many each has: the word itself and its n-grams."""
+    parts = [_features(words[at : at + FEATURE_WORDS]) for at in range(0, len(words), FEATURE_WORDS)]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
+
+
+def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     end = np.cumsum(size)
@@ -74,7 +82,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes, owner = np.concatenate(spans), np.concatenate(owners)
         hashes = (hashes ^ (hashes >> np.uint64(29))) * _MIX
     order = np.argsort(owner, kind="stable")
-    rows = ((hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order]
+    rows = ((hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)[order]
     return rows, np.bincount(owner, minlength=len(words))
 
 
@@ -140,6 +148,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Model:
             bag_at.append(bag_at[-1] + len(word_at[-1]))
             bag_doc.append(doc)
     words, bag_at, bag_doc = np.concatenate(word_at), np.array(bag_at[:-1]), np.array(bag_doc)
+    del word_at
     doc_at = np.searchsorted(bag_doc, np.arange(len(ids)))
     bag_size = np.diff(np.append(bag_at, len(words)))
     bag_features = np.add.reduceat(counts[words], bag_at)
@@ -177,6 +186,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Model:
             v *= MOMENTUM
             v -= rate * grad
             x += v
+            np.clip(x, -LIMIT, LIMIT, out=x)  # a handful of texts can make steps that grow without end
     return Model((emb @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]), base)
 
 
@@ -184,16 +194,29 @@ def _held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[bytes], list[int]]:
-    """At most SAMPLE texts of each label, from rows that are not held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, bytes, y): at most SAMPLE texts of each label, from rows that are not held out."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~_held_out(id_col))
-    marks = marks.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    order = [F.crc32(F.concat(F.lit("sample"), F.col("__id").cast("string")).cast("binary")), F.col("__id")]
-    chosen = marks.where("__y = 1").orderBy(*order).limit(SAMPLE).unionByName(marks.where("__y = 0").orderBy(*order).limit(SAMPLE))
-    texts = docs.select(F.col(id_col).alias("__id"), utf8(F.col(text_col)).alias("__bytes")).where(F.octet_length("__bytes") <= SAMPLE_BYTES)
-    texts = maybe_in(texts, "__id", chosen, "__id").join(chosen, "__id").select("__id", "__bytes", "__y")
-    rows = sorted(texts.collect(), key=lambda r: (r[0], r[1]))
-    return [bytes(r[1]) for r in rows], [r[2] for r in rows]
+    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary")), F.col("id")]
+    chosen = marks.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(marks.where("y = 0").orderBy(*order).limit(SAMPLE))
+    chosen = stage(chosen, "toxicity-sample")
+    texts = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("bytes")).where(F.octet_length("bytes") <= SAMPLE_BYTES)
+    return maybe_in(texts, "id", chosen, "id").join(chosen, "id").select("id", "bytes", "y")
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Trains in one task, on the bounded sample; only BUCKETS floats come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["id"], r["bytes"], r["y"]) for batch in batches for r in batch.to_pylist())
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        weight = model.weight.astype("<f4").tobytes()
+        yield pa.RecordBatch.from_pylist([{"weight": weight, "bias": model.bias, "base": model.base}])
+
+    sample = training_sample(docs, labels, id_col, text_col, label_col).repartition(1)
+    row = sample.mapInArrow(run, "weight binary, bias double, base double").collect()
+    return Model(np.frombuffer(row[0]["weight"], "<f4"), row[0]["bias"], row[0]["base"]) if row else train([], [])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -201,7 +224,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Rows with crc32(id as text) mod 5 = 0 are held out: their labels are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels, id_col, text_col, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
@@ -215,6 +238,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score under the threshold; documents without an id stay."""
-    toxic = toxicity_scores(docs, labels, id_col, text_col).where(F.col("score") >= threshold)
-    return docs.join(toxic.select(F.col("id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_anti")
+    """The documents that score under the threshold, with or without an id."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, id_col, text_col))
+
+    def make():
+        scorer = Scorer(model.value)
+        return lambda texts: (scorer.score(texts) < threshold).tolist()
+
+    return keep_rows(docs, text_col, make)

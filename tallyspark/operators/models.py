@@ -109,3 +109,70 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str],
         moved = df.withColumn(c, F.when(last, first).otherwise(F.lead(c).over(w)))
         out[c] = loss(score(model, moved, classify)) - base
     return out
+
+
+def coefficients(model: PipelineModel, numeric: list[str]) -> dict[str, float]:
+    """Coefficients of the standardised numeric columns of a linear model."""
+    return dict(zip(numeric, model.stages[-1].coefficients.toArray().tolist()[: len(numeric)], strict=True))
+
+
+def embedded_selection(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, top: int, **params) -> list[str]:
+    """The ``top`` columns of largest absolute coefficient in a sparse linear model; columns at zero never count."""
+    sizes = {c: abs(x) for c, x in coefficients(fit(df, model, numeric, target, classify, **params), numeric).items()}
+    return sorted((c for c in numeric if sizes[c] > 0), key=lambda c: (-sizes[c], numeric.index(c)))[:top]
+
+
+def recursive_elimination(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, keep: int) -> list[str]:
+    """Drops the column of least absolute coefficient and fits again, until ``keep`` are left."""
+    left = list(numeric)
+    while len(left) > keep:
+        sizes = coefficients(fit(df, model, left, target, classify), left)
+        left.remove(min(left, key=lambda c: abs(sizes[c])))
+    return left
+
+
+def coefficient_stability(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], first: int) -> DataFrame:
+    """(column, mean, std, sign_share) of the coefficients over the folds."""
+    rows = [(c, x) for train, _ in folds(seasons, first) for c, x in coefficients(fit(df.where(F.col(season).isin(train)), model, numeric, target, classify), numeric).items()]
+    long = df.sparkSession.createDataFrame(rows, "column string, x double")
+    return long.groupBy("column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.greatest(F.avg((F.col("x") > 0).cast("int")), F.avg((F.col("x") < 0).cast("int"))).alias("sign_share"))
+
+
+def ablation(df: DataFrame, season: str, model: str, variants: dict[str, list[str]], target: str, classify: bool, seasons: list[int], first: int) -> DataFrame:
+    """(variant, n, loss): pooled out-of-fold error (Brier score or absolute error) for each set of columns."""
+    parts = []
+    for name, cols in variants.items():
+        gap = F.col("p") - F.col(target)
+        oof = walk_forward(df, season, model, cols, target, classify, seasons, first)
+        parts.append(oof.agg(F.lit(name).alias("variant"), F.count(F.lit(1)).alias("n"), F.avg(gap * gap if classify else F.abs(gap)).alias("loss")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def partial_dependence(model: PipelineModel, df: DataFrame, col: str, grid: list[float], classify: bool) -> DataFrame:
+    """(value, mean_p): the mean prediction with the column set to each value of the grid."""
+    rows = df.drop(col).withColumn(col, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    return score(model, rows, classify).groupBy(F.col(col).alias("value")).agg(F.avg("p").alias("mean_p"))
+
+
+def quantile_regression(df: DataFrame, cols: list[str], target: str, q: float, steps: int = 60, rate: float = 1.0) -> tuple[float, dict[str, float]]:
+    """Intercept and slopes that minimise the pinball loss, by subgradient steps on standardised columns.
+
+    A step is one aggregate over the rows; the returned values are means of the last half of the steps. Rows with a null are left out.
+    """
+    df = df.select(*cols, target).dropna()
+    stats = df.agg(F.percentile(target, F.lit(q)).alias("y0"), F.stddev_pop(target).alias("ys"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    scale = {c: (stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in cols}
+    z = df.select(F.col(target).alias("__y"), *[((F.col(c) - m) / s).alias(c) for c, (m, s) in scale.items()]).cache()
+    beta, total = [stats["y0"], *[0.0] * len(cols)], [0.0] * (len(cols) + 1)
+    for k in range(steps):
+        fit_now = reduce(lambda a, b: a + b, [F.col(c) * b for c, b in zip(cols, beta[1:], strict=True)], F.lit(beta[0]))
+        pull = F.when(F.col("__y") > fit_now, q).otherwise(q - 1)
+        grad = z.agg(F.avg(pull), *[F.avg(pull * F.col(c)) for c in cols]).first()
+        step = rate * (stats["ys"] or 1.0) * 2 / (1 + k) ** 0.5
+        beta = [b + step * g for b, g in zip(beta, grad, strict=True)]
+        if k >= steps // 2:
+            total = [t + b for t, b in zip(total, beta, strict=True)]
+    z.unpersist()
+    mean = [t / (steps - steps // 2) for t in total]
+    slopes = {c: b / scale[c][1] for c, b in zip(cols, mean[1:], strict=True)}
+    return mean[0] - sum(slopes[c] * scale[c][0] for c in cols), slopes

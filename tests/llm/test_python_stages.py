@@ -64,7 +64,8 @@ def test_containment_at_the_limit(spark, monkeypatch):
     found = decontaminate.contained_items(*frames).drop("containment")
     assert sorted(map(tuple, found.collect()), key=KEY) == plain_contained(docs, items)
     kept = {r[0] for r in decontaminate.drop_contaminated(*frames).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, *_ in plain_contained(docs, items) if d is not None}
+    assert kept == {d for d, _ in docs} - {d for d, *_ in plain_contained(docs, items)}
+    assert {r[0] for r in decontaminate.drop_contaminated(*frames, block_bytes=300).collect()} == kept
     assert decontaminate.contained_items(frames[0], frames[1].where("item_id < 0")).count() == 0
 
 

@@ -122,3 +122,25 @@ def test_entry_and_catalogue(spark):
     assert __spark_entry__.entry(spark).count() > 0
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 80
+
+
+def test_selection_by_models(frame):
+    assert models.embedded_selection(frame, "lasso", ["x1", "x2"], "y", False, 1) == ["x1"]
+    assert models.recursive_elimination(frame, "ols", ["x1", "x2"], "y", False, 1) == ["x1"]
+    rows = {r["column"]: r for r in models.coefficient_stability(frame, "season", "ols", ["x1", "x2"], "y", False, [0, 1, 2, 3], 2).collect()}
+    assert rows["x1"]["sign_share"] == 1 and rows["x1"]["std"] < 0.1 * rows["x1"]["mean"]
+    loss = {r["variant"]: r["loss"] for r in models.ablation(frame, "season", "ols", {"good": ["x1"], "bad": ["x2"]}, "y", False, [0, 1, 2], 1).collect()}
+    assert loss["good"] < 1 < loss["bad"]
+
+
+def test_partial_dependence(frame):
+    fitted = models.fit(frame, "ols", ["x1", "x2"], "y", False)
+    got = {r["value"]: r["mean_p"] for r in models.partial_dependence(fitted, frame, "x1", [0.0, 10.0], False).collect()}
+    assert got[10.0] - got[0.0] == pytest.approx(20, abs=0.5)
+
+
+@pytest.mark.parametrize("q", [0.1, 0.5, 0.9])
+def test_quantile_regression(spark, q):
+    rows = spark.range(2000).selectExpr("cast(id % 20 as double) x", "cast(3 * (id % 20) + (id div 20) % 100 as double) y")
+    intercept, slopes = models.quantile_regression(rows, ["x"], "y", q)
+    assert slopes["x"] == pytest.approx(3, abs=0.6) and intercept + 9.5 * slopes["x"] == pytest.approx(28.5 + 100 * q, abs=5)
