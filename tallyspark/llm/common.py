@@ -126,11 +126,18 @@ def pieces_at_blanks(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
 
 
 def word_chunks(text: bytes, overlap: int, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
-    """The words of a text with A-Z in lower case, in chunks; each begins with the last ``overlap`` words of the one before."""
+    """The words of a text with A-Z in lower case, in chunks; each begins with the last ``overlap`` words of the one before.
+
+    A chunk has more than ``overlap`` words, unless the whole text has no more. A text without words has no chunk.
+    """
     words: list[bytes] = []
+    first = True
     for piece in pieces_at_blanks(text, size):
-        words = words[len(words) - overlap if len(words) > overlap else 0 :] if overlap else []
         words += piece.lower().split()
+        if len(words) > overlap:
+            yield words
+            words, first = words[len(words) - overlap :], False
+    if words and first:
         yield words
 
 

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from tallyspark.llm import simhash
+from tallyspark.llm.common import word_chunks
 from tallyspark.llm.components import connected_components
 
 
@@ -81,3 +82,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert ids.count(11) == 1 and ids.count(None) == 2 and not {2, 3, 5, 7} & set(ids) and {1, 4, 6, 9} <= set(ids)
+
+
+@pytest.mark.parametrize("text", [b"", b" \n ", b"one", b"one two three four", b"x" * 90 + b" a b c d e", b"a " + b"y" * 90 + b" b " + b"z" * 70, b"  \t" * 40 + b"a b c", b"a b c d " * 30])
+def test_chunks_of_words_have_the_shingles_of_the_whole_text(text):
+    words = text.split()
+    for k in (1, 3, 5):
+        chunks = list(word_chunks(text, k - 1, 16))
+        got = [tuple(c[i : i + k]) for c in chunks for i in range(max(1, len(c) - k + 1))]
+        assert got == [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))][: None if words else 0]
