@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, utf8, without, word_chunks
 from .components import connected_components
+from .near_copies import copy_groups
 
 SEED = 42
 #: Shingles hashed at a time, so that long texts need no more memory than short ones.
@@ -113,11 +114,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, of each group of near-duplicates only that with the smallest id.
+    """The documents, of each group of near copies (five-word shingles, similarity 0.8) only that with the smallest id.
 
     Of rows that share an id one stays; rows without an id cannot be the smallest of a group and all stay.
     """
-    found = stage(near_duplicates(docs, id_col, text_col), "simhash-groups")
+    found = stage(copy_groups(docs, id_col, text_col), "simhash-groups")
     kept = without(docs, id_col, found.where("id <> component"), "id")
     if found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return kept
