@@ -12,16 +12,17 @@ times the layer's weights), so BUCKETS floats are broadcast, a fixed size.
 Training reads a bounded sample of the labelled rows: SAMPLE of each class at most, in the order of a hash of the id, texts
 of up to SAMPLE_BYTES bytes. Scores are given to all rows and whole texts.
 
-Texts of more than two pieces (8 MB) are scored piece by piece, so their words need no more memory than one.
+Texts of more than two pieces (8 MB) are scored piece by piece, so their words need no more memory than one; bags run on
+across pieces.
 
-Edge cases: null and empty texts (and texts without words) score as the share of label 1 in the training sample, 0 if
-there is no training row; rows without an id are scored, and are not held out; if training rows have a single label, all texts
-score 0.0 or 1.0 by it; labels other than 0 and 1 and null labels are left out of training; repeated rows score alike.
+Edge cases: null and empty texts (and texts without words) score as the share of label 1 among all training labels, before the
+sample is drawn, and 0 if there is no training row; rows without an id are scored, and are not held out; if training rows have a single label, all texts
+with words score 0.0 or 1.0 by it; labels other than 0 and 1 and null labels are left out of training; repeated rows score alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -111,13 +112,27 @@ class Scorer:
         self.sums, self.counts = np.zeros(0), np.zeros(0)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES:
-            scores = [self.score([p])[0] for p in pieces_at_blanks(texts[0]) if p.strip()]
-            return np.array([max(scores, default=self.model.base)])
+        long = [len(t) > 2 * PIECE_BYTES for t in texts]
+        top = self._top([] if piecewise else t.lower().split() for t, piecewise in zip(texts, long, strict=True))
+        for k in np.flatnonzero(long):
+            top[k] = self._top_of_long(texts[k])
+        return np.where(np.isneginf(top), self.model.base, 1 / (1 + np.exp(-np.clip(top, -30.0, 30.0))))
+
+    def _top_of_long(self, text: bytes) -> float:
+        top, held = -np.inf, []
+        for piece in pieces_at_blanks(text, PIECE_BYTES):
+            held += piece.lower().split()
+            whole = len(held) - len(held) % BAG
+            top, held = max(top, self._top([held[:whole]])[0]), held[whole:]
+        return max(top, self._top([held])[0])
+
+    def _top(self, texts: Iterable[list[bytes]]) -> np.ndarray:
+        """The highest logit among the bags of each list of words; without words minus infinity."""
         if len(self.index) > CACHE_WORDS:
             self.index, self.sums, self.counts = Numbers(), np.zeros(0), np.zeros(0)
-        known, index, out = len(self.index), self.index, np.full(len(texts), self.model.base)
-        ids = [list(map(index.__getitem__, t.lower().split())) for t in texts]
+        known, index = len(self.index), self.index
+        ids = [list(map(index.__getitem__, words)) for words in texts]
+        out = np.full(len(ids), -np.inf)
         if fresh := list(islice(index, known, None)):
             sums, counts = self.model.word_sums(fresh)
             self.sums, self.counts = np.concatenate((self.sums, sums)), np.concatenate((self.counts, counts))
@@ -125,7 +140,7 @@ class Scorer:
             if words:
                 w, at = np.array(words), _bags(len(words))
                 logit = np.add.reduceat(self.sums[w], at) / np.add.reduceat(self.counts[w], at) + self.model.bias
-                out[k] = 1 / (1 + np.exp(-min(max(logit.max(), -30.0), 30.0)))
+                out[k] = logit.max()
         return out
 
 
@@ -194,10 +209,15 @@ def _held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y): the labels 0 and 1 of rows that are not held out."""
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~_held_out(id_col))
+    return marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, bytes, y): at most SAMPLE texts of each label, from rows that are not held out."""
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~_held_out(id_col))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    marks = training_labels(labels, id_col, label_col)
     order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary")), F.col("id")]
     chosen = marks.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(marks.where("y = 0").orderBy(*order).limit(SAMPLE))
     chosen = stage(chosen, "toxicity-sample")
@@ -206,17 +226,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Trains in one task, on the bounded sample; only BUCKETS floats come back."""
+    """Trains in one task, on the bounded sample; only BUCKETS floats come back. Texts without words get the rate of all training labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["id"], r["bytes"], r["y"]) for batch in batches for r in batch.to_pylist())
         model = train([r[1] for r in rows], [r[2] for r in rows])
         weight = model.weight.astype("<f4").tobytes()
-        yield pa.RecordBatch.from_pylist([{"weight": weight, "bias": model.bias, "base": model.base}])
+        yield pa.RecordBatch.from_pylist([{"weight": weight, "bias": model.bias}])
 
     sample = training_sample(docs, labels, id_col, text_col, label_col).repartition(1)
-    row = sample.mapInArrow(run, "weight binary, bias double, base double").collect()
-    return Model(np.frombuffer(row[0]["weight"], "<f4"), row[0]["bias"], row[0]["base"]) if row else train([], [])
+    row = sample.mapInArrow(run, "weight binary, bias double").collect()
+    if not row:
+        return train([], [])
+    rate = training_labels(labels, id_col, label_col).agg(F.avg("y")).first()[0]
+    return Model(np.frombuffer(row[0]["weight"], "<f4"), row[0]["bias"], rate or 0.0)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
