@@ -149,7 +149,7 @@ def converted(archive: str, place: int, fields: list[bytes], content: bytes, oth
     if place == 0:
         return warc_record([("WARC-Type", "warcinfo"), *head, ("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")], b"software: tallyspark\r\nformat: WARC File Format 1.0\r\n")
     head += [("WARC-Target-URI", url), ("WARC-IP-Address", ip)]
-    if not (url.startswith(("http:", "https:", "urn:")) and content.startswith(b"HTTP/")):
+    if not content.startswith(b"HTTP/"):
         return warc_record([("WARC-Type", "resource"), *head, ("WARC-Payload-Digest", "sha1:" + sha1_base32(content)), ("Content-Type", kind)], content)
     header, payload = http_parts(content)
     head += [("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)), ("Content-Type", "application/http; msgtype=response")]

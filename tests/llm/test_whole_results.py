@@ -1,4 +1,4 @@
-"""Results that must not depend on sample sizes or batches."""
+"""Results that must not depend on sample sizes, batches, or the scheme of a url."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyspark.llm import toxicity
+from tallyspark.llm import toxicity, warc
+
+from .test_python_stages import plain_archive
 
 
 @pytest.mark.parametrize("sample", [3, 1500])
@@ -33,3 +35,10 @@ def test_pieces_and_batches_do_not_decide_a_score(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE_BYTES", 50)
     assert scorer.score([b"", *texts, b" " * 300]).tolist() == [0.25, *whole, 0.25]
     assert [scorer.score([t])[0] for t in texts] == whole.tolist()
+
+
+def test_pages_of_any_scheme_have_a_row(spark):
+    urls = ["ftp://f/x", "HTTP://A/", "//host/x", "www.host/x", "a/b?c", "Https://b", "dns:a", "filedesc://x", "http://a", "5", "mailto:x y"]
+    rows = [(k, f"<p>{k}</p>") for k in range(len(urls))] + [(100 + k, "same") for k in range(len(urls))]
+    pages = spark.createDataFrame([(i, urls[i % 100], h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    assert sorted(map(tuple, warc.archive_pages(pages).collect())) == plain_archive(rows)
