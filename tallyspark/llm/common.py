@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the membership filters. The filter is broadcast, so its size is fixed: 2^16 words of 64 bits.
-FILTER_BITS = 1 << 22
+#: Membership filters are broadcast: FILTER_BITS for each member, FILTER_MOST bits in all (32 MB); beyond that there is none.
+FILTER_BITS = 10
+FILTER_MOST = 1 << 28
+#: Bits of a filter's chunk; a key's bits lie in one chunk.
+CHUNK_BITS = 1 << 16
 #: Bytes of text that a task splits into words at a time.
 PIECE_BYTES = 4 << 20
 
@@ -26,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode (tests), where tasks and driver share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tallyspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own
@@ -47,26 +52,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def _bit(k: int) -> str:
+    return f"cast(shiftrightunsigned(__hash, {16 * k}) & {CHUNK_BITS - 1} as int)"
 
 
 def flag_maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str, flag: str) -> DataFrame:
     """``df`` with a boolean column: false only where ``key`` is surely not in ``members``.
 
-    The members become a bitmap of FILTER_BITS bits, broadcast at that fixed size however many there are, so rows
-    that cannot match need not take part in a shuffle. Null keys never match. A full bitmap only filters less.
+    The members become a Bloom filter of FILTER_BITS bits for each, four of them set, which is broadcast, so rows that cannot
+    match need not take part in a shuffle; about 1 in 80 of them is flagged all the same. Members are counted first: where
+    the filter would have more than FILTER_MOST bits there is none, and all keys but null are flagged. Null keys never match.
     """
-    bits = (
-        members.where(F.col(member_key).isNotNull())
-        .select(_slot(F.col(member_key)).alias("__slot"))
-        .groupBy((F.col("__slot") / 64).cast("int").alias("__word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__slot % 64 as int))")).alias("__bits"))
-    )
-    slot = _slot(F.col(key).cast(members.schema[member_key].dataType))
-    probe = df.withColumn("__slot", F.when(F.col(key).isNotNull(), slot)).withColumn("__word", (F.col("__slot") / 64).cast("int"))
-    hit = F.expr("coalesce((shiftright(__bits, cast(__slot % 64 as int)) & 1L) = 1L, false)")
-    return probe.join(F.broadcast(bits), "__word", "left").withColumn(flag, hit).drop("__word", "__slot", "__bits")
+    kind = members.schema[member_key].dataType
+    members = members.where(F.col(member_key).isNotNull())
+    chunks = -(-max(members.count(), 1) * FILTER_BITS // CHUNK_BITS)
+    if chunks * CHUNK_BITS > FILTER_MOST:
+        return df.withColumn(flag, F.col(key).isNotNull())
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
+    hashed = lambda c: F.xxhash64(F.lit(1), c)
+    bits = members.select(chunk(F.col(member_key)).alias("__chunk"), hashed(F.col(member_key)).alias("__hash"))
+    bits = bits.select("__chunk", F.explode(F.array(*[F.expr(_bit(k)) for k in range(4)])).alias("__bit"))
+    words = bits.groupBy("__chunk", F.expr("cast(__bit / 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, __bit % 64)")).alias("bits"))
+    words = words.groupBy("__chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
+    dense = F.expr(f"transform(sequence(0, {CHUNK_BITS // 64 - 1}), w -> coalesce(try_element_at(__words, w), 0L))")
+    words = words.select("__chunk", dense.alias("__words"))
+    own = F.col(key).cast(kind)
+    probe = df.withColumn("__chunk", F.when(own.isNotNull(), chunk(own))).withColumn("__hash", hashed(own))
+    hit = F.lit(True)
+    for k in range(4):
+        hit &= F.expr(f"(shiftright(get(__words, cast({_bit(k)} / 64 as int)), {_bit(k)} % 64) & 1L) = 1L")
+    return probe.join(F.broadcast(words), "__chunk", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__chunk", "__hash", "__words")
 
 
 def maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
@@ -74,6 +89,11 @@ def maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str) -> Da
     return flag_maybe_in(df, key, members, member_key, "__maybe").where("__maybe").drop("__maybe")
 
 
+def join_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts whose ``id`` is among the members, with the members' columns; of the others few are shuffled."""
+    return maybe_in(texts, "id", members, "id").join(members, "id")
+
+
 def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
     """The rows whose text a predicate keeps, all columns as they are, without a shuffle.
 

@@ -1,22 +1,25 @@
 """Repeated byte strings, found by bucket-pointer refinement over sampled suffixes.
 
-A suffix's bucket at depth q is identified by 64 bits that stand for its first q bytes. Buckets start as 8-grams; each
-refinement sorts suffixes on the identifiers of a later offset: the bucket of depth 2q at i is the pair of the buckets of depth q at
-i and at i + q, and the new identifiers are used again for the next depth (8, 16, ... 256). A depth between two powers is
-the pair of the buckets at its first and at its last 256 bytes. Spark groups by these pairs, in place of a sort in one
-memory, so only suffixes whose bucket has another member go on:
-
-1. Anchors. In each string of ``length`` bytes the 32-gram with the least hash is its anchor, so equal strings have equal
-   anchors at the same offset. Anchors whose 32-gram bucket has one member are done.
-2. Blocks. The strings of an anchor are split into blocks of BLOCK neighbouring starts. The bytes common to all strings of a
-   block are its core, the bytes that they cover are its hull. A core that is alone in its bucket has no repeated string; a
-   hull that is not alone has repeated strings only. Both are done.
-3. Strings. What is left is compared string by string, by the buckets at depth ``length``.
-
-Buckets are counted with partial sums in the map tasks, so groups of copies of any size cost a row for each task. Texts that are
-exact copies of one another take part once. Long texts are worked on in pieces of PIECE starts, with the bytes around them.
-
-Identifiers of two different strings agree with a probability of about 2^-64 for each pair that shares its other bucket.
+A suffix's bucket at depth q is named by 64 bits that stand for its first q bytes. Names start as 8-grams and are used again for
+each next depth (16, 32, ... 256): the bucket of depth 2q at i is the pair of the buckets of depth q at i and at the later
+offset i + q. A depth between two powers is the pair of the buckets at its first and at its last 256 bytes.
+
+1. Anchors. In each string of ``length`` bytes the 32-gram bucket with the least hash is its anchor, so equal strings have equal
+   anchors at the same offset. The strings of an anchor are split into blocks of neighbouring starts. The bytes
+   common to all strings of a block are its core, the bytes that they cover (as far as the text goes) are its hull.
+2. Refinement. Blocks are sorted by the bucket of their core, then by the buckets at the hull's two offsets, range-partitioned
+   over the cluster, and each is compared with its neighbours in this order. A block with no neighbour of the same core
+   has no repeated string; one whose neighbour has the same hull has repeated strings only. Both are settled. What is left is split
+   into narrower blocks, with longer cores, and sorted again: WIDTHS starts wide, down to single strings.
+
+The order ends with id and start, so a core or hull of any number of blocks is spread over many tasks. At the edges of
+partitions a block counts as unsettled, which costs one more refinement and changes no result. Bytes are fetched from the texts
+only for unsettled blocks, and for one or two of each settled group next to them. Long texts are worked on in pieces of PIECE starts.
+
+Besides, passages of more than PASSAGE_WORDS - 1 words that different texts share are counted, whatever their bytes: the same buckets, with
+words in place of bytes, of all windows of that many words whose least 16-word bucket another text has too.
+
+Names of two different strings agree with a probability of about 2^-64 for each pair that shares its other bucket.
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing and match nothing; repeated rows are copies of each
 other. Where ids are null or not unique, rows are numbered first, and each comes out with the id it had. Other columns are
 ignored.
@@ -32,42 +35,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stage, utf8
+from .common import join_texts, stage, utf8, word_chunks
 
 LENGTH = 400
 GRAM = 32
 DEPTH = 256
-BLOCK = 93
+#: Starts in a block at each refinement, each a part of the one before; what is unsettled after the last is compared string by string.
+WIDTHS = (90, 10)
 PIECE = 1 << 20
+PASSAGE_WORDS = 51
+WORD_GRAM = 16
+#: Rows that a task holds before it passes them on.
+FLUSH = 100_000
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(31)
+_HEAD, _BLOCK, _WORDS = 0, 1, 2
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The identifier of a pair of buckets."""
+    """The name of a pair of buckets."""
     z = x * _K1
-    z += y
+    z += y.astype(np.uint64, copy=False)
     z ^= z >> np.uint64(29)
     z *= _K2
     z ^= z >> np.uint64(32)
     return z
 
 
-def buckets(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Bucket identifiers of all suffixes at depth GRAM and DEPTH."""
-    n, raw = len(data), np.ascontiguousarray(data)
-    at = np.ndarray((n - 7,), "<u8", raw, strides=(1,))
-    ids, q, out = _pair(at, np.zeros(1, np.uint64)), 8, {}
-    while q < DEPTH:
+def doubled(ids: np.ndarray, q: int, wanted: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Bucket names at the wanted depths, from those at depth q: each depth is made of two names of the one before."""
+    out = {q: ids} if q in wanted else {}
+    while q < max(wanted):
         ids, q = _pair(ids[:-q], ids[q:]), 2 * q
-        if q in (GRAM, DEPTH):
+        if q in wanted:
             out[q] = ids
     return out
 
 
-def at_depth(b: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    return b[start], b[start + (depth - DEPTH)]
+def buckets(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Bucket names of all suffixes at depth GRAM and DEPTH."""
+    at = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    return doubled(_pair(at, np.zeros(1, np.uint64)), 8, (GRAM, DEPTH))
 
 
 def window_anchor(grams: np.ndarray, width: int) -> np.ndarray:
@@ -84,188 +93,349 @@ def window_anchor(grams: np.ndarray, width: int) -> np.ndarray:
 
 def pieces(text: bytes, length: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(first start, end of starts, offset of data, data): the starts of a piece, and the bytes around its strings."""
-    data = np.frombuffer(text, np.uint8)
+    data, width = np.frombuffer(text, np.uint8), WIDTHS[0]
     for first in range(0, len(data) - length + 1, PIECE):
         end = min(first + PIECE, len(data) - length + 1)
-        low = max(0, first - 1 - BLOCK)
-        yield first, end, low, data[low : end - 1 + length + 2 * BLOCK]
+        low = max(0, first - 1 - width)
+        yield first, end, low, data[low : end - 1 + length + 2 * width]
 
 
-def anchors_of(text: bytes, length: int = LENGTH) -> dict[int, int]:
-    """Anchors of all strings of a text: where they are, and their 32-gram buckets."""
-    out: dict[int, int] = {}
-    for first, end, low, data in pieces(text, length):
-        grams = buckets(data)[GRAM]
-        m = np.unique(window_anchor(grams, length - GRAM + 1)[first - low : end - low])
-        out.update(zip((m + low).tolist(), grams[m].view(np.int64).tolist(), strict=True))
-    return out
+def block_keys(b: np.ndarray, near: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, length: int) -> list[np.ndarray]:
+    """core, hull_a, hull_b of blocks whose last start is ``near`` and whose hull is lo to hi; b: names at DEPTH.
+
+    ``off`` is how far the anchor lies behind ``near``; with it, blocks of two anchors that lie on the same bytes differ.
+    """
+    core = _pair(_pair(b[near], b[near + (1 - width + length - DEPTH)]), off)
+    return [x.view(np.int64) for x in (core, _pair(b[lo], near - lo), _pair(b[hi - DEPTH], hi - near))]
 
 
-def blocks_of(text: bytes, wanted: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Columns s_lo, s_hi, core_a, core_b, hull_a, hull_b, whole, near: blocks of the wanted anchors; starts are inclusive.
+def blocks_of(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
+    """Columns s_lo, s_hi, near, off, core, hull_a, hull_b: all blocks of a text; starts are inclusive.
 
-    near is the largest start that the block could have; whole is false where the hull runs over an end of the text.
     A block belongs to the piece that holds its first start.
     """
-    out = []
-    core, hull, starts = length - BLOCK + 1, length + BLOCK - 1, len(text) - length + 1
+    out, width, starts = [], WIDTHS[0], len(text) - length + 1
     for first, end, low, data in pieces(text, length):
         b = buckets(data)
-        s = np.arange(max(0, first - 1), min(starts, end + BLOCK)) - low
+        s = np.arange(max(0, first - 1), min(starts, end + width)) - low
         m = window_anchor(b[GRAM], length - GRAM + 1)[s]
-        part = (m - s) // BLOCK
+        part = (m - s) // width
         new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (part[1:] != part[:-1]))))
         last = np.append(new[1:], len(s)) - 1
-        own = (s[new] + low >= first) & (s[new] + low < end) & np.isin(m[new] + low, wanted)
+        own = (s[new] + low >= first) & (s[new] + low < end)
         new, last = new[own], last[own]
-        near = m[new] - part[new] * BLOCK
-        far = near - (BLOCK - 1)
-        whole = (far >= 0) & (far + hull <= len(data))
-        core_a, core_b = at_depth(b[DEPTH], near, core)
-        # blocks of two anchors of a text can lie on the same bytes; with the anchor's offset they differ
-        core_a = _pair(core_a, part[new].astype(np.uint64))
-        hull_a, hull_b = at_depth(b[DEPTH], np.where(whole, far, 0), hull) if len(data) >= hull else (np.zeros(len(new), np.uint64),) * 2
-        ids = [x.view(np.int64) for x in (core_a, core_b, hull_a, hull_b)]
-        out.append([s[new] + low, s[last] + low, *ids, whole, near + low])
+        off = part[new] * width
+        near = m[new] - off
+        keys = block_keys(b[DEPTH], near, off, np.maximum(near - width + 1, 0), np.minimum(near + length, len(data)), width, length)
+        out.append([s[new] + low, s[last] + low, near + low, off, *keys])
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
 
 
-def strings_of(text: bytes, ranges: list[tuple[int, int]], length: int = LENGTH) -> list[np.ndarray]:
-    """Columns start, a, b: the buckets at depth ``length`` of the starts in the ranges (inclusive)."""
-    out = []
-    wanted = np.zeros(len(text) + 1, np.int8)
-    for lo, hi in ranges:
-        wanted[lo] += 1
-        wanted[hi + 1] -= 1
-    wanted = np.cumsum(wanted, dtype=np.int32)[:-1] > 0
-    for first, end, low, data in pieces(text, length):
-        s = np.flatnonzero(wanted[first:end]) + first
-        if len(s):
-            a, b = at_depth(buckets(data)[DEPTH], s - low, length)
-            out.append([s, a.view(np.int64), b.view(np.int64)])
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
+def word_names(words: list[bytes]) -> np.ndarray:
+    """A name for each word."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    joined = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8)
+    end = np.cumsum(size)
+    begin = end - size
+    at = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    # eight bytes at a time, the last ones masked
+    name = _pair(np.zeros(len(words), np.uint64), size)
+    left = size.copy()
+    while len(some := np.flatnonzero(left > 0)):
+        mask = ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left[some], 8).astype(np.uint64)))
+        name[some] = _pair(name[some], at[begin[some]] & mask)
+        begin[some] += 8
+        left[some] -= 8
+    return name
+
+
+def passages_of(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, gram names, anchors of windows, two columns of window names) of the windows of PASSAGE_WORDS words, by chunks."""
+    at = 0
+    for words in word_chunks(text, PASSAGE_WORDS - 1, PIECE):
+        if len(words) >= PASSAGE_WORDS:
+            b = doubled(word_names(words), 1, (WORD_GRAM, 32))
+            n = len(words) - PASSAGE_WORDS + 1
+            yield at, b[WORD_GRAM], window_anchor(b[WORD_GRAM], PASSAGE_WORDS - WORD_GRAM + 1), b[32][:n], b[32][PASSAGE_WORDS - 32 :][:n]
+            at += n
+
+
+class Rows:
+    """Gathers columns of output rows and hands them out in batches; a column that a row lacks is null."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.parts, self.size = schema, [], 0
+
+    def add(self, n: int, **columns) -> None:
+        if n:
+            arrays = []
+            for f in self.schema:
+                x = columns.get(f.name)
+                if x is None:
+                    arrays.append(pa.nulls(n, f.type))
+                elif isinstance(x, np.ndarray):
+                    arrays.append(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x).cast(f.type))
+                else:
+                    arrays.append(pa.array(x, f.type) if isinstance(x, list) else pa.repeat(pa.scalar(x, f.type), n))
+            self.parts.append(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+            self.size += n
+
+    def take(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.size >= least:
+            yield from pa.Table.from_batches(self.parts, self.schema).combine_chunks().to_batches()
+            self.parts, self.size = [], 0
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in text.split(", ")])
+
+
+SCAN = "kind int, id long, n_bytes long, sha256 string, key long, n_words long, gram long, top int, s_lo int, s_hi int, near int, off int, core long, hull_a long, hull_b long"
+SETTLED = "id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, sure boolean, asked boolean"
+OPEN = "kind int, id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, lo int, bytes binary, start int, a long, b long"
+REFINED = "id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, core long, hull_a long, hull_b long"
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
+def scan(docs: DataFrame, length: int) -> DataFrame:
+    """One pass over (id, bytes): a head row for each text, a row for each block, and one for each word anchor."""
+    schema = _schema(SCAN)
 
-def _map(df: DataFrame, per_row, schema: str) -> DataFrame:
-    """per_row: the row's values -> columns of its output rows without the id, which is the first value."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(schema)
+        for batch in batches:
+            heads = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = t.as_py()
+                sha = hashlib.sha256(text)
+                key, n_words = int.from_bytes(sha.digest()[:8], "little", signed=True), 0
+                if cols := blocks_of(text, length):
+                    s_lo, s_hi, near, off, core, hull_a, hull_b = cols
+                    rows.add(len(s_lo), kind=_BLOCK, id=i, n_bytes=len(text), top=s_lo, s_lo=s_lo, s_hi=s_hi, near=near, off=off, core=core, hull_a=hull_a, hull_b=hull_b)
+                for _, grams, anchor, names, _ in passages_of(text):
+                    own = np.unique(anchor)
+                    n_words += len(names)
+                    rows.add(len(own), kind=_WORDS, id=i, key=key, gram=grams[own])
+                heads.append((i, len(text), sha.hexdigest(), key, n_words + PASSAGE_WORDS - 1 if n_words else 0))
+                yield from rows.take(FLUSH)
+            if heads:
+                i, n, s, k, w = map(list, zip(*heads, strict=True))
+                rows.add(len(heads), kind=_HEAD, id=i, n_bytes=n, sha256=s, key=k, n_words=w)
+        yield from rows.take()
+
+    return docs.mapInArrow(run, SCAN)
+
+
+def settle(blocks: DataFrame) -> DataFrame:
+    """Sorts blocks by their buckets and compares each with its neighbours; blocks of a core of their own are left out.
+
+    sure: a neighbour has the same hull. asked: the block has to be refined, or is next to one that has.
+    """
+    order = ["core", "hull_a", "hull_b", "id", "s_lo"]
+    names = [x.split()[0] for x in SETTLED.split(", ")][:-2]
+
+    def compare(batch: pa.RecordBatch, before: list | None, after: list | None) -> pa.RecordBatch:
+        keys = [batch.column(k).to_numpy() for k in order[:3]]
+        ahead = [np.append(x[1:], 0 if after is None else after[k]) for k, x in enumerate(keys)]
+        behind = [np.append(0 if before is None else before[k], x[:-1]) for k, x in enumerate(keys)]
+        core_ahead, core_behind = keys[0] == ahead[0], keys[0] == behind[0]
+        hull_ahead, hull_behind = (core & (keys[1] == x[1]) & (keys[2] == x[2]) for core, x in ((core_ahead, ahead), (core_behind, behind)))
+        if after is None:
+            core_ahead[-1], hull_ahead[-1] = True, False
+        if before is None:
+            core_behind[0], hull_behind[0] = True, False
+        shared, sure = core_ahead | core_behind, hull_ahead | hull_behind
+        asked = shared & (~sure | (core_ahead & ~hull_ahead) | (core_behind & ~hull_behind))
+        out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(sure), pa.array(asked)], names=[*names, "sure", "asked"])
+        return out.filter(pa.array(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        edge = lambda batch, k: [batch.column(c)[k].as_py() for c in order[:3]]
         for batch in batches:
-            ids, cols, size = [], [], 0
-            for row in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
-                values = [x.as_py() for x in row]
-                if len(got := per_row(*values[1:])) and len(got[0]):
-                    ids.append(np.full(len(got[0]), values[0], np.int64))
-                    cols.append(got)
-                    size += len(got[0])
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=names)
-                    ids, cols, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=names)
-
-    return df.mapInArrow(run, schema)
+            if batch.num_rows:
+                if held is not None:
+                    yield compare(held, before, edge(batch, 0))
+                    before = edge(held, held.num_rows - 1)
+                held = batch
+        if held is not None:
+            yield compare(held, before, None)
 
+    sorted_rows = blocks.select(*dict.fromkeys([*order, *names])).repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_rows.mapInArrow(run, SETTLED)
 
-def scan(docs: DataFrame, length: int) -> DataFrame:
-    """(id, n_bytes, sha256, anchors): one row for each document; anchors are (at, gram)."""
+
+def hulls_and_windows(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """One pass over the texts of asked (id, blocks, grams): the hulls of the blocks, and the windows whose anchors are among the grams."""
+    schema = _schema(OPEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
+        rows = Rows(schema)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            found = [[{"at": p, "gram": g} for p, g in anchors_of(t, length).items()] for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(found, kind)],
-                names=["id", "n_bytes", "sha256", "anchors"],
-            )
+            for i, t, found, shared in zip(*[batch.column(k) for k in ("id", "bytes", "blocks", "grams")], strict=True):
+                doc, text = i.as_py(), t.as_py()
+                if len(v := found.values):
+                    s_lo, s_hi, near, off = (v.field(k).to_numpy() for k in ("s_lo", "s_hi", "near", "off"))
+                    lo, hi = np.maximum(near - WIDTHS[0] + 1, 0), np.minimum(near + length, len(text))
+                    cut = [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    rows.add(len(v), kind=_BLOCK, id=doc, n_bytes=len(text), top=s_lo, s_lo=s_lo, s_hi=s_hi, near=near, off=off, lo=lo, bytes=cut)
+                if len(wanted := shared.values):
+                    wanted = wanted.to_numpy().view(np.uint64)
+                    for at, grams, anchor, a, b in passages_of(text):
+                        own = np.flatnonzero(np.isin(grams, wanted)[anchor])
+                        rows.add(len(own), kind=_WORDS, id=doc, start=own + at, a=a[own], b=b[own])
+                yield from rows.take(FLUSH)
+        yield from rows.take()
+
+    return join_texts(texts, asked).mapInArrow(run, OPEN)
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket names at DEPTH of all hulls of a batch, one after the other, and where each hull begins."""
+    data = [x.as_buffer() for x in batch.column("bytes")]
+    size = np.fromiter((x.size for x in data), np.int64, len(data))
+    return buckets(np.frombuffer(b"".join(data), np.uint8))[DEPTH], np.cumsum(size) - size
+
+
+def narrower(hulls: DataFrame, width: int, length: int) -> DataFrame:
+    """The hulls' blocks of ``width`` starts."""
+    schema = _schema(REFINED)
 
-    return docs.mapInArrow(run, "id long, n_bytes long, sha256 string, anchors array<struct<at:int,gram:long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, begin = _joined(batch)
+            i, n, top, s_lo, s_hi, near, off, lo = (batch.column(k).to_numpy().astype(np.int64) for k in ("id", "n_bytes", "top", "s_lo", "s_hi", "near", "off", "lo"))
+            first, last = (near - s_hi) // width, (near - s_lo) // width
+            count = last - first + 1
+            row = np.repeat(np.arange(len(i)), count)
+            j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
+            at, behind = near[row] - j * width, off[row] + j * width
+            low, high = np.maximum(at - width + 1, 0), np.minimum(at + length, n[row])
+            shift = begin[row] - lo[row]
+            keys = block_keys(b, at + shift, behind, low + shift, high + shift, width, length)
+            columns = [i[row], n[row], top[row], np.maximum(s_lo[row], at - width + 1), np.minimum(s_hi[row], at), at, behind, *keys]
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return hulls.select("id", "n_bytes", "top", "s_lo", "s_hi", "near", "off", "lo", "bytes").mapInArrow(run, REFINED)
+
+
+def strings_of(hulls: DataFrame, length: int) -> DataFrame:
+    """(id, start, a, b): the single strings of hulls (lo, bytes) that start in their ranges (s_lo, s_hi)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, begin = _joined(batch)
+            i, s_lo, s_hi, lo = (batch.column(k).to_numpy().astype(np.int64) for k in ("id", "s_lo", "s_hi", "lo"))
+            count = s_hi - s_lo + 1
+            row = np.repeat(np.arange(len(i)), count)
+            start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + s_lo[row]
+            at = start + begin[row] - lo[row]
+            yield pa.RecordBatch.from_arrays([pa.array(i[row]), pa.array(start).cast(pa.int32()), pa.array(b[at].view(np.int64)), pa.array(b[at + length - DEPTH].view(np.int64))], names=["id", "start", "a", "b"])
 
-def repeated_spans(texts: DataFrame, heads: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, spans): the runs of bytes that repeated strings cover, of texts that are not exact copies of one another.
+    return hulls.mapInArrow(run, "id long, start int, a long, b long")
+
+
+def met_again(strings: DataFrame, more_than_one: str, name: str) -> DataFrame:
+    """The rows of (a, b, ...) whose pair of buckets has another member. Both sides are staged, so a very common pair can be split."""
+    twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    return strings.join(stage(twice.where(more_than_one).select("a", "b"), name), ["a", "b"], "left_semi")
+
+
+def _spans(settled: DataFrame, width: int, length: int) -> DataFrame:
+    """All strings of a sure block's hull are repeated, also those of other anchors."""
+    lo, hi = F.greatest(F.col("near") - (width - 1), F.lit(0)), F.least(F.col("near") + length, F.col("n_bytes"))
+    return settled.where("sure").select("id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+
+def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that touch or overlap become one."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1])))
+    return lo[new], reach[np.append(new[1:], len(lo)) - 1]
+
+
+def cut_out(texts: DataFrame) -> DataFrame:
+    """(id, spans, kept_sha256) of (id, bytes, spans): merged spans, and the digest of the bytes outside them."""
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged, digests = [], []
+            for t, found in zip(batch.column("bytes"), batch.column("spans"), strict=True):
+                text, at, digest = memoryview(t.as_buffer()), 0, hashlib.sha256()
+                lo, hi = merge_spans(*(found.values.field(k).to_numpy() for k in ("lo", "hi")))
+                pairs = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                for a, b in pairs:
+                    digest.update(text[at:a])
+                    at = b
+                digest.update(text[at:])
+                merged.append([{"lo": a, "hi": b} for a, b in pairs])
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(merged, kind), pa.array(digests, pa.string())], names=["id", "spans", "kept_sha256"])
+
+    return texts.mapInArrow(run, f"id long, spans {SPANS}, kept_sha256 string")
 
-    texts: (id, bytes); heads: (id, anchors) of the texts to compare.
-    """
-    anchors = heads.select("id", F.explode("anchors").alias("x")).select("id", "x.at", "x.gram")
-    # what is staged is joined by an exchange of its own, so partitions of very common buckets can be split
-    shared = stage(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeats-grams")
-    met = stage(anchors.join(shared, "gram", "left_semi").select("id", "at"), "repeats-met")
-    wanted = stage(met.groupBy("id").agg(F.collect_list("at").alias("wanted")), "repeats-anchors")
-    met = maybe_in(texts, "id", wanted, "id").join(wanted, "id")
-    columns = "id long, s_lo long, s_hi long, core_a long, core_b long, hull_a long, hull_b long, whole boolean, near long"
-    blocks = stage(_map(met.select("id", "bytes", "wanted"), lambda t, w: blocks_of(t, np.array(w), length), columns), "repeats-blocks")
-    core, hull = ["core_a", "core_b"], ["hull_a", "hull_b", "whole"]
-    hulls = blocks.groupBy(*core, *hull).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "near")).alias("first"))
-    hulls = hulls.withColumn("sure", F.col("whole") & (F.col("n") > 1))
-    cores = hulls.groupBy(*core).agg(F.sum("n").alias("core_n"), F.bool_and("sure").alias("all_sure"))
-    known = stage(hulls.join(cores.where("core_n > 1"), core), "repeats-hulls")
-    open_blocks = blocks.join(known.select(*core, *hull, "sure", "all_sure", "first"), [*core, *hull])
-    open_blocks = stage(open_blocks.select("id", "s_lo", "s_hi", "near", "sure", "all_sure", "first"), "repeats-open")
-    # one block of each sure hull stands for it where others with its core are open
-    witness = F.col("sure") & (F.col("first.id") == F.col("id")) & (F.col("first.near") == F.col("near"))
-    asked = open_blocks.where(~F.col("sure") | (~F.col("all_sure") & witness))
-    asked = stage(asked.groupBy("id").agg(F.collect_list(F.struct("s_lo", "s_hi")).alias("ranges")), "repeats-ranges")
-    met = maybe_in(texts, "id", asked, "id").join(asked, "id").select("id", "bytes", "ranges")
-    strings = _map(met, lambda t, r: strings_of(t, [(x["s_lo"], x["s_hi"]) for x in r], length), "id long, start long, a long, b long")
-    strings = stage(strings, "repeats-strings")
-    twice = stage(strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "repeats-twice")
-    found = strings.join(twice, ["a", "b"], "left_semi").select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    # all strings of a sure block are repeated, also those of other anchors
-    far = F.col("near") - (BLOCK - 1)
-    sure = open_blocks.where("sure").select("id", far.alias("lo"), (F.col("near") + length).alias("hi"))
-    return found.unionByName(sure).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+SPANS = "array<struct<lo:long,hi:long>>"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, spans, kept_sha256): the removed runs (lo, hi) of every document, and the digest of what stays."""
+    """(id, n_bytes, spans, kept_sha256, n_passages): the removed runs (lo, hi) of every document, the digest of what stays, and the
+    number of maximal runs of words made of passages of PASSAGE_WORDS words that another document has too."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if not ids.groupBy("id").count().where("id is null or count > 1").isEmpty():
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         rows = stage(rows, "repeats-rows")
         found = remove_repeats(rows.select("row", "text"), "row", "text", length)
-        return found.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row").select("id", "n_bytes", "spans", "kept_sha256")
+        return found.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row").drop("row")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"))
-    heads = stage(scan(texts, length), "repeats-heads")
+    scanned = stage(scan(texts, length), "repeats-scan")
+    heads = scanned.where(F.col("kind") == _HEAD).select("id", "n_bytes", "sha256", "n_words")
     copies = stage(heads.groupBy("sha256").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "repeats-copies")
-    heads = stage(heads.join(copies, "sha256").withColumn("copied", (F.col("n") > 1) & (F.col("n_bytes") >= length)), "repeats-heads")
-    spans = stage(repeated_spans(texts, heads.where("id = first"), length), "repeats-spans")
-    runs = "array<struct<lo:long,hi:long>>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for batch in batches:
-            out = []
-            for i, t, found in zip(*[batch.column(k) for k in range(3)], strict=True):
-                text, merged = t.as_py(), merge_spans([(x["lo"], x["hi"]) for x in found.as_py()])
-                digest, at = hashlib.sha256(), 0
-                for lo, hi in merged:
-                    digest.update(text[at:lo])
-                    at = hi
-                digest.update(text[at:])
-                out.append((i.as_py(), len(text), [{"lo": a, "hi": b} for a, b in merged], digest.hexdigest()))
-            i, n, s, d = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s, kind), pa.array(d, pa.string())], names=["id", "n_bytes", "spans", "kept_sha256"])
-
-    partial = spans.join(heads.where("copied").select("id"), "id", "left_anti")
-    cut_rows = maybe_in(texts, "id", partial, "id").join(partial, "id").select("id", "bytes", "spans")
-    cut_rows = cut_rows.mapInArrow(cut, f"id long, n_bytes long, spans {runs}, kept_sha256 string")
-    whole = heads.join(partial.select("id"), "id", "left_anti")
+    heads = stage(heads.join(copies, "sha256").select("*", (F.col("n") > 1).alias("copied")), "repeats-heads")
+
+    # the first refinement, and the word anchors that different texts share
+    settled = stage(settle(scanned.where(F.col("kind") == _BLOCK)), "repeats-blocks")
+    grams = scanned.where(F.col("kind") == _WORDS).select("id", "gram", "key")
+    shared = grams.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("gram")
+    shared = grams.join(stage(shared, "repeats-grams"), "gram", "left_semi").select("id", "gram")
+    shared = shared.join(heads.where("id <> first").select("id"), "id", "left_anti")
+    block = F.struct("s_lo", "s_hi", "near", "off")
+    asked = settled.where("asked").select("id", block.alias("block"), F.lit(None).cast("long").alias("gram"))
+    asked = asked.unionByName(shared.select("id", F.lit(None).cast(asked.schema["block"].dataType).alias("block"), "gram"))
+    asked = stage(asked.groupBy("id").agg(F.collect_list("block").alias("blocks"), F.collect_set("gram").alias("grams")), "repeats-asked")
+
+    opened = stage(hulls_and_windows(texts, asked, length), "repeats-open")
+    hulls = opened.where(F.col("kind") == _BLOCK)
+    spans = _spans(settled, WIDTHS[0], length)
+    for width in WIDTHS[1:]:
+        settled = stage(settle(narrower(hulls, width, length)), "repeats-narrower")
+        spans = spans.unionByName(_spans(settled, width, length))
+        left = settled.where("asked").select("id", "top", "s_lo", "s_hi", "near", "off")
+        hulls = hulls.select("id", "n_bytes", "top", "lo", "bytes").join(left, ["id", "top"])
+    strings = stage(strings_of(hulls.select("id", "s_lo", "s_hi", "lo", "bytes"), length), "repeats-strings")
+    again = met_again(strings, "n > 1", "repeats-twice")
+    spans = spans.unionByName(again.select("id", F.col("start").cast("long").alias("lo"), (F.col("start") + length).cast("long").alias("hi")))
+    spans = spans.join(heads.where("copied").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = stage(spans, "repeats-spans")
+
+    windows = opened.where(F.col("kind") == _WORDS).select("id", "start", "a", "b")
+    starts = met_again(windows, "least <> most", "repeats-windows").groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    gaps = F.expr(f"size(filter(starts, (s, i) -> i > 0 and s - starts[i - 1] > {PASSAGE_WORDS}))")
+    passages = stage(starts.select("id", (gaps + 1).cast("long").alias("passages")), "repeats-passages")
+
+    cut = stage(cut_out(join_texts(texts, spans)), "repeats-cut")
+    heads = heads.join(cut, "id", "left").join(passages, "id", "left")
+    gone = F.col("copied") & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
-    whole = whole.select(
-        "id", "n_bytes", F.when(F.col("copied"), all_of_it).otherwise(F.expr(f"cast(array() as {runs})")).alias("spans"),
-        F.when(F.col("copied"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha256")).alias("kept_sha256"),
+    n_passages = F.when(F.col("copied"), (F.col("n_words") >= PASSAGE_WORDS).cast("long")).otherwise(F.coalesce("passages", F.lit(0)))
+    return heads.select(
+        "id", "n_bytes", F.when(gone, all_of_it).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).alias("spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        n_passages.alias("n_passages"),
     )
-    return whole.unionByName(cut_rows)

@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import repeats
 
@@ -54,27 +54,74 @@ def test_against_brute_force(spark, monkeypatch, seed, piece):
     monkeypatch.setattr(repeats, "PIECE", piece)
     texts = hard_texts(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    heads = {k: repeats.anchors_of(t.encode()) for k, t in enumerate(texts)}
-    assert all(isinstance(h, dict) for h in heads.values())
     assert got(repeats.remove_repeats(docs)) == brute({k: t.encode() for k, t in enumerate(texts)}, 400)
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 100, 401])
+@pytest.mark.parametrize("piece", [100, 401])
 def test_pieces_give_the_same_blocks(monkeypatch, piece):
     texts = [t.encode() for t in hard_texts(4)]
-    whole = [(repeats.anchors_of(t), repeats.blocks_of(t, np.array(sorted(repeats.anchors_of(t)), np.int64))) for t in texts]
+    rows = lambda t: sorted(tuple(map(int, r)) for r in zip(*repeats.blocks_of(t), strict=True))
+    whole = [rows(t) for t in texts]
+    assert all(sorted(s for r in b for s in range(r[0], r[1] + 1)) == list(range(len(t) - 399)) for t, b in zip(texts, whole, strict=True))
     monkeypatch.setattr(repeats, "PIECE", piece)
-    for t, (anchors, blocks) in zip(texts, whole, strict=True):
-        assert repeats.anchors_of(t) == anchors
-        again = repeats.blocks_of(t, np.array(sorted(anchors), np.int64))
-        if blocks:
-            rows = lambda b: sorted(tuple(int(x) for x in r) if r[6] else (*map(int, r[:4]), int(r[7])) for r in zip(*b, strict=True))
-            assert rows(again) == rows(blocks)
+    assert [rows(t) for t in texts] == whole
+
+
+def plain_passages(texts: dict, words: int = 51) -> dict:
+    """Maximal runs of words made of windows that another document has too."""
+    split = {k: t.lower().split() for k, t in texts.items()}
+    holders = defaultdict(set)
+    for k, w in split.items():
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i : i + words])].add(k)
+    out = {}
+    for k, w in split.items():
+        covered = set()
+        for i in range(len(w) - words + 1):
+            if len(holders[tuple(w[i : i + words])]) > 1:
+                covered.update(range(i, i + words))
+        out[k] = sum(i - 1 not in covered for i in covered)
+    return out
+
+
+def passages(df):
+    return {r["id"]: r["n_passages"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_of_words(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 19)))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 52, 60, 130)]
+    texts = ["a " * 60, "a " * 70, "a " * 50, "b " * 200, ""]
+    for k in range(60):
+        parts = [word() for _ in range(rng.randint(0, 60))]
+        for s in rng.sample(shared, rng.randint(0, 3)):
+            parts += [*s, *(word() for _ in range(rng.randint(0, 60)))]
+        texts.append(" ".join(parts).upper() if k % 7 == 0 else " ".join(parts))
+    texts += [texts[9], texts[9]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert passages(repeats.remove_repeats(docs)) == plain_passages({k: t.encode() for k, t in enumerate(texts)})
+
+
+def test_a_very_common_passage_is_spread_over_tasks(spark):
+    """One 600-byte passage in 400 texts, each followed by bytes of its own: one core, many hulls, and no task that holds them all."""
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = make(600)
+    texts = {k: make(rng.randint(0, 100)) + common + make(rng.randint(0, 100)) for k in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert got(repeats.remove_repeats(docs)) == brute({k: t.encode() for k, t in texts.items()}, 400)
+    blocks = repeats.scan(docs.selectExpr("doc_id as id", "cast(text as binary) as bytes"), 400).where("kind = 1")
+    dealt = blocks.repartitionByRange(8, "core", "hull_a", "hull_b", "id", "s_lo").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 0.3 * blocks.count()
 
 
 def test_sf_documents(spark, sf_docs):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in sf_docs.collect()}
-    assert got(repeats.remove_repeats(sf_docs)) == brute(texts, 400)
+    found = repeats.remove_repeats(sf_docs)
+    assert got(found) == brute(texts, 400)
+    assert passages(found) == plain_passages(texts)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
