@@ -16,8 +16,9 @@ The order ends with id and start, so a core or hull of any number of blocks is s
 partitions a block counts as unsettled, which costs one more refinement and changes no result. Bytes are fetched from the texts
 only for unsettled blocks, and for one or two of each settled group next to them. Long texts are worked on in pieces of PIECE starts.
 
-Besides, passages of more than PASSAGE_WORDS - 1 words that different texts share are counted, whatever their bytes: the same buckets, with
-words in place of bytes, of all windows of that many words whose least 16-word bucket another text has too.
+Besides, documents are marked that share a passage of more than PASSAGE_WORDS - 1 words with another text, whatever its bytes: with words in
+place of bytes, windows of that many words whose least 16-word bucket another text has too are sorted, and each is compared
+with its neighbours.
 
 Names of two different strings agree with a probability of about 2^-64 for each pair that shares its other bucket.
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing and match nothing; repeated rows are copies of each
@@ -35,19 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_texts, stage, utf8, word_chunks
+from .common import by_bytes, join_texts, stage, utf8, word_chunks
 
 LENGTH = 400
 GRAM = 32
+HALF = 128
 DEPTH = 256
 #: Starts in a block at each refinement, each a part of the one before; what is unsettled after the last is compared string by string.
-WIDTHS = (90, 10)
+WIDTHS = (180, 18)
 PIECE = 1 << 20
 PASSAGE_WORDS = 51
 WORD_GRAM = 16
+#: Bytes of short texts that are worked on at once.
+BATCH = 1 << 18
 #: Rows that a task holds before it passes them on.
 FLUSH = 100_000
 
+_NONE = np.zeros(0, np.int64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(31)
 _HEAD, _BLOCK, _WORDS = 0, 1, 2
@@ -74,9 +79,9 @@ def doubled(ids: np.ndarray, q: int, wanted: tuple[int, ...]) -> dict[int, np.nd
 
 
 def buckets(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Bucket names of all suffixes at depth GRAM and DEPTH."""
+    """Bucket names of all suffixes at depth GRAM, HALF and DEPTH."""
     at = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
-    return doubled(_pair(at, np.zeros(1, np.uint64)), 8, (GRAM, DEPTH))
+    return doubled(_pair(at, np.zeros(1, np.uint64)), 8, (GRAM, HALF, DEPTH))
 
 
 def window_anchor(grams: np.ndarray, width: int) -> np.ndarray:
@@ -100,13 +105,29 @@ def pieces(text: bytes, length: int) -> Iterator[tuple[int, int, int, np.ndarray
         yield first, end, low, data[low : end - 1 + length + 2 * width]
 
 
-def block_keys(b: np.ndarray, near: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, length: int) -> list[np.ndarray]:
-    """core, hull_a, hull_b of blocks whose last start is ``near`` and whose hull is lo to hi; b: names at DEPTH.
+def block_keys(b: dict[int, np.ndarray], near: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, length: int) -> list[np.ndarray]:
+    """core, hull_a, hull_b of blocks whose last start is ``near`` and whose hull is lo to hi; b: names at HALF and DEPTH.
 
     ``off`` is how far the anchor lies behind ``near``; with it, blocks of two anchors that lie on the same bytes differ.
     """
-    core = _pair(_pair(b[near], b[near + (1 - width + length - DEPTH)]), off)
-    return [x.view(np.int64) for x in (core, _pair(b[lo], near - lo), _pair(b[hi - DEPTH], hi - near))]
+    size = length - width + 1
+    depth = DEPTH if size >= DEPTH else HALF
+    core = _pair(_pair(b[depth][near], b[depth][near + (size - depth)]), off)
+    first, middle, last = b[DEPTH][lo], b[DEPTH][(lo + hi - DEPTH) // 2], b[DEPTH][hi - DEPTH]
+    return [x.view(np.int64) for x in (core, _pair(_pair(first, middle), near - lo), _pair(_pair(last, middle), hi - near))]
+
+
+def _blocks(b: dict[int, np.ndarray], s: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> list[np.ndarray]:
+    """Columns first, last, near, off, core, hull_a, hull_b: the blocks of the starts s, each in a text from begin to end."""
+    width = WIDTHS[0]
+    m = window_anchor(b[GRAM], length - GRAM + 1)[s]
+    part = (m - s) // width
+    new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (part[1:] != part[:-1]) | (begin[1:] != begin[:-1]))))
+    last = np.append(new[1:], len(s)) - 1
+    off = part[new] * width
+    near = m[new] - off
+    keys = block_keys(b, near, off, np.maximum(near - width + 1, begin[new]), np.minimum(near + length, end[new]), width, length)
+    return [s[new], s[last], near, off, *keys]
 
 
 def blocks_of(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
@@ -116,21 +137,31 @@ def blocks_of(text: bytes, length: int = LENGTH) -> list[np.ndarray]:
     """
     out, width, starts = [], WIDTHS[0], len(text) - length + 1
     for first, end, low, data in pieces(text, length):
-        b = buckets(data)
         s = np.arange(max(0, first - 1), min(starts, end + width)) - low
-        m = window_anchor(b[GRAM], length - GRAM + 1)[s]
-        part = (m - s) // width
-        new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (part[1:] != part[:-1]))))
-        last = np.append(new[1:], len(s)) - 1
-        own = (s[new] + low >= first) & (s[new] + low < end)
-        new, last = new[own], last[own]
-        off = part[new] * width
-        near = m[new] - off
-        keys = block_keys(b[DEPTH], near, off, np.maximum(near - width + 1, 0), np.minimum(near + length, len(data)), width, length)
-        out.append([s[new] + low, s[last] + low, near + low, off, *keys])
+        cols = _blocks(buckets(data), s, np.zeros(len(s), np.int64), np.full(len(s), len(data)), length)
+        own = (cols[0] + low >= first) & (cols[0] + low < end)
+        cols = [c[own] for c in cols]
+        out.append([cols[0] + low, cols[1] + low, cols[2] + low, *cols[3:]])
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
 
 
+def blocks_of_many(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same for texts of one piece, laid end to end: which text each block is of, and the columns."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    long = np.flatnonzero(size >= length)
+    if not len(long):
+        return _NONE, []
+    begin = np.cumsum(size[long]) - size[long]
+    data = np.frombuffer(b"".join([texts[k] for k in long]), np.uint8)
+    starts = size[long] - length + 1
+    text = np.repeat(np.arange(len(long)), starts)
+    s = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + begin[text]
+    cols = _blocks(buckets(data), s, begin[text], (begin + size[long])[text], length)
+    of = np.searchsorted(begin, cols[0], side="right") - 1
+    shift = begin[of]
+    return long[of], [cols[0] - shift, cols[1] - shift, cols[2] - shift, *cols[3:]]
+
+
 def word_names(words: list[bytes]) -> np.ndarray:
     """A name for each word."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -149,15 +180,34 @@ def word_names(words: list[bytes]) -> np.ndarray:
     return name
 
 
-def passages_of(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first word, gram names, anchors of windows, two columns of window names) of the windows of PASSAGE_WORDS words, by chunks."""
-    at = 0
-    for words in word_chunks(text, PASSAGE_WORDS - 1, PIECE):
-        if len(words) >= PASSAGE_WORDS:
-            b = doubled(word_names(words), 1, (WORD_GRAM, 32))
-            n = len(words) - PASSAGE_WORDS + 1
-            yield at, b[WORD_GRAM], window_anchor(b[WORD_GRAM], PASSAGE_WORDS - WORD_GRAM + 1), b[32][:n], b[32][PASSAGE_WORDS - 32 :][:n]
-            at += n
+def passages_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor's 16-word name, window's name) of all windows of PASSAGE_WORDS words in lists of words."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    long = np.flatnonzero(size >= PASSAGE_WORDS)
+    if not len(long):
+        return _NONE, _NONE, _NONE
+    b = doubled(word_names([w for k in long for w in texts[k]]), 1, (WORD_GRAM, 32))
+    begin, starts = np.cumsum(size[long]) - size[long], size[long] - PASSAGE_WORDS + 1
+    text = np.repeat(np.arange(len(long)), starts)
+    s = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + begin[text]
+    anchor = window_anchor(b[WORD_GRAM], PASSAGE_WORDS - WORD_GRAM + 1)[s]
+    names = _pair(b[32][s], b[32][s + PASSAGE_WORDS - 32])
+    return long[text], b[WORD_GRAM][anchor].view(np.int64), names.view(np.int64)
+
+
+def word_lists(texts: list[bytes]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """The texts' words, a batch at a time, with the number of the text of each list; long texts come in chunks that overlap."""
+    at, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        for words in word_chunks(text, PASSAGE_WORDS - 1, PIECE):
+            at.append(k)
+            held.append(words)
+            size += len(words)
+            if size >= BATCH // 4:
+                yield at, held
+                at, held, size = [], [], 0
+    if held:
+        yield at, held
 
 
 class Rows:
@@ -191,9 +241,9 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in text.split(", ")])
 
 
-SCAN = "kind int, id long, n_bytes long, sha256 string, key long, n_words long, gram long, top int, s_lo int, s_hi int, near int, off int, core long, hull_a long, hull_b long"
+SCAN = "kind int, id long, n_bytes long, sha256 string, key long, n_words long, gram long, s_lo int, s_hi int, near int, off int, core long, hull_a long, hull_b long"
 SETTLED = "id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, sure boolean, asked boolean"
-OPEN = "kind int, id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, lo int, bytes binary, start int, a long, b long"
+OPEN = "kind int, id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, lo int, bytes binary, window long"
 REFINED = "id long, n_bytes long, top int, s_lo int, s_hi int, near int, off int, core long, hull_a long, hull_b long"
 
 
@@ -201,26 +251,33 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
     """One pass over (id, bytes): a head row for each text, a row for each block, and one for each word anchor."""
     schema = _schema(SCAN)
 
+    def add(rows: Rows, ids: np.ndarray, texts: list[bytes]) -> None:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        parts = [(np.full(len(c[0]), k), c) for k in np.flatnonzero(size > PIECE) if (c := blocks_of(texts[k], length))]
+        short = np.flatnonzero(size <= PIECE)
+        of, cols = blocks_of_many([texts[k] for k in short], length)
+        for of, (s_lo, s_hi, near, off, core, hull_a, hull_b) in [*parts, *([(short[of], cols)] if cols else [])]:
+            rows.add(len(of), kind=_BLOCK, id=ids[of], n_bytes=size[of], s_lo=s_lo, s_hi=s_hi, near=near, off=off, core=core, hull_a=hull_a, hull_b=hull_b)
+        digests = [hashlib.sha256(t).digest() for t in texts]
+        keys = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests])
+        n_words = np.zeros(len(texts), np.int64)
+        for at, words in word_lists(texts):
+            at = np.array(at)
+            of, grams, _ = passages_of(words)
+            n_words += np.bincount(at[of], minlength=len(texts))
+            new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (grams[1:] != grams[:-1]))))[: None if len(of) else 0]
+            rows.add(len(new), kind=_WORDS, id=ids[at[of[new]]], key=keys[at[of[new]]], gram=grams[new])
+        n_words += (PASSAGE_WORDS - 1) * (n_words > 0)
+        rows.add(len(texts), kind=_HEAD, id=ids, n_bytes=size, sha256=[d.hex() for d in digests], key=keys, n_words=n_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
         for batch in batches:
-            heads = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py()
-                sha = hashlib.sha256(text)
-                key, n_words = int.from_bytes(sha.digest()[:8], "little", signed=True), 0
-                if cols := blocks_of(text, length):
-                    s_lo, s_hi, near, off, core, hull_a, hull_b = cols
-                    rows.add(len(s_lo), kind=_BLOCK, id=i, n_bytes=len(text), top=s_lo, s_lo=s_lo, s_hi=s_hi, near=near, off=off, core=core, hull_a=hull_a, hull_b=hull_b)
-                for _, grams, anchor, names, _ in passages_of(text):
-                    own = np.unique(anchor)
-                    n_words += len(names)
-                    rows.add(len(own), kind=_WORDS, id=i, key=key, gram=grams[own])
-                heads.append((i, len(text), sha.hexdigest(), key, n_words + PASSAGE_WORDS - 1 if n_words else 0))
+            ids, at = batch.column(0).to_numpy(), 0
+            for texts in by_bytes((t.as_py() for t in batch.column(1)), BATCH):
+                add(rows, ids[at : at + len(texts)], texts)
+                at += len(texts)
                 yield from rows.take(FLUSH)
-            if heads:
-                i, n, s, k, w = map(list, zip(*heads, strict=True))
-                rows.add(len(heads), kind=_HEAD, id=i, n_bytes=n, sha256=s, key=k, n_words=w)
         yield from rows.take()
 
     return docs.mapInArrow(run, SCAN)
@@ -261,6 +318,7 @@ def settle(blocks: DataFrame) -> DataFrame:
         if held is not None:
             yield compare(held, before, None)
 
+    blocks = blocks if "top" in blocks.columns else blocks.withColumn("top", F.col("s_lo"))
     sorted_rows = blocks.select(*dict.fromkeys([*order, *names])).repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted_rows.mapInArrow(run, SETTLED)
 
@@ -280,21 +338,51 @@ def hulls_and_windows(texts: DataFrame, asked: DataFrame, length: int) -> DataFr
                     cut = [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                     rows.add(len(v), kind=_BLOCK, id=doc, n_bytes=len(text), top=s_lo, s_lo=s_lo, s_hi=s_hi, near=near, off=off, lo=lo, bytes=cut)
                 if len(wanted := shared.values):
-                    wanted = wanted.to_numpy().view(np.uint64)
-                    for at, grams, anchor, a, b in passages_of(text):
-                        own = np.flatnonzero(np.isin(grams, wanted)[anchor])
-                        rows.add(len(own), kind=_WORDS, id=doc, start=own + at, a=a[own], b=b[own])
+                    for _, words in word_lists([text]):
+                        _, grams, names = passages_of(words)
+                        own = np.unique(names[np.isin(grams, wanted.to_numpy())])
+                        rows.add(len(own), kind=_WORDS, id=doc, window=own)
                 yield from rows.take(FLUSH)
         yield from rows.take()
 
     return join_texts(texts, asked).mapInArrow(run, OPEN)
 
 
-def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket names at DEPTH of all hulls of a batch, one after the other, and where each hull begins."""
+def sharing(windows: DataFrame) -> DataFrame:
+    """(id): who has a window that another id has too. Windows (id, window) are sorted, and each is compared with the next.
+
+    What lies on both sides of an edge between partitions is compared in a second, small step.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            window, ids = (batch.column(k).to_numpy() for k in ("window", "id"))
+            edge = np.zeros(0, np.int64)
+            if before is None:
+                edge = np.array([0])
+            else:
+                window, ids = np.append(before[0], window), np.append(before[1], ids)
+            met = np.flatnonzero((window[1:] == window[:-1]) & (ids[1:] != ids[:-1]))
+            found = np.unique(np.concatenate((ids[met], ids[met + 1])))
+            before = [window[-1:], ids[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, ids[edge])), pa.array([None] * len(found) + window[edge].tolist(), pa.int64())], names=["id", "edge"])
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(before[1]), pa.array(before[0])], names=["id", "edge"])
+
+    found = stage(windows.repartitionByRange("window", "id").sortWithinPartitions("window", "id").mapInArrow(run, "id long, edge long"), "repeats-sharing")
+    edges = found.where("edge is not null")
+    met = edges.groupBy("edge").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("edge")
+    return found.where("edge is null").select("id").unionByName(edges.join(met, "edge", "left_semi").select("id")).distinct()
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The bucket names of all hulls of a batch, one after the other, and where each hull begins."""
     data = [x.as_buffer() for x in batch.column("bytes")]
     size = np.fromiter((x.size for x in data), np.int64, len(data))
-    return buckets(np.frombuffer(b"".join(data), np.uint8))[DEPTH], np.cumsum(size) - size
+    return buckets(np.frombuffer(b"".join(data), np.uint8)), np.cumsum(size) - size
 
 
 def narrower(hulls: DataFrame, width: int, length: int) -> DataFrame:
@@ -334,15 +422,16 @@ def strings_of(hulls: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(len(i)), count)
             start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + s_lo[row]
             at = start + begin[row] - lo[row]
-            yield pa.RecordBatch.from_arrays([pa.array(i[row]), pa.array(start).cast(pa.int32()), pa.array(b[at].view(np.int64)), pa.array(b[at + length - DEPTH].view(np.int64))], names=["id", "start", "a", "b"])
+            a, z = (b[DEPTH][x].view(np.int64) for x in (at, at + length - DEPTH))
+            yield pa.RecordBatch.from_arrays([pa.array(i[row]), pa.array(start).cast(pa.int32()), pa.array(a), pa.array(z)], names=["id", "start", "a", "b"])
 
     return hulls.mapInArrow(run, "id long, start int, a long, b long")
 
 
-def met_again(strings: DataFrame, more_than_one: str, name: str) -> DataFrame:
+def met_again(strings: DataFrame) -> DataFrame:
     """The rows of (a, b, ...) whose pair of buckets has another member. Both sides are staged, so a very common pair can be split."""
-    twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
-    return strings.join(stage(twice.where(more_than_one).select("a", "b"), name), ["a", "b"], "left_semi")
+    twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    return strings.join(stage(twice, "repeats-twice"), ["a", "b"], "left_semi")
 
 
 def _spans(settled: DataFrame, width: int, length: int) -> DataFrame:
@@ -385,8 +474,8 @@ SPANS = "array<struct<lo:long,hi:long>>"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, spans, kept_sha256, n_passages): the removed runs (lo, hi) of every document, the digest of what stays, and the
-    number of maximal runs of words made of passages of PASSAGE_WORDS words that another document has too."""
+    """(id, n_bytes, spans, kept_sha256, shares_passage): the removed runs (lo, hi) of every document, the digest of what stays, and
+    whether a passage of PASSAGE_WORDS words is in another document too."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if not ids.groupBy("id").count().where("id is null or count > 1").isEmpty():
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -419,23 +508,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left = settled.where("asked").select("id", "top", "s_lo", "s_hi", "near", "off")
         hulls = hulls.select("id", "n_bytes", "top", "lo", "bytes").join(left, ["id", "top"])
     strings = stage(strings_of(hulls.select("id", "s_lo", "s_hi", "lo", "bytes"), length), "repeats-strings")
-    again = met_again(strings, "n > 1", "repeats-twice")
-    spans = spans.unionByName(again.select("id", F.col("start").cast("long").alias("lo"), (F.col("start") + length).cast("long").alias("hi")))
+    spans = spans.unionByName(met_again(strings).select("id", F.col("start").cast("long").alias("lo"), (F.col("start") + length).cast("long").alias("hi")))
     spans = spans.join(heads.where("copied").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = stage(spans, "repeats-spans")
 
-    windows = opened.where(F.col("kind") == _WORDS).select("id", "start", "a", "b")
-    starts = met_again(windows, "least <> most", "repeats-windows").groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    gaps = F.expr(f"size(filter(starts, (s, i) -> i > 0 and s - starts[i - 1] > {PASSAGE_WORDS}))")
-    passages = stage(starts.select("id", (gaps + 1).cast("long").alias("passages")), "repeats-passages")
+    sharers = stage(sharing(opened.where(F.col("kind") == _WORDS).select("id", "window")), "repeats-sharers")
 
     cut = stage(cut_out(join_texts(texts, spans)), "repeats-cut")
-    heads = heads.join(cut, "id", "left").join(passages, "id", "left")
+    heads = heads.join(cut, "id", "left").join(sharers.withColumn("shares", F.lit(True)), "id", "left")
     gone = F.col("copied") & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
-    n_passages = F.when(F.col("copied"), (F.col("n_words") >= PASSAGE_WORDS).cast("long")).otherwise(F.coalesce("passages", F.lit(0)))
+    shares = F.when(F.col("copied"), F.col("n_words") >= PASSAGE_WORDS).otherwise(F.coalesce("shares", F.lit(False)))
     return heads.select(
         "id", "n_bytes", F.when(gone, all_of_it).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).alias("spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        n_passages.alias("n_passages"),
+        shares.alias("shares_passage"),
     )

@@ -62,30 +62,25 @@ def test_pieces_give_the_same_blocks(monkeypatch, piece):
     texts = [t.encode() for t in hard_texts(4)]
     rows = lambda t: sorted(tuple(map(int, r)) for r in zip(*repeats.blocks_of(t), strict=True))
     whole = [rows(t) for t in texts]
+    of, cols = repeats.blocks_of_many(texts)
+    assert sorted(zip(of.tolist(), *[c.tolist() for c in cols], strict=True)) == [(k, *map(int, r)) for k, b in enumerate(whole) for r in b]
     assert all(sorted(s for r in b for s in range(r[0], r[1] + 1)) == list(range(len(t) - 399)) for t, b in zip(texts, whole, strict=True))
     monkeypatch.setattr(repeats, "PIECE", piece)
     assert [rows(t) for t in texts] == whole
 
 
 def plain_passages(texts: dict, words: int = 51) -> dict:
-    """Maximal runs of words made of windows that another document has too."""
+    """Whether a window of words is in another document too."""
     split = {k: t.lower().split() for k, t in texts.items()}
     holders = defaultdict(set)
     for k, w in split.items():
         for i in range(len(w) - words + 1):
             holders[tuple(w[i : i + words])].add(k)
-    out = {}
-    for k, w in split.items():
-        covered = set()
-        for i in range(len(w) - words + 1):
-            if len(holders[tuple(w[i : i + words])]) > 1:
-                covered.update(range(i, i + words))
-        out[k] = sum(i - 1 not in covered for i in covered)
-    return out
+    return {k: any(len(holders[tuple(w[i : i + words])]) > 1 for i in range(len(w) - words + 1)) for k, w in split.items()}
 
 
 def passages(df):
-    return {r["id"]: r["n_passages"] for r in df.collect()}
+    return {r["id"]: r["shares_passage"] for r in df.collect()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
