@@ -48,7 +48,7 @@ PIECE = 1 << 20
 PASSAGE_WORDS = 51
 WORD_GRAM = 16
 #: Bytes of short texts that are worked on at once.
-BATCH = 1 << 18
+BATCH = 1 << 16
 #: Rows that a task holds before it passes them on.
 FLUSH = 100_000
 
