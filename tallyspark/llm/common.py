@@ -56,32 +56,44 @@ def _bit(k: int) -> str:
     return f"cast(shiftrightunsigned(__hash, {16 * k}) & {CHUNK_BITS - 1} as int)"
 
 
+def _hash(key: Column) -> Column:
+    return F.xxhash64(F.lit(1), key)
+
+
+def filter_chunks(members: DataFrame, chunk: Column, key: Column) -> DataFrame:
+    """(chunk, words): for every chunk that has members, a Bloom filter of CHUNK_BITS bits in 64-bit words, four bits a member."""
+    bits = members.select(chunk.alias("chunk"), _hash(key).alias("__hash"))
+    bits = bits.select("chunk", F.explode(F.array(*[F.expr(_bit(k)) for k in range(4)])).alias("bit"))
+    words = bits.groupBy("chunk", F.expr("cast(bit / 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
+    words = words.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return words.select("chunk", F.expr(f"transform(sequence(0, {CHUNK_BITS // 64 - 1}), w -> coalesce(try_element_at(words, w), 0L))").alias("words"))
+
+
+def probe_chunks(df: DataFrame, chunk: Column, key: Column, chunks: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column: false only where ``key`` is surely not among the members of its chunk. Null chunks have none."""
+    probe = df.withColumn("__chunk", chunk).withColumn("__hash", _hash(key))
+    held = chunks.select(F.col("chunk").alias("__chunk"), F.col("words").alias("__words"))
+    hit = F.lit(True)
+    for k in range(4):
+        hit &= F.expr(f"(shiftright(get(__words, cast({_bit(k)} / 64 as int)), {_bit(k)} % 64) & 1L) = 1L")
+    return probe.join(F.broadcast(held), "__chunk", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__chunk", "__hash", "__words")
+
+
 def flag_maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str, flag: str) -> DataFrame:
     """``df`` with a boolean column: false only where ``key`` is surely not in ``members``.
 
-    The members become a Bloom filter of FILTER_BITS bits for each, four of them set, which is broadcast, so rows that cannot
-    match need not take part in a shuffle; about 1 in 80 of them is flagged all the same. Members are counted first: where
-    the filter would have more than FILTER_MOST bits there is none, and all keys but null are flagged. Null keys never match.
+    The members become a Bloom filter of FILTER_BITS bits for each, which is broadcast, so rows that cannot match need not
+    take part in a shuffle; about 1 in 80 of them is flagged all the same. Members are counted first: where the filter
+    would have more than FILTER_MOST bits there is none, and all keys but null are flagged. Null keys never match.
     """
     kind = members.schema[member_key].dataType
     members = members.where(F.col(member_key).isNotNull())
-    chunks = -(-max(members.count(), 1) * FILTER_BITS // CHUNK_BITS)
-    if chunks * CHUNK_BITS > FILTER_MOST:
+    n = -(-max(members.count(), 1) * FILTER_BITS // CHUNK_BITS)
+    if n * CHUNK_BITS > FILTER_MOST:
         return df.withColumn(flag, F.col(key).isNotNull())
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    hashed = lambda c: F.xxhash64(F.lit(1), c)
-    bits = members.select(chunk(F.col(member_key)).alias("__chunk"), hashed(F.col(member_key)).alias("__hash"))
-    bits = bits.select("__chunk", F.explode(F.array(*[F.expr(_bit(k)) for k in range(4)])).alias("__bit"))
-    words = bits.groupBy("__chunk", F.expr("cast(__bit / 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, __bit % 64)")).alias("bits"))
-    words = words.groupBy("__chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
-    dense = F.expr(f"transform(sequence(0, {CHUNK_BITS // 64 - 1}), w -> coalesce(try_element_at(__words, w), 0L))")
-    words = words.select("__chunk", dense.alias("__words"))
+    chunk = lambda c: F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
     own = F.col(key).cast(kind)
-    probe = df.withColumn("__chunk", F.when(own.isNotNull(), chunk(own))).withColumn("__hash", hashed(own))
-    hit = F.lit(True)
-    for k in range(4):
-        hit &= F.expr(f"(shiftright(get(__words, cast({_bit(k)} / 64 as int)), {_bit(k)} % 64) & 1L) = 1L")
-    return probe.join(F.broadcast(words), "__chunk", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__chunk", "__hash", "__words")
+    return probe_chunks(df, chunk(own), own, filter_chunks(members, chunk(F.col(member_key)), F.col(member_key)), flag)
 
 
 def maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, line_dedup, mixing, sharding
+from tallyspark.llm import common, exact_dedup, line_dedup, mixing, sharding
 
 KEY = lambda x: (x[0] is None, str(x))
 
@@ -47,6 +47,43 @@ def test_texts_that_share_a_digest_stay_apart(spark, monkeypatch):
     assert {(r["id"], r["keep_id"], r["group_size"]) for r in found} == {(k, k % 7, sum(1 for j in range(40) if j % 7 == k % 7)) for k in range(40)}
 
 
+def test_a_row_is_ruled_out_by_the_filter_of_its_run(spark):
+    """Runs without a digest of several rows are read by nobody; in the others few rows ask that find nothing."""
+    rows = [(k, str(k)) for k in range(4000)] + [(5000 + k, str(k)) for k in range(40)]
+    texts = exact_dedup.digests_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    digests = texts.select((F.col("id") % 5).alias("memtable"), "id", "digest").cache()
+    entries = exact_dedup.flush(digests)
+    assert entries.count() == digests.select("memtable", "digest").distinct().count()
+    level = exact_dedup.compact(entries, 64)
+    assert level.groupBy("run").agg(F.min("digest"), F.max("digest")).count() == 64
+    found = exact_dedup.look_up(digests, level, 64).collect()
+    read = {r["id"] for r in found if r["asked"]}
+    assert {k for k in range(40)} | {5000 + k for k in range(40)} <= read and len(read) < 200
+    assert {(r["id"], r["keep_id"], r["n"]) for r in found if r["n"]} == {(i, k, 2) for k in range(40) for i in (k, 5000 + k)}
+    with_hits = {r["run"] for r in level.where("n > 1").collect()}
+    asked = {r["run"] for r in digests.where(F.col("id").isin(list(read))).select(exact_dedup.run_of(F.col("digest"), 64).alias("run")).collect()}
+    assert asked == with_hits and len(with_hits) < 64
+    plan = plan_of(exact_dedup.merged(entries, 64))
+    assert "Window [" in plan and plan.index("Sort [") < plan.index("RepartitionByExpression")
+
+
+def test_memtables_of_few_rows(spark, monkeypatch, sf_docs):
+    rows = [(r[0], r[1]) for r in sf_docs.select("doc_id", "text").collect()]
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 16)
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 8)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(sf_docs).collect()), key=KEY) == plain_groups(rows)
+
+
+def test_filters_are_sized_by_their_members(spark):
+    members = spark.range(100_000).select((F.col("id") * 7).alias("k"))
+    probe = spark.range(700_000).select(F.col("id").alias("k"))
+    flagged = common.flag_maybe_in(probe, "k", members, "k", "maybe")
+    hits = flagged.where("maybe").select((F.col("k") % 7 == 0).alias("member")).groupBy("member").count().collect()
+    counts = {r["member"]: r["count"] for r in hits}
+    assert counts[True] == 100_000 and counts.get(False, 0) < 0.05 * 600_000
+    assert common.flag_maybe_in(spark.createDataFrame([(None,), (3,)], "k long"), "k", members.limit(0), "k", "maybe").where("maybe").count() == 0
+
+
 def plain_lines(rows, least=40, docs=5):
     split = [(i, (t or "").split("\n")) for i, t in rows]
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
@@ -68,7 +105,7 @@ def plain_lines(rows, least=40, docs=5):
 def test_lines(request, table):
     docs = request.getfixturevalue(table)
     rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
-    found = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
+    found = line_dedup.drop_lines(docs)
     assert sorted(map(tuple, found.collect()), key=KEY) == plain_lines(rows)
 
 
@@ -76,10 +113,39 @@ def test_lines_beyond_one_word_of_the_bitmap(spark):
     common = [f"line {k} is the same in all of these documents, and it is long" for k in range(0, 200, 3)]
     rows = [(i, "\n".join(common[k // 3] if k % 3 == 0 else f"{i} {k}" for k in range(200))) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs)).collect()
+    found = line_dedup.drop_lines(docs).collect()
     assert sorted(map(tuple, found)) == plain_lines(rows)
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_sorted_stream_decides_which_document_keeps_a_line(spark):
+    """Two keys that run over several partitions, and the first document of a key in another partition than most of its lines."""
+    hot, warm = "this line is in every document, and it is long enough", "this one is in every third document, and it is long enough"
+    texts = {i: "\n".join([hot, *[warm] * (i % 3 == 0), f"{i}", hot][: 2 + i % 3]) for i in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = line_dedup.drop_lines(docs).collect()
+    assert sorted(map(tuple, found), key=KEY) == plain_lines(list(texts.items()))
+    lines = spark.createDataFrame([(i, i, p, k, 0) for i in range(500) for p, k in enumerate((1, 1, i % 2))], "row long, id long, pos int, a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stream = line_dedup.sorted_stream(lines)
+    assert max(r["parts"] for r in stream.groupBy("a").agg(F.countDistinct("part").alias("parts")).collect()) > 1
+    firsts = {(r["id"], r["first_id"], r["pos"]) for r in line_dedup.with_first_document(stream).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert firsts == {(i, 499 if p < 2 or i % 2 else 498, p) for i in range(500) for p in range(3)}
+    plan = plan_of(stream)
+    assert plan.index("Sort [") < plan.index("RepartitionByExpression")
+
+
+def test_rows_that_share_an_id_have_bitmaps_of_their_own(spark):
+    line = "a line that five documents have, which is long enough to count"
+    rows = [(1, f"{line}\nb"), (1, f"c\nd\n{line}\ne"), *[(k, line) for k in range(2, 7)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.drop_lines(docs).collect()), key=KEY) == plain_lines(rows)
+
+
 def test_shards(spark, sf_docs):
     docs = sf_docs.selectExpr("doc_id", "text").unionByName(spark.range(1000, 21_000).selectExpr("id as doc_id", "'x' as text"))
     rows = sharding.assign_shards(docs).collect()

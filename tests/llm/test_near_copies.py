@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tallyspark.llm import near_copies, simhash
 
 
@@ -55,3 +57,34 @@ def test_pairs_that_the_least_node_of_a_bucket_does_not_link(spark, monkeypatch)
     rows = [(0, texts[0]), (1, texts[1]), (2, texts[1] + " tail"), (3, texts[2]), (4, texts[2] + " end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in simhash.keep_one_of_each(docs).collect()} == {0, 1, 3}
+
+
+@pytest.mark.parametrize("sketch", [1, 24, 512])
+def test_sketches_lose_no_pair(spark, monkeypatch, sketch):
+    """Copies that meet only in buckets whose least node is no copy of theirs, with sketches that hold a part or all of a set."""
+    monkeypatch.setattr(near_copies, "SKETCH", sketch)
+    monkeypatch.setattr(near_copies, "SLACK", {1: 0.8, 24: 0.5}.get(sketch, 0.11))
+    plain = near_copies.signature
+    monkeypatch.setattr(near_copies, "signature", lambda hashes: (plain(hashes)[0], near_copies.np.zeros(1, near_copies.np.uint64)))
+    rng = random.Random(7)
+    rows = [(0, "a text of its own that is the least node of the only bucket")]
+    for _ in range(8):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(8, 300))]
+        for _ in range(3):
+            words = list(own)
+            for _ in range(len(own) // 60):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(near_copies, "RADIUS", 64)
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == kept_by_all_pairs(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """One row of each id stays, always the same."""
+    rows = [(1, "b text"), (1, "a text"), (1, "c text"), (2, "one"), (None, "one"), (None, "x")]
+    for n in (1, 3, 5):
+        kept = simhash.keep_one_of_each(spark.createDataFrame(rows[n:] + rows[:n], "doc_id long, text string").repartition(n)).collect()
+        assert len(kept) == 4
+        assert n == 1 or {tuple(r) for r in kept} == before
+        before = {tuple(r) for r in kept}

@@ -64,6 +64,13 @@ def test_links_of_crowded_buckets(spark, monkeypatch, bucket):
     assert {k: k if v is None else v for k, v in got.items()} == components(list(enumerate(fps)))
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    fps = {10: 0, None: 3, 20: 15, 30: 1 << 40 | 1 << 50 | 1 << 60}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id as id", "n as fp"))
+    rows = spark.createDataFrame(list(fps.items()), "doc_id long, n long")
+    assert {(r["id"], r["component"]) for r in simhash.near_duplicates(rows).collect()} == {(10, 10), (None, 10), (20, 10), (30, 30)}
+
+
 def test_components_of_a_long_path(spark):
     order = random.Random(1).sample(range(300), 300)
     edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
