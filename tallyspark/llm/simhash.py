@@ -8,7 +8,8 @@ A value is listed by 65 fingerprints at most, so no group grows with the data.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; with
 fewer words than a shingle, the whole sequence is the one shingle. Repeated rows come out as often as they come in. Rows
-whose id is null get a component of the other documents they link to, or null. Other columns of the input are ignored.
+whose id is null link like any other, and get the smallest id of those that they reach, or null. Other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -107,20 +108,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is staged is joined by an exchange of its own, so partitions of very common values can be split
     rows = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
-    links = stage(fingerprint_links(nodes.where("rep is not null")), "simhash-links")
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    named = stage(nodes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "simhash-named")
+    # components of fingerprints, so one whose rows have no id links others all the same
+    links = stage(fingerprint_links(nodes.select("fp", F.col("fp").alias("rep"))), "simhash-links")
+    found = connected_components(links, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    grouped = stage(nodes.join(found, "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group")), "simhash-groups")
+    least = stage(grouped.groupBy("group").agg(F.min("rep").alias("component")), "simhash-least")
+    named = stage(grouped.join(least, "group").select("fp", "component"), "simhash-named")
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, of each group of near copies (five-word shingles, similarity 0.8) only that with the smallest id.
 
-    Of rows that share an id one stays; rows without an id cannot be the smallest of a group and all stay.
+    Of rows that share an id one stays, that with the least hash of its text and columns; rows without an id cannot be the smallest of a
+    group and all stay.
     """
     found = stage(copy_groups(docs, id_col, text_col), "simhash-groups")
     kept = without(docs, id_col, found.where("id <> component"), "id")
     if found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    plain = [c for c, kind in kept.dtypes if "map<" not in kind and kind != "variant"]
+    order = F.struct(F.xxhash64(text_col), F.col(text_col), F.xxhash64(*plain))
+    named = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*kept.columns), order).alias("__row"))
+    return named.select("__row.*").unionByName(kept.where(F.col(id_col).isNull()))
