@@ -10,8 +10,8 @@ Archives are made, indexed, converted and read back by tasks, one archive at a t
 on its own. Which record of equal payloads stays whole is decided by a grouped maximum over the index of all archives. A file counts
 only if a manifest, written when all tasks have ended, names it, so failed or repeated attempts leave nothing that is read.
 
-Edge cases: a null html is an empty payload, which is a payload like others; a null url becomes urn:page:<id>; blanks in a URL
-are percent-encoded; rows without an id have no id header, and stand behind all others when the response is chosen; rows that share an
+Edge cases: a null html is an empty payload, which is a payload like others; a null url becomes urn:page:<id>; blanks and control
+characters in a URL are percent-encoded, and what is encoded already stays as it is; rows without an id have no id header, and stand behind all others when the response is chosen; rows that share an
 id share a payload's response by place; an empty table makes no archive. Lines between records that are no
 header are skipped. An archive with a declared length beyond its end raises EOFError. Other columns are ignored.
 """
@@ -45,6 +45,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 #: The response header that carries a page's id through the archives.
 ID_HEADER = "X-Page-Id"
 LEVEL = 1
+#: Blanks and control characters cannot stand in the URL field of a header line; others stay as they are.
+_ESCAPES = {c: f"%{c:02X}" for c in (*range(33), 127)} | {c: f"%C2%{c:02X}" for c in range(0x80, 0xA1)} | {c: "".join(f"%{b:02X}" for b in chr(c).encode()) for c in (0x2028, 0x2029)}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -186,7 +188,7 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 if version not in files:
                     files[version] = Output(f"{folder}/{name}")
                     files[version].write(arc_opening(version, name))
-                address = (url or f"urn:page:{page}").replace("%", "%25").translate({ord(c): f"%{ord(c):02X}" for c in " \t\r\n"})
+                address = (url or f"urn:page:{page}").translate(_ESCAPES)
                 own = b"" if page is None else f"{ID_HEADER}: {page}\r\n".encode()
                 content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(html) + html
                 line = arc_line(version, [address.encode(), b"0.0.0.0", b"20200101000000", b"text/html"], len(content), name)
