@@ -94,7 +94,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = flag_maybe_in(docs, id_col, hits, "id", "__hit").where(F.col("__hit") | F.col(id_col).isNull())
     verified = digests_of(held, id_col, text_col).groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     verified = stage(verified, "dedup-verified")
-    split = verified.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    split = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     split = stage(split.where("texts > 1").select("digest"), "dedup-split")
     out = found.select("id", "digest", F.when(F.col("n") > 1, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"))
     if not split.isEmpty():  # different texts with one digest: group them by the text itself
