@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with an accent and the plain letters that stand for them in names.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūñçýÿšžÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕØŌÚÙÛÜŪÑÇÝŸŠŽ"
-PLAIN = "aaaaaaaeeeeeiiiiiooooooouuuuuncyyszAAAAAAAEEEEEIIIIIOOOOOOOUUUUUNCYYSZ"
+
+
+def _plain(code: int) -> str:
+    """The ASCII part of a character's compatibility decomposition."""
+    return unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+
+
+#: Letters that decompose into one ASCII character, of the basic plane, and those characters, in the same order.
+ACCENTED = "".join(chr(c) for c in range(0x80, 0x10000) if len(_plain(c)) == 1)
+PLAIN = "".join(_plain(ord(c)) for c in ACCENTED)
+#: Latin letters that decompose into several: ligatures and digraphs.
+LIGATURES = {chr(c): _plain(c) for c in (*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07)) if len(_plain(c)) > 1}
 #: Generational suffixes that are no part of a name.
 NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
@@ -48,6 +59,28 @@ def margin_label(margin: Column) -> Column:
     return F.when(margin > 0, 1).when(margin < 0, 0)
 
 
+def cover_label(margin: Column, line: Column) -> Column:
+    """Who covers a line (negative where the home side is the favourite): the favourite or the underdog, whichever side plays at home;
+    null on a push, without a favourite, or where either is unknown."""
+    beat = margin + line
+    home = F.when(beat > 0, F.when(line < 0, "favourite").when(line > 0, "underdog"))
+    return F.when(beat < 0, F.when(line < 0, "underdog").when(line > 0, "favourite")).otherwise(home)
+
+
+def opponent_adjusted(pairs: list[tuple[str, str]], ratios: list[tuple[str, str, str, str, str]], sides: tuple[str, str] = ("home_", "away_")) -> dict[str, Column]:
+    """Own value less what the other side allows, by name, for both sides.
+
+    pairs: (own, allowed). ratios: (name, own numerator and denominator, allowed ones); a rate without attempts counts as 0.
+    """
+    out = {}
+    for side, other in (sides, sides[::-1]):
+        out |= {f"{side}adjusted_{own}": F.col(side + own) - F.col(other + allowed) for own, allowed in pairs}
+        for name, a, b, c, d in ratios:
+            own, allowed = (F.coalesce(safe_div(F.col(s + x), F.col(s + y)), F.lit(0.0)) for s, x, y in ((side, a, b), (other, c, d)))
+            out[f"{side}adjusted_{name}"] = own - allowed
+    return out
+
+
 def is_success(down: Column, distance: Column, gained: Column) -> Column:
     """First downs need half of the distance, second downs 70 %, later ones all of it; no valid distance is no success."""
     need = F.when(down == 1, 0.5).when(down == 2, 0.7).when(down.isin(3, 4), 1.0)
@@ -87,10 +120,11 @@ def elo_probability(own: Column, other: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    """Accents off, dots and apostrophes out, single blanks, lower case, no generational suffix; null becomes ''."""
-    plain = F.translate(F.coalesce(name, F.lit("")), ACCENTED, PLAIN)
-    tokens = F.split(F.trim(F.lower(F.regexp_replace(plain, "[.'’`]", ""))), r"\s+")
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*NAME_SUFFIXES)), " ")
+    """Accents and what has no plain letter off, dots and apostrophes out, single blanks, lower case, no generational suffix; null becomes ''."""
+    plain = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), LIGATURES.items(), F.coalesce(name, F.lit("")))
+    plain = F.regexp_replace(F.translate(plain, ACCENTED, PLAIN), r"[^\x00-\x7F]|[.']", "")
+    tokens = F.split(F.trim(F.lower(plain)), r"\s+")
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*NAME_SUFFIXES, "")), " ")
 
 
 def json_ids(text: Column) -> Column:

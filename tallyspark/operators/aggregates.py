@@ -9,32 +9,67 @@ from pyspark.sql import functions as F
 from ..functions.exprs import avg_if, flag, safe_div, sum_if
 
 
-def play_side_measures(df: DataFrame, keys: list[str], run: Column, gained: str, value: str, distance: str, success: Column, explosive_at: float) -> DataFrame:
-    """Counts, rates and values of one side's plays: all, runs and passes (what is no run)."""
+def play_side_measures(plays: DataFrame, drives: DataFrame, keys: list[str], explosive_at: float) -> DataFrame:
+    """36 measures of one side's plays and drives, each table read and shuffled once.
+
+    plays, a row for each: kind (run, pass, other), down, distance, gained, value, success. drives, a row for each: scored, touchdown. Sums of
+    nothing are 0, rates of nothing null; a side without drives has 0 of them.
+    """
     c, known = F.col, lambda x: F.coalesce(x, F.lit(False))
-    run, ok = known(run), known(success)
-    passing, big = ~run, known(F.col(gained) >= explosive_at)
-    out = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("plays"),
-        F.count_if(run).alias("runs"),
-        F.count_if(passing).alias("passes"),
-        F.count_if(ok).alias("successes"),
-        F.count_if(ok & run).alias("run_successes"),
-        F.count_if(ok & passing).alias("pass_successes"),
-        F.count_if(big & run).alias("explosive_runs"),
-        F.count_if(big & passing).alias("explosive_passes"),
-        F.coalesce(F.sum(gained), F.lit(0.0)).alias("gained"),
-        sum_if(run, c(gained)).alias("run_gained"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("value"),
-        sum_if(run, c(value)).alias("run_value"),
-        sum_if(passing, c(value)).alias("pass_value"),
-        avg_if(passing, c(distance)).alias("avg_pass_distance"),
-    )
-    rates = {
-        "success_rate": ("successes", "plays"), "run_success_rate": ("run_successes", "runs"), "pass_success_rate": ("pass_successes", "passes"),
-        "value_per_play": ("value", "plays"), "value_per_run": ("run_value", "runs"), "value_per_pass": ("pass_value", "passes"), "explosive_run_rate": ("explosive_runs", "runs"), "gained_per_play": ("gained", "plays"),
-    }
-    return out.withColumns({n: safe_div(c(a), c(b)) for n, (a, b) in rates.items()})
+    run, passing, first, ok, big = (known(x) for x in (c("kind") == "run", c("kind") == "pass", c("down") == 1, c("success"), c("gained") >= explosive_at))
+    everything = F.lit(True)
+    kinds = {"": everything, "run_": run, "pass_": passing}
+    counts = {f"{k}plays": F.count_if(x) for k, x in kinds.items()} | {f"__first_{k}plays": F.count_if(first & x) for k, x in kinds.items()}
+    counts |= {f"{k}value": sum_if(x, c("value")) for k, x in kinds.items()} | {f"{k}successes": F.count_if(ok & x) for k, x in kinds.items()}
+    counts |= {f"{k}explosives": F.count_if(big & x) for k, x in kinds.items()} | {f"first_down_{k}successes": F.count_if(first & ok & x) for k, x in kinds.items()}
+    counts["third_down_distance"] = avg_if(c("down") == 3, c("distance"))
+    own = drives.groupBy(*keys).agg(F.count(F.lit(1)).alias("drives"), F.count_if(known(c("scored"))).alias("scoring_drives"), F.count_if(known(c("touchdown"))).alias("touchdown_drives"))
+    out = plays.groupBy(*keys).agg(*[x.alias(n) for n, x in counts.items()]).join(own, keys, "left").fillna(0, ["drives", "scoring_drives", "touchdown_drives"])
+    rates = {"run_rate": ("run_plays", "plays"), "pass_rate": ("pass_plays", "plays"), "first_down_pass_rate": ("__first_pass_plays", "__first_plays")}
+    for k in kinds:
+        rates |= {f"{k}value_per_play": (f"{k}value", f"{k}plays"), f"{k}success_rate": (f"{k}successes", f"{k}plays"), f"{k}explosive_rate": (f"{k}explosives", f"{k}plays")}
+        rates[f"first_down_{k}success_rate"] = (f"first_down_{k}successes", f"__first_{k}plays")
+    rates |= {f"{k}_drive_share": (f"{k}_drives", "drives") for k in ("scoring", "touchdown")}
+    return out.withColumns({n: safe_div(c(a), c(b)) for n, (a, b) in rates.items()}).drop(*[n for n in counts if n.startswith("__")])
+
+
+def both_sides(plays: DataFrame, drives: DataFrame, at: list[str], explosive_at: float, sides: tuple[str, str] = ("offense", "defense")) -> DataFrame:
+    """(team, ...at) with the measures of both sides: plays and drives name the team on each in a column of the side's name."""
+    parts = []
+    for side in sides:
+        own = play_side_measures(*[df.where(F.col(side).isNotNull()).withColumn("team", F.col(side)) for df in (plays, drives)], ["team", *at], explosive_at)
+        parts.append(own.select("team", *at, *[F.col(n).alias(f"{side}_{n}") for n in own.columns if n not in ("team", *at)]))
+    return parts[0].join(parts[1], ["team", *at], "full")
+
+
+def allowed_by_game(plays: DataFrame, keys: list[str], explosive_at: float) -> DataFrame:
+    """What a defence allowed on the plays of each game: rates of success and of stops, explosive plays, value per play."""
+    big = F.count_if(F.col("gained") >= explosive_at)
+    return plays.groupBy(*keys).agg(
+        F.avg(F.col("success").cast("int")).alias("success_rate_allowed"), big.alias("explosives_allowed"), F.avg("value").alias("value_per_play_allowed"),
+        F.avg(F.col("stuffed").cast("int")).alias("stuffed_rate_forced"), safe_div(big, F.count("gained")).alias("explosive_rate_allowed"),
+    )
+
+
+def schedule_summary(rows: DataFrame, keys: list[str], early: int, late: int, bye_days: int = 10, short_days: int = 6) -> DataFrame:
+    """21 features of a team's schedule, in one pass over its games in order.
+
+    rows: game, date, week, is_home, is_road, neutral, conference, power, sub, prior_pct, prior_talent, prior_returning, own_talent.
+    Part-season and by-conference features are null for teams without such games.
+    """
+    w = W.partitionBy(*keys).orderBy("date", "game")
+    gap = F.timestamp_diff("DAY", F.lag("date").over(w), F.col("date"))
+    rows = rows.withColumns({"__gap": gap, "__road_again": F.col("is_road") & F.coalesce(F.lag("is_road").over(w), F.lit(False))})
+    c, n = F.col, lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    part = lambda where: F.sum(F.when(where, flag(c("power"))))
+    out = rows.groupBy(*keys).agg(
+        F.count("game").alias("games"), n(c("is_home")).alias("home"), n(c("is_road")).alias("road"), n(c("neutral")).alias("neutral"), n(c("conference")).alias("conference"), n(c("power")).alias("power"),
+        n(~c("power") & ~c("sub")).alias("middle"), n(c("sub")).alias("sub"), F.avg("prior_pct").alias("avg_prior_pct"), F.avg("prior_talent").alias("avg_prior_talent"), F.max("prior_talent").alias("max_prior_talent"),
+        F.avg("prior_returning").alias("avg_prior_returning"), n(c("prior_talent") > c("own_talent")).alias("above_own_talent"), part(c("week") <= early).alias("power_early"), part(c("week") >= late).alias("power_late"),
+        avg_if(c("conference"), c("prior_talent")).alias("talent_conference"), avg_if(~c("conference"), c("prior_talent")).alias("talent_nonconference"),
+        n(c("__gap") > bye_days).alias("byes"), n(c("__gap") < short_days).alias("short_rests"), n(c("__road_again")).alias("road_again"),
+    )
+    return out.withColumn("nonconference", c("games") - c("conference"))
 
 
 def gini(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -60,10 +95,6 @@ def preferred_or_average(df: DataFrame, keys: list[str], preferred: Column, x: s
     return df.groupBy(*keys).agg(F.when(F.count_if(preferred) > 0, F.max(F.when(preferred, F.col(x)))).otherwise(F.avg(x)).alias(name))
 
 
-def share_over(x: str, threshold: float) -> Column:
-    return F.avg(flag(F.col(x) > threshold))
-
-
 def star_ratio(df: DataFrame, keys: list[str], member: str, stars: str, rating: str, at_least: int = 4, min_matched: int = 20) -> DataFrame:
     """High-star members against all members, and against those with a match where there are enough of them."""
     out = df.groupBy(*keys).agg(

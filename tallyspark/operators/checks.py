@@ -22,11 +22,14 @@ def coverage(expected: DataFrame, facts: DataFrame, keys: list[str], by: list[st
     return out.withColumn("rate", safe_div(F.col("matched"), F.col("slots")))
 
 
-def short_periods(df: DataFrame, period: str, share: float = 0.6) -> DataFrame:
-    """Rows of each period, the median of all, and whether the period is shorter than its share of it."""
+def short_periods(df: DataFrame, period: str, share: float = 0.6, without_itself: bool = False) -> DataFrame:
+    """Rows of each period, the median of all (or of all others), and whether the period is shorter than its share of it. Periods are few."""
     counts = df.groupBy(period).agg(F.count(F.lit(1)).alias("n"))
-    median = counts.agg(F.median("n").alias("median_n"))
-    return counts.join(F.broadcast(median)).withColumn("is_short", F.col("n") < share * F.col("median_n"))
+    each = counts.agg(F.collect_list(F.struct(F.col(period).alias("p"), "n")).alias("__all"))
+    others = F.filter("__all", lambda x: x["p"] != F.col(period)) if without_itself else F.col("__all")
+    out = counts.join(F.broadcast(each)).withColumn("__n", F.array_sort(F.transform(others, lambda x: x["n"].cast("double"))))
+    middle = F.expr("(get(__n, cast((size(__n) - 1) / 2 as int)) + get(__n, cast(size(__n) / 2 as int))) / 2")
+    return out.withColumn("median_n", F.when(F.size("__n") > 0, middle)).drop("__all", "__n").withColumn("is_short", F.col("n") < share * F.col("median_n"))
 
 
 def incomplete(df: DataFrame, by: list[str], col: str, most: float = 0.1) -> DataFrame:
@@ -46,12 +49,53 @@ def out_of_bounds(df: DataFrame, bounds: dict[str, tuple[float | None, float | N
     return one.unpivot([], list(bad), "column", "n")
 
 
+def far_values(df: DataFrame, cols: list[str], most: float = 6.0) -> DataFrame:
+    """(column, n, max_z): values further from the mean than ``most`` standard deviations, and the largest distance."""
+    stats = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}"))])
+    z = {c: F.abs(safe_div(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}"))) for c in cols}
+    one = df.join(F.broadcast(stats)).agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(x > most).alias("n"), F.max(x).alias("max_z")) for c, x in z.items()]).alias("a"))
+    return one.select(F.explode("a").alias("x")).select("x.*")
+
+
+def wrong_values(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
+    """(column, n): rows whose value is none of those allowed; null is none of them."""
+    one = df.agg(*[F.count_if(~F.coalesce(F.col(c).isin(values), F.lit(False))).alias(c) for c, values in allowed.items()])
+    return one.unpivot([], list(allowed), "column", "n")
+
+
+def wrong_columns(df: DataFrame, numeric: list[str], denied: tuple[str, ...] = ()) -> list[str]:
+    """Columns that should be numbers and are not there or are none, and columns that must not be there."""
+    kinds = dict(df.dtypes)
+    number = lambda k: k.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    return [c for c in numeric if not number(kinds.get(c, ""))] + [c for c in denied if c in kinds]
+
+
+def leaked_periods(df: DataFrame, period: str, x: str) -> DataFrame:
+    """(period, x, n, leaked): counts of every pair; leaked where x repeats the period, as when a season was loaded into a class year."""
+    return df.where(F.col(x).isNotNull()).groupBy(period, x).agg(F.count(F.lit(1)).alias("n")).withColumn("leaked", F.col(period) == F.col(x))
+
+
+def weighted_match_rate(df: DataFrame, by: list[str], method: str, weight: str, most_unmatched: float = 0.1) -> DataFrame:
+    """Shares of the weight that are matched and unmatched, and whether too much is unmatched."""
+    of = lambda cond: safe_div(F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0.0)), F.sum(weight))
+    out = df.groupBy(*by).agg(of(F.col(method).isin("exact", "normalized")).alias("matched_rate"), of(F.col(method) == "unmatched").alias("unmatched_rate"))
+    return out.withColumn("status", F.when(F.col("unmatched_rate") > most_unmatched, "WARN").otherwise("PASS"))
+
+
 def frame_diff(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], tolerance: float) -> DataFrame:
-    """For each column: rows on both sides, largest difference, rows that differ by more than the tolerance."""
-    both = a.select(*keys, *cols).join(b.select(*keys, *[F.col(c).alias(f"__{c}") for c in cols]), keys)
-    gaps = [F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.coalesce(F.col(f"__{c}").cast("double"), F.lit(0.0))).alias(c) for c in cols]
-    long = both.select(*gaps).unpivot([], cols, "column", "gap")
-    return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") > tolerance).alias("n_over"))
+    """For each column: pairs compared (both values known), pairs with one unknown, largest and mean difference, pairs that differ by
+    more than the tolerance; and the rows whose key only one side has."""
+    own = a.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("__a"))
+    other = b.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("__b"))
+    both = own.join(other, keys, "full")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__a.{c}").alias("x"), F.col(f"__b.{c}").alias("y")) for c in cols])
+    long = both.select(F.col("__a").isNull().alias("__no_a"), F.col("__b").isNull().alias("__no_b"), F.explode(cells).alias("__c")).select("__no_a", "__no_b", "__c.*")
+    gap = F.abs(F.col("x") - F.col("y"))
+    one_known = ~F.col("__no_a") & ~F.col("__no_b") & (F.col("x").isNull() != F.col("y").isNull())
+    return long.groupBy("column").agg(
+        F.count(gap).alias("n_compared"), F.count_if(one_known).alias("n_one_known"), F.max(gap).alias("max_gap"), F.avg(gap).alias("mean_gap"), F.count_if(gap > tolerance).alias("n_over"),
+        F.count_if("__no_b").alias("only_left"), F.count_if("__no_a").alias("only_right"),
+    )
 
 
 def require(found: DataFrame, what: str) -> None:

@@ -60,6 +60,30 @@ def trajectory(rows: DataFrame, week: str, weeks: list[int], passes: int) -> Dat
     return rate(grid, "as_of", passes)
 
 
+def swept_ratings(rows: DataFrame, priors: DataFrame, season: str, week: str, weeks: list[int], ks: list[int], passes: int) -> DataFrame:
+    """(season, as_of, k, team, rating): for every week and every weight k of the prior, ratings from the games before that week.
+
+    A team's prior is k games against an opponent of rating 0; teams without a prior get the mean one.
+    """
+    grid = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in weeks]), lambda w: w > F.col(week))).alias("__as_of"))
+    grid = grid.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("__k"))
+    grid = grid.withColumn("period", F.col(season) * 1_000_000 + F.col("__as_of") * 1000 + F.col("__k"))
+    mean = priors.agg(F.avg("rating").alias("__mean"))
+    phantom = grid.select("period", "team", F.col("__k").cast("double").alias("weight")).distinct().join(priors.select("team", "rating"), "team", "left").join(F.broadcast(mean))
+    none = F.lit(None).cast(rows.schema["opponent"].dataType).alias("opponent")
+    games = grid.select("period", "team", "opponent", "margin", F.lit(1.0).alias("weight"))
+    phantom = phantom.select("period", "team", none, F.coalesce("rating", "__mean", F.lit(0.0)).alias("margin"), "weight")
+    rated = rate(games.unionByName(phantom), "period", passes)
+    parts = {season: F.floor(F.col("period") / 1_000_000), "as_of": F.floor(F.col("period") / 1000) % 1000, "k": F.col("period") % 1000}
+    return rated.select(*[x.cast("int").alias(n) for n, x in parts.items()], "team", "rating")
+
+
+def phase_means(weekly: DataFrame, by: list[str], week: str, metrics: list[str], split: int = 4) -> DataFrame:
+    """Means of weekly metrics over all weeks, over those up to ``split`` and over those after it; null where there is none."""
+    early = F.col(week) <= split
+    return weekly.groupBy(*by).agg(*[x for m in metrics for x in (F.avg(m).alias(f"{m}_all"), F.avg(F.when(early, F.col(m))).alias(f"{m}_early"), F.avg(F.when(~early, F.col(m))).alias(f"{m}_late"))])
+
+
 def agreement(df: DataFrame, key: list[str], model: str, p: str, thresholds: dict[str, float]) -> DataFrame:
     """Rows that all models flag, each at its own threshold, with their mean probability."""
     own = reduce(lambda a, m: a.when(F.col(model) == m, F.lit(thresholds[m])), thresholds, F.when(F.lit(False), F.lit(0.0)))

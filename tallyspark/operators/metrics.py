@@ -74,6 +74,42 @@ def threshold_grid(df: DataFrame, by: list[str], y: str, p: str, thresholds: lis
     return out.withColumns({"precision": safe_div(F.col("hits"), F.col("flagged")), "coverage": safe_div(F.col("flagged"), F.col("n"))})
 
 
+def score_at_coverage(df: DataFrame, by: list[str], score: str, share: float) -> DataFrame:
+    """(by, threshold, n): the k-th highest score of each group, k the share of its rows rounded up, 1 at least.
+
+    Equal scores are counted first, so a group costs as many rows as it has scores.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("__m"))
+    w = W.partitionBy(*by)
+    counts = counts.withColumns({"n": F.sum("__m").over(w), "__seen": F.sum("__m").over(w.orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0))})
+    k = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n")))
+    return counts.where(F.col("__seen") >= k).groupBy(*by, "n").agg(F.max("threshold").alias("threshold"))
+
+
+def precision_recall_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, precision, recall, coverage) at every score."""
+    c = cumulative_counts(df, y, score)
+    totals = c.agg(F.sum("pos").alias("__pos"), F.sum(F.col("pos") + F.col("neg")).alias("__n"))
+    tp, seen = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
+    out = c.join(F.broadcast(totals))
+    return out.select(F.col(score).alias("threshold"), safe_div(tp, seen).alias("precision"), safe_div(tp, F.col("__pos")).alias("recall"), safe_div(seen, F.col("__n")).alias("coverage"))
+
+
+def threshold_for_every_fold(grid: DataFrame, model: list[str], floor: float) -> DataFrame:
+    """The threshold of each model with the highest mean precision over folds among those with enough coverage in every fold.
+
+    Where there is none: that with enough coverage in the most folds, then of the highest mean precision. grid: model, threshold, precision, coverage by fold; no
+    flagged row is a precision of 0. Ties: the lowest threshold.
+    """
+    met = F.count_if(F.coalesce(F.col("coverage") >= floor, F.lit(False)))
+    out = grid.groupBy(*model, "threshold").agg(
+        F.avg(F.coalesce("precision", F.lit(0.0))).alias("mean_precision"), F.avg("coverage").alias("mean_coverage"), F.min("coverage").alias("min_coverage"), met.alias("folds_met"), F.count("coverage").alias("folds")
+    )
+    out = out.withColumn("every_fold", F.col("folds_met") == F.col("folds"))
+    order = [F.col("every_fold").desc(), F.col("folds_met").desc(), F.col("mean_precision").desc(), F.col("threshold")]
+    return out.withColumn("__n", F.row_number().over(W.partitionBy(*model).orderBy(*order))).where("__n = 1").drop("__n")
+
+
 def best_threshold(grid: DataFrame, by: list[str], floor: float) -> DataFrame:
     """The threshold of highest precision among those with enough coverage, else among all; ties: the lowest."""
     met = F.coalesce(F.col("coverage") >= floor, F.lit(False))

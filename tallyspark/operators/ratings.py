@@ -65,6 +65,22 @@ def rate_by_joins(rows: DataFrame, period: str, passes: int) -> DataFrame:
     return now
 
 
+def with_fixed(rows: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Rows against opponents of a fixed rating (opponent, rating): the rating becomes part of the margin, the opponent null."""
+    own = fixed.select("opponent", F.col("rating").alias("__fixed"))
+    out = rows.join(own, "opponent", "left").withColumn("margin", F.col("margin") + F.coalesce("__fixed", F.lit(0.0)))
+    return out.withColumn("opponent", F.when(F.col("__fixed").isNull(), F.col("opponent"))).select(*rows.columns)
+
+
+def with_pool(rows: DataFrame, rated: DataFrame, period: str) -> DataFrame:
+    """The rows of rated teams; all other opponents are one pool whose rating in a period is the mean of the margins against it, with its sign changed."""
+    known = rated.select(F.col("team").alias("opponent"), F.lit(True).alias("__rated"))
+    out = rows.join(rated.select("team"), "team", "left_semi").join(known, "opponent", "left").withColumn("__pool", F.col("__rated").isNull())
+    pool = out.where("__pool").groupBy(period).agg((-F.avg("margin")).alias("__rating"))
+    out = out.join(F.broadcast(pool), period, "left").withColumn("margin", F.when(F.col("__pool"), F.col("margin") + F.col("__rating")).otherwise(F.col("margin")))
+    return out.withColumn("opponent", F.when(~F.col("__pool"), F.col("opponent"))).select(*rows.columns)
+
+
 def with_phantoms(rows: DataFrame, priors: DataFrame, period: str, k: int) -> DataFrame:
     """Adds a row of weight k for each team: its prior as a margin against an opponent of rating 0. No prior: the mean one."""
     teams = rows.select(period, "team").distinct()
@@ -79,15 +95,47 @@ def prior_weight(games: str, k: int):
     return F.lit(float(k)) / (F.lit(float(k)) + F.col(games))
 
 
-def project_games(games: DataFrame, ratings: DataFrame, home: str, away: str, edge: float, spread: float) -> DataFrame:
-    """Expected home margin, favourite and the home side's probability to win."""
+def project_games(games: DataFrame, ratings: DataFrame, home: str, away: str, edge: float, spread: float, also: list[str] | None = None) -> DataFrame:
+    """Expected home margin, favourite and the home side's probability to win; ratings are those of the team and of the columns in ``also``."""
+    also = also or []
     for side, team in (("home", home), ("away", away)):
-        games = games.join(ratings.select(F.col("team").alias(team), F.col("rating").alias(f"{side}_rating")), team, "left")
+        games = games.join(ratings.select(F.col("team").alias(team), *also, F.col("rating").alias(f"{side}_rating")), [team, *also], "left")
     games = games.withColumn("expected_margin", F.col("home_rating") - F.col("away_rating") + edge)
     favourite = F.when(F.col("expected_margin") >= 0, F.col(home)).otherwise(F.col(away))
     return games.withColumn("favourite", favourite).withColumn("home_probability", normal_cdf(F.col("expected_margin") / spread))
 
 
+def _refine(low: float, high: float, steps: int, rounds: int, errors) -> tuple[float, float] | None:
+    """(best, error) of a number between low and high, by rounds of ever finer grids; errors: grid -> an error (or null) for each number."""
+    best = None
+    for _ in range(rounds):
+        grid = [low + (high - low) * i / steps for i in range(steps + 1)]
+        pairs = [(e, x) for e, x in zip(errors(grid), grid, strict=True) if e is not None]
+        if not pairs:
+            return None
+        error, x = min(pairs)
+        best, gap = (x, error), (high - low) / steps
+        low, high = max(low, x - gap), min(high, x + gap)
+    return best
+
+
+def fit_quality_weight(games: DataFrame, keys: list[str], scored: str, allowed: str, z: str, actual: DataFrame, low: float = -0.3, high: float = 0.3, steps: int = 12, rounds: int = 3) -> DataFrame:
+    """One row (alpha, mse): how much the opponent's quality should weigh in points so that the scoring ratio comes nearest to ``actual`` (keys, y).
+
+    A round is one grouped pass with a pair of sums for each number of the grid; only errors come to the driver.
+    """
+
+    def errors(grid: list[float]) -> list:
+        weight = [1 + F.lit(a) * F.coalesce(F.col(z), F.lit(0.0)) for a in grid]
+        sums = [F.sum(F.col(scored) * w).alias(f"s{i}") for i, w in enumerate(weight)] + [F.sum(F.col(allowed) / w).alias(f"a{i}") for i, w in enumerate(weight)]
+        both = games.groupBy(*keys).agg(*sums).join(actual, keys)
+        ratio = [safe_div(F.col(f"s{i}") ** 2, F.col(f"s{i}") ** 2 + F.col(f"a{i}") ** 2) for i in range(len(grid))]
+        return list(both.agg(*[F.avg((F.col("y") - r) ** 2) for r in ratio]).first())
+
+    best = _refine(low, high, steps, rounds, errors)
+    return games.sparkSession.createDataFrame([best] if best else [], "alpha double, mse double")
+
+
 def fit_exponent(rows: DataFrame, scored: str, allowed: str, actual: str, low: float = 0.5, high: float = 6.0, steps: int = 20, rounds: int = 3) -> DataFrame:
     """One row (k, mse): the exponent of the scoring ratio with the least mean squared error, by refining a grid.
 
@@ -95,14 +143,9 @@ def fit_exponent(rows: DataFrame, scored: str, allowed: str, actual: str, low: f
     """
     ratio = safe_div(F.col(allowed), F.col(scored))
     base = rows.select(ratio.alias("q"), F.col(actual).alias("y")).where("q is not null and y is not null")
-    best = (low, None)
-    for _ in range(rounds):
-        grid = [low + (high - low) * i / steps for i in range(steps + 1)]
-        errors = base.agg(*[F.avg(F.pow(F.col("y") - 1 / (1 + F.pow("q", F.lit(k))), 2)).alias(f"e{i}") for i, k in enumerate(grid)]).first()
-        pairs = [(e, k) for e, k in zip(errors, grid, strict=True) if e is not None]
-        if not pairs:
-            return rows.sparkSession.createDataFrame([], "k double, mse double")
-        mse, k = min(pairs)
-        best, gap = (k, mse), (high - low) / steps
-        low, high = max(low, k - gap), min(high, k + gap)
-    return rows.sparkSession.createDataFrame([best], "k double, mse double")
+
+    def errors(grid: list[float]) -> list:
+        return list(base.agg(*[F.avg(F.pow(F.col("y") - 1 / (1 + F.pow("q", F.lit(k))), 2)).alias(f"e{i}") for i, k in enumerate(grid)]).first())
+
+    best = _refine(low, high, steps, rounds, errors)
+    return rows.sparkSession.createDataFrame([best] if best else [], "k double, mse double")

@@ -18,16 +18,31 @@ def year(ts: str) -> Column:
 
 
 def plays(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as plays: team, season, week, down, distance, gained, value, is_run."""
+    """lineitem as plays: game, play, team, opponent, season, week, down, distance, gained, value, is_run, kind."""
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("game"), F.col("l_linenumber").alias("play"), F.col("l_suppkey").alias("team"), year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"),
         (F.col("l_linenumber") % 4 + 1).alias("down"), F.round(F.col("l_tax") * 100).alias("distance"), F.col("l_quantity").alias("gained"), F.col("l_discount").alias("value"), (F.col("l_returnflag") == "R").alias("is_run"),
+        (F.col("l_partkey") % 100 + 1).alias("opponent"), F.when(F.col("l_returnflag") == "R", "run").when(F.col("l_returnflag") == "N", "pass").otherwise("other").alias("kind"),
     )
 
 
 PLAYS = """plays AS (SELECT l_orderkey AS game, l_linenumber AS play, l_suppkey AS team, CAST(year(l_shipdate) AS INTEGER) AS season,
   CAST(month(l_shipdate) AS INTEGER) AS week, l_linenumber % 4 + 1 AS down, round(l_tax * 100) AS distance, l_quantity AS gained,
-  l_discount AS value, l_returnflag = 'R' AS is_run FROM lineitem)"""
+  l_discount AS value, l_returnflag = 'R' AS is_run, l_partkey % 100 + 1 AS opponent,
+  CASE l_returnflag WHEN 'R' THEN 'run' WHEN 'N' THEN 'pass' ELSE 'other' END AS kind FROM lineitem)"""
+
+
+def drives(spark: SparkSession, d: str) -> DataFrame:
+    """orders as drives: offense, defense, season, week, scored, touchdown."""
+    o, c = table(spark, d, "orders"), F.col
+    return o.select(
+        (c("o_custkey") % 100 + 1).alias("offense"), (c("o_orderkey") % 100 + 1).alias("defense"), year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"),
+        (c("o_orderstatus") == "F").alias("scored"), c("o_orderpriority").startswith("1").alias("touchdown"),
+    )
+
+
+DRIVES = """drives AS (SELECT o_custkey % 100 + 1 AS offense, o_orderkey % 100 + 1 AS defense, CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week,
+  o_orderstatus = 'F' AS scored, o_orderpriority LIKE '1%' AS touchdown FROM orders)"""
 
 
 def team_weeks(spark: SparkSession, d: str) -> DataFrame:

@@ -195,13 +195,13 @@ mw AS (SELECT season, team, opponent, CAST(margin AS DOUBLE) AS margin, 1.0 AS w
 
 
 def matchup_projection(spark, d):
-    ratings = T.rate(_margins(spark, d).where("season = 1996"), "season", 3)
-    g = games(spark, d).where("season = 1996").select("game", "home", "away")
-    out = T.project_games(g, ratings, "home", "away", 2.5, 15.0)
+    ratings = T.rate(_margins(spark, d), "season", 3)
+    g = games(spark, d).select("game", "season", "home", "away")
+    out = T.project_games(g, ratings, "home", "away", 2.5, 15.0, ["season"])
     return rounded(out.select("game", "expected_margin", "favourite", "home_probability"), 5)
 
 
-MATCHUP_PROJECTION = f"""WITH r AS (WITH {_MARGINS}, {_srs_sql(3).replace('round(rating, 6) AS rating', 'rating')}), {GAMES}, g AS (SELECT game, home, away, h.rating - a.rating + 2.5 AS m FROM games LEFT JOIN r h ON h.team = home AND h.season = 1996 LEFT JOIN r a ON a.team = away AND a.season = 1996 WHERE games.season = 1996),
+MATCHUP_PROJECTION = f"""WITH r AS (WITH {_MARGINS}, {_srs_sql(3).replace('round(rating, 6) AS rating', 'rating')}), {GAMES}, g AS (SELECT game, home, away, h.rating - a.rating + 2.5 AS m FROM games LEFT JOIN r h ON h.team = home AND h.season = games.season LEFT JOIN r a ON a.team = away AND a.season = games.season),
 z AS (SELECT *, abs(m / 15) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(m / 15) / sqrt(2)) AS t FROM g),
 e AS (SELECT *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS erf FROM z)
 SELECT game, round(m, 5) AS expected_margin, CASE WHEN m >= 0 THEN home ELSE away END AS favourite, round(CASE WHEN m >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END, 5) AS home_probability FROM e"""
@@ -241,10 +241,14 @@ NULL_RATE = """SELECT event_type, round(avg(CAST(NOT CAST(json_extract_string(pr
 
 
 def shortened_period(spark, d):
-    return C.short_periods(table(spark, d, "orders").select(year("o_orderdate").alias("season")), "season")
+    o = table(spark, d, "orders").select(year("o_orderdate").alias("season"))
+    others = C.short_periods(o, "season", without_itself=True).select("season", F.col("median_n").alias("median_others"), F.col("is_short").alias("short_of_others"))
+    return C.short_periods(o, "season").join(others, "season")
 
 
-SHORTENED_PERIOD = """WITH n AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT median(n) AS median_n FROM n) SELECT season, n, median_n, n < 0.6 * median_n AS is_short FROM n, m"""
+SHORTENED_PERIOD = """WITH n AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT median(n) AS median_n FROM n),
+o AS (SELECT a.season, median(b.n) AS median_others FROM n a JOIN n b ON a.season <> b.season GROUP BY 1)
+SELECT season, n, median_n, n < 0.6 * median_n AS is_short, median_others, n < 0.6 * median_others AS short_of_others FROM n JOIN o USING (season), m"""
 
 
 def completeness_gate(spark, d):
@@ -256,12 +260,19 @@ COMPLETENESS_GATE = "SELECT event_type, count(*) AS n, round(avg(CAST(NOT value
 
 
 def frame_diff(spark, d):
-    a = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    b = a.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 50 == 0, 1.0).otherwise(0.0))
+    """Customers against a copy that lacks some rows, has others, and differs in values and in what is known."""
+    c = F.col
+    a = table(spark, d, "customer").select("c_custkey", F.when(c("c_custkey") % 11 != 0, c("c_acctbal")).alias("c_acctbal"), "c_nationkey").where("c_custkey % 17 <> 3")
+    b = table(spark, d, "customer").select("c_custkey", F.when(c("c_custkey") % 13 != 0, c("c_acctbal") + F.when(c("c_custkey") % 50 == 0, 1.0).otherwise(0.0)).alias("c_acctbal"), "c_nationkey").where("c_custkey % 19 <> 4")
     return rounded(C.frame_diff(a, b, ["c_custkey"], ["c_acctbal", "c_nationkey"], 0.05))
 
 
-FRAME_DIFF = """SELECT 'c_acctbal' AS "column", count(*) AS n, 1.0 AS max_gap, CAST(count_if(c_custkey % 50 = 0) AS BIGINT) AS n_over FROM customer UNION ALL SELECT 'c_nationkey', count(*), 0.0, 0 FROM customer"""
+FRAME_DIFF = """WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS x, c_nationkey AS y FROM customer WHERE c_custkey % 17 <> 3),
+b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal + CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END END AS x, c_nationkey AS y FROM customer WHERE c_custkey % 19 <> 4),
+l AS (SELECT count(*) AS n FROM a ANTI JOIN b USING (k)), r AS (SELECT count(*) AS n FROM b ANTI JOIN a USING (k)), m AS (SELECT k, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS bby FROM a JOIN b USING (k))
+SELECT 'c_acctbal' AS "column", count(ax - bx) AS n_compared, CAST(count_if((ax IS NULL) <> (bx IS NULL)) AS BIGINT) AS n_one_known, round(max(abs(ax - bx)), 6) AS max_gap, round(avg(abs(ax - bx)), 6) AS mean_gap,
+ CAST(count_if(abs(ax - bx) > 0.05) AS BIGINT) AS n_over, (SELECT n FROM l) AS only_left, (SELECT n FROM r) AS only_right FROM m
+UNION ALL SELECT 'c_nationkey', count(ay - bby), 0, CAST(max(abs(ay - bby)) AS DOUBLE), avg(abs(ay - bby)), CAST(count_if(abs(ay - bby) > 0.05) AS BIGINT), (SELECT n FROM l), (SELECT n FROM r) FROM m"""
 
 
 def bounds_check(spark, d):

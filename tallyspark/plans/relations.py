@@ -346,23 +346,6 @@ def pivot_categories(spark, d):
 PIVOT_CATEGORIES = """SELECT l_suppkey, max(CASE WHEN l_returnflag = 'A' THEN 1 END) AS flag_a, max(CASE WHEN l_returnflag = 'N' THEN 1 END) AS flag_n, max(CASE WHEN l_returnflag = 'R' THEN 1 END) AS flag_r FROM lineitem GROUP BY 1"""
 
 
-def schedule_features(spark, d):
-    """Counts of home, road and neutral games, road wins, and of strong opponents by a rule that changes with the season."""
-    rows = home_away_stack(spark, d).join(games(spark, d).select("game", "neutral"), "game")
-    strong = F.col("opponent").isin(1, 2, 3) | ((F.col("season") >= 1998) & (F.col("opponent") == 4))
-    away = ~F.col("is_home") & ~F.col("neutral")
-    return rounded(rows.groupBy("team", "season").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_home") & ~F.col("neutral")).alias("home"), F.count_if(away).alias("road"), F.count_if("neutral").alias("neutral"),
-        F.count_if(strong).alias("strong"), F.avg(F.when(away, F.col("points"))).alias("road_points"), F.avg(E.flag(F.col("points") > F.col("allowed"))).alias("win_share"),
-    ))
-
-
-SCHEDULE_FEATURES = f"""WITH {GAMES}, {STACK}, r AS (SELECT st.*, neutral FROM st JOIN games USING (game))
-SELECT team, season, count(*) AS total, CAST(count_if(is_home AND NOT neutral) AS BIGINT) AS home, CAST(count_if(NOT is_home AND NOT neutral) AS BIGINT) AS road, CAST(count_if(neutral) AS BIGINT) AS neutral,
- CAST(count_if(opponent IN (1, 2, 3) OR (season >= 1998 AND opponent = 4)) AS BIGINT) AS strong, round(avg(points) FILTER (WHERE NOT is_home AND NOT neutral), 6) AS road_points,
- round(avg(CAST(points > allowed AS INTEGER)), 6) AS win_share FROM r GROUP BY ALL"""
-
-
 def fill_and_clip(spark, d):
     c = table(spark, d, "customer").withColumn("b", F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")))
     median = c.agg(F.percentile("b", F.lit(0.5)).alias("m"))
@@ -379,7 +362,7 @@ QUERIES = {
     "blue_chip_ratio": blue_chip_ratio, "roster_turnover": roster_turnover, "tenure_counts": tenure_counts, "portal_flow_totals": portal_flow_totals, "pair_net_flow": pair_net_flow,
     "quality_delta": quality_delta, "union_universe": union_universe, "set_difference": set_difference, "union_by_name": union_by_name, "top_bottom_n": top_bottom_n, "largest_misses": largest_misses,
     "split_compound": split_compound, "mmss_minutes": mmss_minutes, "json_ids": json_ids, "name_normalize": name_normalize, "resolve_names": resolve_names, "match_shares": match_shares,
-    "keep_latest_upsert": keep_latest_upsert, "missing_slots": missing_slots, "insert_missing_dim": insert_missing_dim, "pivot_categories": pivot_categories, "schedule_features": schedule_features,
+    "keep_latest_upsert": keep_latest_upsert, "missing_slots": missing_slots, "insert_missing_dim": insert_missing_dim, "pivot_categories": pivot_categories,
     "fill_and_clip": fill_and_clip,
 }
 ORACLES = {
@@ -392,5 +375,5 @@ ORACLES = {
     "split_compound": SPLIT_COMPOUND, "mmss_minutes": MMSS_MINUTES, "json_ids": JSON_IDS, "name_normalize": NAME_NORMALIZE, "resolve_names": RESOLVE_NAMES, "match_shares": MATCH_SHARES,
     "keep_latest_upsert": KEEP_LATEST_UPSERT, "missing_slots": MISSING_SLOTS,
     "insert_missing_dim": "SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey < 12 UNION SELECT s_nationkey FROM supplier", "pivot_categories": PIVOT_CATEGORIES,
-    "schedule_features": SCHEDULE_FEATURES, "fill_and_clip": FILL_AND_CLIP,
+    "fill_and_clip": FILL_AND_CLIP,
 }

@@ -8,27 +8,43 @@ from ..functions.exprs import is_success, margin_label, safe_div
 from ..operators import aggregates as A
 from ..operators import windows as X
 from ..sources.tables import table
-from .common import GAMES, PLAYS, TEAM_WEEKS, games, plays, rounded, team_weeks, year
+from .common import DRIVES, GAMES, PLAYS, TEAM_WEEKS, drives, games, plays, rounded, team_weeks, year
 
 
 def play_side_agg(spark, d):
-    p = plays(spark, d)
-    ok = is_success(F.col("down"), F.col("distance"), F.col("gained"))
-    return rounded(A.play_side_measures(p, ["team", "season", "week"], F.col("is_run"), "gained", "value", "distance", ok, 40.0))
-
-
-PLAY_SIDE_AGG = f"""WITH {PLAYS}, q AS (SELECT *, coalesce(distance > 0 AND gained >= CASE down WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 1.0 END * distance, FALSE) AS ok FROM plays),
-a AS (SELECT team, season, week, count(*) AS plays, count_if(is_run) AS runs, count_if(NOT is_run) AS passes, count_if(ok) AS successes,
- count_if(ok AND is_run) AS run_successes, count_if(ok AND NOT is_run) AS pass_successes, count_if(gained >= 40 AND is_run) AS explosive_runs,
- count_if(gained >= 40 AND NOT is_run) AS explosive_passes, coalesce(sum(gained), 0) AS gained, coalesce(sum(gained) FILTER (WHERE is_run), 0) AS run_gained,
- coalesce(sum(value), 0) AS value, coalesce(sum(value) FILTER (WHERE is_run), 0) AS run_value, coalesce(sum(value) FILTER (WHERE NOT is_run), 0) AS pass_value,
- avg(distance) FILTER (WHERE NOT is_run) AS avg_pass_distance FROM q GROUP BY ALL)
-SELECT team, season, week, plays, CAST(runs AS BIGINT) AS runs, CAST(passes AS BIGINT) AS passes, CAST(successes AS BIGINT) AS successes, CAST(run_successes AS BIGINT) AS run_successes,
- CAST(pass_successes AS BIGINT) AS pass_successes, CAST(explosive_runs AS BIGINT) AS explosive_runs, CAST(explosive_passes AS BIGINT) AS explosive_passes, round(gained, 6) AS gained,
- round(run_gained, 6) AS run_gained, round(value, 6) AS value, round(run_value, 6) AS run_value, round(pass_value, 6) AS pass_value, round(avg_pass_distance, 6) AS avg_pass_distance,
- round(successes / nullif(plays, 0), 6) AS success_rate, round(run_successes / nullif(runs, 0), 6) AS run_success_rate, round(pass_successes / nullif(passes, 0), 6) AS pass_success_rate,
- round(value / nullif(plays, 0), 6) AS value_per_play, round(run_value / nullif(runs, 0), 6) AS value_per_run, round(pass_value / nullif(passes, 0), 6) AS value_per_pass,
- round(explosive_runs / nullif(runs, 0), 6) AS explosive_run_rate, round(gained / nullif(plays, 0), 6) AS gained_per_play FROM a"""
+    """36 measures of offence and defence by team, season and week."""
+    p = plays(spark, d).withColumn("success", is_success(F.col("down"), F.col("distance"), F.col("gained")))
+    p = p.withColumnsRenamed({"team": "offense", "opponent": "defense"})
+    return rounded(A.both_sides(p, drives(spark, d), ["season", "week"], 40.0))
+
+
+_RUN, _PASS = "kind = 'run'", "kind = 'pass'"
+_COUNTS = {
+    "plays": "TRUE", "run_plays": _RUN, "pass_plays": _PASS, "successes": "ok", "run_successes": f"ok AND {_RUN}", "pass_successes": f"ok AND {_PASS}",
+    "explosives": "gained >= 40", "run_explosives": f"gained >= 40 AND {_RUN}", "pass_explosives": f"gained >= 40 AND {_PASS}",
+    "first_down_successes": "ok AND down = 1", "first_down_run_successes": f"ok AND down = 1 AND {_RUN}", "first_down_pass_successes": f"ok AND down = 1 AND {_PASS}",
+}
+_SHARES = {
+    "run_rate": ("run_plays", "plays"), "pass_rate": ("pass_plays", "plays"), "first_down_pass_rate": ("fp", "f"), "value_per_play": ("value", "plays"), "run_value_per_play": ("run_value", "run_plays"),
+    "pass_value_per_play": ("pass_value", "pass_plays"), "success_rate": ("successes", "plays"), "run_success_rate": ("run_successes", "run_plays"), "pass_success_rate": ("pass_successes", "pass_plays"),
+    "explosive_rate": ("explosives", "plays"), "run_explosive_rate": ("run_explosives", "run_plays"), "pass_explosive_rate": ("pass_explosives", "pass_plays"), "first_down_success_rate": ("first_down_successes", "f"),
+    "first_down_run_success_rate": ("first_down_run_successes", "fr"), "first_down_pass_success_rate": ("first_down_pass_successes", "fp"), "scoring_drive_share": ("scoring_drives", "drives"), "touchdown_drive_share": ("touchdown_drives", "drives"),
+}
+
+
+def _side_sql(side, team):
+    counts = ", ".join(f"CAST(count_if({cond}) AS BIGINT) AS {n}" for n, cond in _COUNTS.items())
+    plain = [*_COUNTS, "drives", "scoring_drives", "touchdown_drives"]
+    values = ["value", "run_value", "pass_value", "third_down_distance"]
+    out = [f"{n} AS {side}_{n}" for n in plain] + [f"round({n}, 6) AS {side}_{n}" for n in values] + [f"round({a} / nullif({b}, 0), 6) AS {side}_{n}" for n, (a, b) in _SHARES.items()]
+    return f"""SELECT team, season, week, {", ".join(out)} FROM (SELECT a.*, coalesce(n, 0) AS drives, coalesce(s, 0) AS scoring_drives, coalesce(t, 0) AS touchdown_drives FROM (
+ SELECT {team} AS team, season, week, {counts}, coalesce(sum(value), 0) AS value, coalesce(sum(value) FILTER (WHERE {_RUN}), 0) AS run_value, coalesce(sum(value) FILTER (WHERE {_PASS}), 0) AS pass_value,
+ avg(distance) FILTER (WHERE down = 3) AS third_down_distance, count_if(down = 1) AS f, count_if(down = 1 AND {_RUN}) AS fr, count_if(down = 1 AND {_PASS}) AS fp FROM q GROUP BY ALL) a
+ LEFT JOIN (SELECT {side} AS team, season, week, count(*) AS n, CAST(count_if(scored) AS BIGINT) AS s, CAST(count_if(touchdown) AS BIGINT) AS t FROM drives GROUP BY ALL) dr USING (team, season, week))"""
+
+
+PLAY_SIDE_AGG = f"""WITH {PLAYS}, {DRIVES}, q AS (SELECT *, coalesce(distance > 0 AND gained >= CASE down WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 1.0 END * distance, FALSE) AS ok FROM plays)
+SELECT * FROM ({_side_sql("offense", "team")}) FULL JOIN ({_side_sql("defense", "opponent")}) USING (team, season, week)"""
 
 _W = ["team", "season"]
 

@@ -18,13 +18,18 @@ from tallyspark.operators import selection as S
 
 
 def test_side_measures(spark):
-    rows = [("A", 1, 10, 6, True, 1.0), ("A", 3, 5, 25, True, 0.7), ("A", 2, 10, 2, False, -0.7), ("A", 3, 5, 1, False, -1.0)]
-    p = spark.createDataFrame(rows, "team string, down int, distance int, gained int, is_run boolean, epa double")
-    r = A.play_side_measures(p, ["team"], F.col("is_run"), "gained", "epa", "distance", is_success(F.col("down"), F.col("distance"), F.col("gained")), 20).first()
-    assert (r["plays"], r["runs"], r["passes"], r["successes"], r["explosive_runs"]) == (4, 2, 2, 2, 1)
-    assert r["value"] == pytest.approx(0) and r["value_per_run"] == pytest.approx(0.85) and r["value_per_pass"] == pytest.approx(-0.85)
-    none = A.play_side_measures(p.where("is_run"), ["team"], F.col("is_run"), "gained", "epa", "distance", F.lit(None).cast("boolean"), 20).first()
-    assert none["pass_success_rate"] is None and none["pass_value"] == 0
+    rows = [("A", "B", 1, 10, 6, "run", 1.0), ("A", "B", 3, 5, 25, "run", 0.7), ("A", "B", 2, 10, 2, "pass", -0.7), ("A", "C", 3, 5, 1, "pass", -1.0), (None, "C", 1, 10, 50, "other", None)]
+    p = spark.createDataFrame(rows, "offense string, defense string, down int, distance int, gained int, kind string, value double")
+    p = p.withColumn("success", is_success(F.col("down"), F.col("distance"), F.col("gained"))).withColumn("week", F.lit(1))
+    d = spark.createDataFrame([("A", "B", 1, True, False), ("A", "C", 1, None, None), ("B", "A", 1, True, True)], "offense string, defense string, week int, scored boolean, touchdown boolean")
+    got = {r["team"]: r for r in A.both_sides(p, d, ["week"], 20).collect()}
+    r = got["A"]
+    assert len(r) == 2 + 2 * 36 and set(got) == {"A", "B", "C"}
+    assert (r["offense_plays"], r["offense_run_plays"], r["offense_pass_plays"], r["offense_successes"], r["offense_run_explosives"], r["offense_drives"], r["offense_scoring_drives"]) == (4, 2, 2, 2, 1, 2, 1)
+    assert r["offense_value"] == pytest.approx(0) and r["offense_run_value_per_play"] == pytest.approx(0.85) and r["offense_pass_value_per_play"] == pytest.approx(-0.85)
+    assert (r["offense_third_down_distance"], r["offense_first_down_run_success_rate"], r["offense_first_down_pass_success_rate"], r["offense_scoring_drive_share"]) == (5, 1, None, 0.5)
+    assert r["defense_plays"] is None and got["B"]["offense_plays"] is None
+    assert (got["C"]["defense_plays"], got["C"]["defense_explosives"], got["C"]["defense_run_success_rate"], got["C"]["defense_drives"], got["B"]["defense_drives"]) == (2, 1, None, 1, 1)
 
 
 def test_gini(spark):
@@ -183,8 +188,14 @@ def test_checks(spark):
     with pytest.raises(ValueError):
         C.same_count(frame, frame.limit(1), "join")
     assert {r["column"]: r["n"] for r in C.out_of_bounds(frame, {"x": (1.5, None)}).collect()} == {"x": 2}
-    r = C.frame_diff(frame.where("k > 2"), frame.where("k > 2").withColumn("x", F.lit(0.2)), ["k"], ["x"], 0.05).first()
-    assert (r["n"], r["max_gap"], r["n_over"]) == (1, 0.2, 1)
+    a = spark.createDataFrame([(1, 1.0), (2, None), (3, 5.0), (4, None), (5, 0.0)], "k int, x double")
+    b = spark.createDataFrame([(1, 1.2), (2, 5.0), (3, 5.0), (4, None), (6, 0.0)], "k int, x double")
+    r = C.frame_diff(a, b, ["k"], ["x"], 0.05).first()
+    assert (r["n_compared"], r["n_one_known"], r["n_over"], r["only_left"], r["only_right"]) == (2, 1, 1, 1, 1) and r["max_gap"] == pytest.approx(0.2)
+    counts = spark.createDataFrame([(s,) for s, n in ((1, 10), (2, 12), (3, 5), (4, 9)) for _ in range(n)], "s int")
+    assert {r["s"]: (r["median_n"], r["is_short"]) for r in C.short_periods(counts, "s").collect()}[3] == (9.5, True)
+    assert {r["s"]: (r["median_n"], r["is_short"]) for r in C.short_periods(counts, "s", without_itself=True).collect()}[3] == (10, True)
+    assert C.wrong_columns(frame, ["k", "x", "y"], ("x",)) == ["y", "x"]
     slots = C.coverage(spark.createDataFrame([(1, 9), (2, 9), (5, 8)], "k int, s int"), frame, ["k"], ["s"])
     assert {r["s"]: (r["slots"], r["matched"], r["rate"]) for r in slots.collect()} == {9: (2, 2, 1.0), 8: (1, 0, 0.0)}
     assert C.incomplete(frame, ["k"], "x").where("too_many").first()["k"] == 3

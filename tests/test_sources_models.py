@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tallyspark.operators import models
 from tallyspark.sources import tables as S
-from tallyspark.streaming.refresh import refresh
+from tallyspark.streaming import refresh as refreshing
+from tallyspark.streaming.refresh import read_version, refresh
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,14 +72,46 @@ def test_payload(spark):
     assert got.columns == ["game", "total_yards", "first_downs"] and sorted(map(tuple, got.collect())) == [(1, "10", "3"), (2, None, None)]
 
 
-def test_stream_keeps_the_latest(spark, tmp_path):
-    source, path = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "k int, season int, v int, seq int"
-    for batch in ([(1, 2023, 10, 1), (2, 2024, 20, 1), (2, 2024, 21, 2)], [(2, 2024, 30, 3), (3, 2024, 40, 3)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        refresh(stream, path, ["k"], ["season"], [F.col("seq").desc()], str(tmp_path / "ckpt")).awaitTermination()
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 30), (3, 40)]
+SEASONS = "k int, season int, v int, seq int"
+
+
+def weekly(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, SEASONS).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    return spark.readStream.schema(SEASONS).parquet(str(tmp_path / name))
+
+
+def test_weekly_refresh(spark, tmp_path):
+    path, kept = str(tmp_path / "t"), lambda: sorted((r["k"], r["v"]) for r in read_version(spark, path, SEASONS).collect())
+    run = lambda stream: refresh(stream, path, ["k"], ["season"], [F.col("seq").desc()], str(tmp_path / "ckpt")).awaitTermination()
+    run(weekly(spark, tmp_path, "in", [(1, 2023, 10, 1), (2, 2024, 20, 1), (5, None, 5, 1)]))
+    run(weekly(spark, tmp_path, "in", [(2, 2024, 30, 2), (2, 2024, 25, 1), (3, 2024, 40, 1)]))
+    assert kept() == [(1, 10), (2, 30), (3, 40), (5, 5)]
+    assert sorted(r["k"] for r in read_version(spark, path, SEASONS, ["season=2024"]).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("where", ["write", "publish", "after"])
+def test_a_refresh_that_fails_leaves_the_old_rows(spark, tmp_path, monkeypatch, where):
+    path, kept = str(tmp_path / "t"), lambda: sorted((r["k"], r["v"]) for r in read_version(spark, path, SEASONS).collect())
+    run = lambda stream: refresh(stream, path, ["k"], ["season"], [F.col("seq").desc()], str(tmp_path / "ckpt")).awaitTermination()
+    run(weekly(spark, tmp_path, "in", [(1, 2024, 10, 1), (2, 2024, 20, 1)]))
+    stream = weekly(spark, tmp_path, "in", [(2, 2024, 30, 2)])
+    publish, upsert = refreshing._publish, refreshing.upsert
+
+    def broken(*args):
+        if where == "after":
+            publish(*args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if where == "write":  # some rows are written before a task fails
+            m.setattr(refreshing, "upsert", lambda *a: upsert(*a).withColumn("v", F.when(F.col("k") == 2, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v"))))
+        else:
+            m.setattr(refreshing, "_publish", broken)
+        with pytest.raises(Exception, match="lost"):
+            run(stream)
+    assert kept() == ([(1, 10), (2, 30)] if where == "after" else [(1, 10), (2, 20)])
+    run(stream)
+    assert kept() == [(1, 10), (2, 30)]
 
 
 @pytest.fixture(scope="module")
