@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
+from .windows import average_ranks, sliced
 
-SLICES = 1024
 
 
 def regression(df: DataFrame, by: list[str], y: str, p: str, within: float = 1.0) -> DataFrame:
@@ -40,12 +42,9 @@ def classification(df: DataFrame, by: list[str], y: str, p: str, threshold: floa
 def cumulative_counts(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, pos, neg, pos_above, neg_above) for each different score: how many rows score higher.
 
-    Scores are cut into slices of their range; slices are summed up on their own, then within, so no task holds all.
+    Scores are cut into slices at approximate quantiles; slices are summed up on their own, then within, so no task holds all.
     """
-    counts = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    ends = counts.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    place = F.least(F.lit(SLICES - 1), F.floor(F.coalesce(safe_div(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * SLICES))
-    counts = counts.join(F.broadcast(ends)).withColumn("__slice", place).drop("__lo", "__hi")
+    counts = sliced(df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")), score)
     above = W.orderBy(F.col("__slice").desc()).rowsBetween(W.unboundedPreceding, -1)
     slices = counts.groupBy("__slice").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     slices = slices.select("__slice", F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__p"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__n"))
@@ -127,13 +126,51 @@ def residual_interval(df: DataFrame, y: str, p: str, low: float = 0.1, high: flo
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks by group. Ranks need a group's order: use groups that fit in a task."""
-    from .windows import average_rank
-
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", average_rank(by, x)).withColumn("__y", average_rank(by, y))
+    """Correlation of average ranks by group, for groups of any size."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_ranks(average_ranks(known, by, x, "__x"), by, y, "__y")
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("spearman"))
 
 
+def inner_seasons(n_seasons: int, wanted: int) -> int:
+    """Seasons that inner folds train on at first: as many as wanted, but one is left to score."""
+    return max(1, min(wanted, n_seasons - 1))
+
+
+def student_p(t: float, degrees: int) -> float:
+    """Two-sided p-value of a t statistic: a regularised incomplete beta function, by the continued fraction of Lentz."""
+    x = degrees / (degrees + t * t)
+    a, b = degrees / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    return _beta(x, a, b)
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-30, 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), 1e-30)
+    out = d
+    for m in range(1, 300):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (n, slope, r2, p): a straight line through the points, and the p-value of its slope; null for fewer than three points."""
+    row = df.agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2")).first()
+    n, r2, p = row["n"], row["r2"], None
+    if n > 2 and r2 is not None:
+        p = 0.0 if r2 >= 1 else student_p(math.sqrt(r2 * (n - 2) / (1 - r2)), n - 2)
+    return df.sparkSession.createDataFrame([(n, row["slope"], r2, p)], "n long, slope double, r2 double, p double")
+
+
 def folds(seasons: list[int], first: int, holdout: int | None = None, excluded: tuple[int, ...] = ()) -> list[tuple[list[int], int]]:
     """(training seasons, validation season): every fold trains on all seasons before it, never on the holdout."""
     usable = sorted(s for s in seasons if s not in excluded and s != holdout)

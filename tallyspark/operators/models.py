@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import folds
+from .metrics import folds, inner_seasons
 
 SEED = 42
 
@@ -85,6 +85,26 @@ def stack(oof: dict[str, DataFrame], keys: list[str], target: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys), frames).dropna()
 
 
+def stacked(
+    df: DataFrame, season: str, bases: dict[str, str], meta: str, numeric: list[str], target: str, seasons: list[int], first: int, key: list[str], min_inner: int = 2,
+) -> DataFrame:
+    """Out-of-fold predictions of a classifier on the base models' predictions. bases: name -> model.
+
+    In every fold the base models' predictions for its training seasons are made out of fold themselves (inner folds, by season), the meta
+    model is fitted on rows that all of them scored, and the base models are fitted again on the whole training part to score the fold.
+    """
+    parts = []
+    for train, valid in folds(seasons, first):
+        own, held = df.where(F.col(season).isin(train)).cache(), df.where(F.col(season) == valid)
+        start = sorted(train)[min(inner_seasons(len(train), min_inner), len(train) - 1)]
+        inner = {n: walk_forward(own, season, m, numeric, target, True, train, start) for n, m in bases.items()}
+        fitted = fit(stack(inner, key, target), meta, list(bases), target, True)
+        scored = reduce(lambda a, b: a.join(b, key), [score(fit(own, m, numeric, target, True), held, True).select(*key, F.col("p").alias(n)) for n, m in bases.items()])
+        out = score(fitted, held.join(scored, key), True).withColumn("fold", F.lit(valid))
+        parts.append(out.drop(*bases))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def isotonic(df: DataFrame, p: str, target: str, weight: str | None = None):
     """A monotone map from scores to probabilities."""
     v = VectorAssembler(inputCols=[p], outputCol="features").transform(df.withColumn("label", F.col(target).cast("double")))
@@ -122,6 +142,29 @@ def embedded_selection(df: DataFrame, model: str, numeric: list[str], target: st
     return sorted((c for c in numeric if sizes[c] > 0), key=lambda c: (-sizes[c], numeric.index(c)))[:top]
 
 
+def select_by_grid(df: DataFrame, season: str, model: str, grid: list[dict], numeric: list[str], target: str, seasons: list[int], first: int, top: int) -> list[str]:
+    """The embedded selection by the parameters that classify best over time-ordered folds (least mean log loss, the first of equals)."""
+    losses = []
+    for k, params in enumerate(grid):
+        oof = walk_forward(df, season, model, numeric, target, True, seasons, first, **params)
+        p = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
+        loss = oof.groupBy("fold").agg(F.avg(-F.when(F.col(target) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss")).agg(F.avg("loss")).first()[0]
+        losses.append((loss, k))
+    return embedded_selection(df.where(F.col(season).isin(seasons)), model, numeric, target, True, top, **grid[min(losses)[1]])
+
+
+def learning_curve(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], valid: int) -> DataFrame:
+    """(seasons, train_loss, valid_loss): fitted on the last 1, 2, ... seasons before ``valid``; Brier score or absolute error."""
+    before, rows = sorted((s for s in seasons if s < valid), reverse=True), []
+    gap = F.col("p") - F.col(target)
+    loss = F.avg(gap * gap if classify else F.abs(gap))
+    for n in range(1, len(before) + 1):
+        own = df.where(F.col(season).isin(before[:n]))
+        fitted = fit(own, model, numeric, target, classify)
+        rows.append((n, *(score(fitted, x, classify).agg(loss).first()[0] for x in (own, df.where(F.col(season) == valid)))))
+    return df.sparkSession.createDataFrame(rows, "seasons int, train_loss double, valid_loss double")
+
+
 def recursive_elimination(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, keep: int) -> list[str]:
     """Drops the column of least absolute coefficient and fits again, until ``keep`` are left."""
     left = list(numeric)

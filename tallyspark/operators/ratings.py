@@ -39,8 +39,8 @@ def rate(rows: DataFrame, period: str, passes: int = 200) -> DataFrame:
         pdf = pdf.sort_values(["team", "opponent"])
         teams = np.unique(pdf["team"])
         team = np.searchsorted(teams, pdf["team"])
-        place = np.minimum(np.searchsorted(teams, pdf["opponent"]), len(teams) - 1)
-        rated = teams[place] == pdf["opponent"].to_numpy()
+        place = pd.Index(teams).get_indexer(pdf["opponent"])
+        rated = place >= 0
         games = np.bincount(team, pdf["weight"], len(teams))
         base = np.bincount(team, pdf["total"], len(teams))
         r = np.zeros(len(teams))
@@ -53,15 +53,22 @@ def rate(rows: DataFrame, period: str, passes: int = 200) -> DataFrame:
     return pairs.groupBy(period).applyInPandas(solve, f"{period} {kind}, team {team_kind}, rating double")
 
 
-def rate_by_joins(rows: DataFrame, period: str, passes: int) -> DataFrame:
-    """The same for a few passes and any number of teams, by joins and grouped means."""
-    pairs = rows.groupBy(period, "team", "opponent").agg(F.sum("margin").alias("total"), F.count(F.lit(1)).alias("games"))
+def rate_by_joins(rows: DataFrame, period: str, passes: int, cut_every: int = 8) -> DataFrame:
+    """The same for any number of teams, by joins and grouped means.
+
+    Where ``spark.checkpoint.dir`` is set the lineage is cut after every few passes, so a pass costs the same however many went before.
+    """
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    pairs = rows.groupBy(period, "team", "opponent").agg(F.sum(weight * F.col("margin")).alias("total"), F.sum(weight).alias("games"))
     now = pairs.select(period, "team").distinct().withColumn("rating", F.lit(0.0))
-    for _ in range(passes):
+    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    for n in range(1, passes + 1):
         seen = pairs.join(now.select(period, F.col("team").alias("opponent"), F.col("rating").alias("r")), [period, "opponent"], "left")
         raw = seen.groupBy(period, "team").agg((F.sum(F.col("total") + F.col("games") * F.coalesce("r", F.lit(0.0))) / F.sum("games")).alias("raw"))
         mean = raw.groupBy(period).agg(F.avg("raw").alias("mean"))
         now = raw.join(mean, period).select(period, "team", (F.col("raw") - F.col("mean")).alias("rating"))
+        if shared and n % cut_every == 0 and n < passes:
+            now = now.checkpoint()
     return now
 
 

@@ -34,6 +34,22 @@ def prune_correlated(df: DataFrame, cols: list[str], target: str, limit: float =
     return [c for k, c in enumerate(cols) if k not in gone]
 
 
+def collapse_transforms(df: DataFrame, cols: list[str], groups: list[list[str]], target: str, limit: float = 0.9) -> list[str]:
+    """Of every group of columns (one statistic by several transforms) those go that correlate above the limit with the one most associated with the target."""
+    strength, gone = target_association(df, cols, target), set()
+    for group in ([c for c in g if c in cols] for g in groups):
+        if len(group) > 1:
+            best, *others = sorted(group, key=lambda c: -strength[c])
+            row = df.agg(*[F.abs(F.corr(best, c)).alias(c) for c in others]).first()
+            gone |= {c for c in others if (row[c] or 0.0) > limit}
+    return [c for c in cols if c not in gone]
+
+
+def prune_in_two_passes(df: DataFrame, cols: list[str], groups: list[list[str]], target: str, collapse: float = 0.9, limit: float = 0.9) -> list[str]:
+    """Transforms of one statistic first, then any pair. Call it with the training rows of a fold only."""
+    return prune_correlated(df, collapse_transforms(df, cols, groups, target, collapse), target, limit)
+
+
 def cluster_average_linkage(similarity: np.ndarray, limit: float) -> list[list[int]]:
     """Clusters of items whose mean distance (1 - |similarity|) to each other's cluster is at most the limit."""
     d = 1 - np.abs(similarity)

@@ -104,10 +104,36 @@ def ratio_to_first(keys: list[str], order: list, x: str) -> Column:
     return safe_div(F.col(x), first) - 1
 
 
-def average_rank(keys: list[str], x: str) -> Column:
-    """Rank of x within its group, ties sharing the mean of their ranks."""
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, x))
-    return F.rank().over(_spec(keys, [x])) + (ties - 1) / 2
+def sliced(df: DataFrame, x: str, n: int = 128) -> DataFrame:
+    """Adds __slice: which of n ranges of x a row lies in. The edges are approximate quantiles, so crowded values are spread over slices."""
+    points = F.array(*[F.lit(k / n) for k in range(1, n)])
+    edges = df.agg(F.array_distinct(F.percentile_approx(x, points, F.lit(10_000))).alias("__edges"))
+    return df.join(F.broadcast(edges)).withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")
+
+
+def lag_by_slices(df: DataFrame, keys: list[str], order: str, x: str, name: str) -> DataFrame:
+    """x of the row before in a group of any size, for a unique order: groups are cut into slices of the order, and the first row of a slice
+    takes the last value of the slice before."""
+    rows, w = sliced(df, order), W.partitionBy(*keys, "__slice").orderBy(order)
+    ends = rows.groupBy(*keys, "__slice").agg(F.max_by(F.struct(F.col(x).alias("v")), order).alias("__end"))
+    before = F.lag("__end").over(W.partitionBy(*keys).orderBy("__slice"))
+    ends = ends.withColumn("__before", before).drop("__end")
+    rows = rows.withColumns({"__first": F.row_number().over(w) == 1, name: F.lag(x).over(w)}).join(F.broadcast(ends), [*keys, "__slice"], "left")
+    return rows.withColumn(name, F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col(name))).drop("__slice", "__first", "__before")
+
+
+def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """Adds the rank of x within its group, ties sharing the mean of their ranks, for groups of any size.
+
+    Equal values are counted first; the counts are summed up by slices of x, then within each.
+    """
+    counts = sliced(df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__m")), x)
+    below = lambda w: F.coalesce(F.sum("__m").over(w.rowsBetween(_ALL, -1)), F.lit(0))
+    slices = counts.groupBy(*keys, "__slice").agg(F.sum("__m").alias("__m"))
+    slices = slices.select(*keys, "__slice", below(W.partitionBy(*keys).orderBy("__slice")).alias("__below"))
+    rank = F.col("__below") + below(W.partitionBy(*keys, "__slice").orderBy(x)) + (F.col("__m") + 1) / 2
+    ranks = counts.join(F.broadcast(slices), [*keys, "__slice"]).select(*keys, x, rank.alias(name))
+    return df.join(ranks, [*keys, x])
 
 
 def season_shift(df: DataFrame, season: str, cols: list[str], by: int, keys: list[str]) -> DataFrame:

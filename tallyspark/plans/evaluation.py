@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -12,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import models
 from ..operators import ratings as T
 from ..operators import selection as S
+from ..operators import windows as X
 from ..operators.joins import stack_sides
 from ..sources.tables import table
 from .common import GAMES, PREDICTIONS, games, predictions, rounded, year
@@ -125,9 +125,9 @@ SELECT round(corr(a, c), 6) AS spearman, round(max_by(rate, bucket) - min_by(rat
 
 def baselines(spark, d):
     """Each row against the mean of its type, the mean of all, and the previous value of its type."""
-    w = W.partitionBy("event_type").orderBy("event_id")
-    p = predictions(spark, d)
-    p = p.withColumn("previous", F.lag("actual").over(w)).withColumn("type_mean", F.avg("actual").over(W.partitionBy("event_type")))
+    p = X.lag_by_slices(predictions(spark, d), ["event_type"], "event_id", "actual", "previous")
+    means = p.groupBy("event_type").agg(F.avg("actual").alias("type_mean"))
+    p = p.join(F.broadcast(means), "event_type")
     total = p.agg(F.avg("actual").alias("overall"))
     p = p.join(F.broadcast(total))
     err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual")))
@@ -295,12 +295,22 @@ SELECT CASE WHEN p >= 0.7 THEN 'favourite' WHEN p <= 0.3 THEN 'underdog' ELSE 't
 
 def linear_trend(spark, d):
     n = table(spark, d, "orders").groupBy(year("o_orderdate").alias("season")).agg(F.avg("o_totalprice").alias("mean_price"))
-    return rounded(n.agg(F.regr_slope("mean_price", "season").alias("slope"), F.regr_r2("mean_price", "season").alias("r2")), 4)
+    return rounded(M.linear_trend(n, "season", "mean_price").select("slope", "r2"), 4)
 
 
 LINEAR_TREND = "WITH n AS (SELECT year(o_orderdate) AS season, avg(o_totalprice) AS m FROM orders GROUP BY 1) SELECT round(regr_slope(m, season), 4) AS slope, round(regr_r2(m, season), 4) AS r2 FROM n"
 
 
+def srs_settled(spark, d):
+    """Ratings of every season after 200 passes. SQL cannot follow so many; a test compares it with plain Python."""
+    return rounded(T.rate(_margins(spark, d), "season"))
+
+
+def fit_exponent(spark, d):
+    """The exponent after three rounds of ever finer grids; a test compares it with a search in plain Python."""
+    return rounded(T.fit_exponent(pythagorean(spark, d).where("pf > 0"), "pf", "pa", "pct"))
+
+
 def correlation_pairs(spark, d):
     """Correlations of line item columns, each pair once."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -339,6 +349,7 @@ QUERIES = {
     "phantom_prior": phantom_prior, "matchup_projection": matchup_projection, "expected_wins": expected_wins, "dup_keys": dup_keys, "coverage_rate": coverage_rate, "null_rate": null_rate,
     "shortened_period": shortened_period, "completeness_gate": completeness_gate, "frame_diff": frame_diff, "bounds_check": bounds_check, "favourite_check": favourite_check, "linear_trend": linear_trend,
     "correlation_pairs": correlation_pairs, "walk_forward_classifier": walk_forward_classifier, "walk_forward_regressor": walk_forward_regressor, "pruned_features": pruned_features,
+    "srs_settled": srs_settled, "fit_exponent": fit_exponent,
 }
 ORACLES = {
     "gini_by_group": GINI_BY_GROUP, "mode_by_group": MODE_BY_GROUP,

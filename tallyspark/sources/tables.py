@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,71 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def append_missing(df: DataFrame, path: str, done_by: list[str]) -> DataFrame:
+    """Appends the rows whose key the table at the path does not hold yet, and returns the table: a run that was broken off goes on."""
+    spark = df.sparkSession
+    if _exists(spark, path):
+        df = df.join(spark.read.schema(df.schema).parquet(path).select(*done_by).distinct(), done_by, "left_anti")
+    df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pull_calendar(spark: SparkSession, seasons: list[int], weeks: list[int], pull: Callable[[int, int], list[tuple]], schema: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The rows of all seasons and weeks. Slots are dealt to tasks, each of which pulls its own, with retries; nothing passes the driver."""
+    slots = spark.createDataFrame([(s, w) for s in seasons for w in weeks], "season int, week int").repartition(max(1, min(len(seasons) * len(weeks), 200)))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            for s, w in frame[["season", "week"]].itertuples(index=False):
+                rows = with_retry(lambda s=s, w=w: pull(int(s), int(w)), attempts, sleep=sleep)
+                yield pd.DataFrame([(int(s), int(w), *r) for r in rows], columns=["season", "week", *names])
+
+    return slots.mapInPandas(run, f"season int, week int, {schema}")
+
+
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small table as a markdown report; a longer one is an error, not a part of it."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    cell = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    return f"## {title}\n\n" + "\n".join(lines) + "\n"
+
+
+def load_config(path: str, env: dict[str, str]) -> dict:
+    """A YAML or JSON file; a value that is ${NAME} is that of the environment, and an error where it has none."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML files need PyYAML; write the configuration as JSON") from e
+        raw = yaml.safe_load(text)
+    else:
+        raw = json.loads(text)
+
+    def resolved(x):
+        if isinstance(x, dict):
+            return {k: resolved(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [resolved(v) for v in x]
+        if isinstance(x, str) and (m := re.fullmatch(r"\$\{(\w+)\}", x.strip())):
+            if m[1] not in env:
+                raise ValueError(f"{path}: {m[1]} is not set")
+            return env[m[1]]
+        return x
+
+    return resolved(raw)
+
+
 def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
@@ -82,8 +149,7 @@ def config_hash(config: dict) -> str:
 def build_once(spark: SparkSession, path: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at the path if it was built from this configuration, else builds it; the hash is part of the path."""
     full = f"{path}/config={config_hash(config)[:16]}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{full}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, full):
         build().write.mode("overwrite").parquet(full)
     return spark.read.parquet(full)
 

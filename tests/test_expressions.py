@@ -63,3 +63,13 @@ def test_column_names():
     names = E.expand_names(["points"])
     assert len(names) == 6 and [E.parse_name(n) for n in names][:3] == [("home", "prev_week", "points"), ("home", "avg_all", "points"), ("home", "avg3", "points")]
     assert E.parse_name("trend_points") == ("", "trend", "points") and E.parse_name("diff_epa") == ("diff", "", "epa")
+
+
+def test_names_lose_every_accent_and_what_has_no_plain_letter(spark):
+    rows = [("Şükrü Ńowak",), ("Nguyễn Văn",), ("ﬁeld Ĳssel",), ("Søren Łukasz",), ("Zo\u0308e",), ("Müller III",), (None,)]
+    assert one(spark, E.normalize_name(F.col("n")), rows, "n string") == ["sukru nowak", "nguyen van", "field ijssel", "sren ukasz", "zoe", "muller", ""]
+
+
+def test_cover_labels(spark):
+    rows = [(7, -3), (2, -3), (3, -3), (-1, 3), (-9, 3), (4, 0), (None, 3)]
+    assert one(spark, E.cover_label(F.col("m"), F.col("l")), rows, "m int, l int") == ["favourite", "underdog", None, "underdog", "favourite", None, None]

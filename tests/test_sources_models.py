@@ -177,3 +177,41 @@ def test_quantile_regression(spark, q):
     rows = spark.range(2000).selectExpr("cast(id % 20 as double) x", "cast(3 * (id % 20) + (id div 20) % 100 as double) y")
     intercept, slopes = models.quantile_regression(rows, ["x"], "y", q)
     assert slopes["x"] == pytest.approx(3, abs=0.6) and intercept + 9.5 * slopes["x"] == pytest.approx(28.5 + 100 * q, abs=5)
+
+
+def test_stacking_with_inner_folds(frame):
+    out = models.stacked(frame, "season", {"l": "logistic", "f": "random_forest"}, "logistic", ["x1", "x2"], "label", [0, 1, 2, 3, 4], 3, ["id"])
+    assert {r[0] for r in out.select("fold").distinct().collect()} == {3, 4} and out.where("fold <> season").count() == 0
+    assert out.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("int"))).first()[0] > 0.9
+
+
+def test_selection_by_grid_and_learning_curve(frame):
+    grid = [{"regParam": 5.0, "elasticNetParam": 1.0}, {"regParam": 0.01, "elasticNetParam": 0.5}]
+    assert models.select_by_grid(frame, "season", "elastic_net", grid, ["x1", "x2"], "label", [0, 1, 2, 3], 2, 1) == ["x1"]
+    curve = models.learning_curve(frame, "season", "ols", ["x1", "x2"], "y", False, [0, 1, 2, 3, 4], 4).orderBy("seasons").collect()
+    assert [r["seasons"] for r in curve] == [1, 2, 3, 4] and all(0 < r["valid_loss"] < 2 for r in curve)
+
+
+def test_calendar_pulls_reports_and_resumed_appends(spark, tmp_path):
+    df = S.pull_calendar(spark, [2023, 2024], [1, 2, 3], lambda s, w: [(s * 10 + w, "x")] * w, "n int, v string")
+    assert df.count() == 12 and df.where("n <> season * 10 + week").count() == 0
+    path = str(tmp_path / "oof")
+    S.append_missing(df.where("season = 2023"), path, ["season", "week"])
+    assert S.append_missing(df, path, ["season", "week"]).count() == 12
+    text = S.markdown(df.groupBy("season").count().orderBy("season"), "Rows")
+    assert text.splitlines()[0] == "## Rows" and text.splitlines()[-1] == "| 2024 | 6 |"
+    with pytest.raises(ValueError):
+        S.markdown(df, "Rows", 3)
+    S.write_csv(df.coalesce(1), str(tmp_path / "c"))
+    S.write_json(df, str(tmp_path / "j"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == spark.read.json(str(tmp_path / "j")).count() == 12
+    assert S.run_query(spark, "SELECT :a + 1 AS x", {"a": 2}).first()["x"] == 3
+
+
+def test_configuration(tmp_path):
+    (tmp_path / "c.json").write_text('{"db": {"user": "${USER_X}", "port": 5}, "seasons": [2023, "${S}"]}')
+    assert S.load_config(str(tmp_path / "c.json"), {"USER_X": "u", "S": "2024"}) == {"db": {"user": "u", "port": 5}, "seasons": [2023, "2024"]}
+    with pytest.raises(ValueError, match="USER_X"):
+        S.load_config(str(tmp_path / "c.json"), {"S": "1"})
+    (tmp_path / "c.yaml").write_text("a: ${S}\nb: [1, 2]\n")
+    assert S.load_config(str(tmp_path / "c.yaml"), {"S": "x"}) == {"a": "x", "b": [1, 2]}

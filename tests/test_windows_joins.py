@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs as E
@@ -87,9 +90,22 @@ def test_first_and_ties(spark):
     assert X.first_with_ties(frame, ["team"], [F.col("n").desc()]).count() == 2
 
 
-def test_average_rank(spark):
-    frame = spark.createDataFrame([("A", k, x) for k, x in enumerate([3.0, 1.0, 3.0, 9.0])], "team string, week int, x double")
-    assert col(frame.withColumn("r", X.average_rank(["team"], "x")), "r") == [2.5, 1.0, 2.5, 4.0]
+def test_average_ranks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("AB"), k, float(rng.randint(0, 40)) if k % 9 else 0.0) for k in range(400)]
+    frame = pd.DataFrame(rows, columns=["team", "week", "x"])
+    got = X.average_ranks(spark.createDataFrame(frame), ["team"], "x", "r").orderBy("week").toPandas()
+    assert got["r"].tolist() == frame.groupby("team")["x"].rank().tolist()
+
+
+def test_lag_by_slices(spark):
+    """The same as a window over whole groups, also where a slice has no row of a group and where values are null."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["A", "B", None]), k * k, None if k % 5 == 0 else float(k)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "g string, t int, x double")
+    plain = frame.withColumn("p", F.lag("x").over(W.partitionBy("g").orderBy("t"))).orderBy("t").collect()
+    got = X.lag_by_slices(frame.where("g is not null"), ["g"], "t", "x", "p").orderBy("t").collect()
+    assert [(r["g"], r["t"], r["p"]) for r in got] == [(r["g"], r["t"], r["p"]) for r in plain if r["g"] is not None]
 
 
 def at(day, hour=0):
