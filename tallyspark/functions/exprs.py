@@ -156,3 +156,25 @@ def parse_name(name: str) -> tuple[str, str, str]:
         if rest.endswith("_" + suffix):
             return side, suffix, rest[: -len(suffix) - 1]
     return side, "", rest
+
+
+def transform_groups(names: list[str]) -> dict[tuple[str, str], dict[str, str]]:
+    """(side, statistic) -> transform -> column name, of the columns that are one statistic by some transform."""
+    out: dict[tuple[str, str], dict[str, str]] = {}
+    for name in names:
+        side, transform, stat = parse_name(name)
+        if transform:
+            out.setdefault((side, stat), {})[transform] = name
+    return out
+
+
+def mirror_pairs(names: list[str], own: str = "offense", other: str = "defense") -> list[tuple[str, str]]:
+    """Columns that differ only in which side of the ball they name, the own one first."""
+    known = set(names)
+    return [(n, m) for n in names if own in n and (m := n.replace(own, other)) in known]
+
+
+def domain_of(name: str, domains: dict[str, tuple[str, ...]], default: str = "other") -> str:
+    """The first domain one of whose marks is in the column's statistic."""
+    stat = parse_name(name)[2]
+    return next((d for d, marks in domains.items() if any(m in stat for m in marks)), default)

@@ -54,10 +54,11 @@ def sensitivity(df: DataFrame, member: str, gates: dict[str, tuple[str, list[flo
     return long.groupBy("gate", "threshold").agg(F.sum("ok").alias("rows"), F.count_distinct(F.when(F.col("ok") == 1, F.col(member))).alias("members"))
 
 
-def trajectory(rows: DataFrame, week: str, weeks: list[int], passes: int) -> DataFrame:
-    """(as_of, team, rating): ratings from the games before each of the weeks."""
-    grid = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in weeks]), lambda w: w > F.col(week))).alias("as_of"))
-    return rate(grid, "as_of", passes)
+def trajectory(rows: DataFrame, season: str, week: str, weeks: list[int], passes: int) -> DataFrame:
+    """(season, as_of, team, rating): for every season, ratings from the games before each of the weeks."""
+    grid = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in weeks]), lambda w: w > F.col(week))).alias("__as_of"))
+    rated = rate(grid.withColumn("period", F.col(season) * 1000 + F.col("__as_of")), "period", passes)
+    return rated.select(F.floor(F.col("period") / 1000).cast("int").alias(season), (F.col("period") % 1000).cast("int").alias("as_of"), "team", "rating")
 
 
 def swept_ratings(rows: DataFrame, priors: DataFrame, season: str, week: str, weeks: list[int], ks: list[int], passes: int) -> DataFrame:

@@ -63,15 +63,16 @@ SELECT gate, threshold, count(*) FILTER (WHERE CASE gate WHEN 'total' THEN total
 
 
 def weekly_trajectory(spark, d):
-    g = games(spark, d).where("season = 1997").withColumn("margin", (F.col("home_points") - F.col("away_points")).cast("double"))
-    return rounded(X.trajectory(team_margins(g, "week", "home", "away", "margin", "neutral"), "week", [4, 8, 12], 3))
+    g = games(spark, d).withColumn("margin", (F.col("home_points") - F.col("away_points")).cast("double")).withColumn("at", F.struct("season", "week"))
+    rows = team_margins(g, "at", "home", "away", "margin", "neutral").select("at.*", "team", "opponent", "margin")
+    return rounded(X.trajectory(rows, "season", "week", [4, 8, 12], 3))
 
 
 def _trajectory_sql():
-    inner = _srs_sql(3).replace("season", "as_of")
-    margins = _MARGINS.replace("FROM games)", "FROM games WHERE season = 1997)", 1).replace("FROM games, hfa", "FROM games, hfa WHERE season = 1997")
-    margins = margins.replace("mg AS (SELECT season,", "m0 AS (SELECT week,").replace("UNION ALL SELECT season,", "UNION ALL SELECT week,")
-    return f"WITH {margins}, mg AS (SELECT as_of, team, opponent, margin FROM m0, (SELECT unnest([4, 8, 12]) AS as_of) WHERE week < as_of), {inner}"
+    margins = _MARGINS.replace("mg AS (SELECT season,", "m0 AS (SELECT season, week,").replace("UNION ALL SELECT season,", "UNION ALL SELECT season, week,")
+    rated = _srs_sql(3, "mw").replace("round(rating, 6) AS rating", "rating")
+    return f"""SELECT CAST(season // 1000 AS INTEGER) AS season, CAST(season % 1000 AS INTEGER) AS as_of, team, round(rating, 6) AS rating FROM (WITH {margins},
+ mw AS (SELECT season * 1000 + as_of AS season, team, opponent, margin FROM m0, (SELECT unnest([4, 8, 12]) AS as_of) WHERE week < as_of), {rated})"""
 
 
 def model_agreement(spark, d):
@@ -122,11 +123,11 @@ def class_means(spark, d):
     """The mean of the means of the last four classes that each season sees, over a grid of seasons."""
     p = table(spark, d, "part").select((1990 + F.col("p_size") % 10).cast("int").alias("class"), "p_brand", "p_retailprice")
     by = p.groupBy("p_brand", "class").agg(F.avg("p_retailprice").alias("m"))
-    grid = by.select("p_brand", "m", F.explode(F.sequence(F.col("class"), F.col("class") + 3)).alias("season")).where("season between 1995 and 1998")
+    grid = by.select("p_brand", "m", F.explode(F.sequence(F.col("class"), F.col("class") + 3)).alias("season"))
     return rounded(grid.groupBy("p_brand", "season").agg(F.avg("m").alias("rank_mean"), F.count(F.lit(1)).alias("classes")))
 
 
-CLASS_MEANS = """WITH b AS (SELECT p_brand, CAST(1990 + p_size % 10 AS INTEGER) AS class, avg(p_retailprice) AS m FROM part GROUP BY ALL), s AS (SELECT CAST(unnest(range(1995, 1999)) AS INTEGER) AS season)
+CLASS_MEANS = """WITH b AS (SELECT p_brand, CAST(1990 + p_size % 10 AS INTEGER) AS class, avg(p_retailprice) AS m FROM part GROUP BY ALL), s AS (SELECT CAST(unnest(range(1990, 2003)) AS INTEGER) AS season)
 SELECT p_brand, season, round(avg(m), 6) AS rank_mean, count(*) AS classes FROM b JOIN s ON class BETWEEN season - 3 AND season GROUP BY ALL"""
 
 

@@ -73,3 +73,12 @@ def test_names_lose_every_accent_and_what_has_no_plain_letter(spark):
 def test_cover_labels(spark):
     rows = [(7, -3), (2, -3), (3, -3), (-1, 3), (-9, 3), (4, 0), (None, 3)]
     assert one(spark, E.cover_label(F.col("m"), F.col("l")), rows, "m int, l int") == ["favourite", "underdog", None, "underdog", "favourite", None, None]
+
+
+def test_columns_are_grouped_by_their_names():
+    names = ["home_prev_week_offense_epa", "home_offense_epa_avg3", "home_defense_epa_avg3", "away_offense_epa_avg_all", "season"]
+    assert E.transform_groups(names) == {
+        ("home", "offense_epa"): {"prev_week": names[0], "avg3": names[1]}, ("home", "defense_epa"): {"avg3": names[2]}, ("away", "offense_epa"): {"avg_all": names[3]},
+    }
+    assert E.mirror_pairs(names) == [(names[1], names[2])]
+    assert [E.domain_of(n, {"value": ("epa",), "time": ("season",)}) for n in (names[0], "season", "x")] == ["value", "time", "other"]
