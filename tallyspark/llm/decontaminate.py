@@ -9,8 +9,8 @@ nothing. A document with fewer words than ``need`` is no candidate. Every candid
 The items are the stated queries. They are read in blocks of BLOCK_BYTES of text, and each block is broadcast, so what
 is sent to executors is bounded however long the benchmark is; each block is one pass over the documents without a shuffle.
 
-Words are split at [\\x20\\x09-\\x0D] with A-Z in lower case. Edge cases: null and empty texts contain nothing and items without words
-are in nothing; an item of fewer than five words is one shingle, its whole sequence, and so is a document; an item
+Words are split at [\\x20\\x09-\\x0D] with A-Z in lower case. An item of k < 5 words is a size of its own: one shingle of k words, looked up among the
+k-word shingles of documents. Edge cases: null and empty texts contain nothing and items without words are in nothing; an item
 longer than a block is a block of its own; long documents are worked on in chunks that overlap; repeated rows are reported as often as they come in; rows without an id are
 reported with a null id. Other columns are ignored.
 """
@@ -61,11 +61,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def shingle_spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by spaces, and where each shingle begins and ends in them."""
+def shingle_spans(words: list[bytes], size_in_words: int = WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by spaces, and where each shingle begins and ends in them; fewer words are one shingle."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    k = min(WORDS, len(words))
+    k = min(size_in_words, len(words))
     return b" ".join(words), (end - size)[: len(words) - k + 1], end[k - 1 :]
 
 
@@ -112,6 +112,8 @@ class Index:
             hashes = np.concatenate([h for h, _ in parts[size]])
             owner = np.concatenate([np.full(len(h), k) for h, k in parts[size]])
             self.partitions.append((hashes, owner))
+        #: Words in a shingle: five, and the lengths of shorter items.
+        self.lengths = sorted({min(WORDS, x.count(b" ") + 1) for shingles in self.items for x in shingles})
         self.front = np.zeros(1 << _FRONT_BITS, bool)
         for hashes, _ in self.partitions:
             self.front[hashes >> np.uint64(64 - _FRONT_BITS)] = True
@@ -128,8 +130,9 @@ class Index:
         """(item id, shingles found, shingles of the item) of every item that the text contains."""
         found, n = set(), 0
         for words in word_chunks(text, WORDS - 1, CHUNK_BYTES):
-            if words:
-                found |= self.candidates(span_hashes(*shingle_spans(words)))
+            for size in self.lengths:
+                if len(words) >= size:
+                    found |= self.candidates(span_hashes(*shingle_spans(words, size)))
             n += len(words)
         found = {k for k in found if self.need[k] <= n}
         if not found:
@@ -137,13 +140,25 @@ class Index:
         wanted = {x for k in found for x in self.items[k]}
         there = set()
         for words in word_chunks(text, WORDS - 1, CHUNK_BYTES):
-            if words:
-                joined, begin, end = shingle_spans(words)
+            for size in {x.count(b" ") + 1 for x in wanted}:
+                if len(words) < size:
+                    continue
+                joined, begin, end = shingle_spans(words, size)
                 there.update(wanted.intersection(joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)))
         shared = [(k, sum(x in there for x in self.items[k])) for k in found]
         return sorted((self.ids[k], c, self.sizes[k]) for k, c in shared if c >= self.need[k])
 
 
+_LAST: list = [None, None]
+
+
+def index_of(block: list[tuple[int, bytes]], containment: float = CONTAINMENT) -> Index:
+    """The index of a broadcast block, made once in a Python worker as long as no other is asked for."""
+    if _LAST[0] is not block or _LAST[1][0] != containment:
+        _LAST[:] = [block, (containment, Index(block, containment))]
+    return _LAST[1][1]
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of bounded size; one partition at a time comes to the driver."""
     block, size = [], 0
@@ -170,7 +185,7 @@ def contained_items(
         index = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = Index(index.value, containment).search
+            search = index_of(index.value, containment).search
             for batch in batches:
                 out = [(d.as_py(), *hit) for d, t in zip(batch.column(0), batch.column(1), strict=True) for hit in search(t.as_py())]
                 cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
@@ -189,7 +204,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(held=held):
-            search = Index(held.value).search
+            search = index_of(held.value).search
             return lambda texts: [not search(t) for t in texts]
 
         docs = keep_rows(docs, text_col, make)
