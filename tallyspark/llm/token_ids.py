@@ -185,14 +185,36 @@ class Reader:
             yield (known if code else None), iter(parts)
 
 
+#: Normalizers that treat words on their own, and a pattern that never joins what blanks, or stops after a letter or digit, separate.
+WORD_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def works_by_words(tokenizer_json: str) -> bool:
+    """Whether a text's ids are those of its words, in lower case and with the stops at their ends apart, one after the other."""
+    t = json.loads(tokenizer_json)
+    norm, split = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers") or [{}]
+    first, rest = steps[0], steps[1:]
+    return (
+        norm.get("type") == "Sequence" and list(norm.get("normalizers", ())) == list(WORD_NORMALIZERS) and split.get("type") == "Sequence"
+        and (first.get("type"), first.get("behavior"), first.get("invert"), first.get("pattern")) == ("Split", "Removed", True, {"Regex": WORD_PATTERN})
+        and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in rest) and not t.get("post_processor")
+        and all(a["content"].startswith("<|") and not (a["lstrip"] or a["rstrip"]) for a in t.get("added_tokens", ()))
+    )
+
+
 class Encoder:
-    """Encodes texts word by word through the tokenizers library, each different word once while the cache lasts."""
+    """Encodes texts word by word through the tokenizers library, each different word once while the cache lasts.
+
+    Where the tokenizer's own settings do not allow that, whole texts are given to it.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_str(tokenizer_json), np.array([end_id], np.uint32)
+        self.tokenizer, self.end, self.by_words = Tokenizer.from_str(tokenizer_json), np.array([end_id], np.uint32), works_by_words(tokenizer_json)
         self._empty()
 
     def _empty(self) -> None:
@@ -201,6 +223,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text and the end id. A text of more than two pieces is worked on piece by piece."""
+        if not self.by_words:
+            coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.concatenate((np.array(c.ids, np.uint32), self.end)) for c in coded]
         if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES:
             parts = [self._ids([p])[0] for p in pieces_at_blanks(texts[0])]
             return [np.concatenate((*parts, self.end))]
@@ -269,21 +294,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         out, path, total = None, f"{folder}/{uuid.uuid4().hex}.s8b", 0
         enc = encoder(tokenizer.value, end_id)
         for batch in batches:
-            out, ids = out or (Writer(path) if batch.num_rows else None), iter(batch.column(0).to_pylist())
+            if not out and batch.num_rows:
+                out, first = Writer(path), (batch.column(0)[0].as_py(), batch.column(2)[0].as_py())
+            ids = iter(batch.column(0).to_pylist())
             for texts in by_bytes(t.as_py() for t in batch.column(1)):
                 for coded in enc.encode(texts):
                     out.add(next(ids), coded)
                     total += len(coded)
         if out:
             out.close()
-            docs = [d for d in out.docs if d is not None]
-            yield pa.RecordBatch.from_pylist([{"path": path, "n_ids": total, "n_docs": len(out.docs), "first_doc": docs[0] if docs else None}], manifest)
+            yield pa.RecordBatch.from_pylist([{"path": path, "n_ids": total, "n_docs": len(out.docs), "first_doc": first[0], "first_hash": first[1]}], manifest)
 
-    manifest = pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64())])
+    manifest = pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("first_hash", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "bytes")
-    files = stage(rows.mapInArrow(run, "path string, n_ids long, n_docs long, first_doc long"), "tokens-manifest")
-    before = W.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    # rows of one id, or of none, are spread by a hash of their text
+    order = ["id", "hash"]
+    rows = rows.withColumn("hash", F.xxhash64("bytes")).repartitionByRange(*order).sortWithinPartitions(*order, "bytes")
+    files = stage(rows.mapInArrow(run, "path string, n_ids long, n_docs long, first_doc long, first_hash long"), "tokens-manifest")
+    before = W.orderBy(F.col("first_doc").asc_nulls_first(), "first_hash", "path").rowsBetween(W.unboundedPreceding, -1)
     return files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"), "n_ids", "n_docs")
 
 
