@@ -71,6 +71,13 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return out
 
 
+def grown_shard_of(key: Column, shard: Column, tree: Tree, weight: float = 1.0) -> Column:
+    """The shard of a row in ``tree.grown(weight)``, given its shard in the tree: only the regions draw again, with the new one among them."""
+    total = [sum(sum(rack) for rack in region) for region in tree.regions]
+    *own, new = [F.ln(md5_unit(f"region{r}", key)) / F.lit(w) for r, w in enumerate([*total, weight])]
+    return F.when(new >= (F.greatest(*own) if len(own) > 1 else own[0]), F.lit(tree.shards)).otherwise(shard)
+
+
 def _key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
 
@@ -83,8 +90,9 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         shard_of(key, tree).cast("int").alias("shard"),
-        shard_of(key, tree.grown()).cast("int").alias("grown_shard"),
+        key.alias("key"),
     )
+    rows = rows.withColumn("grown_shard", grown_shard_of(F.col("key"), F.col("shard"), tree).cast("int")).drop("key")
     order = ["shard", "id", "size", "text_crc32"]
     at = F.monotonically_increasing_id()
     placed = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at).withColumn("part", F.shiftright("at", 33)), "shards")
