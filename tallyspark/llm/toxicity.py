@@ -10,7 +10,7 @@ Scoring needs no embeddings on the executors: a bag's logit is the mean of one n
 times the layer's weights), so BUCKETS floats are broadcast, a fixed size.
 
 Training reads a bounded sample of the labelled rows: SAMPLE of each class at most, in the order of a hash of the id, texts
-of up to SAMPLE_BYTES bytes. Scores are given to all rows and whole texts.
+of up to SAMPLE_BYTES bytes and SAMPLE_TOTAL bytes of them. Scores are given to all rows and whole texts.
 
 Texts of more than two pieces (8 MB) are scored piece by piece, so their words need no more memory than one; bags run on
 across pieces.
@@ -29,6 +29,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES, Numbers, by_bytes, keep_rows, maybe_in, pieces_at_blanks, stage, utf8
@@ -39,6 +40,8 @@ BAG = 4
 DIM = 4
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 18
+#: Bytes of the sampled texts of a class, in the order of the sample.
+SAMPLE_TOTAL = 1 << 25
 STEPS = 80
 RATE = 1000.0
 LAYER_RATE = 0.5
@@ -222,7 +225,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = marks.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(marks.where("y = 0").orderBy(*order).limit(SAMPLE))
     chosen = stage(chosen, "toxicity-sample")
     texts = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("bytes")).where(F.octet_length("bytes") <= SAMPLE_BYTES)
-    return maybe_in(texts, "id", chosen, "id").join(chosen, "id").select("id", "bytes", "y")
+    found = maybe_in(texts, "id", chosen, "id").join(chosen, "id").select("id", "bytes", "y")
+    so_far = F.sum(F.octet_length("bytes")).over(W.partitionBy("y").orderBy(*order, "bytes").rowsBetween(W.unboundedPreceding, 0))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_TOTAL).drop("so_far")
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
