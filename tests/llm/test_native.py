@@ -163,6 +163,24 @@ def test_shards(spark, sf_docs):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def plain_shard(key, tree):
+    """The tree's draws in plain Python."""
+    unit = lambda name: (int(hashlib.md5(f"{name}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    pick = lambda names, weights: max(range(len(names)), key=lambda i: math.log(unit(names[i])) / weights[i]) if len(names) > 1 else 0
+    r = pick([f"region{i}" for i in range(len(tree.regions))], [sum(map(sum, x)) for x in tree.regions])
+    racks = tree.regions[r]
+    k = pick([f"region{r}/rack{i}" for i in range(len(racks))], [sum(x) for x in racks])
+    s = pick([f"region{r}/rack{k}/shard{i}" for i in range(len(racks[k]))], racks[k])
+    return sum(len(rack) for region in tree.regions[:r] for rack in region) + sum(len(rack) for rack in racks[:k]) + s
+
+
+def test_draws_against_plain_python(spark):
+    tree = sharding.Tree((((1.0, 2.0), (3.0,)), ((1.0, 1.0, 0.5),)))
+    key = F.col("id").cast("string")
+    rows = spark.range(3000).select("id", sharding.shard_of(key, tree).alias("s")).withColumn("g", sharding.grown_shard_of(key, F.col("s"), tree, 2.0)).collect()
+    assert [(r["s"], r["g"]) for r in rows] == [(plain_shard(r["id"], tree), plain_shard(r["id"], tree.grown(2.0))) for r in rows]
+
+
 def test_a_weight_that_changes_moves_rows_of_its_subtree_only(spark):
     tree = sharding.even_tree(2, 2, 3)
     heavier = sharding.Tree((((1.0, 1.0, 2.0), (1.0, 1.0, 1.0)), tree.regions[1]))

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import io
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 import pytest
 from tokenizers import Tokenizer
 
+from tallyspark.llm.common import pieces_at_blanks
 from tallyspark.llm import decontaminate, queries, token_ids, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 KEY = lambda x: (x[0] is None, str(x))
 
 
-def shingles(text):
+def shingles(text, k=5):
     words = (text or "").encode().lower().split()
-    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
 def plain_contained(docs, items):
     out = []
     for d, t in docs:
-        s = shingles(t)
+        of = {k: shingles(t, k) for k in range(1, 6)}
         for i, x in items:
-            item = shingles(x)
+            k = min(5, max(1, len((x or "").split())))
+            item, s = shingles(x, k), of[k]
             if item and len(item & s) >= 0.8 * len(item) - 1e-9:
                 out.append((d, i, len(item & s), len(item)))
     return sorted(out, key=KEY)
@@ -48,7 +52,7 @@ def test_containment_at_the_limit(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 150)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 80)))) for k in range(80)] + [(80, ""), (81, None), (82, "only four words here"), (83, "a a a a a a a a")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 80)))) for k in range(80)] + [(80, ""), (81, None), (82, "only four words here"), (83, "a a a a a a a a"), (84, "w7 w8"), (85, "Zzz"), (86, "w1")]
     docs = []
     for d in range(200):
         parts = [rng.choice(words) for _ in range(rng.randint(0, 300))]
@@ -59,7 +63,7 @@ def test_containment_at_the_limit(spark, monkeypatch):
             at = rng.randint(0, len(parts))
             parts[at:at] = x
         docs.append((d, " ".join(parts).upper() if d % 2 else "\n".join(parts)))
-    docs += [(200, None), (201, ""), (202, "only FOUR words\there"), (203, "a " * 20), (None, items[5][1])]
+    docs += [(200, None), (201, ""), (202, "only FOUR words\there"), (203, "a " * 20), (204, "x only FOUR words here y zzz"), (205, "zzz"), (None, items[5][1])]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contained_items(*frames).drop("containment")
     assert sorted(map(tuple, found.collect()), key=KEY) == plain_contained(docs, items)
@@ -91,10 +95,14 @@ def test_packing_round_trip(top):
         assert (token_ids.unpack(token_ids.pack(values), n) == values).all()
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def plain_tokens(rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -102,13 +110,47 @@ def plain_tokens(rows):
 
 
 @pytest.mark.parametrize("table", ["odd_docs", "sf_docs", "no_docs"])
-def test_token_files(request, table, monkeypatch):
+def test_token_files(request, table):
     docs = request.getfixturevalue(table)
     files = token_ids.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
     found = token_ids.read_token_files(files, token_ids.ids_crc32, "ids_crc32 long")
     assert sorted(map(tuple, found.collect()), key=KEY) == plain_tokens([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcé'.,<|") for _ in range(rng.randint(1, 9))) for _ in range(400)).encode() for _ in range(4)]
+    encode = token_ids.Encoder(open(public_tokenizers.path("word_bpe_49k.json")).read(), 1).encode
+    whole = [x.tolist() for x in encode(texts)]
+    monkeypatch.setattr(token_ids, "PIECE_BYTES", 50)
+    monkeypatch.setattr(token_ids, "pieces_at_blanks", lambda t: pieces_at_blanks(t, 50))
+    assert [encode([t])[0].tolist() for t in texts] == whole
+
+
+def test_other_tokenizers_get_whole_texts():
+    settings = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    assert token_ids.works_by_words(settings)
+    texts = ["Don't stop,,. it's a.b,c. x..", "a b 3.14, 10.", ""]
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        other = json.dumps(json.loads(settings) | change)
+        assert not token_ids.works_by_words(other)
+        encode = Tokenizer.from_str(other).encode
+        assert [x.tolist() for x in token_ids.Encoder(other, 1).encode([t.encode() for t in texts])] == [[*encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    bytes_bpe = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    assert not token_ids.works_by_words(bytes_bpe)
+
+
+def test_rows_of_one_id_are_spread_over_files(spark):
+    rows = [(7, f"text number {k}") for k in range(300)] + [(None, f"{k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_ids.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1 and max(r["n_docs"] for r in files.collect()) < 300
+    found = token_ids.read_token_files(files, token_ids.ids_crc32, "ids_crc32 long")
+    assert sorted(map(tuple, found.collect()), key=KEY) == plain_tokens(rows)
+
+
 def test_words_are_encoded_as_in_their_text():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encode = token_ids.Encoder(tokenizer.to_str(), 1).encode
@@ -211,3 +253,11 @@ def test_pipeline(spark, odd_docs, no_docs):
         docs = out
         assert function(spark, odd_docs, SF).count() > 0 and function(spark, no_docs, SF).count() == 0
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_addresses_keep_what_is_encoded_already(spark):
+    urls = ["http://a/x%20y?q=%E9", "http://b/a b\tc", "http://c/\u00a0\u0085d", "http://d/100%"]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    arcs = warc.write_arcs(pages)
+    records = warc.read_warcs(warc.convert(arcs, warc.revisits(warc.index_arcs(arcs)))).where("type = 'response'").collect()
+    assert {r["page_id"]: r["url"] for r in records} == {0: "http://a/x%20y?q=%E9", 1: "http://b/a%20b%09c", 2: "http://c/%C2%A0%C2%85d", 3: "http://d/100%"}
