@@ -6,14 +6,15 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exprs import normal_cdf
 from .metrics import folds, inner_seasons
 
 SEED = 42
@@ -23,6 +24,8 @@ CLASSIFIERS: dict[str, Callable] = {
     "elastic_net": lambda **k: LogisticRegression(featuresCol="features", labelCol="label", **({"regParam": 0.01, "elasticNetParam": 0.5} | k)),
     "random_forest": lambda **k: RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED, **k),
     "gradient_boosting": lambda **k: GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, **k),
+    "svm": lambda **k: LinearSVC(featuresCol="features", labelCol="label", **k),
+    "decision_tree": lambda **k: DecisionTreeClassifier(featuresCol="features", labelCol="label", seed=SEED, **k),
 }
 REGRESSORS: dict[str, Callable] = {
     "ols": lambda **k: LinearRegression(featuresCol="features", labelCol="label", **k),
@@ -33,6 +36,20 @@ REGRESSORS: dict[str, Callable] = {
     "random_forest": lambda **k: RandomForestRegressor(featuresCol="features", labelCol="label", seed=SEED, **k),
     "gradient_boosting": lambda **k: GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, **k),
 }
+#: Boosted and randomised trees of other libraries have no counterpart in pyspark.ml; under their names these stand in, with settings of their kind.
+STAND_INS: dict[str, tuple[str, dict]] = {
+    "xgboost": ("gradient_boosting", {"maxIter": 60, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8}),
+    "lightgbm": ("gradient_boosting", {"maxIter": 60, "maxDepth": 5, "stepSize": 0.05, "featureSubsetStrategy": "0.8"}),
+    "catboost": ("gradient_boosting", {"maxIter": 60, "maxDepth": 5, "stepSize": 0.05}),
+    "hist_gradient_boosting": ("gradient_boosting", {"maxIter": 60, "maxBins": 255, "stepSize": 0.05}),
+    "extra_trees": ("random_forest", {"numTrees": 100, "featureSubsetStrategy": "sqrt", "bootstrap": False}),
+}
+
+
+def learner(model: str, classify: bool, **params):
+    """A model by its name; the parameters given go before those of a stand-in."""
+    name, own = STAND_INS.get(model, (model, {}))
+    return (CLASSIFIERS if classify else REGRESSORS)[name](**(own | params))
 
 
 def preprocessing(numeric: list[str], categorical: list[str] | None = None) -> list:
@@ -49,17 +66,41 @@ def preprocessing(numeric: list[str], categorical: list[str] | None = None) -> l
 
 
 def fit(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, categorical: list[str] | None = None, **params) -> PipelineModel:
-    learner = (CLASSIFIERS if classify else REGRESSORS)[model](**params)
-    return Pipeline(stages=[*preprocessing(numeric, categorical), learner]).fit(df.withColumn("label", F.col(target).cast("double")).where("label is not null"))
+    return Pipeline(stages=[*preprocessing(numeric, categorical), learner(model, classify, **params)]).fit(df.withColumn("label", F.col(target).cast("double")).where("label is not null"))
 
 
 def score(model: PipelineModel, df: DataFrame, classify: bool) -> DataFrame:
     """Adds p: the probability of 1, or the predicted value."""
     out = model.transform(df)
-    p = vector_to_array("probability")[1] if classify else F.col("prediction")
+    if classify and "probability" not in out.columns:  # a margin, as a support vector machine gives it
+        p = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+    else:
+        p = vector_to_array("probability")[1] if classify else F.col("prediction")
     return out.select(*df.columns, p.alias("p"))
 
 
+def margin_probability(regressor: PipelineModel, train: DataFrame, df: DataFrame, target: str, robust: bool = False) -> DataFrame:
+    """Adds p: the probability that a predicted margin is above 0, by a normal distribution as wide as the training residuals.
+
+    Their width is the population deviation or, if ``robust``, the interquartile range over 1.349; 0 counts as 1.
+    """
+    gap = F.col(target) - F.col("p")
+    width = (F.percentile(gap, F.lit(0.75)) - F.percentile(gap, F.lit(0.25))) / 1.349 if robust else F.stddev_pop(gap)
+    spread = score(regressor, train, False).agg(F.when(width > 0, width).otherwise(1.0).alias("__spread"))
+    out = score(regressor, df, False).join(F.broadcast(spread))
+    return out.withColumn("p", normal_cdf(F.col("p") / F.col("__spread"))).drop("__spread")
+
+
+def latest_model(spark: SparkSession, folder: str, prefix: str = "") -> PipelineModel:
+    """The saved model whose name, which ends with when it was made, is the last of those with the prefix."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(where) if x.isDirectory()] if store.exists(where) else []
+    if not (found := sorted(n for n in names if n.startswith(prefix))):
+        raise FileNotFoundError(f"no model {prefix}* in {folder}")
+    return PipelineModel.load(f"{folder}/{found[-1]}")
+
+
 def walk_forward(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], first: int, **params) -> DataFrame:
     """Out-of-fold predictions: each season is scored by a model fitted on those before it."""
     parts = []
@@ -69,12 +110,12 @@ def walk_forward(df: DataFrame, season: str, model: str, numeric: list[str], tar
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def tune(df: DataFrame, season: str, model: str, grid: list[dict], numeric: list[str], target: str, seasons: list[int], first: int) -> tuple[dict, float]:
-    """The parameters of least pooled absolute error over the folds; the first of equals."""
-    errors = []
+def tune(df: DataFrame, season: str, model: str, grid: list[dict], numeric: list[str], target: str, seasons: list[int], first: int, classify: bool = False) -> tuple[dict, float]:
+    """The parameters of least pooled absolute error (of classifiers: Brier score) over the folds; the first of equals."""
+    errors, gap = [], F.col("p") - F.col(target)
     for k, params in enumerate(grid):
-        oof = walk_forward(df, season, model, numeric, target, False, seasons, first, **params)
-        errors.append((oof.agg(F.avg(F.abs(F.col("p") - F.col(target)))).first()[0], k))
+        oof = walk_forward(df, season, model, numeric, target, classify, seasons, first, **params)
+        errors.append((oof.agg(F.avg(gap * gap if classify else F.abs(gap))).first()[0], k))
     error, k = min(errors)
     return grid[k], error
 

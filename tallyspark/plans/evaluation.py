@@ -124,18 +124,23 @@ SELECT round(corr(a, c), 6) AS spearman, round(max_by(rate, bucket) - min_by(rat
 
 
 def baselines(spark, d):
-    """Each row against the mean of its type, the mean of all, and the previous value of its type."""
+    """Each row against the mean of its type, of its type in the season before, of all, and the previous value of its type; and how often the favourite and the majority are right."""
     p = X.lag_by_slices(predictions(spark, d), ["event_type"], "event_id", "actual", "previous")
     means = p.groupBy("event_type").agg(F.avg("actual").alias("type_mean"))
-    p = p.join(F.broadcast(means), "event_type")
+    seasons = p.groupBy("event_type", (F.col("season") + 1).alias("season")).agg(F.avg("actual").alias("season_before"))
+    p = p.join(F.broadcast(means), "event_type").join(F.broadcast(seasons), ["event_type", "season"], "left")
     total = p.agg(F.avg("actual").alias("overall"))
     p = p.join(F.broadcast(total))
-    err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual")))
-    return rounded(p.groupBy("event_type").agg(err("previous").alias("previous"), err("type_mean").alias("type_mean"), err("overall").alias("overall"), F.max(F.lit(1.0) - F.col("label")).alias("majority")))
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual"))).alias(c)
+    favourite = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int"))
+    ones = F.avg("label")
+    return rounded(p.groupBy("event_type").agg(err("previous"), err("type_mean"), err("season_before"), err("overall"), favourite.alias("favourite"), F.greatest(ones, 1 - ones).alias("majority")))
 
 
-BASELINES = f"""WITH {PREDICTIONS}, b AS (SELECT *, lag(actual) OVER (PARTITION BY event_type ORDER BY event_id) AS p, avg(actual) OVER (PARTITION BY event_type) AS m, (SELECT avg(actual) FROM pr) AS o FROM pr)
-SELECT event_type, round(avg(abs(p - actual)), 6) AS previous, round(avg(abs(m - actual)), 6) AS type_mean, round(avg(abs(o - actual)), 6) AS overall, max(1.0 - label) AS majority FROM b GROUP BY 1"""
+BASELINES = f"""WITH {PREDICTIONS}, sb AS (SELECT event_type, season + 1 AS season, avg(actual) AS s FROM pr GROUP BY ALL),
+b AS (SELECT pr.*, lag(actual) OVER (PARTITION BY event_type ORDER BY event_id) AS p, avg(actual) OVER (PARTITION BY event_type) AS m, (SELECT avg(actual) FROM pr) AS o FROM pr)
+SELECT event_type, round(avg(abs(p - actual)), 6) AS previous, round(avg(abs(m - actual)), 6) AS type_mean, round(avg(abs(s - actual)), 6) AS season_before, round(avg(abs(o - actual)), 6) AS overall,
+ round(avg(CAST((score >= 0.5) = (label = 1) AS INTEGER)), 6) AS favourite, round(greatest(avg(label), 1 - avg(label)), 6) AS majority FROM b LEFT JOIN sb USING (event_type, season) GROUP BY 1"""
 
 
 def pythagorean(spark, d):

@@ -120,7 +120,7 @@ def frame(spark):
     return spark.createDataFrame(rows, "id int, season int, x1 double, x2 double, kind string, y double, label int").cache()
 
 
-@pytest.mark.parametrize("name", ["logistic", "random_forest"])
+@pytest.mark.parametrize("name", ["logistic", "random_forest", "svm", "extra_trees"])
 def test_classifiers_by_season(frame, name):
     oof = models.walk_forward(frame, "season", name, ["x1", "x2"], "label", True, [0, 1, 2, 3, 4], 3)
     assert {r[0] for r in oof.select("fold").distinct().collect()} == {3, 4} and oof.where("fold <> season").count() == 0
@@ -215,3 +215,18 @@ def test_configuration(tmp_path):
         S.load_config(str(tmp_path / "c.json"), {"S": "1"})
     (tmp_path / "c.yaml").write_text("a: ${S}\nb: [1, 2]\n")
     assert S.load_config(str(tmp_path / "c.yaml"), {"S": "x"}) == {"a": "x", "b": [1, 2]}
+
+
+def test_margins_as_probabilities_and_latest_models(spark, frame, tmp_path):
+    df = frame.withColumn("margin", F.col("y") - 17)
+    fitted = models.fit(df, "ols", ["x1", "x2"], "margin", False, ["kind"])
+    for robust in (False, True):
+        out = models.margin_probability(fitted, df.where("season < 4"), df, "margin", robust)
+        assert out.where("(margin > 3 and p < 0.9) or (margin < -3 and p > 0.1) or p < 0 or p > 1").count() == 0
+    for name, model in (("a-2023", "ridge"), ("a-2024", "ols"), ("b-2025", "lasso")):
+        models.fit(df, model, ["x1", "x2"], "margin", False).write().save(str(tmp_path / name))
+    want = models.fit(df, "ols", ["x1", "x2"], "margin", False).stages[-1].coefficients
+    assert models.latest_model(spark, str(tmp_path), "a-").stages[-1].coefficients.toArray() == pytest.approx(want.toArray())
+    with pytest.raises(FileNotFoundError):
+        models.latest_model(spark, str(tmp_path), "z")
+    assert models.tune(frame, "season", "elastic_net", [{"regParam": 5.0}, {"regParam": 0.0}], ["x1", "x2"], "label", [0, 1, 2], 1, True)[0] == {"regParam": 0.0}
