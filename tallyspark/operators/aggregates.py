@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_if, flag, safe_div, sum_if
+from .windows import exact_quantiles
 
 
 def play_side_measures(plays: DataFrame, drives: DataFrame, keys: list[str], explosive_at: float) -> DataFrame:
@@ -107,7 +108,7 @@ def star_ratio(df: DataFrame, keys: list[str], member: str, stars: str, rating:
 def quantile_edges(df: DataFrame, x: str, n: int) -> DataFrame:
     """One row: the distinct interior edges of n quantile buckets."""
     inner = [k / n for k in range(1, n)]
-    return df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(p) for p in inner]))).alias("edges"))
+    return exact_quantiles(df, [], x, inner, "edges").select(F.array_distinct("edges").alias("edges"))
 
 
 def quantile_buckets(df: DataFrame, x: str, n: int, name: str = "bucket") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import flag, safe_div
 from .joins import attach_sides
 from .ratings import rate
-from .windows import first_by, prior_means, rolling_means
+from .windows import exact_quantiles, first_by, prior_means, rolling_means
 
 
 def weighted_score(weights: dict[str, float]) -> Column:
@@ -94,9 +94,10 @@ def agreement(df: DataFrame, key: list[str], model: str, p: str, thresholds: dic
 
 def residual_spread(df: DataFrame, residual: str, by: list[str]) -> DataFrame:
     """Population deviation of residuals and their interquartile range over 1.349; 0 becomes 1."""
-    iqr = (F.percentile(residual, F.lit(0.75)) - F.percentile(residual, F.lit(0.25))) / 1.349
     one = lambda c: F.when(c > 0, c).otherwise(1.0)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), one(F.stddev_pop(residual)).alias("std"), one(iqr).alias("robust_std"))
+    quartiles = exact_quantiles(df, by, residual, [0.25, 0.75], "__q").select(*by, one((F.col("__q")[1] - F.col("__q")[0]) / 1.349).alias("robust_std"))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), one(F.stddev_pop(residual)).alias("std"))
+    return out.join(quartiles, by, "left").fillna(1.0, ["robust_std"])
 
 
 def quality_weighted(df: DataFrame, by: list[str], scored: str, allowed: str, z: str, alpha: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
-from .windows import average_ranks, sliced
+from .windows import average_ranks, exact_quantiles, sliced
 
 
 
@@ -17,10 +17,12 @@ def regression(df: DataFrame, by: list[str], y: str, p: str, within: float = 1.0
     """n, mae, rmse, median absolute error, r2 (1 - residual / total variation), bias, share within a distance."""
     e = F.col(p) - F.col(y)
     out = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_ae"), F.avg(e).alias("bias"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
         F.avg((F.abs(e) <= within).cast("int")).alias("within"), F.avg(e * e).alias("__mse"), F.var_pop(y).alias("__var"),
         F.regr_slope(p, y).alias("slope"), F.stddev_samp(p).alias("std_predicted"), F.stddev_samp(y).alias("std_actual"),
     )
+    median = exact_quantiles(df.select(*by, F.abs(e).alias("__e")), by, "__e", [0.5], "__q").select(*by, F.col("__q")[0].alias("median_ae"))
+    out = out.join(median, by, "left") if by else out.join(F.broadcast(median), how="left")
     return out.withColumn("r2", 1 - safe_div(F.col("__mse"), F.col("__var"))).withColumn("std_ratio", safe_div(F.col("std_predicted"), F.col("std_actual"))).drop("__mse", "__var")
 
 
@@ -119,8 +121,7 @@ def best_threshold(grid: DataFrame, by: list[str], floor: float) -> DataFrame:
 
 def residual_interval(df: DataFrame, y: str, p: str, low: float = 0.1, high: float = 0.9, floor: float = 0.0) -> DataFrame:
     """Adds low and high: the prediction plus quantiles of the residuals, not below the floor."""
-    e = F.col(y) - F.col(p)
-    q = df.agg(F.percentile(e, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = exact_quantiles(df.select((F.col(y) - F.col(p)).alias("__e")), [], "__e", [low, high], "__q")
     ends = {n: F.greatest(F.lit(floor), F.col(p) + F.col("__q")[i]) for i, n in enumerate(("low", "high"))}
     return df.join(F.broadcast(q)).withColumns(ends).drop("__q")
 

@@ -118,7 +118,7 @@ def lag_by_slices(df: DataFrame, keys: list[str], order: str, x: str, name: str)
     ends = rows.groupBy(*keys, "__slice").agg(F.max_by(F.struct(F.col(x).alias("v")), order).alias("__end"))
     before = F.lag("__end").over(W.partitionBy(*keys).orderBy("__slice"))
     ends = ends.withColumn("__before", before).drop("__end")
-    rows = rows.withColumns({"__first": F.row_number().over(w) == 1, name: F.lag(x).over(w)}).join(F.broadcast(ends), [*keys, "__slice"], "left")
+    rows = rows.withColumns({"__first": F.row_number().over(w) == 1, name: F.lag(x).over(w)}).join(ends, [*keys, "__slice"], "left")
     return rows.withColumn(name, F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col(name))).drop("__slice", "__first", "__before")
 
 
@@ -132,10 +132,31 @@ def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFram
     slices = counts.groupBy(*keys, "__slice").agg(F.sum("__m").alias("__m"))
     slices = slices.select(*keys, "__slice", below(W.partitionBy(*keys).orderBy("__slice")).alias("__below"))
     rank = F.col("__below") + below(W.partitionBy(*keys, "__slice").orderBy(x)) + (F.col("__m") + 1) / 2
-    ranks = counts.join(F.broadcast(slices), [*keys, "__slice"]).select(*keys, x, rank.alias(name))
+    ranks = counts.join(slices, [*keys, "__slice"]).select(*keys, x, rank.alias(name))
     return df.join(ranks, [*keys, x])
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, points: list[float], name: str) -> DataFrame:
+    """(keys, name): the interpolated quantiles of x, as an array, by group or (without keys) of all rows; groups may have any size.
+
+    Equal values are counted first, and their ranks are summed up by slices; only the values on both sides of a quantile are gathered. Null
+    counts as no value; a group without values is left out.
+    """
+    counts = sliced(df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__m")), "__x")
+    per = counts.groupBy(*keys, "__slice").agg(F.sum("__m").alias("__s"))
+    all_of, upto = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)), lambda w: w.rowsBetween(_ALL, -1)
+    per = per.withColumns({"__n": F.sum("__s").over(all_of), "__below": F.coalesce(F.sum("__s").over(upto(all_of.orderBy("__slice"))), F.lit(0))}).drop("__s")
+    within = W.partitionBy(*keys, "__slice").orderBy("__x")
+    rows = counts.join(per, [*keys, "__slice"]).withColumn("__lo", F.col("__below") + F.coalesce(F.sum("__m").over(upto(within)), F.lit(0)))
+    at = lambda k: F.max(F.when((F.col("__lo") <= k) & (k < F.col("__lo") + F.col("__m")), F.col("__x")))
+    out = []
+    for p in points:
+        place = F.lit(p) * (F.col("__n") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append(low + (high - low) * F.max(place - F.floor(place)))
+    return rows.groupBy(*keys).agg(F.array(*out).alias(name)) if keys else rows.agg(F.array(*out).alias(name))
+
+
 def season_shift(df: DataFrame, season: str, cols: list[str], by: int, keys: list[str]) -> DataFrame:
     """The columns as those of ``by`` seasons before, under suffix _lag<by>: join on keys and season."""
     return df.select(*keys, (F.col(season) + by).alias(season), *[F.col(c).alias(f"{c}_lag{by}") for c in cols])

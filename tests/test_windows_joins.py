@@ -98,6 +98,17 @@ def test_average_ranks(spark):
     assert got["r"].tolist() == frame.groupby("team")["x"].rank().tolist()
 
 
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ABC"), None if k % 11 == 0 else float(rng.choice([1, 2, 2, 3, rng.randint(0, 1000)]))) for k in range(500)] + [("D", None), ("E", 7.0)]
+    frame = pd.DataFrame(rows, columns=["g", "x"])
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["q"] for r in X.exact_quantiles(df, ["g"], "x", points, "q").collect()}
+    assert got == {g: pytest.approx(frame[frame.g == g].x.quantile(points).tolist()) for g in "ABCE"}
+    assert X.exact_quantiles(df, [], "x", points, "q").first()["q"] == pytest.approx(frame.x.quantile(points).tolist())
+
+
 def test_lag_by_slices(spark):
     """The same as a window over whole groups, also where a slice has no row of a group and where values are null."""
     rng = random.Random(3)
