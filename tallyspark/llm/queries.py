@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, repeats, sharding, simhash, token_ids, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, line_dedup, mixing, repeats, sharding, simhash, token_ids, toxicity, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -127,6 +127,30 @@ n AS (SELECT doc_id, u.source, rate, CAST(count(c.k) AS INTEGER) AS n_copies
 SELECT doc_id, source, n_copies, CAST(unnest(range(0, n_copies)) AS INTEGER) AS copy, round(rate, 9) AS rate FROM n WHERE n_copies > 0
 """
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS nl FROM w WHERE term <> '' GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(nl) AS tl FROM k GROUP BY lang),
+c AS (SELECT w.lang, source, w.term, count(*) AS n, any_value(nl) AS nl FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, source, w.term),
+g AS (SELECT d.lang, d.source, coalesce(any_value(v), 0) AS v, any_value(tl) AS tl FROM d LEFT JOIN l ON d.lang = l.lang GROUP BY d.lang, d.source),
+t AS (SELECT g.lang, g.source, g.v, g.tl, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+m AS (SELECT t.lang, t.source, k.term, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (total + 2 * v) AS p, coalesce(n, 0) AS n,
+             1 + CAST(1000000000 AS HUGEINT) * (k.nl + 2) // (tl + 2 * v) AS q
+      FROM t JOIN k ON t.lang = k.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM t a JOIN t b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM m WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -138,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -146,4 +171,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
