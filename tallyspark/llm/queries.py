@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, exact_dedup, line_dedup, mixing, repeats, resampling, sharding, simhash, token_ids, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, interpolation, line_dedup, mixing, repeats, resampling, sharding, simhash, token_ids, toxicity, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -127,6 +127,11 @@ n AS (SELECT doc_id, u.source, rate, CAST(count(c.k) AS INTEGER) AS n_copies
 SELECT doc_id, source, n_copies, CAST(unnest(range(0, n_copies)) AS INTEGER) AS copy, round(rate, 9) AS rate FROM n WHERE n_copies > 0
 """
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = interpolation.text_scores(table(spark, sf_dir, "documents"))
+    return scores.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -167,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_source_divergence": op13_source_divergence,
 }
