@@ -37,9 +37,9 @@ from .common import PIECE_BYTES, Numbers, pieces_at_blanks, stage, utf8
 from .planes import pack, pack_signed, unpack, unpack_signed
 
 BUCKETS = 10_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose windows come together in a range.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 24 << 20
 SPREAD = 256
 LEAST_WORDS = 20
 PERCENT = 5
@@ -211,34 +211,40 @@ def windows(docs: DataFrame, ranges: int, block_bytes: int = BLOCK_BYTES) -> Dat
 
 
 class Dictionary:
-    """The distinct strings of a range: their buckets, and where each window of the rows has its three."""
+    """The distinct strings of a range: their buckets, and where each window of the rows has its three. Numbers of words are below 2^31."""
 
     def __init__(self, rows: list[dict]):
         index = Numbers()
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        self.held_by, self.times = [], []
         for x in rows:
-            names = np.fromiter(map(index.__getitem__, x["words"].split(b" ")), np.int64)
-            names = np.concatenate((np.zeros(1, np.int64), names + 1))
-            for column, at in zip(columns, (np.cumsum(unpack(x["first"])), unpack(x["second"]), unpack(x["third"])), strict=False):
+            names = np.fromiter(map(index.__getitem__, x.pop("words").split(b" ")), np.int32)
+            names = np.concatenate((np.zeros(1, np.int32), names + 1))
+            for column, at in zip(columns, (np.cumsum(unpack(x.pop("first"))), unpack(x.pop("second")), unpack(x.pop("third"))), strict=False):
                 column.append(names[at])
-            self.held_by.append(unpack(x["held_by"]).astype(np.int64))
-            self.times.append(unpack(x["times"]).astype(np.int64))
-            columns[3].append(np.add.reduceat(self.times[-1], np.cumsum(self.held_by[-1]) - self.held_by[-1]))
-        u, v, w, n = map(np.concatenate, columns)
-        self.sizes = [len(x) for x in self.held_by]
+            held_by = unpack(x["held_by"])
+            columns[3].append(np.add.reduceat(unpack(x["times"]), np.cumsum(held_by, dtype=np.int64) - held_by))
+        self.sizes = [len(n) for n in columns[3]]
+        u, v, w, n = (np.concatenate(columns.pop(0)) for _ in range(4))
         words = Words(list(index))
-        pairs, pair_of = np.unique((u << 32) | v, return_inverse=True)
-        triples, self.triple_of = np.unique((pair_of << 32) | w, return_inverse=True)
+        del index
+        key = u.astype(np.int64) << 32 | v
+        del u, v
+        pairs, pair_of = np.unique(key, return_inverse=True)
+        key = pair_of << 32 | w
+        del pair_of, w
+        triples, triple_of = np.unique(key, return_inverse=True)
+        self.triple_of = triple_of.astype(np.int32)
+        del key, triple_of
         n_triples = np.bincount(self.triple_of, n, len(triples))
-        self.pair_of, third = triples >> 32, triples & 0xFFFFFFFF
+        self.pair_of, third = (triples >> 32).astype(np.int32), (triples & 0xFFFFFFFF).astype(np.int32)
         n_pairs = np.bincount(self.pair_of, n_triples, len(pairs))
-        self.first_of, second = pairs >> 32, pairs & 0xFFFFFFFF
+        self.first_of, second = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        del pairs, triples, n
         # a string is hashed once, from where the shorter one that it goes on from ended
         own = np.zeros(len(words.words) + 1, np.uint32)
         ones = np.unique(self.first_of)
         own[ones] = words.crc(ones - 1)
-        crc_pairs, crc_triples = own[self.first_of], np.zeros(len(triples), np.uint32)
+        crc_pairs, crc_triples = own[self.first_of], np.zeros(len(third), np.uint32)
         more = np.flatnonzero(second)
         crc_pairs[more] = words.crc_after(crc_pairs[more], second[more] - 1)
         last = np.flatnonzero(third)
@@ -252,22 +258,23 @@ class Dictionary:
         return out.astype(np.int64)
 
     def weights(self, gains: np.ndarray) -> Iterator[np.ndarray]:
-        """For each row the weights of its windows, once for each document that has it."""
+        """The weights of each row's windows, a row at a time."""
         ones, pairs, triples = (np.zeros(len(crc), np.int64) for _, crc, _ in self.parts)
         for (which, crc, _), out in zip(self.parts, (ones, pairs, triples), strict=True):
             out[which] = gains[crc[which] % BUCKETS]
         pairs += ones[self.first_of]
         triples += pairs[self.pair_of]
-        all_of = triples[self.triple_of]
-        for part, held_by, times in zip(np.split(all_of, np.cumsum(self.sizes)[:-1]), self.held_by, self.times, strict=True):
-            yield np.repeat(part, held_by) * times
+        begin = 0
+        for n in self.sizes:
+            yield triples[self.triple_of[begin : begin + n]]
+            begin += n
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
     """(bucket, n): how many features of the corpus fall into each bucket, from rows of _ROWS."""
 
     def run(table: pa.Table) -> pa.Table:
-        some = [x for x in table.to_pylist() if x["words"] is not None]
+        some = [x for x in _rows(table.select(["words", "first", "second", "third", "held_by", "times"])) if x["words"] is not None]
         sums = Dictionary(some).bucket_sums() if some else np.zeros(BUCKETS, np.int64)
         at = np.flatnonzero(sums)
         return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(sums[at], pa.int64())})
@@ -281,20 +288,23 @@ def bucket_gains(own: dict[int, int], target: dict[int, int]) -> np.ndarray:
     return np.array([math.floor(1000 * math.log(x)) for x in ratio], np.int64)
 
 
+def _rows(table: pa.Table) -> Iterator[dict]:
+    return (x for batch in table.to_batches(max_chunksize=1) for x in batch.to_pylist())
+
+
 def _weigh(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
     sides = [{x["bucket"]: x["n"] for x in counts["counts"][0].as_py() if x["target"] == side} for side in (False, True)]
     gains, out, some = bucket_gains(*sides), [], []
-    for x in rows.to_pylist():
+    for x in _rows(rows):
         if x["words"] is None:
             out.append({"block": x["block"], "told": [x[c] for c in _FIELDS[1:6]]})
         else:
             some.append(x)
     for x, weights in zip(some, Dictionary(some).weights(gains) if some else (), strict=True):
-        docs = unpack(x["docs"])
-        used, at = np.unique(docs, return_inverse=True)
-        sums = np.zeros(len(used), np.int64)
-        np.add.at(sums, at, weights)
-        out.append({"block": x["block"], "docs": pack(used), "weights": pack_signed(sums)})
+        docs, sums = unpack(x["docs"]), np.repeat(weights, unpack(x["held_by"])) * unpack(x["times"])
+        sums = np.bincount(docs, sums)  # whole numbers below 2^53
+        used = np.flatnonzero(np.bincount(docs))
+        out.append({"block": x["block"], "docs": pack(used), "weights": pack_signed(sums[used].astype(np.int64))})
     schema = pa.schema([("block", pa.int64()), ("told", pa.list_(pa.binary())), ("docs", pa.binary()), ("weights", pa.binary())])
     return pa.Table.from_pylist(out, schema)
 
