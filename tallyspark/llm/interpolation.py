@@ -40,7 +40,7 @@ from .planes import pack, unpack
 from .token_ids import filesystem
 
 ORDER = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Names that come together in a range.
 RANGE_NAMES = 1 << 21
 #: A training document in so many is deleted from the counts that the weights are learned on.
@@ -116,23 +116,26 @@ class Block:
     def __init__(self, path: str, order: int):
         where, name = filesystem(path)
         with where.open_input_file(name) as data:
-            table = pa.ipc.open_file(data).read_all()
-        index, sizes, parts = Numbers(), [], []
-        self.docs = table.drop_columns(["text"])
-        last = table["last"].to_pylist()
-        for text, ends in zip(table["text"], last, strict=True):
-            ids = np.array(list(map(index.__getitem__, text.as_py().split())), np.int64)
-            parts.append(np.append(ids, -1) if ends else ids)
-            sizes.append(len(parts[-1]))
-        names = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-        tokens = np.append(names, _END)[np.concatenate(parts)] if parts else np.zeros(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+            file = pa.ipc.open_file(data)
+            batches = (file.get_batch(k) for k in range(file.num_record_batches))
+            index, parts, told = Numbers(), [], []
+            for batch in batches:
+                told.append(batch.drop_columns(["text"]))
+                for text, ends in zip(batch["text"], batch["last"].to_pylist(), strict=True):
+                    ids = np.fromiter(map(index.__getitem__, text.as_py().split()), np.int32)
+                    parts.append(np.append(ids, np.int32(-1)) if ends else ids)
+        self.docs = pa.Table.from_batches(told)
+        names = np.append(np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)), _END)
+        del index
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        tokens = names[np.concatenate(parts)]
+        del parts
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         begin = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(tokens)) - begin[self.doc]
+        self.place = (np.arange(len(tokens)) - begin[self.doc]).astype(np.int32)
         #: Words of the part before are context only.
-        self.own = self.place >= np.array(table["lead"], np.int64)[self.doc]
-        self.part = np.array(table["part"], np.int64)[self.doc]
+        self.own = self.place >= np.array(self.docs["lead"], np.int32)[self.doc]
+        self.part = np.array(self.docs["part"], np.int8)[self.doc]
         self.names, context, start = [tokens], tokens, _BEGIN
         with np.errstate(over="ignore"):
             for _ in range(1, order):
@@ -156,8 +159,8 @@ class Block:
         out = []
         for level, names in enumerate(self.names):
             mine = sorted((x for x in answers if x["level"] == level), key=lambda x: x["range"])
-            at = np.unique(names, return_inverse=True)[1]
-            out.append(tuple(np.concatenate([unpack(x[c], "<u8") for x in mine])[at].astype(np.int64) if mine else np.zeros(0, np.int64) for c in ("counted", "deleted")))
+            at = np.unique(names, return_inverse=True)[1].astype(np.int32)
+            out.append(tuple(np.concatenate([unpack(x.pop(c), "<u8").view(np.int64) for x in mine])[at] if mine else np.zeros(0, np.int64) for c in ("counted", "deleted")))
         return out
 
     def contexts(self, counts: list[np.ndarray], tokens: int, documents: int) -> list[np.ndarray]:
@@ -203,7 +206,7 @@ def ask_and_answer(manifest: DataFrame, order: int, range_names: int) -> DataFra
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        names = [np.cumsum(unpack(x["names"], "<u8"), dtype=np.uint64) for x in rows]
+        names = [np.cumsum(unpack(x.pop("names"), "<u8"), dtype=np.uint64) for x in rows]
         different, at = np.unique(np.concatenate(names), return_inverse=True)
         sums = [np.bincount(at, np.concatenate([unpack(x[c]) for x in rows]), len(different)).astype(np.uint64) for c in ("counted", "deleted")]
         out, begin = [], 0
