@@ -1,19 +1,30 @@
-"""Number arrays as byte planes: what is small or alike in its high bytes leaves runs that Spark's own compression removes."""
+"""Number arrays as compressed byte planes: what is small or alike in its high bytes takes next to no room, in files, shuffles and rows in memory."""
 
 from __future__ import annotations
 
 import numpy as np
+import zstandard
+
+_LEVEL = 1
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
     """The values' first bytes, then their second bytes, and so on."""
     values = np.ascontiguousarray(values, kind)
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return squeeze(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def pack_signed(values: np.ndarray) -> bytes:

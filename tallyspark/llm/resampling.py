@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES, Numbers, pieces_at_blanks, stage, utf8
-from .planes import pack, pack_signed, unpack, unpack_signed
+from .planes import expand, pack, pack_signed, squeeze, unpack, unpack_signed
 
 BUCKETS = 10_000
 BLOCK_BYTES = 8 << 20
@@ -169,7 +169,7 @@ class Block:
         local = np.cumsum(used) - 1
         names = b" ".join([words[k - 1] for k in np.flatnonzero(used)[1:].tolist()])
         held_by = np.diff(np.append(at, len(doc)))
-        fields = [names, pack(np.diff(local[u], prepend=0)), pack(local[v]), pack(local[w]), pack(held_by), pack(doc), pack(times)]
+        fields = [squeeze(names), pack(np.diff(local[u], prepend=0)), pack(local[v]), pack(local[w]), pack(held_by), pack(doc), pack(times)]
         return {"range": r, "block": self.number} | dict(zip(_FIELDS, fields, strict=True))
 
 
@@ -217,7 +217,7 @@ class Dictionary:
         index = Numbers()
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for x in rows:
-            names = np.fromiter(map(index.__getitem__, x.pop("words").split(b" ")), np.int32)
+            names = np.fromiter(map(index.__getitem__, expand(x.pop("words")).split(b" ")), np.int32)
             names = np.concatenate((np.zeros(1, np.int32), names + 1))
             for column, at in zip(columns, (np.cumsum(unpack(x.pop("first"))), unpack(x.pop("second")), unpack(x.pop("third"))), strict=False):
                 column.append(names[at])
