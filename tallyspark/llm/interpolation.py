@@ -40,9 +40,9 @@ from .planes import pack, unpack
 from .token_ids import filesystem
 
 ORDER = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Names that come together in a range.
-RANGE_NAMES = 1 << 21
+RANGE_NAMES = 1 << 20
 #: A training document in so many is deleted from the counts that the weights are learned on.
 DELETED = 8
 START = 0.5

@@ -37,9 +37,9 @@ from .common import PIECE_BYTES, Numbers, pieces_at_blanks, stage, utf8
 from .planes import expand, pack, pack_signed, squeeze, unpack, unpack_signed
 
 BUCKETS = 10_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text whose windows come together in a range.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
 SPREAD = 256
 LEAST_WORDS = 20
 PERCENT = 5
