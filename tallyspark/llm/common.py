@@ -71,12 +71,26 @@ def filter_chunks(members: DataFrame, chunk: Column, key: Column) -> DataFrame:
 
 def probe_chunks(df: DataFrame, chunk: Column, key: Column, chunks: DataFrame, flag: str) -> DataFrame:
     """``df`` with a boolean column: false only where ``key`` is surely not among the members of its chunk. Null chunks have none."""
-    probe = df.withColumn("__chunk", chunk).withColumn("__hash", _hash(key))
-    held = chunks.select(F.col("chunk").alias("__chunk"), F.col("words").alias("__words"))
+    own, at, words, h = spare(df, "chunk", "held", "words", "hash")
+    probe = df.withColumn(own, chunk).withColumn(h, _hash(key))
+    held = chunks.select(F.col("chunk").alias(at), F.col("words").alias(words))
     hit = F.lit(True)
     for k in range(4):
-        hit &= F.expr(f"(shiftright(get(__words, cast({_bit(k)} / 64 as int)), {_bit(k)} % 64) & 1L) = 1L")
-    return probe.join(F.broadcast(held), "__chunk", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__chunk", "__hash", "__words")
+        bit = _bit(k).replace("__hash", h)
+        hit &= F.expr(f"(shiftright(get({words}, cast({bit} / 64 as int)), {bit} % 64) & 1L) = 1L")
+    return probe.join(F.broadcast(held), F.col(own) == F.col(at), "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop(own, at, words, h)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        new = f"__{name}"
+        while new in taken:
+            new += "_"
+        out.append(new)
+        taken.add(new)
+    return out
 
 
 def flag_maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str, flag: str) -> DataFrame:
@@ -98,7 +112,8 @@ def flag_maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str,
 
 def maybe_in(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
     """The rows that ``flag_maybe_in`` does not rule out."""
-    return flag_maybe_in(df, key, members, member_key, "__maybe").where("__maybe").drop("__maybe")
+    (flag,) = spare(df, "maybe")
+    return flag_maybe_in(df, key, members, member_key, flag).where(flag).drop(flag)
 
 
 def join_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -125,11 +140,12 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[by
 
 def without(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
     """The rows of ``df`` whose key is not in ``members``; null keys stay. Only rows that may be there are shuffled."""
-    flagged = flag_maybe_in(df, key, members, member_key, "__maybe")
-    asked = flagged.where("__maybe").drop("__maybe")
-    gone = members.select(F.col(member_key).alias("__gone")).distinct()
-    left = asked.join(gone, asked[key] == gone["__gone"], "left_anti")
-    return flagged.where("not __maybe").drop("__maybe").unionByName(left)
+    flag, gone_key = spare(df, "maybe", "gone")
+    flagged = flag_maybe_in(df, key, members, member_key, flag)
+    asked = flagged.where(flag).drop(flag)
+    gone = members.select(F.col(member_key).alias(gone_key)).distinct()
+    left = asked.join(gone, asked[key] == gone[gone_key], "left_anti")
+    return flagged.where(~F.col(flag)).drop(flag).unionByName(left)
 
 
 def utf8(text: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import md5_unit, stage
+from .common import md5_unit, spare, stage
 
 TEMPERATURE = 0.5
 SEED = 10
@@ -60,29 +60,39 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("parts", parts).withColumn("mean", F.col("rate") / F.col("parts")).withColumn("cdf", cdf)
 
 
-def replicate(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The documents with n_copies, copy (from 0) and rate, a row for each copy, in the order of the rows given."""
+def replicate(
+    docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, names: tuple[str, str, str] = ("n_copies", "copy", "rate")
+) -> DataFrame:
+    """The documents with n_copies, copy (from 0) and rate, under the names given, a row for each copy, in the order of the rows given."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    table = poisson_table(rates).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    n_copies, copy, rate = names
+    source, own_rate, parts, cdf, units = spare(docs, "source", "rate", "parts", "cdf", "units")
+    table = poisson_table(rates).select(F.col("source").alias(source), F.col("rate").alias(own_rate), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    rows = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
-    units = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda part: md5_unit(str(seed), key, part))
-    count = F.expr("aggregate(__units, 0, (n, u) -> n + size(filter(__cdf, c -> c <= u)))")
-    rows = rows.withColumn("__units", units).withColumn("n_copies", count).withColumn("rate", F.col("__rate"))
-    rows = rows.where("n_copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, n_copies - 1)")))
-    return rows.drop("__source", "__rate", "__parts", "__cdf", "__units")
+    rows = docs.join(table, F.col(source_col).eqNullSafe(F.col(source)))
+    numbers = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda part: md5_unit(str(seed), key, part))
+    count = F.expr(f"aggregate({units}, 0, (n, u) -> n + size(filter({cdf}, c -> c <= u)))")
+    rows = rows.withColumn(units, numbers).withColumn(n_copies, count).withColumn(rate, F.col(own_rate))
+    rows = rows.where(F.col(n_copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    return rows.drop(source, own_rate, parts, cdf, units)
 
 
-def shuffled(copies: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+def shuffled(copies: DataFrame, id_col: str = "doc_id", seed: int = SEED, copy: str = "copy") -> DataFrame:
     """The copies in a global order that a hash decides."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return copies.orderBy(F.xxhash64(F.lit(f"order{seed}"), key, F.col("copy")), key, F.col("copy"))
+    return copies.orderBy(F.xxhash64(F.lit(f"order{seed}"), key, F.col(copy)), key, F.col(copy))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shares: dict[str | None, float] | None = None,
-    seed: int = SEED,
+    seed: int = SEED, names: tuple[str, str, str] = ("n_copies", "copy", "rate"),
 ) -> DataFrame:
-    """The mixed documents, globally shuffled, with rate, n_copies and copy."""
-    return shuffled(replicate(docs, source_rates(docs, source_col, text_col, shares), id_col, source_col, seed), id_col, seed)
+    """The mixed documents, globally shuffled, with n_copies, copy and rate under the names given."""
+    return shuffled(replicate(docs, source_rates(docs, source_col, text_col, shares), id_col, source_col, seed, names), id_col, seed, names[1])
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix with the columns of the documents only, whatever they are called."""
+    names = spare(docs, "n_copies", "copy", "rate")
+    return mix(docs, id_col, source_col, text_col, names=tuple(names)).select(*docs.columns)

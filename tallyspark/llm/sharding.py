@@ -7,7 +7,7 @@ its own subtree. New capacity enters as a region of its own: no other weight cha
 Slots number the rows of a shard from 0 without gaps, in order of id, size and checksum. They are counted over range
 partitions, so no shard is gathered in one task: only one count for each shard and partition is summed up.
 
-Edge cases: a null or empty text has 0 bytes and checksum 0; all rows with one id (also null) go to one shard and get
+Edge cases: a shard, rack or region of weight 0 is drained and gets no row; a null or empty text has 0 bytes and checksum 0; all rows with one id (also null) go to one shard and get
 slots of their own; an empty table gives an empty one. Other columns are kept by ``shard_documents`` unless their names
 clash with a column it adds, which replaces them.
 """
@@ -32,6 +32,11 @@ class Tree:
 
     regions: tuple[tuple[tuple[float, ...], ...], ...]
 
+    def __post_init__(self):
+        weights = [w for region in self.regions for rack in region for w in rack]
+        if any(not 0 <= w < float("inf") for w in weights) or not sum(weights) > 0:
+            raise ValueError("weights are finite, none is below 0, and one at least is above")
+
     @property
     def shards(self) -> int:
         return sum(len(rack) for region in self.regions for rack in region)
@@ -48,10 +53,11 @@ DEFAULT = even_tree(2, 4, 5)
 
 
 def _draw(names: list[str], weights: list[float], key: Column) -> Column:
-    """The index of the child that wins."""
-    if len(names) == 1:
-        return F.lit(0)
-    draws = [F.struct((F.ln(md5_unit(name, key)) / F.lit(w)).alias("draw"), F.lit(i).alias("child")) for i, (name, w) in enumerate(zip(names, weights, strict=True))]
+    """The index of the child that wins. A child of weight 0 is drained and never does; if all are, which only a drained parent has, the first stands in."""
+    live = [(i, name, w) for i, (name, w) in enumerate(zip(names, weights, strict=True)) if w > 0]
+    if len(live) <= 1:
+        return F.lit(live[0][0] if live else 0)
+    draws = [F.struct((F.ln(md5_unit(name, key)) / F.lit(w)).alias("draw"), F.lit(i).alias("child")) for i, name, w in live]
     return F.greatest(*draws)["child"]
 
 
@@ -74,7 +80,9 @@ def shard_of(key: Column, tree: Tree) -> Column:
 def grown_shard_of(key: Column, shard: Column, tree: Tree, weight: float = 1.0) -> Column:
     """The shard of a row in ``tree.grown(weight)``, given its shard in the tree: only the regions draw again, with the new one among them."""
     total = [sum(sum(rack) for rack in region) for region in tree.regions]
-    *own, new = [F.ln(md5_unit(f"region{r}", key)) / F.lit(w) for r, w in enumerate([*total, weight])]
+    if weight <= 0:
+        return shard
+    *own, new = [F.ln(md5_unit(f"region{r}", key)) / F.lit(w) for r, w in enumerate([*total, weight]) if w > 0]
     return F.when(new >= (F.greatest(*own) if len(own) > 1 else own[0]), F.lit(tree.shards)).otherwise(shard)
 
 

@@ -129,5 +129,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return kept
     plain = [c for c, kind in kept.dtypes if "map<" not in kind and kind != "variant"]
     order = F.struct(F.xxhash64(text_col), F.col(text_col), F.xxhash64(*plain))
-    named = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*kept.columns), order).alias("__row"))
-    return named.select("__row.*").unionByName(kept.where(F.col(id_col).isNull()))
+    named = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.min_by(F.struct(*kept.columns), order).alias("row"))
+    return named.select("row.*").unionByName(kept.where(F.col(id_col).isNull()))

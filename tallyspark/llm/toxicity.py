@@ -17,11 +17,12 @@ across pieces.
 
 Edge cases: null and empty texts (and texts without words) score as the share of label 1 among all training labels, before the
 sample is drawn, and 0 if there is no training row; rows without an id are scored, and are not held out; if training rows have a single label, all texts
-with words score 0.0 or 1.0 by it; labels other than 0 and 1 and null labels are left out of training; repeated rows score alike.
+with words score 0.0 or 1.0 by it; if no sampled text of one of the labels has a word, texts with words score as the sample's share of label 1; labels other than 0 and 1 and null labels are left out of training; repeated rows score alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -155,6 +156,8 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS) -> Model:
         return Model(np.zeros(BUCKETS), -30.0 if not len(y) or base == 0 else 30.0, base)
     keep = [k for k, t in enumerate(texts) if t.split()]
     y = y[keep]
+    if not keep or y.min() == y.max():  # no text of a label has a word: nothing tells words of one label from those of the other
+        return Model(np.zeros(BUCKETS), math.log(base / (1 - base)), base)
     index: dict[bytes, int] = {}
     ids = [np.array([index.setdefault(w, len(index)) for w in texts[k].lower().split()]) for k in keep]
     rows, counts = word_features(list(index))

@@ -234,7 +234,9 @@ def revisits(index: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     whole = index.where(F.col("length") >= least_bytes)
     holder = whole.groupBy("digest", "length").agg(F.max(F.struct("id", "archive", "place", "url", "date")).alias("other"), F.count(F.lit(1)).alias("n"))
-    again = whole.join(holder.where("n > 1").select("digest", "length", "other"), ["digest", "length"])
+    # written down, so the join has an exchange of its own and a payload that very many records have can be split
+    holder = stage(holder.where("n > 1").select("digest", "length", "other"), "warc-holders")
+    again = whole.join(holder, ["digest", "length"])
     again = again.where((F.col("archive") != F.col("other.archive")) | (F.col("place") != F.col("other.place")))
     return again.groupBy("archive").agg(F.collect_list(F.struct("place", "other")).alias("others"))
 

@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, shard string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, shard string, rate double, copy string, n_copies int, size string, __hash int, __chunk string, __maybe boolean, row int, component long"
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +22,7 @@ def odd_docs(spark):
         (None, "no id here", "en", "a"), (None, "no id here", "en", "a"), (11, "repeated row", "en", "b"), (11, "repeated row", "en", "b"),
         *[(20 + k, f"{line}\nunique line number {k} which is also long enough to be counted\n  {line.upper()}\t", "en", "b") for k in range(7)],
     ]
-    rows = [(*r, len(r[1] or ""), 99, 7, "clash") for r in rows]
+    rows = [(*r, len(r[1] or ""), 99, 7, "clash", 0.25, "own", 3, "big", 5, "c", False, 1, -1) for r in rows]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
