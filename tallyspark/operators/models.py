@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normal_cdf
+from . import gram
 from .metrics import folds, inner_seasons
 
 SEED = 42
@@ -46,6 +48,33 @@ STAND_INS: dict[str, tuple[str, dict]] = {
 }
 
 
+#: Regressors that are fitted on sums of products: name -> penalty and its part of absolute values, as in REGRESSORS.
+ADDITIVE: dict[str, tuple[float, float]] = {"ols": (0.0, 0.0), "ridge": (1.0, 0.0), "lasso": (0.1, 1.0), "elastic_net": (0.1, 0.5)}
+
+
+def penalty(model: str, params: dict) -> tuple[float, float] | None:
+    """(regParam, elasticNetParam) if the model with these parameters can be fitted on sums of products."""
+    if model not in ADDITIVE or set(params) - {"regParam", "elasticNetParam"}:
+        return None
+    reg, l1 = ADDITIVE[model]
+    return params.get("regParam", reg), params.get("elasticNetParam", l1)
+
+
+def fold_lines(df: DataFrame, season: str, grid: list[tuple[float, float]], variants: list[list[str]], target: str, trains: list[list[int]]) -> list[list[list[gram.Line]]]:
+    """[variant][penalty][fold]: linear fits of every set of columns, penalty and training part, from one scan and one for medians where there are nulls.
+
+    Nulls are filled with the training part's median.
+    """
+    cols = list(dict.fromkeys(c for v in variants for c in v))
+    m = gram.moments(df, season, cols, target)
+    fills = gram.median_fills(df, season, m, target, trains)
+    out = []
+    for v in variants:
+        at, own = [cols.index(c) for c in v], m.only(v)
+        out.append([[gram.fit_line(own, train, reg, l1, f[at]) for train, f in zip(trains, fills, strict=True)] for reg, l1 in grid])
+    return out
+
+
 def learner(model: str, classify: bool, **params):
     """A model by its name; the parameters given go before those of a stand-in."""
     name, own = STAND_INS.get(model, (model, {}))
@@ -102,16 +131,37 @@ def latest_model(spark: SparkSession, folder: str, prefix: str = "") -> Pipeline
 
 
 def walk_forward(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], first: int, **params) -> DataFrame:
-    """Out-of-fold predictions: each season is scored by a model fitted on those before it."""
+    """Out-of-fold predictions: each season is scored by a model fitted on those before it. Linear regressors are fitted for all folds in one scan."""
+    cuts = folds(seasons, first)
+    if not classify and (p := penalty(model, params)):
+        lines = fold_lines(df, season, [p], [numeric], target, [t for t, _ in cuts])[0][0]
+        return gram.score_by_season(df, season, {valid: line for (_, valid), line in zip(cuts, lines, strict=True)})
     parts = []
-    for train, valid in folds(seasons, first):
+    for train, valid in cuts:
         fitted = fit(df.where(F.col(season).isin(train)), model, numeric, target, classify, **params)
         parts.append(score(fitted, df.where(F.col(season) == valid), classify).withColumn("fold", F.lit(valid)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def pooled_losses(df: DataFrame, season: str, cases: list[tuple[list[str], tuple[float, float]]], target: str, seasons: list[int], first: int) -> list[float]:
+    """Pooled out-of-fold absolute error of linear regressors, each a set of columns and a penalty: one scan fits them all, one scores them all."""
+    cuts = folds(seasons, first)
+    grid, variants = list(dict.fromkeys(p for _, p in cases)), [list(v) for v in dict.fromkeys(tuple(v) for v, _ in cases)]
+    lines = fold_lines(df, season, grid, variants, target, [t for t, _ in cuts])
+    scored = []
+    for cols, p in cases:
+        own = lines[variants.index(list(cols))][grid.index(p)]
+        by_fold = reduce(lambda w, k: w.when(F.col(season) == cuts[k][1], own[k].predict()), range(len(cuts)), F)
+        scored.append((F.col(season).isin([v for _, v in cuts]), by_fold))
+    return [mae for mae, _ in gram.losses(df, target, scored)]
+
+
 def tune(df: DataFrame, season: str, model: str, grid: list[dict], numeric: list[str], target: str, seasons: list[int], first: int, classify: bool = False) -> tuple[dict, float]:
     """The parameters of least pooled absolute error (of classifiers: Brier score) over the folds; the first of equals."""
+    penalties = [None if classify else penalty(model, params) for params in grid]
+    if all(penalties):
+        error, k = min((e, k) for k, e in enumerate(pooled_losses(df, season, [(numeric, p) for p in penalties], target, seasons, first)))
+        return grid[k], error
     errors, gap = [], F.col("p") - F.col(target)
     for k, params in enumerate(grid):
         oof = walk_forward(df, season, model, numeric, target, classify, seasons, first, **params)
@@ -136,7 +186,7 @@ def stacked(
     """
     parts = []
     for train, valid in folds(seasons, first):
-        own, held = df.where(F.col(season).isin(train)).cache(), df.where(F.col(season) == valid)
+        own, held = df.where(F.col(season).isin(train)), df.where(F.col(season) == valid)
         start = sorted(train)[min(inner_seasons(len(train), min_inner), len(train) - 1)]
         inner = {n: walk_forward(own, season, m, numeric, target, True, train, start) for n, m in bases.items()}
         fitted = fit(stack(inner, key, target), meta, list(bases), target, True)
@@ -157,18 +207,24 @@ def platt(df: DataFrame, p: str, target: str):
     return LogisticRegression(featuresCol="features", labelCol="label").fit(v)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str], key: str, loss: Callable[[DataFrame], float], classify: bool) -> dict[str, float]:
-    """How much the loss grows when a column's values move between rows: each row gets that of the next in a hash's order.
+def permutation_importance(
+    model: PipelineModel, df: DataFrame, cols: list[str], key: str, loss: Callable[[DataFrame], float], classify: bool, repeats: int = 1, spread: bool = False,
+) -> dict[str, float] | dict[str, tuple[float, float]]:
+    """How much the loss grows when a column's values move between rows: each row gets that of the next in a hash's order, a new order in every repeat.
 
-    Rows are dealt to slices by the hash, so no task sorts them all; the last of a slice takes the slice's first.
+    The mean over the repeats, or with ``spread`` the mean and the population deviation. Rows are dealt to slices by the hash, so no task sorts
+    them all; the last of a slice takes the slice's first.
     """
     base, out = loss(score(model, df, classify)), {}
     for c in cols:
-        w = W.partitionBy(F.pmod(F.xxhash64(key, F.lit(c)), F.lit(1024))).orderBy(F.xxhash64(F.lit(SEED), key), key)
-        first = F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        last = F.lead(key).over(w).isNull()
-        moved = df.withColumn(c, F.when(last, first).otherwise(F.lead(c).over(w)))
-        out[c] = loss(score(model, moved, classify)) - base
+        grown = []
+        for k in range(repeats):
+            w = W.partitionBy(F.pmod(F.xxhash64(key, F.lit(c), F.lit(k)), F.lit(1024))).orderBy(F.xxhash64(F.lit(SEED + k), key), key)
+            first = F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+            last = F.lead(key).over(w).isNull()
+            moved = df.withColumn(c, F.when(last, first).otherwise(F.lead(c).over(w)))
+            grown.append(loss(score(model, moved, classify)) - base)
+        out[c] = (float(np.mean(grown)), float(np.std(grown))) if spread else float(np.mean(grown))
     return out
 
 
@@ -197,6 +253,13 @@ def select_by_grid(df: DataFrame, season: str, model: str, grid: list[dict], num
 def learning_curve(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], valid: int) -> DataFrame:
     """(seasons, train_loss, valid_loss): fitted on the last 1, 2, ... seasons before ``valid``; Brier score or absolute error."""
     before, rows = sorted((s for s in seasons if s < valid), reverse=True), []
+    if not classify and (p := penalty(model, {})):
+        trains = [before[:n] for n in range(1, len(before) + 1)]
+        lines = fold_lines(df, season, [p], [numeric], target, trains)[0][0]
+        cases = [(F.col(season).isin(part), line.predict()) for train, line in zip(trains, lines, strict=True) for part in (train, [valid])]
+        found = [mae for mae, _ in gram.losses(df, target, cases)]
+        rows = [(n, found[2 * n - 2], found[2 * n - 1]) for n in range(1, len(before) + 1)]
+        return df.sparkSession.createDataFrame(rows, "seasons int, train_loss double, valid_loss double")
     gap = F.col("p") - F.col(target)
     loss = F.avg(gap * gap if classify else F.abs(gap))
     for n in range(1, len(before) + 1):
@@ -206,24 +269,72 @@ def learning_curve(df: DataFrame, season: str, model: str, numeric: list[str], t
     return df.sparkSession.createDataFrame(rows, "seasons int, train_loss double, valid_loss double")
 
 
-def recursive_elimination(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, keep: int) -> list[str]:
-    """Drops the column of least absolute coefficient and fits again, until ``keep`` are left."""
-    left = list(numeric)
-    while len(left) > keep:
-        sizes = coefficients(fit(df, model, left, target, classify), left)
-        left.remove(min(left, key=lambda c: abs(sizes[c])))
+def elimination_order(sizes: Callable[[list[str]], dict[str, float]], numeric: list[str]) -> list[list[str]]:
+    """The columns left after each drop of that with the least absolute coefficient, all of them first."""
+    left = [list(numeric)]
+    while len(left[-1]) > 1:
+        size = sizes(left[-1])
+        least = min(left[-1], key=lambda c: abs(size[c]))
+        left.append([c for c in left[-1] if c != least])
     return left
 
 
+def recursive_elimination(df: DataFrame, model: str, numeric: list[str], target: str, classify: bool, keep: int) -> list[str]:
+    """Drops the column of least absolute coefficient (of standard scores) and fits again, until ``keep`` are left; linear regressors in one scan."""
+    if not classify and (p := penalty(model, {})):
+        m = gram.moments(df, None, numeric, target)
+        fills = dict(zip(numeric, gram.median_fills(df, None, m, target, [[]])[0], strict=True))
+
+        def sizes(cols: list[str]) -> dict[str, float]:
+            return dict(zip(cols, gram.fit_line(m.only(cols), [""], *p, np.array([fills[c] for c in cols])).scaled.tolist(), strict=True))
+    else:
+
+        def sizes(cols: list[str]) -> dict[str, float]:
+            return coefficients(fit(df, model, cols, target, classify), cols)
+
+    return elimination_order(sizes, numeric)[len(numeric) - keep] if keep < len(numeric) else list(numeric)
+
+
+def cross_validated_elimination(df: DataFrame, season: str, model: str, numeric: list[str], target: str, seasons: list[int], first: int) -> tuple[list[str], list[tuple[int, float]]]:
+    """The columns that recursive elimination keeps at the number with the least mean squared error over the folds (the fewest of equals), and
+    (number, error) for every number. For linear regressors; every fold eliminates on its own training part, and no fold has a scan of its own."""
+    if (p := penalty(model, {})) is None:
+        raise ValueError(f"{model} is not fitted on sums of products")
+    m, cuts = gram.moments(df, season, numeric, target), folds(seasons, first)
+    fills = gram.median_fills(df, season, m, target, [*[t for t, _ in cuts], sorted(seasons)])
+    total: dict[int, list[float]] = {}
+    best: list[list[str]] = []
+    for k, (train, valid) in enumerate([*cuts, (sorted(seasons), None)]):
+        at = dict(zip(numeric, fills[k], strict=True))
+        line = lambda cols: gram.fit_line(m.only(cols), train, *p, np.array([at[c] for c in cols]))  # noqa: B023, E731
+        steps = elimination_order(lambda cols: dict(zip(cols, line(cols).scaled.tolist(), strict=True)), numeric)  # noqa: B023
+        for cols in steps if valid is not None else ():
+            n, error = gram.squared_error(m.only(cols), [valid], line(cols))
+            at_number = total.setdefault(len(cols), [0.0, 0.0])
+            at_number[0], at_number[1] = at_number[0] + n, at_number[1] + error
+        best = steps
+    errors = sorted((k, e / n) for k, (n, e) in total.items() if n)
+    return best[len(numeric) - min(errors, key=lambda x: (x[1], x[0]))[0]], errors
+
+
 def coefficient_stability(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], first: int) -> DataFrame:
     """(column, mean, std, sign_share) of the coefficients over the folds."""
-    rows = [(c, x) for train, _ in folds(seasons, first) for c, x in coefficients(fit(df.where(F.col(season).isin(train)), model, numeric, target, classify), numeric).items()]
+    cuts = [t for t, _ in folds(seasons, first)]
+    if not classify and (p := penalty(model, {})):
+        rows = [(c, float(x)) for line in fold_lines(df, season, [p], [numeric], target, cuts)[0][0] for c, x in zip(numeric, line.scaled, strict=True)]
+    else:
+        rows = [(c, x) for train in cuts for c, x in coefficients(fit(df.where(F.col(season).isin(train)), model, numeric, target, classify), numeric).items()]
     long = df.sparkSession.createDataFrame(rows, "column string, x double")
     return long.groupBy("column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.greatest(F.avg((F.col("x") > 0).cast("int")), F.avg((F.col("x") < 0).cast("int"))).alias("sign_share"))
 
 
 def ablation(df: DataFrame, season: str, model: str, variants: dict[str, list[str]], target: str, classify: bool, seasons: list[int], first: int) -> DataFrame:
     """(variant, n, loss): pooled out-of-fold error (Brier score or absolute error) for each set of columns."""
+    if not classify and (p := penalty(model, {})):
+        found = pooled_losses(df, season, [(cols, p) for cols in variants.values()], target, seasons, first)
+        valid = [v for _, v in folds(seasons, first)]
+        n = df.where(F.col(season).isin(valid)).count()
+        return df.sparkSession.createDataFrame([(name, n, e) for name, e in zip(variants, found, strict=True)], "variant string, n long, loss double")
     parts = []
     for name, cols in variants.items():
         gap = F.col("p") - F.col(target)

@@ -4,23 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .gram import pairwise_correlations
+from .windows import average_ranks
 
-def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> np.ndarray:
-    """Correlations of the columns over rows without nulls; of a constant column 0, and 1 with itself."""
-    vectors = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip").transform(df.select(*cols)).select("__v")
-    m = np.array(Correlation.corr(vectors, "__v", method).first()[0].toArray())
-    m = np.nan_to_num(m)
+
+def column_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as average ranks among their own known values, nulls as they are; rows come out in no order."""
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    long = rows.unpivot(["__row"], cols, "__column", "__x").where("__x is not null")
+    ranked = average_ranks(long, ["__column"], "__x", "__rank")
+    return ranked.groupBy("__row").agg(*[F.max(F.when(F.col("__column") == c, F.col("__rank"))).alias(c) for c in cols]).drop("__row")
+
+
+def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson", least: int = 2) -> np.ndarray:
+    """Correlations of every two columns over the rows where both are known (``spearman``: of their ranks among the column's known values).
+
+    Of a constant column, and of columns with fewer than ``least`` rows in common, 0; 1 with itself.
+    """
+    m = np.nan_to_num(pairwise_correlations(df if method == "pearson" else column_ranks(df, cols), cols, least)[0])
     np.fill_diagonal(m, 1.0)
     return m
 
 
+def correlation_pairs(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
+    """(first, second, n, corr): each two columns once, with the rows that know both; corr is null where it has no value."""
+    m, n = pairwise_correlations(df if method == "pearson" else column_ranks(df, cols), cols)
+    rows = [(a, b, int(n[i, j]), None if np.isnan(m[i, j]) else float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j < i]
+    return df.sparkSession.createDataFrame(rows, "first string, second string, n long, corr double")
+
+
 def target_association(df: DataFrame, cols: list[str], target: str) -> dict[str, float]:
-    row = df.agg(*[F.abs(F.corr(c, target)).alias(c) for c in cols]).first()
-    return {c: row[c] if row[c] is not None and row[c] == row[c] else 0.0 for c in cols}
+    """Absolute correlation of each column with the target, over the rows where both are known; 0 where there is none."""
+    m = correlation_matrix(df, [*cols, target])[-1]
+    return {c: abs(float(x)) for c, x in zip(cols, m, strict=False)}
 
 
 def prune_correlated(df: DataFrame, cols: list[str], target: str, limit: float = 0.9) -> list[str]:
@@ -51,28 +70,75 @@ def prune_in_two_passes(df: DataFrame, cols: list[str], groups: list[list[str]],
 
 
 def cluster_average_linkage(similarity: np.ndarray, limit: float) -> list[list[int]]:
-    """Clusters of items whose mean distance (1 - |similarity|) to each other's cluster is at most the limit."""
-    d = 1 - np.abs(similarity)
-    clusters = {k: [k] for k in range(len(d))}
-    while len(clusters) > 1:
-        keys = list(clusters)
-        gap, a, b = min((d[np.ix_(clusters[x], clusters[y])].mean(), x, y) for i, x in enumerate(keys) for y in keys[:i])
-        if gap > limit:
-            break
-        clusters[b] += clusters.pop(a)
-    return sorted(sorted(c) for c in clusters.values())
-
-
-def representatives(df: DataFrame, cols: list[str], target: str, limit: float = 0.3) -> list[str]:
-    """One column of each cluster: the one most associated with the target."""
+    """Clusters of items, merged while the mean distance (1 - |similarity|) between two clusters is at most the limit.
+
+    By a chain of nearest neighbours: two clusters that are each other's nearest merge for good, whatever else is nearer elsewhere, and the
+    distances from the merged one are weighted means of the two. Every step looks at one row of distances, so n items take time n^2.
+    """
+    d = np.clip(1 - np.abs(np.asarray(similarity, float)), 0, None)
+    d = (d + d.T) / 2
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    size, members, alive, chain = np.ones(n), [[k] for k in range(n)], np.ones(n, bool), []
+    merges: list[tuple[float, int, int]] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            row = np.where(alive, d[chain[-1]], np.inf)
+            nearest = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
+                break
+            chain.append(nearest)
+        a, b = chain.pop(), chain.pop()
+        merges.append((float(d[a, b]), members[a][0], members[b][0]))
+        mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = mean, mean
+        d[a, a] = np.inf
+        size[a], alive[b] = size[a] + size[b], False
+        members[a] = members[a] + members[b]
+    owner = list(range(n))
+
+    def root(k: int) -> int:
+        while owner[k] != k:
+            owner[k] = owner[owner[k]]
+            k = owner[k]
+        return k
+
+    for gap, a, b in merges:
+        if gap <= limit + 1e-12:
+            owner[root(a)] = root(b)
+    groups: dict[int, list[int]] = {}
+    for k in range(n):
+        groups.setdefault(root(k), []).append(k)
+    return sorted(groups.values())
+
+
+def representatives(df: DataFrame, cols: list[str], target: str, limit: float = 0.1) -> list[str]:
+    """One column of each cluster of columns whose ranks correlate by 1 - ``limit``: the one most associated with the target."""
     strength = target_association(df, cols, target)
     groups = cluster_average_linkage(correlation_matrix(df, cols, "spearman"), limit)
     return [max((cols[k] for k in g), key=lambda c: (strength[c], -cols.index(c))) for g in groups]
 
 
 def variance_inflation(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    """The diagonal of the inverse correlation matrix."""
-    return dict(zip(cols, np.diag(np.linalg.pinv(correlation_matrix(df, cols))).tolist(), strict=True))
+    """1 / (1 - R^2) of each column on all others, over rows where all are known; infinite where the others give it exactly, 1 where it is constant."""
+    known = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]).dropna()
+    m, _ = pairwise_correlations(known, cols)
+    return dict(zip(cols, inflation(m), strict=True))
+
+
+def inflation(correlations: np.ndarray, exact: float = 1e-10) -> list[float]:
+    live = ~np.isnan(np.diag(correlations))
+    out, at = np.ones(len(live)), np.flatnonzero(live)
+    r = np.nan_to_num(correlations[np.ix_(live, live)])
+    values, vectors = np.linalg.eigh(r) if len(at) else (np.zeros(0), np.zeros((0, 0)))
+    none = values < exact * max(len(at), 1)
+    # a column with a part in a direction without variation is a sum of others
+    part = (vectors[:, none] ** 2).sum(1)
+    inverse = (vectors[:, ~none] ** 2 / values[~none]).sum(1)
+    out[at] = np.where(part > 1e-8, np.inf, np.maximum(inverse, 1.0))
+    return out.tolist()
 
 
 def principal_components(df: DataFrame, cols: list[str], variance: float = 0.9, out: str = "components") -> DataFrame:
