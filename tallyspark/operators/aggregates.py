@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_if, flag, safe_div, sum_if
-from .windows import exact_quantiles
+from .quantiles import exact_quantiles
+from .windows import sliced
 
 
 def play_side_measures(plays: DataFrame, drives: DataFrame, keys: list[str], explosive_at: float) -> DataFrame:
@@ -74,21 +75,26 @@ def schedule_summary(rows: DataFrame, keys: list[str], early: int, late: int, by
 
 
 def gini(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(n, gini, cv) by group over values that are neither null nor negative; null where they sum to 0.
+    """(n, gini, cv) by group over values that are neither null nor negative; null where they sum to 0. For groups of any size.
 
-    Equal values are counted before they are ranked, so a group costs as many rows as it has values.
+    Equal values are counted before they are ranked; ranks are summed up by slices of the values, then within each.
     """
-    counts = df.where(F.col(x) >= 0).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(W.partitionBy(*keys).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = sliced(df.where(F.col(x) >= 0).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("m")), x)
+    below = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    names = [F.struct(F.col(c).alias("v")).alias(c) for c in keys]
+    counts = counts.select(*names, F.col(x).alias("x"), "m", "__slice")
+    slices = counts.groupBy(*keys, "__slice").agg(F.sum("m").alias("m"))
+    slices = slices.select(*keys, "__slice", below(W.partitionBy(*keys).orderBy("__slice")).alias("__below"))
+    before = F.col("__below") + below(W.partitionBy(*keys, "__slice").orderBy("x"))
     ranks = (F.col("m") * (2 * before + F.col("m") + 1) / 2).alias("ranks")  # the sum of the ranks of the m equal values
-    counts = counts.select(*keys, x, "m", ranks)
+    counts = counts.join(slices, [*keys, "__slice"]).select(*keys, "x", "m", ranks)
     out = counts.groupBy(*keys).agg(
-        F.sum("m").alias("n"), F.sum(F.col(x) * F.col("m")).alias("__total"), F.sum(F.col(x) * F.col("ranks")).alias("__ranked"), F.sum(F.col(x) * F.col(x) * F.col("m")).alias("__squares")
+        F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("__total"), F.sum(F.col("x") * F.col("ranks")).alias("__ranked"), F.sum(F.col("x") * F.col("x") * F.col("m")).alias("__squares")
     )
     n, total = F.col("n"), F.col("__total")
     variance = safe_div(F.greatest(F.col("__squares") - total * total / n, F.lit(0.0)), n - 1)
     out = out.withColumn("gini", safe_div(2 * F.col("__ranked"), n * total) - F.when(total > 0, (n + 1) / n))
-    return out.withColumn("cv", safe_div(F.sqrt(variance), total / n)).select(*keys, "n", "gini", "cv")
+    return out.withColumn("cv", safe_div(F.sqrt(variance), total / n)).select(*[F.col(f"{c}.v").alias(c) for c in keys], "n", "gini", "cv")
 
 
 def preferred_or_average(df: DataFrame, keys: list[str], preferred: Column, x: str, name: str) -> DataFrame:

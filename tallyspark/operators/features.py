@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag, safe_div
+from ..functions.exprs import safe_div
 from .joins import attach_sides
-from .ratings import rate
-from .windows import exact_quantiles, first_by, prior_means, rolling_means
+from .metrics import at_least
+from .quantiles import exact_quantiles
+from .ratings import rate_sweep
+from .windows import first_by, interval, prior_means, rolling_means
 
 
 def weighted_score(weights: dict[str, float]) -> Column:
@@ -48,17 +50,26 @@ def live_rows(weeks: DataFrame, games: DataFrame, team: str, season: str, week:
 
 
 def sensitivity(df: DataFrame, member: str, gates: dict[str, tuple[str, list[float]]]) -> DataFrame:
-    """Rows and members that pass each threshold of each gate: (gate, threshold, rows, members), in one pass."""
-    cells = [F.struct(F.lit(name).alias("gate"), F.lit(float(t)).alias("threshold"), flag(F.col(c) >= t).alias("ok")) for name, (c, ts) in gates.items() for t in ts]
-    long = df.select(member, F.explode(F.array(*cells)).alias("g")).select(member, "g.*")
-    return long.groupBy("gate", "threshold").agg(F.sum("ok").alias("rows"), F.count_distinct(F.when(F.col("ok") == 1, F.col(member))).alias("members"))
+    """Rows and members that pass each threshold of each gate: (gate, threshold, rows, members).
+
+    A row falls once into the interval between two thresholds of each gate; a member passes a threshold with its largest value, so members
+    are counted by the interval of that. Members without a name are not counted.
+    """
+    parts = []
+    for name, (c, ts) in gates.items():
+        edges = [float(t) for t in sorted(set(ts))]
+        reached = F.coalesce(interval(F.col(c), edges), F.lit(0))
+        own = df.groupBy(member, reached.alias("__reached")).agg(F.count(F.lit(1)).alias("rows"))
+        highest = own.where(F.col(member).isNotNull()).groupBy(member).agg(F.max("__reached").alias("__reached")).groupBy("__reached").agg(F.count(F.lit(1)).alias("members"))
+        rows = own.groupBy("__reached").agg(F.sum("rows").alias("rows")).withColumn("members", F.lit(0).cast("long"))
+        cells = rows.unionByName(highest.withColumn("rows", F.lit(0).cast("long"))).withColumn("gate", F.lit(name))
+        parts.append(at_least(cells, ["gate"], edges, ["rows", "members"]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def trajectory(rows: DataFrame, season: str, week: str, weeks: list[int], passes: int) -> DataFrame:
     """(season, as_of, team, rating): for every season, ratings from the games before each of the weeks."""
-    grid = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in weeks]), lambda w: w > F.col(week))).alias("__as_of"))
-    rated = rate(grid.withColumn("period", F.col(season) * 1000 + F.col("__as_of")), "period", passes)
-    return rated.select(F.floor(F.col("period") / 1000).cast("int").alias(season), (F.col("period") % 1000).cast("int").alias("as_of"), "team", "rating")
+    return rate_sweep(rows, season, week, weeks, [0], passes).drop("k")
 
 
 def swept_ratings(rows: DataFrame, priors: DataFrame, season: str, week: str, weeks: list[int], ks: list[int], passes: int) -> DataFrame:
@@ -66,17 +77,10 @@ def swept_ratings(rows: DataFrame, priors: DataFrame, season: str, week: str, we
 
     A team's prior is k games against an opponent of rating 0; teams without a prior get the mean one.
     """
-    grid = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in weeks]), lambda w: w > F.col(week))).alias("__as_of"))
-    grid = grid.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("__k"))
-    grid = grid.withColumn("period", F.col(season) * 1_000_000 + F.col("__as_of") * 1000 + F.col("__k"))
     mean = priors.agg(F.avg("rating").alias("__mean"))
-    phantom = grid.select("period", "team", F.col("__k").cast("double").alias("weight")).distinct().join(priors.select("team", "rating"), "team", "left").join(F.broadcast(mean))
-    none = F.lit(None).cast(rows.schema["opponent"].dataType).alias("opponent")
-    games = grid.select("period", "team", "opponent", "margin", F.lit(1.0).alias("weight"))
-    phantom = phantom.select("period", "team", none, F.coalesce("rating", "__mean", F.lit(0.0)).alias("margin"), "weight")
-    rated = rate(games.unionByName(phantom), "period", passes)
-    parts = {season: F.floor(F.col("period") / 1_000_000), "as_of": F.floor(F.col("period") / 1000) % 1000, "k": F.col("period") % 1000}
-    return rated.select(*[x.cast("int").alias(n) for n, x in parts.items()], "team", "rating")
+    known = priors.groupBy("team").agg(F.first("rating").alias("__prior"))
+    asked = rows.join(known, "team", "left").crossJoin(F.broadcast(mean))
+    return rate_sweep(asked.withColumn("prior", F.coalesce("__prior", "__mean", F.lit(0.0))), season, week, weeks, ks, passes)
 
 
 def phase_means(weekly: DataFrame, by: list[str], week: str, metrics: list[str], split: int = 4) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
-from .windows import average_ranks, exact_quantiles, sliced
-
+from .quantiles import exact_quantiles
+from .windows import average_ranks, interval, sliced
 
 
 def regression(df: DataFrame, by: list[str], y: str, p: str, within: float = 1.0) -> DataFrame:
@@ -65,26 +65,51 @@ def ranking(df: DataFrame, y: str, score: str) -> DataFrame:
     return out.select("n_pos", "n_neg", safe_div(F.col("__won"), F.col("n_pos") * F.col("n_neg")).alias("auc"), safe_div(F.col("__ap"), F.col("n_pos")).alias("average_precision"))
 
 
+def at_least(cells: DataFrame, by: list[str], thresholds: list[float], sums: list[str]) -> DataFrame:
+    """(by, threshold, sums): for each threshold, in rising order, the sums over cells whose ``__reached`` (how many thresholds they reach) includes it.
+
+    Every group has a row for every threshold: the grid is made of the groups, and cells are added up from the highest down.
+    """
+    spark = cells.sparkSession
+    grid = cells.select(*by).distinct().crossJoin(F.broadcast(spark.createDataFrame([(k + 1, float(t)) for k, t in enumerate(thresholds)], "__reached int, threshold double")))
+    none = [F.lit(0).cast(cells.schema[c].dataType).alias(c) for c in sums]
+    both = grid.select(*by, "__reached", "threshold", *none).unionByName(cells.where("__reached > 0").withColumn("threshold", F.lit(None).cast("double")).select(*by, "__reached", "threshold", *sums))
+    both = both.groupBy(*by, "__reached").agg(F.max("threshold").alias("threshold"), *[F.sum(c).alias(c) for c in sums])
+    w = W.partitionBy(*by).orderBy(F.col("__reached").desc()).rowsBetween(W.unboundedPreceding, 0)
+    return both.select(*by, "threshold", *[F.sum(c).over(w).alias(c) for c in sums])
+
+
 def threshold_grid(df: DataFrame, by: list[str], y: str, p: str, thresholds: list[float]) -> DataFrame:
-    """precision, coverage and counts for every threshold and group, in one pass: the grid's size is that of the list."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    said, hit = F.col(p) >= F.col("threshold"), F.col(y) == 1
-    rows = df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__m")).select("*", grid)
-    one = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("__m"))), F.lit(0))
-    out = rows.groupBy(*by, "threshold").agg(F.sum("__m").alias("n"), one(said).alias("flagged"), one(said & hit).alias("hits"))
+    """precision, coverage and counts for every threshold and group: a row falls once into the interval between two thresholds, and the
+    intervals' counts are added up from the highest down."""
+    edges = sorted(set(thresholds))
+    reached = F.coalesce(interval(F.col(p), [float(t) for t in edges]), F.lit(0)).alias("__reached")
+    cells = df.groupBy(*by, reached).agg(F.count(F.lit(1)).alias("flagged"), F.count_if(F.col(y) == 1).alias("hits"))
+    names = [F.struct(F.col(c).alias("v")).alias(c) for c in by]  # null groups join too
+    totals = cells.groupBy(*names).agg(F.sum("flagged").alias("n"))
+    out = at_least(cells.select(*names, "__reached", "flagged", "hits"), by, edges, ["flagged", "hits"])
+    out = out.join(totals, by) if by else out.crossJoin(F.broadcast(totals))
+    out = out.select(*[F.col(f"{c}.v").alias(c) for c in by], "threshold", "n", "flagged", "hits")
     return out.withColumns({"precision": safe_div(F.col("hits"), F.col("flagged")), "coverage": safe_div(F.col("flagged"), F.col("n"))})
 
 
 def score_at_coverage(df: DataFrame, by: list[str], score: str, share: float) -> DataFrame:
-    """(by, threshold, n): the k-th highest score of each group, k the share of its rows rounded up, 1 at least.
+    """(by, threshold, n): the k-th highest score of each group, k the share of its rows rounded up, 1 at least; for groups of any size.
 
-    Equal scores are counted first, so a group costs as many rows as it has scores.
+    Equal scores are counted, then summed up by slices of the score and within the slice that holds the k-th.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("__m"))
-    w = W.partitionBy(*by)
-    counts = counts.withColumns({"n": F.sum("__m").over(w), "__seen": F.sum("__m").over(w.orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0))})
+    counts = sliced(df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("__m")), "threshold")
+    names = [F.struct(F.col(c).alias("v")).alias(c) for c in by]
+    counts = counts.select(*names, "threshold", "__m", "__slice")
+    above = lambda w: F.coalesce(F.sum("__m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slices, w = counts.groupBy(*by, "__slice").agg(F.sum("__m").alias("__m")), W.partitionBy(*by)
+    slices = slices.withColumns({"n": F.sum("__m").over(w), "__above": above(w.orderBy(F.col("__slice").desc()))})
     k = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n")))
-    return counts.where(F.col("__seen") >= k).groupBy(*by, "n").agg(F.max("threshold").alias("threshold"))
+    holds = slices.where((F.col("__above") < k) & (k <= F.col("__above") + F.col("__m"))).drop("__m")
+    inside = counts.join(holds, [*by, "__slice"])
+    seen = F.col("__above") + above(W.partitionBy(*by, "__slice").orderBy(F.col("threshold").desc())) + F.col("__m")
+    found = inside.withColumn("__seen", seen).where(F.col("__seen") >= k).groupBy(*by, "n").agg(F.max("threshold").alias("threshold"))
+    return found.select(*[F.col(f"{c}.v").alias(c) for c in by], "n", "threshold")
 
 
 def precision_recall_curve(df: DataFrame, y: str, score: str) -> DataFrame:

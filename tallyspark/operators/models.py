@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import normal_cdf
 from . import gram
 from .metrics import folds, inner_seasons
+from .quantiles import exact_quantiles
 
 SEED = 42
 
@@ -114,8 +115,13 @@ def margin_probability(regressor: PipelineModel, train: DataFrame, df: DataFrame
     Their width is the population deviation or, if ``robust``, the interquartile range over 1.349; 0 counts as 1.
     """
     gap = F.col(target) - F.col("p")
-    width = (F.percentile(gap, F.lit(0.75)) - F.percentile(gap, F.lit(0.25))) / 1.349 if robust else F.stddev_pop(gap)
-    spread = score(regressor, train, False).agg(F.when(width > 0, width).otherwise(1.0).alias("__spread"))
+    gaps = score(regressor, train, False).select(gap.alias("__gap"))
+    if robust:
+        q = exact_quantiles(gaps, [], "__gap", [0.25, 0.75], "__q")
+        width = (F.col("__q")[1] - F.col("__q")[0]) / 1.349
+    else:
+        q, width = gaps.agg(F.stddev_pop("__gap").alias("__q")), F.col("__q")
+    spread = q.select(F.when(width > 0, width).otherwise(1.0).alias("__spread"))
     out = score(regressor, df, False).join(F.broadcast(spread))
     return out.withColumn("p", normal_cdf(F.col("p") / F.col("__spread"))).drop("__spread")
 
@@ -355,10 +361,11 @@ def quantile_regression(df: DataFrame, cols: list[str], target: str, q: float, s
     A step is one aggregate over the rows; the returned values are means of the last half of the steps. Rows with a null are left out.
     """
     df = df.select(*cols, target).dropna()
-    stats = df.agg(F.percentile(target, F.lit(q)).alias("y0"), F.stddev_pop(target).alias("ys"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    y0 = exact_quantiles(df, [], target, [q], "q").first()["q"][0]
+    stats = df.agg(F.stddev_pop(target).alias("ys"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     scale = {c: (stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in cols}
     z = df.select(F.col(target).alias("__y"), *[((F.col(c) - m) / s).alias(c) for c, (m, s) in scale.items()]).cache()
-    beta, total = [stats["y0"], *[0.0] * len(cols)], [0.0] * (len(cols) + 1)
+    beta, total = [y0, *[0.0] * len(cols)], [0.0] * (len(cols) + 1)
     for k in range(steps):
         fit_now = reduce(lambda a, b: a + b, [F.col(c) * b for c, b in zip(cols, beta[1:], strict=True)], F.lit(beta[0]))
         pull = F.when(F.col("__y") > fit_now, q).otherwise(q - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import normal_cdf, safe_div
 from .joins import stack_sides
+from .windows import interval
 
 
 def home_advantage(games: DataFrame, margin: str) -> DataFrame:
@@ -53,11 +54,54 @@ def rate(rows: DataFrame, period: str, passes: int = 200) -> DataFrame:
     return pairs.groupBy(period).applyInPandas(solve, f"{period} {kind}, team {team_kind}, rating double")
 
 
+def rate_sweep(rows: DataFrame, period: str, week: str, weeks: list[int], ks: list[int], passes: int = 200) -> DataFrame:
+    """(period, as_of, k, team, rating): ratings from the games before each of the weeks, with each weight k of the teams' priors.
+
+    rows: (period, week, team, opponent, margin) and, where a k is above 0, prior. Games are shuffled once: summed for each pair of teams
+    between two weeks, they are added up week by week in a period's task, and one pass moves the ratings of all k together. A team has a
+    rating once it has a game.
+    """
+    edges = sorted(set(weeks))
+    prior = F.first("prior") if "prior" in rows.columns else F.lit(0.0)
+    cells = rows.withColumn("__cell", interval(F.col(week), edges)).where(F.col("__cell") < len(edges))
+    pairs = cells.groupBy(period, "__cell", "team", "opponent").agg(F.sum("margin").alias("total"), F.count("margin").alias("games"), prior.alias("prior"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (period, "team")}
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["team", "opponent"])
+        every, k = np.unique(pdf["team"]), np.array(ks, float)
+        prior = pdf.groupby("team")["prior"].first().reindex(every).to_numpy(float)
+        team, place = np.searchsorted(every, pdf["team"]), pd.Index(every).get_indexer(pdf["opponent"])
+        cell, n, total = pdf["__cell"].to_numpy(), pdf["games"].to_numpy(float), pdf["total"].to_numpy(float)
+        parts = []
+        for at, as_of in enumerate(edges):
+            own = cell <= at
+            games, base = (np.bincount(team[own], x[own], len(every)) for x in (n, total))
+            there = games > 0
+            met = own & (place >= 0)
+            met[met] = there[place[met]]
+            r, t = np.zeros((len(every), len(k))), team[met]
+            first = np.flatnonzero(np.diff(t, prepend=-1))
+            for _ in range(passes if there.any() else 0):
+                pull = np.zeros_like(r)
+                if len(t):
+                    pull[t[first]] = np.add.reduceat(n[met, None] * r[place[met]], first)
+                r[there] = (base[there, None] + k * prior[there, None] + pull[there]) / (games[there, None] + k)
+                r[there] -= r[there].mean(0)
+            parts += [pd.DataFrame({period: key[0], "as_of": as_of, "k": int(x), "team": every[there], "rating": r[there, j]}) for j, x in enumerate(ks)]
+        return pd.concat(parts)
+
+    return pairs.groupBy(period).applyInPandas(solve, f"{period} {kinds[period]}, as_of int, k int, team {kinds['team']}, rating double")
+
+
 def rate_by_joins(rows: DataFrame, period: str, passes: int, cut_every: int = 8) -> DataFrame:
     """The same for any number of teams, by joins and grouped means.
 
-    Where ``spark.checkpoint.dir`` is set the lineage is cut after every few passes, so a pass costs the same however many went before.
+    The lineage is cut after every few passes in ``spark.checkpoint.dir``, so a pass costs the same however many went before. Without that
+    setting more passes than that are refused.
     """
+    if passes > cut_every and not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        raise ValueError(f"more than {cut_every} passes need spark.checkpoint.dir, where their lineage is cut")
     weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
     pairs = rows.groupBy(period, "team", "opponent").agg(F.sum(weight * F.col("margin")).alias("total"), F.sum(weight).alias("games"))
     now = pairs.select(period, "team").distinct().withColumn("rating", F.lit(0.0))
@@ -84,7 +128,7 @@ def with_pool(rows: DataFrame, rated: DataFrame, period: str) -> DataFrame:
     known = rated.select(F.col("team").alias("opponent"), F.lit(True).alias("__rated"))
     out = rows.join(rated.select("team"), "team", "left_semi").join(known, "opponent", "left").withColumn("__pool", F.col("__rated").isNull())
     pool = out.where("__pool").groupBy(period).agg((-F.avg("margin")).alias("__rating"))
-    out = out.join(F.broadcast(pool), period, "left").withColumn("margin", F.when(F.col("__pool"), F.col("margin") + F.col("__rating")).otherwise(F.col("margin")))
+    out = out.join(pool, period, "left").withColumn("margin", F.when(F.col("__pool"), F.col("margin") + F.col("__rating")).otherwise(F.col("margin")))
     return out.withColumn("opponent", F.when(~F.col("__pool"), F.col("opponent"))).select(*rows.columns)
 
 

@@ -104,11 +104,28 @@ def ratio_to_first(keys: list[str], order: list, x: str) -> Column:
     return safe_div(F.col(x), first) - 1
 
 
-def sliced(df: DataFrame, x: str, n: int = 128) -> DataFrame:
-    """Adds __slice: which of n ranges of x a row lies in. The edges are approximate quantiles, so crowded values are spread over slices."""
-    points = F.array(*[F.lit(k / n) for k in range(1, n)])
-    edges = df.agg(F.array_distinct(F.percentile_approx(x, points, F.lit(10_000))).alias("__edges"))
-    return df.join(F.broadcast(edges)).withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")
+def interval(x: Column, edges: list) -> Column:
+    """How many of the edges, in order, are at most x: by halving, so the expression is as deep as a logarithm of their number. Null for null."""
+
+    def cut(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= F.lit(edges[mid]), cut(mid + 1, hi)).otherwise(cut(lo, mid))
+
+    return F.when(x.isNotNull(), cut(0, len(edges)))
+
+
+def slice_edges(df: DataFrame, x: str, n: int = 128) -> list:
+    """At most n - 1 values that cut the rows into parts of about one size; one aggregate, whose result is that many numbers."""
+    points = [k / n for k in range(1, n)]
+    return sorted(set(df.agg(F.percentile_approx(x, points, F.lit(10_000)).alias("edges")).first()["edges"] or []))
+
+
+def sliced(df: DataFrame, x: str, n: int = 128, edges: list | None = None) -> DataFrame:
+    """Adds __slice: which of n ranges of x a row lies in. The edges are approximate quantiles of the whole table, so crowded values are spread over
+    slices, and they are fixed before anything else is planned: all that is derived from the slices agrees on them. Null values are of slice 0."""
+    return df.withColumn("__slice", F.coalesce(interval(F.col(x), slice_edges(df, x, n) if edges is None else edges), F.lit(0)))
 
 
 def lag_by_slices(df: DataFrame, keys: list[str], order: str, x: str, name: str) -> DataFrame:
@@ -136,27 +153,6 @@ def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFram
     return df.join(ranks, [*keys, x])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, points: list[float], name: str) -> DataFrame:
-    """(keys, name): the interpolated quantiles of x, as an array, by group or (without keys) of all rows; groups may have any size.
-
-    Equal values are counted first, and their ranks are summed up by slices; only the values on both sides of a quantile are gathered. Null
-    counts as no value; a group without values is left out.
-    """
-    counts = sliced(df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__m")), "__x")
-    per = counts.groupBy(*keys, "__slice").agg(F.sum("__m").alias("__s"))
-    all_of, upto = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)), lambda w: w.rowsBetween(_ALL, -1)
-    per = per.withColumns({"__n": F.sum("__s").over(all_of), "__below": F.coalesce(F.sum("__s").over(upto(all_of.orderBy("__slice"))), F.lit(0))}).drop("__s")
-    within = W.partitionBy(*keys, "__slice").orderBy("__x")
-    rows = counts.join(per, [*keys, "__slice"]).withColumn("__lo", F.col("__below") + F.coalesce(F.sum("__m").over(upto(within)), F.lit(0)))
-    at = lambda k: F.max(F.when((F.col("__lo") <= k) & (k < F.col("__lo") + F.col("__m")), F.col("__x")))
-    out = []
-    for p in points:
-        place = F.lit(p) * (F.col("__n") - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append(low + (high - low) * F.max(place - F.floor(place)))
-    return rows.groupBy(*keys).agg(F.array(*out).alias(name)) if keys else rows.agg(F.array(*out).alias(name))
-
-
 def season_shift(df: DataFrame, season: str, cols: list[str], by: int, keys: list[str]) -> DataFrame:
     """The columns as those of ``by`` seasons before, under suffix _lag<by>: join on keys and season."""
     return df.select(*keys, (F.col(season) + by).alias(season), *[F.col(c).alias(f"{c}_lag{by}") for c in cols])

@@ -9,6 +9,7 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators.ratings import team_margins
 from ..operators.windows import zscore
+from ..operators.quantiles import column_quantiles
 from ..sources.tables import table
 from .common import GAMES, PREDICTIONS, TEAM_WEEKS, games, plays, predictions, rounded, team_weeks, year
 from .evaluation import _MARGINS, _srs_sql
@@ -133,8 +134,10 @@ SELECT p_brand, season, round(avg(m), 6) AS rank_mean, count(*) AS classes FROM
 
 def describe_columns(spark, d):
     cols = ["l_quantity", "l_discount", "l_tax"]
-    one = table(spark, d, "lineitem").select(*cols).unpivot([], cols, "column", "value")
-    return rounded(one.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.median("value").alias("median"), F.max("value").alias("max"), F.avg(F.col("value").isNull().cast("int")).alias("missing")))
+    li = table(spark, d, "lineitem").select(*cols)
+    one = li.unpivot([], cols, "column", "value")
+    out = one.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg(F.col("value").isNull().cast("int")).alias("missing"))
+    return rounded(out.join(column_quantiles(li, [], cols, [0.5]).select("column", F.col("quantiles")[0].alias("median")), "column", "left"))
 
 
 DESCRIBE_COLUMNS = """SELECT "column", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, median(value) AS median, max(value) AS max, 0.0 AS missing

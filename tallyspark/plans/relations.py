@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import rosters as R
 from ..operators.windows import first_by, share_of_total
 from ..sources import tables as S
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import table
 from .common import GAMES, PREDICTIONS, games, predictions, rounded, year
 
@@ -348,7 +349,7 @@ PIVOT_CATEGORIES = """SELECT l_suppkey, max(CASE WHEN l_returnflag = 'A' THEN 1
 
 def fill_and_clip(spark, d):
     c = table(spark, d, "customer").withColumn("b", F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")))
-    median = c.agg(F.percentile("b", F.lit(0.5)).alias("m"))
+    median = exact_quantiles(c, [], "b", [0.5], "q").select(F.col("q")[0].alias("m"))
     c = c.join(F.broadcast(median))
     return rounded(c.select("c_custkey", F.col("b").isNull().alias("b_missing"), F.coalesce("b", "m").alias("filled"), E.clip(F.col("b"), -500.0, 5000.0).alias("clipped"), F.coalesce("b", F.lit(0.0)).alias("zero_filled")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs as E
 from tallyspark.operators import joins as J
+from tallyspark.operators import quantiles as Q
 from tallyspark.operators import windows as X
 
 WEEKS = "team string, year int, week int, points double"
@@ -104,9 +105,9 @@ def test_exact_quantiles(spark):
     frame = pd.DataFrame(rows, columns=["g", "x"])
     points = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r["g"]: r["q"] for r in X.exact_quantiles(df, ["g"], "x", points, "q").collect()}
+    got = {r["g"]: r["q"] for r in Q.exact_quantiles(df, ["g"], "x", points, "q").collect()}
     assert got == {g: pytest.approx(frame[frame.g == g].x.quantile(points).tolist()) for g in "ABCE"}
-    assert X.exact_quantiles(df, [], "x", points, "q").first()["q"] == pytest.approx(frame.x.quantile(points).tolist())
+    assert Q.exact_quantiles(df, [], "x", points, "q").first()["q"] == pytest.approx(frame.x.quantile(points).tolist())
 
 
 def test_lag_by_slices(spark):
