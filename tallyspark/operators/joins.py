@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import first_by
+from .windows import first_by, interval, slice_edges
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, cols: list[str], tie: list, strict: bool = True) -> DataFrame:
-    """Each left row with ``cols`` of the last right row of its entity before it (or at it, unless strict).
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, cols: list[str], tie: list, strict: bool = True, slices: int = 128) -> DataFrame:
+    """Each left row with ``cols`` of the last right row of its entity before it (or at it, unless strict); entities may have any size.
 
-    One union, one shuffle, one sort. Of right rows with one time the first in the order ``tie`` counts; left rows without
-    a match, or without a key, have nulls.
+    One union, cut into slices of the time at edges that are fixed first: a slice of an entity is sorted on its own, and what the slices
+    before it end with comes from a table of one row for each entity and slice. Of right rows with one time the first in the order
+    ``tie`` counts; left rows without a match, or without a key, have nulls.
     """
     own = first_by(right.where(F.col(ts).isNotNull()), [*by, ts], tie).select(*by, ts, F.struct(*cols).alias("__right"))
     own = own.withColumn("__side", F.lit(1 if strict else 0)).withColumn("__left", F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType))
     asking = left.select(*by, ts, F.struct("*").alias("__left")).withColumn("__side", F.lit(0 if strict else 1))
-    both = own.unionByName(asking, allowMissingColumns=True)
-    w = W.partitionBy(*by).orderBy(F.col(ts).asc_nulls_first(), "__side").rowsBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
+    number = lambda c: F.unix_micros(c) if right.schema[ts].dataType.typeName() == "timestamp" else F.unix_date(c) if right.schema[ts].dataType.typeName() == "date" else c
+    edges = slice_edges(right.select(number(F.col(ts)).alias("t")), "t", slices)
+    both = own.unionByName(asking, allowMissingColumns=True).withColumn("__slice", F.coalesce(interval(number(F.col(ts)), edges), F.lit(0)))
+    order = [F.col(ts).asc_nulls_first(), F.col("__side")]
+    w = W.partitionBy(*by, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    within = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
+    ends = own.withColumn("__slice", interval(number(F.col(ts)), edges)).groupBy(*by, "__slice").agg(F.max_by("__right", ts).alias("__end"))
+    # an entity's ends and the slices where it asks: as many rows as it has slices
+    asked = within.select(*by, "__slice").distinct().withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType)).withColumn("__asks", F.lit(1))
+    marks = ends.withColumn("__asks", F.lit(0)).unionByName(asked).groupBy(*by, "__slice").agg(F.max("__end").alias("__end"), F.max("__asks").alias("__asks"))
+    carry = marks.withColumn("__carry", F.last("__end", ignorenulls=True).over(W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)))
+    carry = carry.where("__asks = 1 and __carry is not null").select(*by, "__slice", "__carry")
+    found = within.join(carry, [*by, "__slice"], "left").withColumn("__found", F.coalesce("__found", "__carry"))
     known = F.col(ts).isNotNull()
     for c in by:
         known &= F.col(c).isNotNull()

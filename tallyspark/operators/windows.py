@@ -139,6 +139,41 @@ def lag_by_slices(df: DataFrame, keys: list[str], order: str, x: str, name: str)
     return rows.withColumn(name, F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col(name))).drop("__slice", "__first", "__before")
 
 
+def windows_by_slices(df: DataFrame, keys: list[str], order: str, cols: list[str], span: int = 3, n: int = 128) -> DataFrame:
+    """``prior_means`` for entities of any size and a unique order within each: prev_<c>, <c>_avg_all and <c>_avg<span> from the rows before.
+
+    An entity's rows are cut into slices of the order, so its history is spread over many tasks. A slice gets from those before it the sums and
+    counts (a table of one row for each entity and slice) and the entity's last ``span`` rows as rows that lead it.
+    """
+    rows = sliced(df, order, n)
+    at = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(F.col(order).asc_nulls_first()))
+    rows = rows.withColumn("__at", at)
+    sums = [x for c in cols for x in (F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}"))]
+    ends = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__rows"), *sums)
+    w = W.partitionBy(*keys).orderBy("__slice").rowsBetween(_ALL, -1)
+    before = {f"__before_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in ("__rows", *[f"__{k}_{c}" for c in cols for k in ("sum", "n")])}
+    ends = ends.withColumns(before)
+    names = [F.struct(F.col(k).alias("v")).alias(f"__k{i}") for i, k in enumerate(keys)]  # null keys join too
+    on = [f"__k{i}" for i in range(len(keys))]
+    ends, rows = ends.select(*names, "__slice", "__rows", *before), rows.select("*", *names)
+    # the last rows of a slice lead later slices as long as they are among the last ``span`` before those
+    tails = rows.join(ends.select(*on, "__slice", "__rows", F.col("__before___rows").alias("__first")), [*on, "__slice"])
+    tails = tails.where(F.col("__at") > F.col("__rows") - span).withColumn("__place", F.col("__first") + F.col("__at"))
+    later = ends.select(*on, F.col("__slice").alias("__to"), F.col("__before___rows").alias("__have"))
+    lead = tails.join(later, on).where((F.col("__to") > F.col("__slice")) & (F.col("__place") > F.col("__have") - span))
+    lead = lead.select(*df.columns, *on, F.col("__to").alias("__slice"), (F.col("__place") - F.col("__have")).cast("int").alias("__at"))
+    both = rows.select(*df.columns, *on, "__slice", "__at").unionByName(lead).join(ends.drop("__rows"), [*on, "__slice"])
+    w = W.partitionBy(*on, "__slice").orderBy("__at")
+    inside, last, out = w.rowsBetween(_ALL, -1), w.rowsBetween(-span, -1), {}
+    own = lambda c: F.when(F.col("__at") > 0, F.col(c))
+    for c in cols:
+        out[f"prev_{c}"] = F.lag(c).over(w)
+        total, count = F.col(f"__before___sum_{c}") + F.coalesce(F.sum(own(c)).over(inside), F.lit(0)), F.col(f"__before___n_{c}") + F.count(own(c)).over(inside)
+        out[f"{c}_avg_all"] = safe_div(total, count)
+        out[f"{c}_avg{span}"] = F.when(F.count(c).over(last) >= span, F.avg(c).over(last))
+    return both.withColumns(out).where("__at > 0").select(*df.columns, *out)
+
+
 def average_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """Adds the rank of x within its group, ties sharing the mean of their ranks, for groups of any size.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import aggregates as A
 from ..operators import checks as C
+from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models
 from ..operators import ratings as T
@@ -124,23 +125,34 @@ SELECT round(corr(a, c), 6) AS spearman, round(max_by(rate, bucket) - min_by(rat
 
 
 def baselines(spark, d):
-    """Each row against the mean of its type, of its type in the season before, of all, and the previous value of its type; and how often the favourite and the majority are right."""
-    p = X.lag_by_slices(predictions(spark, d), ["event_type"], "event_id", "actual", "previous")
-    means = p.groupBy("event_type").agg(F.avg("actual").alias("type_mean"))
-    seasons = p.groupBy("event_type", (F.col("season") + 1).alias("season")).agg(F.avg("actual").alias("season_before"))
-    p = p.join(F.broadcast(means), "event_type").join(F.broadcast(seasons), ["event_type", "season"], "left")
+    """Each row against simple guesses, by type: the value before, the mean of the three before, the mean of the type, of its group, of the type in the season before, of
+    its group in the season before and of all, and a least-squares plane through the seasons before; and how often the favourite and the majority are right."""
+    p = X.windows_by_slices(predictions(spark, d).withColumn("grp", F.col("event_id") % 10), ["event_type"], "event_id", ["actual"], 3)
+    p = p.withColumnsRenamed({"prev_actual": "previous", "actual_avg3": "rolling"}).drop("actual_avg_all")
+    for name, keys, lag in (("type_mean", ["event_type"], 0), ("group_mean", ["grp"], 0), ("season_before", ["event_type", "season"], 1), ("group_season_before", ["grp", "season"], 1)):
+        means = p.groupBy(*[(F.col(k) + lag).alias(k) if k == "season" else k for k in keys]).agg(F.avg("actual").alias(name))
+        p = p.join(means, keys, "left")
     total = p.agg(F.avg("actual").alias("overall"))
-    p = p.join(F.broadcast(total))
+    p = p.crossJoin(F.broadcast(total)).withColumn("x1", (F.col("event_id") % 7).cast("double"))
+    lines = models.fold_lines(predictions(spark, d).withColumn("x1", (F.col("event_id") % 7).cast("double")), "season", [(0.0, 0.0)], [["predicted", "x1"]], "actual", [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3]])[0][0]
+    plane = F.when(F.lit(False), F.lit(0.0))
+    for season, line in zip((1, 2, 3, 4), lines, strict=True):
+        plane = plane.when(F.col("season") == season, line.predict())
+    p = p.withColumn("plane", plane)
     err = lambda c: F.avg(F.abs(F.col(c) - F.col("actual"))).alias(c)
-    favourite = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int"))
-    ones = F.avg("label")
-    return rounded(p.groupBy("event_type").agg(err("previous"), err("type_mean"), err("season_before"), err("overall"), favourite.alias("favourite"), F.greatest(ones, 1 - ones).alias("majority")))
+    favourite, ones = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")), F.avg("label")
+    names = ["previous", "rolling", "type_mean", "group_mean", "season_before", "group_season_before", "overall", "plane"]
+    return rounded(p.groupBy("event_type").agg(*map(err, names), favourite.alias("favourite"), F.greatest(ones, 1 - ones).alias("majority")))
 
 
-BASELINES = f"""WITH {PREDICTIONS}, sb AS (SELECT event_type, season + 1 AS season, avg(actual) AS s FROM pr GROUP BY ALL),
-b AS (SELECT pr.*, lag(actual) OVER (PARTITION BY event_type ORDER BY event_id) AS p, avg(actual) OVER (PARTITION BY event_type) AS m, (SELECT avg(actual) FROM pr) AS o FROM pr)
-SELECT event_type, round(avg(abs(p - actual)), 6) AS previous, round(avg(abs(m - actual)), 6) AS type_mean, round(avg(abs(s - actual)), 6) AS season_before, round(avg(abs(o - actual)), 6) AS overall,
- round(avg(CAST((score >= 0.5) = (label = 1) AS INTEGER)), 6) AS favourite, round(greatest(avg(label), 1 - avg(label)), 6) AS majority FROM b LEFT JOIN sb USING (event_type, season) GROUP BY 1"""
+BASELINES = f"""WITH {PREDICTIONS}, q AS (SELECT *, event_id % 10 AS grp, CAST(event_id % 7 AS DOUBLE) AS x1 FROM pr), sb AS (SELECT event_type, season + 1 AS season, avg(actual) AS s FROM q GROUP BY ALL), gb AS (SELECT grp, season + 1 AS season, avg(actual) AS g FROM q GROUP BY ALL),
+b AS (SELECT q.*, lag(actual) OVER w AS p, CASE WHEN count(actual) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3 THEN avg(actual) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS r3,
+ avg(actual) OVER (PARTITION BY event_type) AS m, avg(actual) OVER (PARTITION BY grp) AS gm, (SELECT avg(actual) FROM pr) AS o FROM q WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+fd AS (SELECT unnest([1, 2, 3, 4]) AS fold), l AS (SELECT fold, avg(predicted) AS m1, avg(x1) AS m2, avg(actual) AS my, var_pop(predicted) AS v1, var_pop(x1) AS v2, covar_pop(predicted, x1) AS v12, covar_pop(predicted, actual) AS c1, covar_pop(x1, actual) AS c2
+  FROM fd JOIN q ON season < fold GROUP BY fold), pl AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 ** 2) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 ** 2) AS b2 FROM l)
+SELECT event_type, round(avg(abs(p - actual)), 6) AS previous, round(avg(abs(r3 - actual)), 6) AS rolling, round(avg(abs(m - actual)), 6) AS type_mean, round(avg(abs(gm - actual)), 6) AS group_mean, round(avg(abs(s - actual)), 6) AS season_before,
+ round(avg(abs(g - actual)), 6) AS group_season_before, round(avg(abs(o - actual)), 6) AS overall, round(avg(abs(my + b1 * (predicted - m1) + b2 * (x1 - m2) - actual)), 6) AS plane,
+ round(avg(CAST((score >= 0.5) = (label = 1) AS INTEGER)), 6) AS favourite, round(greatest(avg(label), 1 - avg(label)), 6) AS majority FROM b LEFT JOIN sb USING (event_type, season) LEFT JOIN gb USING (grp, season) LEFT JOIN pl ON fold = season GROUP BY 1"""
 
 
 def pythagorean(spark, d):
@@ -300,10 +312,13 @@ SELECT CASE WHEN p >= 0.7 THEN 'favourite' WHEN p <= 0.3 THEN 'underdog' ELSE 't
 
 def linear_trend(spark, d):
     n = table(spark, d, "orders").groupBy(year("o_orderdate").alias("season")).agg(F.avg("o_totalprice").alias("mean_price"))
-    return rounded(M.linear_trend(n, "season", "mean_price").select("slope", "r2"), 4)
+    return rounded(M.linear_trend(n, "season", "mean_price"), 4)
 
 
-LINEAR_TREND = "WITH n AS (SELECT year(o_orderdate) AS season, avg(o_totalprice) AS m FROM orders GROUP BY 1) SELECT round(regr_slope(m, season), 4) AS slope, round(regr_r2(m, season), 4) AS r2 FROM n"
+# Student's distribution in closed form: with an odd number f of degrees, 1 - p is 2 / pi * (a + sin a * (cos a + 2/3 cos^3 a + ...)), tan a = t / sqrt(f); 7 seasons are 5 degrees
+LINEAR_TREND = """WITH n AS (SELECT year(o_orderdate) AS season, avg(o_totalprice) AS m FROM orders GROUP BY 1), r AS (SELECT count(*) AS n, regr_slope(m, season) AS slope, regr_r2(m, season) AS r2 FROM n),
+a AS (SELECT *, atan(sqrt(r2 / (1 - r2))) AS a FROM r)
+SELECT n, round(slope, 4) AS slope, round(r2, 4) AS r2, CASE WHEN n = 7 THEN round(1 - 2 / pi() * (a + sin(a) * (cos(a) + cos(a) ** 3 * 2 / 3)), 4) END AS p FROM a"""
 
 
 def srs_settled(spark, d):
@@ -337,16 +352,84 @@ def walk_forward_classifier(spark, d):
 
 
 def walk_forward_regressor(spark, d):
-    oof = models.walk_forward(_features(spark, d), "season", "ridge", ["predicted", "x1", "x2"], "actual", False, [0, 1, 2, 3, 4], 3)
+    """Each season by a line through the seasons before it."""
+    oof = models.walk_forward(_features(spark, d), "season", "ols", ["predicted"], "actual", False, [0, 1, 2, 3, 4], 2)
     return rounded(M.regression(oof, ["fold"], "actual", "p").select("fold", "n", "mae", "rmse"), 4)
 
 
+_FOLDS = f"WITH {PREDICTIONS}, fd AS (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS fold), ft AS (SELECT *, CAST(event_id % 7 AS DOUBLE) AS x1 FROM pr)"
+WALK_FORWARD_REGRESSOR = f"""{_FOLDS}, l AS (SELECT fold, regr_slope(actual, predicted) AS b, regr_intercept(actual, predicted) AS a FROM fd JOIN ft ON season < fold GROUP BY fold)
+SELECT fold, count(*) AS n, round(avg(abs(a + b * predicted - actual)), 4) AS mae, round(sqrt(avg((a + b * predicted - actual) ** 2)), 4) AS rmse FROM l JOIN ft ON season = fold GROUP BY fold"""
+
+
+def walk_forward_plane(spark, d):
+    """Each season by least squares on two columns, and by a ridge on them: both from one scan."""
+    rows, cuts = _features(spark, d), [[0, 1], [0, 1, 2], [0, 1, 2, 3]]
+    lines = models.fold_lines(rows, "season", [(0.0, 0.0), (2.0, 0.0)], [["predicted", "x1"]], "actual", cuts)[0]
+    found = [G.score_by_season(rows, "season", dict(zip([2, 3, 4], own, strict=True))).withColumn("model", F.lit(name)) for name, own in zip(("ols", "ridge"), lines, strict=True)]
+    return rounded(M.regression(found[0].unionByName(found[1]), ["model", "fold"], "actual", "p").select("model", "fold", "n", "mae", "rmse"), 4)
+
+
+# two columns by Cramer's rule; the ridge's penalty is in standard scores, over the deviation of the target
+WALK_FORWARD_PLANE = f"""{_FOLDS}, m AS (SELECT fold, avg(predicted) AS m1, avg(x1) AS m2, avg(actual) AS my, var_pop(predicted) AS v1, var_pop(x1) AS v2, covar_pop(predicted, x1) AS v12,
+  covar_pop(predicted, actual) AS c1, covar_pop(x1, actual) AS c2, stddev_pop(actual) AS sy FROM fd JOIN ft ON season < fold GROUP BY fold),
+r AS (SELECT m.*, model, v1 * (1 + pen / sy) AS w1, v2 * (1 + pen / sy) AS w2 FROM m, (VALUES ('ols', 0.0), ('ridge', 2.0)) AS p(model, pen)),
+b AS (SELECT *, (c1 * w2 - c2 * v12) / (w1 * w2 - v12 ** 2) AS b1, (c2 * w1 - c1 * v12) / (w1 * w2 - v12 ** 2) AS b2 FROM r),
+e AS (SELECT model, fold, my + b1 * (predicted - m1) + b2 * (x1 - m2) - actual AS e FROM b JOIN ft ON season = fold)
+SELECT model, fold, count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse FROM e GROUP BY model, fold"""
+
+
+def _with_nulls(spark, d):
+    return _features(spark, d).withColumn("x3", F.when(F.col("event_id") % 9 == 0, F.col("score"))).select("score", "predicted", "x1", "x2", "x3", F.when(F.col("event_id") % 4 != 1, F.col("actual")).alias("actual"))
+
+
+_NULLS = f"""WITH {PREDICTIONS}, ft AS (SELECT score, predicted, CAST(event_id % 7 AS DOUBLE) AS x1, CASE WHEN event_id % 9 <> 0 THEN predicted * 2 END AS x2, CASE WHEN event_id % 9 = 0 THEN score END AS x3,
+ CASE WHEN event_id % 4 <> 1 THEN actual END AS actual FROM pr)"""
+_CORR_COLS = ["score", "predicted", "x1", "x2", "x3", "actual"]
+
+
+def _pairs_sql(source):
+    return " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count({a} + {b}) AS n, round(corr({a}, {b}), 6) AS corr FROM {source}" for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[:i])
+
+
+def correlations_with_nulls(spark, d):
+    """Every pair of columns over the rows that know both; two of the columns are never known together."""
+    return rounded(S.correlation_pairs(_with_nulls(spark, d), _CORR_COLS))
+
+
+def rank_correlations_with_nulls(spark, d):
+    return rounded(S.correlation_pairs(_with_nulls(spark, d), _CORR_COLS, "spearman"))
+
+
+CORRELATIONS_WITH_NULLS = f"{_NULLS} {_pairs_sql('ft')}"
+_RANKS = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 END AS {c}" for c in _CORR_COLS)
+RANK_CORRELATIONS_WITH_NULLS = f"{_NULLS}, rk AS (SELECT {_RANKS} FROM ft) {_pairs_sql('rk')}"
+
+
+def inflation_factors(spark, d):
+    """How much the other columns inflate each; a column and its double are infinite, written as null."""
+    rows = _features(spark, d).withColumn("x3", F.col("score") + F.col("x1")).select("score", "predicted", "x1", "x3")
+    found = S.variance_inflation(rows, ["score", "predicted", "x1"]) | {"x3": S.variance_inflation(rows, ["score", "predicted", "x1", "x3"])["x3"]}
+    return rounded(spark.createDataFrame([(c, None if v == float("inf") else v) for c, v in found.items()], "column string, vif double"), 4)
+
+
+# of three columns R^2 follows from their correlations
+INFLATION_FACTORS = f"""WITH {PREDICTIONS}, ft AS (SELECT score, predicted, CAST(event_id % 7 AS DOUBLE) AS x1 FROM pr), c AS (SELECT corr(score, predicted) AS a, corr(score, x1) AS b, corr(predicted, x1) AS c FROM ft),
+v AS (SELECT 1 - a * a - b * b - c * c + 2 * a * b * c AS det, a, b, c FROM c)
+SELECT 'score' AS "column", round((1 - c * c) / det, 4) AS vif FROM v UNION ALL SELECT 'predicted', round((1 - b * b) / det, 4) FROM v UNION ALL SELECT 'x1', round((1 - a * a) / det, 4) FROM v UNION ALL SELECT 'x3', NULL"""
+
+
 def pruned_features(spark, d):
-    f = _features(spark, d).dropna()
-    kept = S.prune_correlated(f, ["score", "predicted", "x1", "x2"], "actual")
+    """Of two columns that go together the one less associated with the target goes; each pair over the rows that know both."""
+    kept = S.prune_correlated(_with_nulls(spark, d), ["score", "predicted", "x1", "x2"], "actual")
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+PRUNED_FEATURES = f"""{_NULLS}, st AS (SELECT 'score' AS f, abs(corr(score, actual)) AS s FROM ft UNION ALL SELECT 'predicted', abs(corr(predicted, actual)) FROM ft UNION ALL SELECT 'x1', abs(corr(x1, actual)) FROM ft UNION ALL SELECT 'x2', abs(corr(x2, actual)) FROM ft),
+pa AS (SELECT first AS f, second AS g, abs(corr) AS c FROM ({_pairs_sql('ft')})), far AS (SELECT f, g FROM pa WHERE c > 0.9 UNION ALL SELECT g, f FROM pa WHERE c > 0.9)
+SELECT f AS feature FROM st WHERE NOT EXISTS (SELECT 1 FROM far JOIN st t ON t.f = far.g WHERE far.f = st.f AND t.s > st.s)"""
+
+
 QUERIES = {
     "gini_by_group": gini_by_group, "mode_by_group": mode_by_group, "bucket_width": bucket_width, "bucket_quantile": bucket_quantile, "spearman": spearman, "auc_rank_sum": auc_rank_sum,
     "regression_metrics": regression_metrics, "classification_metrics": classification_metrics, "threshold_grid": threshold_grid, "best_threshold": best_threshold, "residual_interval": residual_interval,
@@ -354,6 +437,7 @@ QUERIES = {
     "phantom_prior": phantom_prior, "matchup_projection": matchup_projection, "expected_wins": expected_wins, "dup_keys": dup_keys, "coverage_rate": coverage_rate, "null_rate": null_rate,
     "shortened_period": shortened_period, "completeness_gate": completeness_gate, "frame_diff": frame_diff, "bounds_check": bounds_check, "favourite_check": favourite_check, "linear_trend": linear_trend,
     "correlation_pairs": correlation_pairs, "walk_forward_classifier": walk_forward_classifier, "walk_forward_regressor": walk_forward_regressor, "pruned_features": pruned_features,
+    "walk_forward_plane": walk_forward_plane, "correlations_with_nulls": correlations_with_nulls, "rank_correlations_with_nulls": rank_correlations_with_nulls, "inflation_factors": inflation_factors,
     "srs_settled": srs_settled, "fit_exponent": fit_exponent,
 }
 ORACLES = {
@@ -365,4 +449,6 @@ ORACLES = {
     "matchup_projection": MATCHUP_PROJECTION, "expected_wins": EXPECTED_WINS,
     "dup_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", "coverage_rate": COVERAGE_RATE, "null_rate": NULL_RATE, "shortened_period": SHORTENED_PERIOD,
     "completeness_gate": COMPLETENESS_GATE, "frame_diff": FRAME_DIFF, "bounds_check": BOUNDS_CHECK, "favourite_check": FAVOURITE_CHECK, "linear_trend": LINEAR_TREND, "correlation_pairs": CORRELATION_PAIRS,
+    "walk_forward_regressor": WALK_FORWARD_REGRESSOR, "walk_forward_plane": WALK_FORWARD_PLANE, "correlations_with_nulls": CORRELATIONS_WITH_NULLS, "rank_correlations_with_nulls": RANK_CORRELATIONS_WITH_NULLS,
+    "inflation_factors": INFLATION_FACTORS, "pruned_features": PRUNED_FEATURES,
 }

@@ -167,3 +167,46 @@ def test_one_to_one(spark):
     for left, right in ((a.union(a), a), (a, a.where("k = 1")), (a, a.union(a))):
         with pytest.raises(ValueError):
             J.one_to_one(left, right.withColumnRenamed("v", "w"), ["k"])
+
+
+def test_windows_of_a_hot_entity(spark):
+    rng = random.Random(9)
+    rows = [("hot" if k % 3 else rng.choice(["a", "b", None]), k, None if k % 11 == 0 else float(rng.randint(0, 50)), float(k % 7)) for k in range(900)]
+    df = spark.createDataFrame(rows, "who string, week int, x double, z double").repartition(5)
+    for n in (1, 2, 16, 400):
+        got = X.windows_by_slices(df, ["who"], "week", ["x", "z"], 3, n).orderBy("week").toPandas()
+        want = X.prior_means(df, ["who"], [F.col("week")], ["x", "z"], 3).orderBy("week").toPandas()
+        pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+    cut = X.sliced(df.where("who = 'hot'"), "week", 16).groupBy("who", "__slice").count().collect()
+    assert len(cut) == 16 and max(r["count"] for r in cut) < 2 * 600 / 16
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_of_a_hot_entity_over_slices(spark, strict):
+    rng = random.Random(10)
+    left = [(k, rng.choice(["hot", "hot", "b", None]), rng.choice([None, rng.randint(0, 300)])) for k in range(400)]
+    right = [(rng.choice(["hot", "hot", "c", "b"]), rng.randint(100, 300), k) for k in range(500)]
+    want = {}
+    for tag, who, ts in left:
+        best = [(t, tie) for w, t, tie in right if w == who and ts is not None and (t < ts if strict else t <= ts)]
+        want[tag] = max(best)[1] if best else None
+    lf, rf = spark.createDataFrame(left, "tag int, who string, ts int"), spark.createDataFrame(right, "who string, ts int, x int")
+    for n in (1, 3, 64):
+        found = J.asof_join(lf, rf, ["who"], "ts", ["x"], [F.col("x").desc()], strict, n)
+        assert {r["tag"]: r["asof_x"] for r in found.collect()} == want
+    stamps = [f.withColumn("ts", F.timestamp_seconds("ts")) for f in (lf, rf)]
+    assert {r["tag"]: r["asof_x"] for r in J.asof_join(*stamps, ["who"], "ts", ["x"], [F.col("x").desc()], strict).collect()} == want
+
+
+def test_intervals_and_column_quantiles(spark):
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 1.0, 7.0, None)], "x double")
+    assert [r[0] for r in df.select(X.interval(F.col("x"), [0.0, 1.0, 5.0])).collect()] == [0, 1, 1, 2, 3, None]
+    rng = random.Random(12)
+    rows = [(rng.choice([None, "a"]), rng.choice([1e-300, -5.0, 1.7e9 + rng.random(), 0.0, rng.gauss(0, 1) * 10 ** rng.randint(-20, 20)]), float("nan") if k % 5 == 0 else rng.random(), None) for k in range(3000)]
+    f = pd.DataFrame(rows, columns=["g", "x", "y", "z"])
+    points = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = Q.column_quantiles(spark.createDataFrame(rows, "g string, x double, y double, z double"), ["g"], ["x", "y", "z"], points).collect()
+    assert len(got) == 4
+    for r in got:
+        own = f[f.g.isna() if r["g"] is None else f.g == r["g"]][r["column"]].dropna()
+        assert r["n"] == len(own) and r["quantiles"] == pytest.approx(own.quantile(points).tolist(), rel=1e-12)
