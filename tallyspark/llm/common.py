@@ -122,20 +122,19 @@ def join_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
-    """The rows whose text a predicate keeps, all columns as they are, without a shuffle.
+    """The rows whose text a predicate keeps, all columns as they are, without a shuffle. Only the text goes to Python, and a mask comes back.
 
     ``make`` is called once in each task; the predicate gets texts as UTF-8 (null: empty), a few megabytes at a time.
     """
-    at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep = make()
         for batch in batches:
-            texts = (t.encode() if (t := x.as_py()) else b"" for x in batch.column(at))
-            mask = [k for some in by_bytes(texts) for k in keep(some)]
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            texts = (t.encode() if (t := x.as_py()) else b"" for x in batch)
+            yield pa.array([k for some in by_bytes(texts) for k in keep(some)], pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # as types, which the session reads
+    return df.where(F.arrow_udf(run, "boolean")(F.col(text_col)))
 
 
 def without(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
