@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import aggregates as A
+from ..operators import boosting
 from ..operators import checks as C
 from ..operators import gram as G
 from ..operators import metrics as M
-from ..operators import models
+from ..operators import models, shap
 from ..operators import ratings as T
 from ..operators import selection as S
 from ..operators import windows as X
 from ..operators.joins import stack_sides
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import table
 from .common import GAMES, PREDICTIONS, games, predictions, rounded, year
 
@@ -430,6 +432,28 @@ pa AS (SELECT first AS f, second AS g, abs(corr) AS c FROM ({_pairs_sql('ft')}))
 SELECT f AS feature FROM st WHERE NOT EXISTS (SELECT 1 FROM far JOIN st t ON t.f = far.g WHERE far.f = st.f AND t.s > st.s)"""
 
 
+def boosted_quantiles(spark, d):
+    """The 90 % quantile by boosted trees fitted on the first three seasons: its pinball loss and coverage on the last two, beside those of one number."""
+    rows = _features(spark, d)
+    train, held = rows.where("season < 3"), rows.where("season >= 3")
+    model = boosting.fit_boosted(train, ["score", "predicted", "x1", "x2"], "actual", "pinball", 0.9, rounds=5, depth=2, rate=0.4)
+    constant = exact_quantiles(train, [], "actual", [0.9], "q").select(F.col("q")[0].alias("constant"))
+    scored = model.predict(held).crossJoin(F.broadcast(constant))
+    loss = lambda c: F.avg(F.greatest(0.9 * (F.col("actual") - F.col(c)), 0.1 * (F.col(c) - F.col("actual"))))
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), loss("p").alias("pinball"), loss("constant").alias("pinball_constant"), F.avg((F.col("actual") <= F.col("p")).cast("int")).alias("covered")), 4)
+
+
+def tree_contributions(spark, d):
+    """Mean absolute contribution of each column to a forest's predictions of the last season, and how far contributions and base are from the prediction at most."""
+    rows, cols = _features(spark, d), ["score", "predicted", "x1", "x2"]
+    fitted = models.fit(rows.where("season < 4"), "random_forest", cols, "actual", False, numTrees=8, maxDepth=4)
+    values = shap.shap_values(fitted, rows.where("season = 4"), cols, False)
+    gap = values.join(models.score(fitted, rows.where("season = 4"), False).select("event_id", "p"), "event_id")
+    gap = gap.select(F.abs(F.aggregate(F.map_values("contributions"), F.col("base"), lambda a, x: a + x) - F.col("p")).alias("gap")).agg(F.max("gap").alias("gap"))
+    long = values.select(F.explode("contributions").alias("column", "x")).groupBy("column").agg(F.avg(F.abs("x")).alias("mean_size"), F.count(F.lit(1)).alias("n"))
+    return rounded(long.crossJoin(F.broadcast(gap)), 6)
+
+
 QUERIES = {
     "gini_by_group": gini_by_group, "mode_by_group": mode_by_group, "bucket_width": bucket_width, "bucket_quantile": bucket_quantile, "spearman": spearman, "auc_rank_sum": auc_rank_sum,
     "regression_metrics": regression_metrics, "classification_metrics": classification_metrics, "threshold_grid": threshold_grid, "best_threshold": best_threshold, "residual_interval": residual_interval,
@@ -438,6 +462,7 @@ QUERIES = {
     "shortened_period": shortened_period, "completeness_gate": completeness_gate, "frame_diff": frame_diff, "bounds_check": bounds_check, "favourite_check": favourite_check, "linear_trend": linear_trend,
     "correlation_pairs": correlation_pairs, "walk_forward_classifier": walk_forward_classifier, "walk_forward_regressor": walk_forward_regressor, "pruned_features": pruned_features,
     "walk_forward_plane": walk_forward_plane, "correlations_with_nulls": correlations_with_nulls, "rank_correlations_with_nulls": rank_correlations_with_nulls, "inflation_factors": inflation_factors,
+    "boosted_quantiles": boosted_quantiles, "tree_contributions": tree_contributions,
     "srs_settled": srs_settled, "fit_exponent": fit_exponent,
 }
 ORACLES = {

@@ -222,3 +222,12 @@ def test_folder_and_schemas(spark, tmp_path):
     assert len(calendar.ENDPOINTS) == 10 and calendar.numbers("1-3,7, 2") == [1, 2, 3, 7]
     for name in calendar.ENDPOINTS:
         assert spark.createDataFrame([], calendar.schema_of(name)).columns[:2] == ["slot_season", "slot_week"]
+
+
+def test_queries(spark):
+    from tallyspark.plans import catalog
+
+    r = catalog.QUERIES["boosted_quantiles"](spark, "/root/testdata/sf0.001").first()
+    assert r["n"] > 100 and r["pinball"] < 1.1 * r["pinball_constant"] and 0.8 < r["covered"] <= 1
+    rows = catalog.QUERIES["tree_contributions"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["column"] for r in rows} == {"score", "predicted", "x1", "x2"} and max(r["gap"] for r in rows) < 1e-5
