@@ -102,13 +102,17 @@ QUALITY_WEIGHTED = f"""WITH {GAMES}, t AS (SELECT c_nationkey AS away, avg(c_acc
 SELECT home, season, round(sum(home_points * (1 + 0.05 * coalesce(z, 0))), 4) AS scored, round(sum(away_points / (1 + 0.05 * coalesce(z, 0))), 4) AS allowed FROM games LEFT JOIN z USING (away) GROUP BY ALL"""
 
 
+_PIVOTED = tuple(range(1995, 2002))
+
+
 def season_pivot(spark, d):
+    """Orders by priority, a column for each season that the orders have."""
     n = table(spark, d, "orders").select("o_orderpriority", year("o_orderdate").alias("season"), "o_totalprice")
-    wide = n.groupBy("o_orderpriority").pivot("season", [1996, 1997, 1998]).agg(F.count("o_totalprice"))
-    return wide.withColumnsRenamed({str(y): f"orders_{y}" for y in (1996, 1997, 1998)})
+    wide = n.groupBy("o_orderpriority").pivot("season", list(_PIVOTED)).agg(F.count("o_totalprice"))
+    return wide.withColumnsRenamed({str(y): f"orders_{y}" for y in _PIVOTED})
 
 
-SEASON_PIVOT = "SELECT o_orderpriority, " + ", ".join(f"nullif(count(*) FILTER (WHERE year(o_orderdate) = {y}), 0) AS orders_{y}" for y in (1996, 1997, 1998)) + " FROM orders GROUP BY 1"
+SEASON_PIVOT = "SELECT o_orderpriority, " + ", ".join(f"nullif(count(*) FILTER (WHERE year(o_orderdate) = {y}), 0) AS orders_{y}" for y in _PIVOTED) + " FROM orders GROUP BY 1"
 
 
 def two_level_rate(spark, d):
