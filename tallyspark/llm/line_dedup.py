@@ -57,7 +57,11 @@ def sorted_stream(lines: DataFrame) -> DataFrame:
 
 
 def with_first_document(stream: DataFrame) -> DataFrame:
-    """The stream with ``first_id``: the document of the first occurrence of each line's key."""
+    """The stream with ``first_id``: the document of the first occurrence of each line's key.
+
+    The window over a partition's order needs its rows by ``part``, and Spark does not know that the range exchange has put them so: the
+    frequent lines, five numbers each, are dealt a second time, by partition, and sorted within it.
+    """
     through = W.partitionBy("part").orderBy("at")
     begins = F.coalesce((F.lag("a").over(through) != F.col("a")) | (F.lag("b").over(through) != F.col("b")), F.lit(True))
     so_far = through.rowsBetween(W.unboundedPreceding, W.currentRow)
