@@ -43,6 +43,35 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+# crc32 in SQL: a table of 16 entries by the polynomial's rule, and two steps of four bits for each byte of a text given in hexadecimal
+_CRC_TABLE = """RECURSIVE bit AS (SELECT range AS i, 0 AS step, range AS c FROM range(16)
+  UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE step < 4),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bit WHERE step = 4)"""
+_HALF = "xor(xor(c, y) >> 4, t[1 + (xor(c, y) & 15)])"
+
+
+def _crc32_sql(x: str) -> str:
+    octets = f"list_transform(regexp_extract_all({x}, '..'), lambda h: CAST(CAST('0x' || h AS INTEGER) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, y: xor({_HALF} >> 4, t[1 + ({_HALF} & 15)])))"
+
+
+def _highest_draw_sql(name: str, n: int, weight: str) -> str:
+    """The child of highest ln(u) / weight, u by the md5 of its name and the row's key."""
+    draw = f"ln((CAST('0x' || substr(md5({name} || '|' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {weight}"
+    return f"list_reduce(list_transform(range({n}), lambda i: {{'draw': {draw}, 'child': i}}), lambda a, b: CASE WHEN b.draw > a.draw THEN b ELSE a END).child"
+
+
+OP4_SQL = f"""WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(coalesce(text, '')) AS x, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+e AS (SELECT doc_id, size, key, {_crc32_sql('x')} AS text_crc32, {_highest_draw_sql("'region' || i", 2, '20')} AS region,
+        {_highest_draw_sql("'region' || i", 3, 'CASE WHEN i < 2 THEN 20.0 ELSE 1.0 END')} AS grown FROM d, tab),
+k AS (SELECT *, {_highest_draw_sql("'region' || region || '/rack' || i", 4, '5')} AS rack FROM e),
+s AS (SELECT *, CAST(20 * region + 5 * rack + {_highest_draw_sql("'region' || region || '/rack' || rack || '/shard' || i", 5, '1')} AS INTEGER) AS shard FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CASE WHEN grown = 2 THEN 40 ELSE shard END AS grown_shard FROM s
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -136,6 +165,23 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
+_OP12_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w"
+OP12_SQL = f"""WITH {_CRC_TABLE},
+w AS (SELECT 0 AS side, doc_id, {_OP12_WORDS} FROM documents UNION ALL SELECT 1, NULL, {_OP12_WORDS} FROM benchmark),
+f AS (SELECT side, doc_id, unnest(flatten(list_transform(range(1, 4), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS f FROM w),
+c AS MATERIALIZED (SELECT side, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+h AS MATERIALIZED (SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM c)),
+b AS MATERIALIZED (SELECT f, {_crc32_sql('x')} % 10000 AS b FROM h, tab),
+u AS (SELECT b, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM c JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM u),
+s AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM c JOIN b USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(w) AS words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM w LEFT JOIN s USING (doc_id) WHERE side = 0),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM o) THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)
+"""
+
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
@@ -179,9 +225,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op4_sharding": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op8_warc": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
