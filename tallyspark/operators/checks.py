@@ -111,3 +111,16 @@ def same_count(before: DataFrame, after: DataFrame, what: str) -> None:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def fan_out(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """What a left join on the keys would do, one row, without the join's rows: n_left, n_right, left rows without a partner, with one and with
+    several, the most partners of a row, and the rows of the result. A null key has no partner. Both sides are counted by key first."""
+    own = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__l"))
+    other = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__r"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    n, m = F.coalesce(F.col("__l"), F.lit(0)), F.coalesce(F.col("__r"), F.lit(0))
+    return own.join(other, keys, "full").agg(
+        total(n).alias("n_left"), total(m).alias("n_right"), total(F.when(m == 0, n)).alias("without"), total(F.when(m == 1, n)).alias("with_one"), total(F.when(m > 1, n)).alias("with_several"),
+        F.coalesce(F.max(F.when(n > 0, m)), F.lit(0)).cast("long").alias("widest"), total(n * F.greatest(m, F.lit(1))).alias("n_joined"),
+    )

@@ -102,13 +102,15 @@ def moments(df: DataFrame, season: str | None, cols: list[str], target: str) ->
 
 @dataclass(frozen=True)
 class Line:
-    """prediction = intercept + sum of coefs * (x or, where null, fill). Scaled coefficients are those of standard scores."""
+    """prediction = intercept + sum of coefs * (x or, where null, fill). Scaled coefficients are those of standard scores, the target's too; times
+    y_scale they are in units of the target."""
 
     cols: list[str]
     intercept: float
     coefs: np.ndarray
     fills: np.ndarray
     scaled: np.ndarray
+    y_scale: float = 1.0
 
     def predict(self) -> Column:
         terms = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(f))) * F.lit(float(b)) for c, b, f in zip(self.cols, self.coefs, self.fills, strict=True)]
@@ -156,7 +158,7 @@ def fit_line(m: Moments, seasons, reg: float = 0.0, l1: float = 0.0, fills: np.n
         else:
             w[live] = np.linalg.lstsq(r + penalty * np.eye(len(s)), c, rcond=None)[0]
     coefs = np.divide(w * y_scale, scale, out=np.zeros_like(w), where=live)
-    return Line(m.cols, float(m.y_center + y_mean - coefs @ (mean + m.center)), coefs, fills, w)
+    return Line(m.cols, float(m.y_center + y_mean - coefs @ (mean + m.center)), coefs, fills, w, float(y_scale))
 
 
 def coordinate_descent(r: np.ndarray, c: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None, rounds: int = 10_000, settled: float = 1e-12) -> np.ndarray:

@@ -324,10 +324,10 @@ def cross_validated_elimination(df: DataFrame, season: str, model: str, numeric:
 
 
 def coefficient_stability(df: DataFrame, season: str, model: str, numeric: list[str], target: str, classify: bool, seasons: list[int], first: int) -> DataFrame:
-    """(column, mean, std, sign_share) of the coefficients over the folds."""
+    """(column, mean, std, sign_share) over the folds of the coefficients of standard scores, in units of the target."""
     cuts = [t for t, _ in folds(seasons, first)]
     if not classify and (p := penalty(model, {})):
-        rows = [(c, float(x)) for line in fold_lines(df, season, [p], [numeric], target, cuts)[0][0] for c, x in zip(numeric, line.scaled, strict=True)]
+        rows = [(c, float(x)) for line in fold_lines(df, season, [p], [numeric], target, cuts)[0][0] for c, x in zip(numeric, line.scaled * line.y_scale, strict=True)]
     else:
         rows = [(c, x) for train in cuts for c, x in coefficients(fit(df.where(F.col(season).isin(train)), model, numeric, target, classify), numeric).items()]
     long = df.sparkSession.createDataFrame(rows, "column string, x double")

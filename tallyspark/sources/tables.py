@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import random
 import re
+import shutil
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -56,6 +60,18 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``. A temporary folder stands in where that is unset, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: files need a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tallyspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces the partitions that the rows belong to and leaves the others; rows meet by partition before they are written."""
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

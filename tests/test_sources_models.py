@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyspark.operators import models
+from tallyspark.operators import checks, models
 from tallyspark.sources import tables as S
 from tallyspark.streaming import refresh as refreshing
 from tallyspark.streaming.refresh import read_version, refresh
@@ -230,3 +232,31 @@ def test_margins_as_probabilities_and_latest_models(spark, frame, tmp_path):
     with pytest.raises(FileNotFoundError):
         models.latest_model(spark, str(tmp_path), "z")
     assert models.tune(frame, "season", "elastic_net", [{"regParam": 5.0}, {"regParam": 0.0}], ["x1", "x2"], "label", [0, 1, 2], 1, True)[0] == {"regParam": 0.0}
+
+
+def test_spread_of_coefficients_is_in_units_of_the_target(frame):
+    """A linear fit from sums of products and a pipeline's fit give the same scaled coefficients."""
+    rows = {r["column"]: r for r in models.coefficient_stability(frame, "season", "ols", ["x1", "x2"], "y", False, [0, 1, 2, 3], 2).collect()}
+    fits = [models.coefficients(models.fit(frame.where(F.col("season").isin(t)), "ols", ["x1", "x2"], "y", False), ["x1", "x2"]) for t in ([0, 1], [0, 1, 2])]
+    for c in ("x1", "x2"):
+        # one divides by n, the other by n - 1
+        assert rows[c]["mean"] == pytest.approx(sum(f[c] for f in fits) / 2, rel=0.02, abs=0.01)
+
+
+def test_fan_out(spark):
+    left, right = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k int"), spark.createDataFrame([(1,), (2,), (2,), (2,), (9,), (None,)], "k int")
+    got = checks.fan_out(left, right, ["k"]).first().asDict()
+    joined = left.join(right, ["k"], "left").count()
+    assert got == {"n_left": 5, "n_right": 6, "without": 2, "with_one": 2, "with_several": 1, "widest": 3, "n_joined": joined} and joined == 7
+    none = left.limit(0)
+    assert set(checks.fan_out(none, none, ["k"]).first()) == {0} and checks.fan_out(left, none, ["k"]).first()["without"] == 5
+
+
+def test_scratch_folders_are_new_and_shared():
+    session = lambda folder, master: SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {}, sparkContext=SimpleNamespace(master=master))
+    cluster = session("hdfs://shared", "yarn")
+    a, b = S.scratch(cluster, "x"), S.scratch(cluster, "x")
+    assert a != b and a.startswith("hdfs://shared/x-")
+    assert S.scratch(session(None, "local[4]"), "x").startswith("file:///")
+    with pytest.raises(ValueError, match="checkpoint"):
+        S.scratch(session(None, "spark://host:7077"), "x")
