@@ -16,11 +16,10 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .gram import vector_sums
 from .quantiles import column_quantiles
 
 BINS = 32
@@ -186,7 +185,7 @@ def _histograms(binned: DataFrame, model: Boosted, tree: Tree, level: int, q: fl
 
     sent = binned.mapInArrow(run, "node int, column int, sums array<double>")
     width = size * 3
-    rows = sent.groupBy("node", "column").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).collect()
+    rows = vector_sums(sent).collect()
     out: dict[int, np.ndarray] = {}
     for r in rows:
         out.setdefault(r["node"], np.zeros(columns * width))[r["column"] * width : (r["column"] + 1) * width] = r["sums"]

@@ -16,8 +16,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +23,25 @@ from pyspark.sql import functions as F
 AGGREGATES = 400
 
 
+def vector_sums(sent: DataFrame) -> DataFrame:
+    """The vectors in ``sums``, the last column, added up over the rows that agree in all others. Counts stay whole numbers: they are added, while
+    Summarizer's sums are means times weights, which can fall short of a count."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for *key, sums in zip(*[c.to_pylist() for c in batch.columns[:-1]], batch.columns[-1], strict=True):
+                own, m = tuple(key), sums.values.to_numpy()
+                held[own] = held[own] + m if own in held else m.copy()
+        found = list(held.items())
+        for at in range(0, len(found), 256):
+            some = found[at : at + 256]
+            keys = [pa.array(k, f.type) for k, f in zip(zip(*[k for k, _ in some], strict=True), batch.schema, strict=False)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([m for _, m in some], pa.list_(pa.float64()))], schema=batch.schema)
+
+    return sent.repartition(*sent.columns[:-1]).mapInArrow(add, sent.schema)
+
+
 def matrix_sums(df: DataFrame, key: str | None, cols: list[str], center: np.ndarray, parts: Callable[[np.ndarray], dict[str, np.ndarray]]) -> dict:
     """By key: the sums of the matrices that ``parts`` makes of blocks of rows (nulls are NaN, values less ``center``)."""
 
@@ -44,7 +61,7 @@ def matrix_sums(df: DataFrame, key: str | None, cols: list[str], center: np.ndar
 
     group = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
     sent = df.select(group.alias("__key"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "key string, part string, row int, sums array<double>")
-    rows = sent.groupBy("key", "part", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).collect()
+    rows = vector_sums(sent).collect()
     out: dict = {}
     for r in sorted(rows, key=lambda r: r["row"]):
         out.setdefault(r["key"], {}).setdefault(r["part"], []).append(r["sums"])

@@ -99,6 +99,13 @@ def test_pairwise_correlations(spark, method):
     assert pairs["even", "never"] == (0, None) and len(pairs) == 15
 
 
+def test_counts_of_pairs_from_many_tasks(spark):
+    """The rows that know both columns are counted to the last one, over however many tasks they are spread."""
+    for rows in range(1000, 1012):
+        df = spark.range(0, rows, 1, 11).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 7 != 3, F.col("id") % 10).cast("double").alias("b"))
+        assert [r["n"] for r in S.correlation_pairs(df, ["a", "b"]).collect()] == [sum(i % 7 != 3 for i in range(rows))]
+
+
 def by_all_pairs(similarity, limit):
     d = 1 - np.abs(similarity)
     clusters = {k: [k] for k in range(len(d))}
