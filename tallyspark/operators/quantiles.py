@@ -3,7 +3,8 @@
 First every value falls into a bucket of its sign and logarithm (some hundred for most data, whatever its scale); a bucket has its count
 and its least and greatest value. Only buckets with a wanted rank go on: they are cut into PARTS equal parts between their own ends,
 and the parts with a wanted rank, about one value in PARTS, are counted value by value. All columns and groups go through the same three
-passes, and what is shuffled is histograms, summed up in the map tasks first.
+passes, and what is shuffled is histograms, summed up in the map tasks first. Rows stay where they are read and the buckets come to them by
+broadcast; only rows of groups of up to LARGE values, which may be any number of groups, meet their buckets in a shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Buckets for a factor of e, and parts of a bucket.
 STEPS = 64
 PARTS = 4096
+#: Groups with more values get their buckets by broadcast: of a billion values, ten thousand groups at most.
+LARGE = 100_000
 
 
 def _ranks(n: Column, points: list[float]) -> Column:
@@ -32,8 +35,15 @@ def _wanted(cells: DataFrame, group: list[str], points: list[float]) -> DataFram
 
 def _cells_of(rows: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
     """The rows (group, x) that lie in one of the cells of their group, with ``cell``."""
-    held = cells.groupBy(*group).agg(F.collect_list(F.struct("from", "lo", "hi", "n")).alias("cells"))
-    found = rows.join(held, group).withColumn("cell", F.get(F.filter("cells", lambda c: (c["lo"] <= F.col("x")) & (F.col("x") <= c["hi"])), 0))
+    held = cells.groupBy(*group).agg(F.collect_list(F.struct("from", "lo", "hi", "n")).alias("cells"), F.max("n").alias("n"))
+    if group == ["column"]:
+        met = rows.join(F.broadcast(held.drop("n")), group)
+    else:
+        large = held.where(F.col("n") > LARGE).drop("n")
+        rest = rows.join(F.broadcast(large.select(*group)), group, "left_anti")
+        # merged, as else the optimizer may take the rows for the small side and broadcast them
+        met = rows.join(F.broadcast(large), group).unionByName(rest.join(held.where(F.col("n") <= LARGE).drop("n").hint("merge"), group))
+    found = met.withColumn("cell", F.get(F.filter("cells", lambda c: (c["lo"] <= F.col("x")) & (F.col("x") <= c["hi"])), 0))
     return found.where("cell is not null").drop("cells")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window as W
@@ -198,6 +199,26 @@ def test_asof_of_a_hot_entity_over_slices(spark, strict):
     assert {r["tag"]: r["asof_x"] for r in J.asof_join(*stamps, ["who"], "ts", ["x"], [F.col("x").desc()], strict).collect()} == want
 
 
+def test_rows_of_a_large_group_stay_in_their_tasks(spark, monkeypatch):
+    """Buckets come to the rows: one column, or one group, is never dealt to a single task."""
+    monkeypatch.setattr(Q, "LARGE", 100, raising=False)
+    rows = spark.range(0, 4000, 1, 4).select(F.struct(F.lit(None).cast("string").alias("v")).alias("k0"), F.lit("x").alias("column"), F.col("id").cast("double").alias("x"))
+    for group in (["column"], ["k0", "column"]):
+        cells = rows.groupBy(*group).agg(F.lit(0).alias("from"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+        found = Q._cells_of(rows, cells, group)
+        assert found.count() == 4000
+        assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LARGE", 100, raising=False)
+    rng = np.random.default_rng(5)
+    values = {g: rng.lognormal(1, 2, n).round(2) for g, n in ((None, 900), ("a", 101), ("b", 100), ("c", 1), ("d", 2500))}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs], "g string, x double").repartition(3)
+    got = {r["g"]: (r["n"], r["quantiles"]) for r in Q.column_quantiles(df, ["g"], ["x"], [0, 0.3, 0.5, 1]).collect()}
+    assert got == {g: (len(x), pytest.approx(np.quantile(x, [0, 0.3, 0.5, 1]).tolist())) for g, x in values.items()}
+
+
 def test_intervals_and_column_quantiles(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 1.0, 7.0, None)], "x double")
     assert [r[0] for r in df.select(X.interval(F.col("x"), [0.0, 1.0, 5.0])).collect()] == [0, 1, 1, 2, 3, None]
