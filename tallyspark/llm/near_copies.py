@@ -1,14 +1,16 @@
 """Near copies by five-word shingles: documents whose sets of shingles have a Jaccard similarity of SIMILAR or more.
 
-Sixty-four SimHash bits cannot find such pairs by blocks: at a similarity of 0.8 about ten of them differ. Candidates come from
-BANDS independent fingerprints instead, each a hash of ROWS minima over the set, so two sets of similarity s share one with a
-probability of 1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8. The SimHash of the set, within RADIUS bits, and the sets' sizes rule out
-candidates, and the rest are counted exactly, on 64-bit hashes of the shingles.
-
-Equal sets are one node. In a bucket every node is first compared with the least one only, so a large group of copies costs no more
-than its size. Nodes of a bucket that are still in different components are then compared with each other in the condition of
-the join, by sketches: the SKETCH least hashes of a set, which are all of it or, in a larger set, a sample that puts its
-similarity within SLACK. A pair becomes a row only if it is similar by that, and is then counted exactly like the others.
+Candidates come from SimHash. A set has two independent SimHashes: one of 64 bits, and one of BANDS bands of BITS bits, whose sums are a
+Hadamard transform of the signed counts of its hashes. At a similarity of 0.8 a bit differs with a probability of 0.15, so two such sets
+agree on a band with 0.072 and on one band at least with 1 - (1 - 0.072)^BANDS, 0.99997. Documents that share a band are candidates
+within RADIUS of the 64 bits and FAR of the first NEAR_BANDS bands and at like sizes; the rest are counted exactly, on 64-bit hashes of
+the shingles.
+
+Equal sets are one node. First, nodes that share two neighbouring bands are compared with the least one of them only, so a large group of
+copies costs no more than its size. Then all bands are joined, for nodes that are still in different components; where one component
+fills a bucket, its nodes meet the others' only. What remains in question, often groups just under the limit, is compared in the condition of a
+join, by sketches: the SKETCH least hashes of a set, which are all of it or, in a larger set, a sample that puts its similarity within
+SLACK. A pair becomes a row of sets only if it is similar by that, and is then counted exactly like the others.
 
 Edge cases: null and empty texts and texts without words are equal; a text of fewer than five words is one shingle; how often a
 shingle occurs does not count. Rows without an id are in no group. Other columns are ignored.
@@ -29,19 +31,33 @@ from .components import connected_components
 from .decontaminate import WORDS, shingle_spans, span_hashes
 
 SIMILAR = 0.8
-BANDS = 20
-ROWS = 4
-RADIUS = 28
+BANDS = 140
+BITS = 16
+#: Sums of few hashes are often zero, which makes bits less sure: sets of fewer than SHORT hashes have more bands.
+SHORT = 16
+SHORT_BANDS = 256
+#: Bits of the 64 that may differ, five standard deviations over the mean at a similarity of 0.8.
+RADIUS = 24
+#: Bits of the first bands that may differ, six standard deviations over it and as many below the half that differs in unlike texts.
+NEAR_BANDS = 16
+FAR = 76
+#: Rows of one component that make its bucket crowded, and nodes of a part of a cluster.
+CROWD = 256
+#: Tasks that compare a large cluster by sketches, at most.
+PARTS = 8
 #: Hashes in a sketch, and six standard deviations of a similarity of 0.8 by so many.
 SKETCH = 512
 SLACK = 0.11
 SEED = 42
 #: Shingles worked on at a time.
-CHUNK = 1 << 10
+CHUNK = 1 << 14
 
-_RNG = np.random.default_rng(SEED)
-_FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_TURN = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: The sums of the banded SimHash are SIDE x SIDE; bit i of a hash is the parity of i and its low bits, turned by its highest bit.
+SIDE = 64
+_HADAMARD = np.ones((1, 1))
+while len(_HADAMARD) < SIDE:
+    _HADAMARD = np.block([[_HADAMARD, _HADAMARD], [_HADAMARD, -_HADAMARD]])
+_BAND_BITS = np.random.default_rng(SEED).permutation(SIDE * SIDE)
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -55,19 +71,23 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def signature(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """The SimHash of a set, and its BANDS fingerprints; an empty set has none."""
-    least, counts = np.full(BANDS * ROWS, ~np.uint64(0)), np.zeros(64, np.int64)
+    """The SimHash of a set in 64 bits, and the bands of its longer one, each with its number; an empty set has none."""
+    counts, signed = np.zeros(64, np.int64), np.zeros(SIDE * SIDE)
     for at in range(0, len(hashes), CHUNK):
         some = hashes[at : at + CHUNK]
-        np.minimum(least, ((some[:, None] ^ _FLIP) * _TURN).min(axis=0), out=least)
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        signed += np.bincount((some % np.uint64(SIDE * SIDE)).view(np.int64), 1.0 - 2.0 * (some >> np.uint64(63)), SIDE * SIDE)
     fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
-    rows = least.reshape(BANDS, ROWS)
-    return fp, np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)] if len(hashes) else [], np.uint64)
+    if not len(hashes):
+        return fp, np.zeros(0, np.uint64)
+    sums = _HADAMARD @ signed.reshape(SIDE, SIDE) @ _HADAMARD
+    n = SHORT_BANDS if len(hashes) < SHORT else BANDS
+    bands = (sums.ravel()[_BAND_BITS[: n * BITS]] > 0).reshape(n, BITS) @ (1 << np.arange(BITS))
+    return fp, (np.arange(n) << BITS | bands).astype(np.uint64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, node, fp, n, keys) of (id, bytes): a hash of the set, its SimHash, its size, and its fingerprints."""
+    """(id, node, fp, n, keys) of (id, bytes): a hash of the set, its SimHash, its size, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +98,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 nodes.append(node_of(hashes))
                 fps.append(fp)
                 sizes.append(len(hashes))
-                keys.append(own.view(np.int64))
+                keys.append(own.astype(np.int32))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["id", "node", "fp", "n", "keys"])
 
-    return docs.mapInArrow(run, "id long, node long, fp long, n long, keys array<long>")
+    return docs.mapInArrow(run, "id long, node long, fp long, n long, keys array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,38 +152,73 @@ def similar_by_sketch(x: str, y: str) -> str:
 
 
 def _near(x: str, y: str) -> str:
-    return f"bit_count({x}.fp ^ {y}.fp) <= {RADIUS} and least({x}.n, {y}.n) >= {SIMILAR} * greatest({x}.n, {y}.n) - 1e-9 and {x}.rep <> {y}.rep"
+    return f"bit_count({x}.fp ^ {y}.fp) <= {RADIUS} and least({x}.n, {y}.n) >= {SIMILAR} * greatest({x}.n, {y}.n) - 1e-9"
 
 
 def _pair(x: str, y: str) -> list:
     return [F.col(f"{x}.rep").alias("a"), F.col(f"{x}.node").alias("node_a"), F.col(f"{y}.rep").alias("b"), F.col(f"{y}.node").alias("node_b")]
 
 
+def _far_apart(x: str, y: str) -> str:
+    return f"aggregate(zip_with({x}.bands, {y}.bands, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+
+
+def hub_pairs(nodes: DataFrame) -> DataFrame:
+    """(node_a, node_b): of (node, keys), every node that shares two neighbouring bands with others, and the least of these."""
+    both = "if(size(keys) < 2, array(), transform(sequence(0, size(keys) div 2 - 1), i -> shiftleft(cast(keys[2 * i] as long), 32) | keys[2 * i + 1]))"
+    keyed = nodes.select(F.explode(F.expr(both).cast("array<long>")).alias("key"), "node")
+    hubs = stage(keyed.groupBy("key").agg(F.min("node").alias("node_b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "node_b"), "copies-hubs")
+    return maybe_in(keyed, "key", hubs, "key").join(hubs, "key").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
+
+
+def band_pairs(nodes: DataFrame) -> DataFrame:
+    """(node_a, node_b): of (node, fp, n, keys, c), those of different components c that share a band and pass the test of fingerprints and sizes."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", F.col("n").cast("int").alias("n"), "c")
+    large = nodes.groupBy("c").count().where(F.col("count") >= CROWD).select("c")
+    crowds = keyed.join(large, "c").groupBy("key", "c").count().where(F.col("count") >= CROWD)
+    crowds = stage(crowds.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most")), "copies-crowds")
+    keyed = keyed.repartition("key")
+    left = keyed.join(F.broadcast(crowds), "key", "left").where("most is null or c <> most").alias("x")
+    tests = ["x.key = y.key", "x.c <> y.c", "(x.node < y.node or y.c <=> x.most)", _near("x", "y")]
+    found = left.join(keyed.alias("y").hint("merge"), F.expr(" and ".join(tests)))
+    return found.select(F.least("x.node", "y.node").alias("node_a"), F.greatest("x.node", "y.node").alias("node_b")).distinct()
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, node_a, b, node_b) of the pairs (node_a, node_b) that all fingerprints and the sizes allow."""
+    told = nodes.select("node", F.struct("rep", "node", "fp", "n", F.slice("keys", 1, NEAR_BANDS).alias("bands")).alias("x"))
+    both = pairs.join(told.withColumnRenamed("node", "node_a"), "node_a").join(told.select(F.col("node").alias("node_b"), F.col("x").alias("y")), "node_b")
+    return both.where("x.rep <> y.rep").where(_near("x", "y")).where(f"{_far_apart('x', 'y')} <= {FAR}").select(*_pair("x", "y"))
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, node_a, b, node_b): similar by sketches, of the nodes of different components c that the pairs (a, node_a, b, node_b) connect."""
+    asked = stage(connected_components(pairs, "node_a", "node_b").withColumnRenamed("component", "cluster"), "copies-clusters")
+    asked = stage(nodes.select("rep", "node", "fp", "n", "c").join(asked, "node"), "copies-asked")
+    sketches = sets_of(docs, asked.select(F.col("rep").alias("id"), "node")).select("node", "sketch")
+    asked = stage(asked.join(sketches, "node").select("cluster", F.struct("rep", "node", "fp", "n", "sketch").alias("x"), "c"), "copies-sketched")
+    # large clusters are dealt to several tasks: the nodes x by parts, the nodes y to all parts
+    parts = asked.groupBy("cluster").agg(F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / CROWD)).cast("int").alias("parts"))
+    asked = asked.join(F.broadcast(stage(parts.where("parts > 1"), "copies-parts")), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    other = asked.select("cluster", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("x").alias("y"), F.col("c").alias("d"))
+    asked = asked.withColumn("part", F.expr("cast(pmod(xxhash64(x.node), parts) as int)"))
+    tests = ["c <> d and x.node < y.node", _near("x", "y"), similar_by_sketch("x", "y")]
+    return asked.join(other, ["cluster", "part"]).where(" and ".join(tests)).select(*_pair("x", "y"))
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): for every row with an id, the smallest id reachable over pairs of similar documents."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes")).where("id is not null")
     rows = stage(signatures(texts), "copies-signatures")
     nodes = stage(rows.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "copies-nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), F.struct("rep", "node", "fp", "n").alias("x"))
-    hubs = stage(keyed.groupBy("key").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "copies-hubs")
-    met = stage(keyed.join(hubs, "key"), "copies-buckets")
-    links = stage(verified(texts, met.where(_near("x", "hub")).select(*_pair("x", "hub"))), "copies-links")
+    links = stage(verified(texts, near_pairs(hub_pairs(nodes), nodes)), "copies-links")
     found = stage(connected_components(links), "copies-components")
-    # what the first pass left apart: other pairs of one bucket in different components
-    named = met.where("size > 2").withColumn("rep", F.col("x.rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stage(named.select("key", "x", "hub", F.coalesce("component", "rep").alias("c")), "copies-named")
-    apart = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = stage(named.where("x.node <> hub.node").join(apart, "key").select("key", "x", "c"), "copies-rest")
-    wanted = stage(rest.select(F.col("x.rep").alias("id"), F.col("x.node").alias("node")).distinct(), "copies-wanted")
-    sketches = stage(sets_of(texts, wanted).select("node", "sketch").join(nodes.select("node", "keys"), "node"), "copies-sketches")
-    rest = rest.withColumn("node", F.col("x.node")).join(sketches, "node")
-    rest = stage(rest.select("key", F.struct("x.*", "keys", "sketch").alias("x"), "c"), "copies-sketched")
-    other = rest.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-    # each pair in one of the buckets that it shares
-    tests = ["c <> d and x.node < y.node", _near("x", "y"), "array_min(array_intersect(x.keys, y.keys)) = key", similar_by_sketch("x", "y")]
-    pairs = rest.join(other, "key").where(" and ".join(tests))
-    more = stage(verified(texts, pairs.select(*_pair("x", "y"))), "copies-more")
-    if not more.isEmpty():
+    # what the first pass left apart
+    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    named = stage(named, "copies-named")
+    pairs = stage(near_pairs(stage(band_pairs(named), "copies-bands"), named), "copies-near")
+    if not pairs.isEmpty():
+        more = stage(verified(texts, similar_pairs(texts, pairs, named)), "copies-more")
         found = stage(connected_components(links.unionByName(more)), "copies-components")
     named = nodes.select("node", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("node", F.coalesce("component", "rep").alias("component")), "copies-groups")

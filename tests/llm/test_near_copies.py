@@ -88,3 +88,38 @@ def test_rows_that_share_an_id(spark):
         assert len(kept) == 4
         assert n == 1 or {tuple(r) for r in kept} == before
         before = {tuple(r) for r in kept}
+
+
+def test_candidates_share_bands_of_a_simhash():
+    """Every bit of a band is the sign of a sum over the hashes, and sets at the limit share a band."""
+    rng = near_copies.np.random.default_rng(8)
+    for n in (3, 10, 41):
+        hashes = rng.integers(0, 1 << 64, n, near_copies.np.uint64)
+        places = near_copies._BAND_BITS.tolist()
+        for band, key in enumerate(near_copies.signature(hashes)[1].tolist()):
+            assert key >> near_copies.BITS == band
+            for bit in range(near_copies.BITS):
+                i = places[band * near_copies.BITS + bit]
+                total = sum(1 - 2 * (((h % near_copies.SIDE**2 & i).bit_count() + (h >> 63)) % 2) for h in hashes.tolist())
+                assert key >> bit & 1 == (total > 0)
+    for n in (4, 12, 100):
+        for _ in range(200):
+            hashes = rng.integers(0, 1 << 64, n + n // 4, near_copies.np.uint64)
+            (x, keys), (y, others) = near_copies.signature(hashes[:n]), near_copies.signature(hashes)
+            assert set(keys.tolist()) & set(others.tolist()) and (x ^ y).bit_count() <= near_copies.RADIUS
+
+
+def test_crowded_buckets_and_clusters(spark, monkeypatch):
+    """Components that fill buckets, and clusters that are dealt to several tasks."""
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(6):
+        own = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(16):
+            words = list(own)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == kept_by_all_pairs(rows)
