@@ -4,11 +4,13 @@ Candidates come from SimHash. A set has two independent SimHashes: one of 64 bit
 Hadamard transform of the signed counts of its hashes. At a similarity of 0.8 a bit differs with a probability of 0.15, so two such sets
 agree on a band with 0.072 and on one band at least with 1 - (1 - 0.072)^BANDS, 0.99997. Documents that share a band are candidates
 within RADIUS of the 64 bits and FAR of the first NEAR_BANDS bands and at like sizes; the rest are counted exactly, on 64-bit hashes of
-the shingles.
+the shingles. Beyond CHANCE << BITS documents bands are longer, so that unlike texts that meet in a bucket by chance are CHANCE at most on
+average, and more, so that as few copies are missed.
 
 Equal sets are one node. First, nodes that share two neighbouring bands are compared with the least one of them only, so a large group of
-copies costs no more than its size. Then all bands are joined, for nodes that are still in different components; where one component
-fills a bucket, its nodes meet the others' only. What remains in question, often groups just under the limit, is compared in the condition of a
+copies costs no more than its size. Candidates of this pass, similar or not, are one cluster. Then all bands are joined, for nodes that
+are still in different clusters; where one cluster fills a bucket, its nodes meet the others' only. Pairs found there unite clusters, so no
+group makes a row for each of its pairs, be it over the limit or just under it. Clusters of more than one component are compared in the condition of a
 join, by sketches: the SKETCH least hashes of a set, which are all of it or, in a larger set, a sample that puts its similarity within
 SLACK. A pair becomes a row of sets only if it is similar by that, and is then counted exactly like the others.
 
@@ -19,6 +21,8 @@ shingle occurs does not count. Rows without an id are in no group. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,16 @@ RADIUS = 24
 #: Bits of the first bands that may differ, six standard deviations over it and as many below the half that differs in unlike texts.
 NEAR_BANDS = 16
 FAR = 76
-#: Rows of one component that make its bucket crowded, and nodes of a part of a cluster.
+#: Bits of the 64 and of the first FIRST_BANDS bands that may differ, six standard deviations over the mean.
+FIRST_BANDS = 4
+FIRST_FAR = 44
+#: Documents that meet in a bucket by chance, on average, before bands get longer; a bit agrees with AGREE at a similarity of 0.8.
+CHANCE = 64
+AGREE = 0.8485
+#: Rows of one cluster that make its bucket crowded, and nodes of a part of a cluster.
 CROWD = 256
+#: Rows of a large cluster in a bucket that are worth comparing one of them with the others in the bucket.
+HUB = 8
 #: Tasks that compare a large cluster by sketches, at most.
 PARTS = 8
 #: Hashes in a sketch, and six standard deviations of a similarity of 0.8 by so many.
@@ -57,7 +69,27 @@ SIDE = 64
 _HADAMARD = np.ones((1, 1))
 while len(_HADAMARD) < SIDE:
     _HADAMARD = np.block([[_HADAMARD, _HADAMARD], [_HADAMARD, -_HADAMARD]])
-_BAND_BITS = np.random.default_rng(SEED).permutation(SIDE * SIDE)
+
+
+def bits_for(n: int) -> int:
+    """Bits of a band for n documents."""
+    return BITS + max(0, ceil(log2(max(n, 1) / CHANCE)) - BITS)
+
+
+def bands_for(bits: int, short: bool = False) -> int:
+    """Bands of so many bits that find what BANDS of BITS bits do; for short sets SHORT_BANDS."""
+    return ceil((SHORT_BANDS if short else BANDS) / AGREE ** (bits - BITS))
+
+
+def band_bits(n: int) -> np.ndarray:
+    """The bits of n places in bands: all of them once, then all in another order."""
+    rng, orders = np.random.default_rng(SEED), []
+    for _ in range(-(-n // SIDE**2)):
+        orders.append(rng.permutation(SIDE * SIDE))
+    return np.concatenate(orders)[:n]
+
+
+_BAND_BITS = band_bits(SHORT_BANDS * BITS)
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -70,7 +102,7 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def signature(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+def signature(hashes: np.ndarray, bits: int = BITS, places: np.ndarray = _BAND_BITS) -> tuple[int, np.ndarray]:
     """The SimHash of a set in 64 bits, and the bands of its longer one, each with its number; an empty set has none."""
     counts, signed = np.zeros(64, np.int64), np.zeros(SIDE * SIDE)
     for at in range(0, len(hashes), CHUNK):
@@ -81,24 +113,25 @@ def signature(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     if not len(hashes):
         return fp, np.zeros(0, np.uint64)
     sums = _HADAMARD @ signed.reshape(SIDE, SIDE) @ _HADAMARD
-    n = SHORT_BANDS if len(hashes) < SHORT else BANDS
-    bands = (sums.ravel()[_BAND_BITS[: n * BITS]] > 0).reshape(n, BITS) @ (1 << np.arange(BITS))
-    return fp, (np.arange(n) << BITS | bands).astype(np.uint64)
+    n = bands_for(bits, len(hashes) < SHORT)
+    bands = (sums.ravel()[places[: n * bits]] > 0).reshape(n, bits) @ (1 << np.arange(bits))
+    return fp, (np.arange(n) << bits | bands).astype(np.uint64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(id, node, fp, n, keys) of (id, bytes): a hash of the set, its SimHash, its size, and its bands."""
+def signatures(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """(id, node, fp, n, keys) of (id, bytes): a hash of the set, its SimHash, its size, and its bands of so many bits."""
+    sign = signature if bits == BITS else partial(signature, bits=bits, places=band_bits(bands_for(bits, True) * bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, fps, sizes, keys = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py())
-                fp, own = signature(hashes)
+                fp, own = sign(hashes)
                 nodes.append(node_of(hashes))
                 fps.append(fp)
                 sizes.append(len(hashes))
-                keys.append(own.astype(np.int32))
+                keys.append((own & np.uint64((1 << 31) - 1)).astype(np.int32))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["id", "node", "fp", "n", "keys"])
 
@@ -160,7 +193,7 @@ def _pair(x: str, y: str) -> list:
 
 
 def _far_apart(x: str, y: str) -> str:
-    return f"aggregate(zip_with({x}.bands, {y}.bands, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+    return f"aggregate(zip_with({x}.bands, {y}.bands, (p, q) -> bit_count((p ^ q) & {(1 << BITS) - 1})), 0, (s, d) -> s + d)"
 
 
 def hub_pairs(nodes: DataFrame) -> DataFrame:
@@ -171,15 +204,36 @@ def hub_pairs(nodes: DataFrame) -> DataFrame:
     return maybe_in(keyed, "key", hubs, "key").join(hubs, "key").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    first = f"aggregate(slice(keys, 1, {FIRST_BANDS}), 0L, (s, k) -> shiftleft(s, {BITS}) | (k & {(1 << BITS) - 1}))"
+    return nodes.select(F.explode("keys").alias("key"), "node", "fp", F.expr(first).alias("first"), F.col("n").cast("int").alias("n"), "g")
+
+
+def _near_first(x: str, y: str) -> str:
+    return f"bit_count({x}.fp ^ {y}.fp) + bit_count({x}.first ^ {y}.first) <= {FIRST_FAR} and {_near(x, y)}"
+
+
+def _large(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(stage(nodes.groupBy("g").count().where(F.col("count") >= CROWD).select("g"), "copies-large"))
+
+
+def crowd_pairs(nodes: DataFrame) -> DataFrame:
+    """(node_a, node_b): of (node, fp, n, keys, g), nodes that share a band with several of a large cluster and pass the test with one of these."""
+    keyed = _keyed(nodes)
+    hubs = keyed.join(_large(nodes), "g").groupBy("key", "g").agg(F.count(F.lit(1)).alias("count"), F.min_by(F.struct("node", "fp", "first", "n", "g"), F.xxhash64("node", "key")).alias("y"))
+    hubs = stage(hubs.where(F.col("count") >= HUB).groupBy("key").agg(F.max_by("y", F.struct("count", "g")).alias("y")), "copies-crowd-hubs")
+    met = maybe_in(keyed, "key", hubs, "key").alias("x").join(hubs, "key").where(f"x.g <> y.g and {_near_first('x', 'y')}")
+    return met.select(F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b")).distinct()
+
+
 def band_pairs(nodes: DataFrame) -> DataFrame:
-    """(node_a, node_b): of (node, fp, n, keys, c), those of different components c that share a band and pass the test of fingerprints and sizes."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", F.col("n").cast("int").alias("n"), "c")
-    large = nodes.groupBy("c").count().where(F.col("count") >= CROWD).select("c")
-    crowds = keyed.join(large, "c").groupBy("key", "c").count().where(F.col("count") >= CROWD)
-    crowds = stage(crowds.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most")), "copies-crowds")
+    """(node_a, node_b): of (node, fp, n, keys, g), those of different clusters g that share a band and pass the test of fingerprints and sizes."""
+    keyed = _keyed(nodes)
+    crowds = keyed.join(_large(nodes), "g").groupBy("key", "g").count().where(F.col("count") >= CROWD)
+    crowds = stage(crowds.groupBy("key").agg(F.max_by("g", F.struct("count", "g")).alias("most")), "copies-crowds")
     keyed = keyed.repartition("key")
-    left = keyed.join(F.broadcast(crowds), "key", "left").where("most is null or c <> most").alias("x")
-    tests = ["x.key = y.key", "x.c <> y.c", "(x.node < y.node or y.c <=> x.most)", _near("x", "y")]
+    left = keyed.join(F.broadcast(crowds), "key", "left").where("most is null or g <> most").alias("x")
+    tests = ["x.key = y.key", "x.g <> y.g", "(x.node < y.node or y.g <=> x.most)", _near_first("x", "y")]
     found = left.join(keyed.alias("y").hint("merge"), F.expr(" and ".join(tests)))
     return found.select(F.least("x.node", "y.node").alias("node_a"), F.greatest("x.node", "y.node").alias("node_b")).distinct()
 
@@ -191,10 +245,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where("x.rep <> y.rep").where(_near("x", "y")).where(f"{_far_apart('x', 'y')} <= {FAR}").select(*_pair("x", "y"))
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, node_a, b, node_b): similar by sketches, of the nodes of different components c that the pairs (a, node_a, b, node_b) connect."""
-    asked = stage(connected_components(pairs, "node_a", "node_b").withColumnRenamed("component", "cluster"), "copies-clusters")
-    asked = stage(nodes.select("rep", "node", "fp", "n", "c").join(asked, "node"), "copies-asked")
+def similar_pairs(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, node_a, b, node_b): similar by sketches, of the nodes (rep, node, fp, n, c, cluster) of one cluster and of different components c."""
     sketches = sets_of(docs, asked.select(F.col("rep").alias("id"), "node")).select("node", "sketch")
     asked = stage(asked.join(sketches, "node").select("cluster", F.struct("rep", "node", "fp", "n", "sketch").alias("x"), "c"), "copies-sketched")
     # large clusters are dealt to several tasks: the nodes x by parts, the nodes y to all parts
@@ -206,20 +258,36 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFr
     return asked.join(other, ["cluster", "part"]).where(" and ".join(tests)).select(*_pair("x", "y"))
 
 
+def _edges(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _with_group(nodes: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """The nodes with the group of each one's rep, which is the rep itself if it is in none."""
+    return nodes.join(groups.select(F.col("node").alias("rep"), F.col("component").alias(name)), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): for every row with an id, the smallest id reachable over pairs of similar documents."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes")).where("id is not null")
-    rows = stage(signatures(texts), "copies-signatures")
+    rows = stage(signatures(texts, bits_for(texts.count())), "copies-signatures")
     nodes = stage(rows.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "copies-nodes")
-    links = stage(verified(texts, near_pairs(hub_pairs(nodes), nodes)), "copies-links")
-    found = stage(connected_components(links), "copies-components")
-    # what the first pass left apart
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    named = stage(named, "copies-named")
+    first = stage(near_pairs(hub_pairs(nodes), nodes), "copies-first")
+    found = stage(connected_components(verified(texts, first)), "copies-components")
+    met = stage(connected_components(first), "copies-met")
+    # what the first pass left apart; large clusters take in what is near one of their nodes first
+    named = stage(_with_group(_with_group(nodes, found, "c"), met, "g"), "copies-named")
+    pairs = stage(near_pairs(crowd_pairs(named), named), "copies-crowd-near")
+    met = stage(connected_components(pairs.select("a", "b").unionByName(_edges(met))), "copies-met")
+    named = stage(_with_group(named.drop("g"), met, "g"), "copies-named")
     pairs = stage(near_pairs(stage(band_pairs(named), "copies-bands"), named), "copies-near")
-    if not pairs.isEmpty():
-        more = stage(verified(texts, similar_pairs(texts, pairs, named)), "copies-more")
-        found = stage(connected_components(links.unionByName(more)), "copies-components")
+    met = connected_components(pairs.select("a", "b").unionByName(_edges(met)))
+    asked = stage(_with_group(named.drop("keys", "g"), met, "cluster"), "copies-clusters")
+    open_ = asked.groupBy("cluster").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c <> d").select("cluster")
+    asked = stage(asked.join(open_, "cluster"), "copies-asked")
+    if not asked.isEmpty():
+        more = stage(verified(texts, similar_pairs(texts, asked)), "copies-more")
+        found = stage(connected_components(_edges(found).unionByName(more)), "copies-components")
     named = nodes.select("node", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("node", F.coalesce("component", "rep").alias("component")), "copies-groups")
     return rows.select("id", "node").join(named, "node").select("id", "component")

@@ -123,3 +123,57 @@ def test_crowded_buckets_and_clusters(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert kept == kept_by_all_pairs(rows)
+
+
+def edited(rng, own, edits):
+    words = list(own)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_a_group_just_under_the_limit_makes_no_row_for_each_pair(spark, monkeypatch):
+    """400 texts of which few pairs are similar, and some further off: every staged table has some rows for each text."""
+    staged, plain = {}, near_copies.stage
+
+    def counted(df, name):
+        out = plain(df, name)
+        staged[name] = max(staged.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    rng = random.Random(10)
+    own = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = list(enumerate(edited(rng, own, 4 if k % 8 else 8) for k in range(400)))
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == kept_by_all_pairs(rows)
+    assert max(staged.values()) <= 70 * len(rows) and staged["copies-near"] <= 10 * len(rows)
+
+
+def test_unlike_texts_in_a_bucket_make_no_row_for_each_pair(spark):
+    """Nodes with fingerprints of their own and one band in common."""
+    rng = random.Random(11)
+    rows = [(k, rng.getrandbits(63), 100, [b << near_copies.BITS | (b != 100 and rng.getrandbits(near_copies.BITS)) for b in range(140)], k, k) for k in range(1500)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, n long, keys array<int>, c long, g long")
+    assert near_copies.band_pairs(nodes).count() <= 1500
+
+
+def test_longer_bands_for_more_documents(spark, monkeypatch):
+    """Buckets hold CHANCE unlike texts at most, sets at the limit share a band of any length, and the groups are the same."""
+    assert [near_copies.bits_for(n) for n in (0, 1, 200_000, 1 << 22, (1 << 22) + 1, 12_000_000)] == [16, 16, 16, 16, 17, 18]
+    rng = near_copies.np.random.default_rng(12)
+    for bits in (18, 20):
+        places = near_copies.band_bits(near_copies.bands_for(bits, True) * bits)
+        for n in (4, 12, 100):
+            for _ in range(100):
+                hashes = rng.integers(0, 1 << 64, n + n // 4, near_copies.np.uint64)
+                (_, keys), (_, others) = near_copies.signature(hashes[:n], bits, places), near_copies.signature(hashes, bits, places)
+                assert set(keys.tolist()) & set(others.tolist())
+    monkeypatch.setattr(near_copies, "CHANCE", 2.0**-12)
+    rng = random.Random(13)
+    rows = []
+    for _ in range(10):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(15, 300))]
+        rows += [(len(rows) + k, edited(rng, own, rng.randint(0, len(own) // 40 + 1))) for k in range(6)]
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert near_copies.bits_for(len(rows)) == 18 and kept == kept_by_all_pairs(rows)
